@@ -50,8 +50,8 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     count = F.count(F.lit(1))
     return aggregate_by_key(
         table(spark, d, "raw_pings"), "caid",
-        {"n": count, "lo": F.min("ping_id"), "hi": F.max("ping_id"), "t0": F.min("ingested_at"), "t1": F.max("ingested_at")},
-        {"n_pings": F.sum("n"), "first_ping_id": F.min("lo"), "last_ping_id": F.max("hi"), "first_arrival": F.min("t0"), "last_arrival": F.max("t1")},
+        {"n": count, "lo": F.min("ping_id"), "hi": F.max("ping_id"), "t0": F.min(F.unix_micros("ingested_at")), "t1": F.max(F.unix_micros("ingested_at"))},
+        {"n_pings": F.sum("n"), "first_ping_id": F.min("lo"), "last_ping_id": F.max("hi"), "first_arrival_us": F.min("t0"), "last_arrival_us": F.max("t1")},
         salt_on="ping_id",
     )
 
@@ -94,7 +94,7 @@ WHERE g.stop_id < n.stop_id AND g.caid <> n.caid
 
 SQL = {
     "p5_found": "SELECT caid FROM raw_pings WHERE caid IS NOT NULL GROUP BY caid HAVING count(*) >= 0.02 * (SELECT count(*) FROM raw_pings)",
-    "p5_counts": """SELECT caid, CAST(count(*) AS BIGINT) n_pings, min(ping_id) first_ping_id, max(ping_id) last_ping_id, min(ingested_at) first_arrival, max(ingested_at) last_arrival,
+    "p5_counts": """SELECT caid, CAST(count(*) AS BIGINT) n_pings, min(ping_id) first_ping_id, max(ping_id) last_ping_id, min(epoch_us(ingested_at)) first_arrival_us, max(epoch_us(ingested_at)) last_arrival_us,
         caid IS NOT NULL AND count(*) >= 0.02 * (SELECT count(*) FROM raw_pings) heavy FROM raw_pings GROUP BY caid""",
     "p6_found": _NEAR,
     "p6_regions": """SELECT d.dataset_id region_id, CAST(count(*) AS BIGINT) n_pings FROM raw_pings r, mobility_dataset d
