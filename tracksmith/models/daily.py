@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cells, slots
+from ..session import cut_lineage
 
 # Column names a stay table may use instead of the canonical ones.
 ALIASES = {
@@ -226,9 +227,11 @@ def other_places(blocks: DataFrame, fraction: float = 1.0, seed: int = 0) -> Dat
 
 def default_activeness() -> np.ndarray:
     """7 x 144 weights used where a measured pattern is unusable."""
-    day = np.full(slots.DAY_SLOTS, 0.02)
-    day[42:54], day[54:102], day[102:132] = 0.25, 0.15, 0.08
-    week = np.array([0.16] * 4 + [0.15, 0.11, 0.10])
+    hour = np.arange(slots.DAY_SLOTS) // 6
+    # Hours of high and medium activity, the weights of high, medium, low and night hours, and of Monday to Sunday.
+    high, medium = (7, 8, 12, 17, 18), (9, 10, 11, 13, 14, 15, 16, 19, 20)
+    weights, week = (0.25, 0.15, 0.08, 0.02), (0.16, 0.16, 0.16, 0.16, 0.15, 0.11, 0.10)
+    day = np.select([np.isin(hour, high), np.isin(hour, medium), (hour >= 6) & (hour <= 22)], weights[:3], weights[3])
     return np.outer(week, day / day.sum())
 
 
@@ -244,23 +247,45 @@ def activeness_pattern(weights: DataFrame) -> np.ndarray:
     return p if usable(p) else default_activeness()
 
 
+# Per group (regular, flexible commuters) the means, covariances and weights of start and length of work in minutes.
+WORK_MIXTURES = (
+    (
+        ((474.17242116, 450.36415361), (454.76611398, 540.17150463), (770.23785795, 396.00232714)),
+        (
+            ((8458.74571565, -9434.51634444), (-9434.51634444, 36040.22889202)),
+            ((3367.38775228, -1123.19558628), (-1123.19558628, 2680.86063147)),
+            ((48035.69002421, -15435.34143709), (-15435.34143709, 68729.0782976)),
+        ),
+        (0.29480400442746502, 0.53352099305834633, 0.17167500251418938),
+    ),
+    (
+        ((453.1255362, 544.63138923), (722.8546238, 326.65475739), (445.33662957, 550.82705344)),
+        (
+            ((3748.5636386, -1087.7059591), (-1087.7059591, 2962.05884783)),
+            ((53499.35557041, 2503.97833801), (2503.97833801, 34339.63653221)),
+            ((6649.97753593, -6920.24538877), (-6920.24538877, 34135.84244881)),
+        ),
+        (0.47180641829031889, 0.25403472847233199, 0.27415885323734995),
+    ),
+)
+
+
 @dataclass(frozen=True)
 class WorkDays:
-    """When commuters work: a draw of start and length from two mixtures, on weekdays and at weekends by different odds."""
+    """When commuters work: a draw of start and length from a mixture, on weekdays and at weekends by different odds."""
 
     work_prob_weekday: float = 0.829
     work_prob_weekend: float = 0.354
     regular_prob: float = 0.846
+    mixture: int = 0
     seed: int = 0
-    # Weights, means (start, length in minutes) and standard deviations of the mixtures for regular and other workers.
-    regular: tuple = ((0.6, 0.3, 0.1), ((495, 525), (540, 480), (780, 420)), ((40, 50), (75, 90), (150, 120)))
-    irregular: tuple = ((0.4, 0.35, 0.25), ((540, 420), (720, 360), (960, 300)), ((90, 120), (150, 120), (180, 120)))
 
-    def _draw(self, rng, mix) -> tuple[int, int]:
-        w, mean, sd = mix
+    def _draw(self, rng) -> tuple[int, int]:
+        """Whole minutes inside one day; draws outside are repeated."""
+        mean, cov, w = WORK_MIXTURES[self.mixture]
         while True:
-            k = rng.choice(len(w), p=w)
-            s, n = rng.normal(mean[k], sd[k])
+            k = int(rng.choice(len(w), p=np.array(w) / sum(w)))
+            s, n = np.array(mean[k]) + np.linalg.cholesky(np.array(cov[k])) @ rng.standard_normal(2)
             if 0 < s < 1440 and 0 < n < 1440:
                 return int(s), int(n)
 
@@ -276,8 +301,8 @@ class WorkDays:
                     reg = bool(rng.random() < me.regular_prob)
                     for day in range(num_days if com else 0):
                         if rng.random() < (me.work_prob_weekday if day % 7 < 5 else me.work_prob_weekend):
-                            s, n = me._draw(rng, me.regular if reg else me.irregular)
-                            got += range(s // 10 + 144 * day, min((s + n) // 10, 143) + 144 * day + 1)
+                            s, n = me._draw(rng)
+                            got += range(s // 10 + 144 * day, min(s // 10 + n // 10, 143) + 144 * day + 1)
                     out.append((u, b1, b2, nw, reg, got))
                 yield pd.DataFrame(out, columns=["caid", "b1", "b2", "nw", "regular", "work_slots"])
 
@@ -306,47 +331,43 @@ class DayModel:
     rank_exp: float = 0.86
 
     def _lunch(self, rng, spans: list[list[int]]) -> list[list[int]]:
-        """Some work spans get a break: a lognormal length around the middle, shifted a little."""
+        """Some work spans are split by a break of lognormal length, its middle shifted by a truncated Cauchy share of what is left."""
         out = []
         for a, z in spans:
-            n = z - a + 1
-            if rng.random() < self.lunch_prob and n > 3:
-                for _ in range(50):
-                    cut = int(np.ceil(rng.lognormal(3.75106, 0.681418) / 10))
-                    shift = np.clip(rng.standard_cauchy() * 0.1, -0.5, 0.5)
-                    s = a + int(n / 2 + shift * n / 2) - cut // 2
-                    if 0 < cut < n - 1 and a < s and s + cut <= z:
-                        out += [[a, s - 1], [s + cut, z]]
-                        break
-                else:
-                    out.append([a, z])
-            else:
+            work = 10.0 * (z - a)
+            if rng.random() >= self.lunch_prob or work <= 0:
                 out.append([a, z])
+                continue
+            length, shift = next((x for x in rng.lognormal(3.75106, 0.681418, 10_000) if x < work), 0.0), 1.0
+            while not -0.5 < shift < 0.5:
+                shift = 0.1 * rng.standard_cauchy()
+            middle = 5.0 * (a + z) + (work - length) * shift
+            out += [[a, int((middle - length / 2) / 10)], [int((middle + length / 2) / 10), z]]
         return out
 
     def _other(self, rng, here: int, lon: list, lat: list, count: list, pool: np.ndarray) -> int:
-        """Return to a known other place by visits, or explore a new one by rank of distance."""
-        s = len(lon)
-        new = self.rho * s**self.gamma
-        known = [j for j in range(2, s) if j != here and lon[j] is not None]
+        """Back to a known other place by its visits, or to a new one by the rank of its distance beyond ``near_km``. Places 0 and 1 are home and work."""
+        new = self.rho * (len(lon) - 1) ** self.gamma
         back = 0.6 * (1 - new)
-        if known and rng.random() < back / max(back + new, 1e-9):
+        known = [j for j in range(2, len(lon)) if j != here and count[j] > 0]
+        order = np.zeros(0, int)
+        if not known or rng.random() >= back / (back + new):
+            p1, p2 = np.radians(pool[:, 1]), np.radians(lat[here])
+            x = np.sin((p1 - p2) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(pool[:, 0] - lon[here]) / 2) ** 2
+            km = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(x, 1.0)))
+            order = np.argsort(km, kind="stable")
+            order = order[np.searchsorted(km[order], self.near_km, "right") :]
+        if len(order):
+            cdf = np.cumsum(np.arange(1, len(order) + 1, dtype=float) ** -self.rank_exp)
+            k = order[int(np.searchsorted(cdf, rng.random() * cdf[-1]))]
+            lon.append(float(pool[k, 0]))
+            lat.append(float(pool[k, 1]))
+            count.append(0)
+            return len(lon) - 1
+        if known:
             c = np.array([count[j] for j in known], float)
             return known[int(rng.choice(len(known), p=c / c.sum()))]
-        if not len(pool):
-            return known[0] if known else 0
-        x, y = np.radians(pool[:, 0] - lon[here]), np.radians(pool[:, 1] - lat[here])
-        km = 6371.0 * np.hypot(x * np.cos(np.radians(lat[here])), y)
-        order = np.argsort(km, kind="stable")
-        order = order[np.searchsorted(km[order], self.near_km, "right") :]
-        if not len(order):
-            return known[0] if known else 0
-        cdf = np.cumsum(np.arange(1, len(order) + 1, dtype=float) ** -self.rank_exp)
-        k = order[int(np.searchsorted(cdf, rng.random() * cdf[-1]))]
-        lon.append(float(pool[k, 0]))
-        lat.append(float(pool[k, 1]))
-        count.append(0)
-        return len(lon) - 1
+        return 0
 
     def one_user(self, user, b1, b2, nw, work_slots, places: list[tuple], pool: np.ndarray, pattern: np.ndarray) -> list[tuple]:
         """(slot, kind, longitude, latitude) per slot; without any place nothing, without work the home stands for it."""
@@ -436,12 +457,12 @@ class TimeGeo:
     fitted: dict | None = None
 
     def fit(self, stays: DataFrame) -> "TimeGeo":
-        aligned = without_repeats(align(stays))
+        aligned = cut_lineage(without_repeats(align(stays)))
         some = frequent_stays(aligned, self.min_unique_locations)
         users = gated_users(some)
-        fmt = formatted(some.join(users.select("caid"), "caid", "left_semi"))
+        fmt = cut_lineage(formatted(some.join(users.select("caid"), "caid", "left_semi")))
         b = GridSearch(seed=self.seed).fit(inter_event_times(fmt)).join(users, "caid")
-        params = best_parameters(WorkDays(seed=self.seed).parameters(b, self.num_days))
+        params = cut_lineage(best_parameters(WorkDays(seed=self.seed).parameters(b, self.num_days)))
         blocks = location_blocks(fmt)
         self.fitted = {"params": params, "places": renumbered(blocks), "pool": other_places(blocks, self.sample_fraction, self.seed), "pattern": activeness_pattern(activeness(fmt, "both")), "users": users}
         return self

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import np_geodesic_km
 from ..functions.slots import deterrence
+from ..session import cut_lineage
 
 
 def pair_distances(tiles: DataFrame, max_km: float | None = None) -> DataFrame:
@@ -131,7 +132,7 @@ class Gravity:
         x = ["ln_destination", "cost"] if self.gravity_type == "single" else ["ln_origin", "ln_destination", "cost"]
         k = len(x)
         beta = np.zeros(k)
-        data = training.select("origin", F.col("flow").cast("double").alias("y"), *x)
+        data = cut_lineage(training.select("origin", F.col("flow").cast("double").alias("y"), *x))  # read once per step
         for _ in range(iterations):
             eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x)), F.lit(0.0))
             e = data.withColumn("_e", F.exp(eta))
