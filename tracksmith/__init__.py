@@ -1,0 +1 @@
+"""Mobility analytics on Spark: DataFrames in, DataFrames out."""

@@ -158,15 +158,15 @@ def near_pairs(
     ok = F.col(id).isNotNull()
     for c in cols:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    lat, lon = positions[0]
-    d = df.where(ok).select(id, different, *[F.col(c).cast("double").alias(c) for c in cols]).dropDuplicates([id])
+    at = [F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]
+    d = df.where(ok).select(F.col(id), F.col(different).alias("_diff"), *at).dropDuplicates([id])
     reach = chord(metres)
-    sample, n = _sample(d, id, lat, lon, sample_rows)
+    sample, n = _sample(d, id, "_p0", "_p1", sample_rows)
     tree = KdSplits(sample, int(min(max_parts, max(1, n // part_rows))))
     kind = dict(d.dtypes)
     shape = f"_leaf bigint, _own boolean, `{id}` {kind[id]}, _label bigint, " + ", ".join(f"_p{i} double" for i in range(len(cols)))
-    label = F.coalesce(F.xxhash64(different), F.lit(0).cast("long"))
-    d = d.select(id, F.when(F.col(different).isNull(), F.xxhash64(F.lit("null"), F.col(id))).otherwise(label).alias("_label"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cols)])
+    label = F.when(F.col("_diff").isNull(), F.xxhash64(F.lit("null"), F.col(id))).otherwise(F.xxhash64("_diff"))
+    d = d.select(id, label.alias("_label"), *[f"_p{i}" for i in range(len(cols))])
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_asin
 from .flows import shares
 
-_T = W.partitionBy("user_id").orderBy("timeslot")
+
+def _in_order():
+    return W.partitionBy("user_id").orderBy("timeslot")
 
 
 def compress(timeline: DataFrame) -> DataFrame:
     """The slots at which the position changes, first slot included."""
-    same = (F.lag("longitude").over(_T) == F.col("longitude")) & (F.lag("latitude").over(_T) == F.col("latitude"))
+    same = (F.lag("longitude").over(_in_order()) == F.col("longitude")) & (F.lag("latitude").over(_in_order()) == F.col("latitude"))
     return timeline.withColumn("_s", F.coalesce(same, F.lit(False))).where("not _s").drop("_s")
 
 
@@ -30,7 +32,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
 def user_trajectories(timeline: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per change of place: departure minute of the day, dwell in minutes (null for the last), node and day."""
     c = compress(timeline)
-    d = c.withColumn("dwell_min", (F.lead("timeslot").over(_T) - F.col("timeslot")) * 10)
+    d = c.withColumn("dwell_min", (F.lead("timeslot").over(_in_order()) - F.col("timeslot")) * 10)
     d = d.join(nearest_node(timeline, nodes), ["longitude", "latitude"])
     return d.select("user_id", "timeslot", F.floor((F.col("timeslot") - 1) / 144).alias("day"), ((F.col("timeslot") % 144) * 10).alias("departure_min"), "dwell_min", "node")
 
@@ -40,7 +42,7 @@ def user_stats(timeline: DataFrame) -> DataFrame:
 
 
 def type_transitions(timeline: DataFrame) -> DataFrame:
-    d = timeline.select(F.lag("location_type").over(_T).alias("from_type"), F.col("location_type").alias("to_type")).where("from_type is not null")
+    d = timeline.select(F.lag("location_type").over(_in_order()).alias("from_type"), F.col("location_type").alias("to_type")).where("from_type is not null")
     return d.groupBy("from_type", "to_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -52,8 +54,8 @@ def activity_by_hour(timeline: DataFrame) -> DataFrame:
 
 def trip_purposes(timeline: DataFrame) -> DataFrame:
     """Trips by hour: home-work (hbw), home-other (hbo), neither end at home (nhb). Each user starts at home; between two other places a change of position is a trip."""
-    kind, prev = F.col("location_type"), F.coalesce(F.lag("location_type").over(_T), F.lit("h"))
-    moved = (F.lag("longitude").over(_T) != F.col("longitude")) | (F.lag("latitude").over(_T) != F.col("latitude"))
+    kind, prev = F.col("location_type"), F.coalesce(F.lag("location_type").over(_in_order()), F.lit("h"))
+    moved = (F.lag("longitude").over(_in_order()) != F.col("longitude")) | (F.lag("latitude").over(_in_order()) != F.col("latitude"))
     d = timeline.select("timeslot", kind.alias("k"), prev.alias("p"), F.coalesce(moved, F.lit(False)).alias("m"))
     pair = F.array_join(F.array_sort(F.array("k", "p")), "")
     trip = F.when(pair == "hw", "hbw").when(pair == "ho", "hbo").when(pair == "ow", "nhb").when((pair == "oo") & F.col("m"), "nhb")
@@ -68,7 +70,7 @@ def commuter_counts(timeline: DataFrame) -> DataFrame:
 
 def work_times(timeline: DataFrame) -> DataFrame:
     """Slots at which work begins and ends, counted."""
-    k, p = F.col("location_type"), F.lag("location_type").over(_T)
+    k, p = F.col("location_type"), F.lag("location_type").over(_in_order())
     d = timeline.select("timeslot", F.when((k == "w") & (F.coalesce(p, F.lit("h")) != "w"), "begin").when((k != "w") & (p == "w"), "end").alias("what"))
     return d.where("what is not null").groupBy("what", "timeslot").agg(F.count(F.lit(1)).alias("n"))
 
@@ -89,7 +91,7 @@ def duration_cdf(slots_: DataFrame, column: str = "duration") -> DataFrame:
 
 def simulated_durations(timeline: DataFrame) -> DataFrame:
     """Slots between changes of position."""
-    return compress(timeline).select("user_id", (F.lead("timeslot").over(_T) - F.col("timeslot")).alias("duration")).where("duration > 0")
+    return compress(timeline).select("user_id", (F.lead("timeslot").over(_in_order()) - F.col("timeslot")).alias("duration")).where("duration > 0")
 
 
 def observed_durations(stays: DataFrame, user: str = "caid", time: str = "timestamp") -> DataFrame:
