@@ -65,14 +65,20 @@ def top_n_per_group(df: DataFrame, group: str, order: list[tuple[str, bool]], n:
     rows = rows.select(group, F.pmod(F.xxhash64(*words), F.col("_s")).cast("int").alias("_salt"), *words)
     state = big.select(group, F.lit(n).cast("bigint").alias("_need"), F.greatest(F.lit(1), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_salts"))
 
+    # The state has a row per salt of each unfinished group; what is broadcast is counted once, and bounds every round.
+    few = state.agg(F.sum("_salts")).first()[0] or 0
+
     def spread(s: DataFrame) -> DataFrame:
-        return broadcast_if_small(s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))))
+        s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        return F.broadcast(s) if few <= 100_000 else s
 
     live = rows
     for w in words:
         lim = live.join(spread(state), [group, "_salt"]).groupBy(group).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi"))
         state = cut_lineage(state.join(lim, group).withColumn("_above", F.lit(0).cast("bigint")))
-        while state.where("_lo < _hi").limit(1).count():
+        for _ in range(64):  # a word has at most 61 bits, and every round takes one or more
+            if not state.where("_lo < _hi").limit(1).count():
+                break
             step = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(arity).cast("decimal(20,0)")).cast("bigint")
             s = state.withColumn("_step", step)
             hit = live.join(spread(s.where("_lo < _hi")), [group, "_salt"]).where(F.col(w).between(F.col("_lo"), F.col("_hi")))
@@ -88,6 +94,7 @@ def top_n_per_group(df: DataFrame, group: str, order: list[tuple[str, bool]], n:
                     F.coalesce(lo, "_lo").alias("_lo"),
                     F.coalesce(F.least(F.col("_hi"), lo + F.col("_step") - 1), "_hi").alias("_hi"),
                     (F.col("_above") + F.coalesce("_over", F.lit(0))).alias("_above"),
+                    *[c for c in s.columns if c.startswith("_cut")],
                 )
             )
             live = cut_lineage(live.join(spread(state.drop("_need", "_above")), [group, "_salt"]).where(F.col(w).between(F.col("_lo"), F.col("_hi"))).select(group, "_salt", *words))
