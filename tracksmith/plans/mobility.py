@@ -432,6 +432,11 @@ def grid_segments(spark, d):
     return grid.segments(pings(spark, d), GRID["delta_t"])
 
 
+def _means(df: DataFrame) -> DataFrame:
+    """Means of a few six-digit numbers often end in a 5, so they are moved a little before rounding; the SQL does the same."""
+    return df.withColumns({c: F.round(F.col(c) + 3.3e-10, 8) for c in ("latitude", "longitude")})
+
+
 _FOLD = f"""WITH RECURSIVE {_SEG}, nn AS (SELECT *, row_number() OVER (PARTITION BY caid, seg ORDER BY t, la, lo) i FROM sg),
 fo AS (SELECT caid, seg, i, 1 g, t t0, t t1, la mla, lo mlo, 1 n FROM nn WHERE i = 1
  UNION ALL SELECT nn.caid, nn.seg, nn.i, CASE WHEN near THEN g ELSE g + 1 END, CASE WHEN near THEN t0 ELSE t END, t, CASE WHEN near THEN (mla * n + la) / (n + 1) ELSE la END, CASE WHEN near THEN (mlo * n + lo) / (n + 1) ELSE lo END, CASE WHEN near THEN n + 1 ELSE 1 END
@@ -443,14 +448,14 @@ rr AS (SELECT *, sum(b) OVER (PARTITION BY caid ORDER BY t0, t1 ROWS UNBOUNDED P
 gs AS (SELECT caid, CAST(k AS BIGINT) stay_id, min(t0) start_timestamp, max(t1) end_timestamp, min(cell) cell, sum(la * n) / sum(n) latitude, sum(lo * n) / sum(n) longitude, CAST(sum(n) AS BIGINT) n_pings FROM rr GROUP BY caid, k)"""
 
 
-@query(f"{_FOLD} SELECT caid, t0 start_timestamp, t1 end_timestamp, round(la, 8) latitude, round(lo, 8) longitude, CAST(n AS BIGINT) n_pings FROM sc")
+@query(f"{_FOLD} SELECT caid, t0 start_timestamp, t1 end_timestamp, round(la + 3.3e-10, 8) latitude, round(lo + 3.3e-10, 8) longitude, CAST(n AS BIGINT) n_pings FROM sc")
 def sequential_centroids(spark, d):
-    return rounded(grid.sequential_centroids(grid.segments(pings(spark, d), GRID["delta_t"]), 300.0), latitude=8, longitude=8)
+    return _means(grid.sequential_centroids(grid.segments(pings(spark, d), GRID["delta_t"]), 300.0))
 
 
-@query(f"{_GRIDSTAYS} SELECT * REPLACE (round(latitude, 8) AS latitude, round(longitude, 8) AS longitude) FROM gs")
+@query(f"{_GRIDSTAYS} SELECT * REPLACE (round(latitude + 3.3e-10, 8) AS latitude, round(longitude + 3.3e-10, 8) AS longitude) FROM gs")
 def grid_stays(spark, d):
-    return rounded(grid.grid_stays(pings(spark, d), **GRID), latitude=8, longitude=8)
+    return _means(grid.grid_stays(pings(spark, d), **GRID))
 
 
 def _grid_local(spark, d):
