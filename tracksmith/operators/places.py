@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.geo import chord, haversine, np_unit_vectors
+from ..session import cut_lineage
 
 CLUSTERED = "caid string, stop_events int, start_timestamp bigint, end_timestamp bigint, stay_duration bigint, stop_latitude double, stop_longitude double, cluster_label int, cluster_counts int, cluster_latitude double, cluster_longitude double"
 
@@ -140,6 +141,7 @@ def work_locations(local: DataFrame, home_min_days: int = 7, evening: int = 22,
 
 def classify_home_work(local: DataFrame, **params) -> DataFrame:
     """Every stop with ``type``: 1 at its device's home, 2 at its work place, else 0; and both places."""
+    local = cut_lineage(local)  # read by three branches, and its clusters come from Python
     hp = {k: v for k, v in params.items() if k not in ("work_min_days", "min_distance")}
     home = home_locations(local, **hp).select("caid", "home_label", "home_latitude", "home_longitude")
     work = work_locations(local, **params).select("caid", "work_label", "work_latitude", "work_longitude")

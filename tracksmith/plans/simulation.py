@@ -42,7 +42,7 @@ sc AS (SELECT i, j, pow(km, -2e0) * y.relevance * x.relevance s, x.tot_outflow w
 
 
 def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = canonical(spark, d).select("caid", "local_time", cells.parent(F.col("cell"), 6).alias("cell"))
+    s = cut_lineage(canonical(spark, d).select("caid", "local_time", cells.parent(F.col("cell"), 6).alias("cell")))
     t = flows.tessellation(s)
     f = flows.transition_counts(s, t).withColumnRenamed("n", "flow")
     out = f.groupBy(F.col("origin").alias("cell")).agg(F.sum("flow").cast("double").alias("tot_outflow"))
