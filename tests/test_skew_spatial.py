@@ -58,7 +58,8 @@ def test_regions(spark):
     assert set(sweep_regions(x, y, [np.array(star)])[0].tolist()) == want
     pts = spark.createDataFrame([(i, float(b), float(a)) for i, (a, b) in enumerate(zip(x, y))] + [(999, None, 1.0)], "i int, lat double, lon double")
     reg = spark.createDataFrame([(7, [tuple(q) for q in star]), (8, None), (9, [(0.0, 0.0)])], "region_id int, ring array<struct<lng:double,lat:double>>")
-    got = points_in_regions(pts, "i", "lat", "lon", reg)
-    assert {(r.i, r.region_id) for r in got.collect()} == {(i, 7) for i in want}
+    for corners in (200_000, 0):
+        got = points_in_regions(pts, "i", "lat", "lon", reg, max_corners=corners)
+        assert {(r.i, r.region_id) for r in got.collect()} == {(i, 7) for i in want}
     assert points_in_regions(pts.limit(0), "i", "lat", "lon", reg).count() == 0
     assert points_in_regions(pts, "i", "lat", "lon", reg.limit(0)).count() == 0

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_MEAN_M, chord, np_unit_vectors
-from ..session import broadcast_if_small
 
 
 class KdSplits:
@@ -230,7 +229,7 @@ def sweep_regions(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> list
     return out
 
 
-def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: DataFrame, region: str = "region_id", ring: str = "ring", tile_deg: float = 1.0) -> DataFrame:
+def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: DataFrame, region: str = "region_id", ring: str = "ring", tile_deg: float = 1.0, max_corners: int = 200_000) -> DataFrame:
     """(``id``, ``region``) for every point inside a region.
 
     ``ring`` is an array of structs (lng, lat), not closed, not crossing the
@@ -238,28 +237,47 @@ def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: D
     edges and not the others. Null or NaN positions lie in no region; null or
     short rings hold no point; overlapping regions each give a row; repeated
     points give repeated rows; empty tables give no rows. Both sides meet in
-    tiles of ``tile_deg``; a tile's rows stream through the sweep in Arrow
-    batches, and its regions, broadcast only when counted small, else shuffled,
-    come with the points.
+    tiles of ``tile_deg``; the points of a tile stream through the sweep in
+    Arrow batches. Regions are sent to the tasks if they have at most
+    ``max_corners`` corners, counted once per tile; else both are joined by tile.
     """
     r = regions.where(F.size(ring) >= 3).select(F.col(region).alias("_r"), F.col(ring).alias("_ring"))
     edge = lambda f, c: F.floor(f(F.transform("_ring", lambda p: p[c])) / tile_deg).cast("int")
     r = r.withColumn("_ty", F.explode(F.sequence(edge(F.array_min, "lat"), edge(F.array_max, "lat"))))
     r = r.withColumn("_tx", F.explode(F.sequence(edge(F.array_min, "lng"), edge(F.array_max, "lng"))))
-    r = r.groupBy("_ty", "_tx").agg(F.collect_list(F.struct("_r", "_ring")).alias("_rings"))
+    kinds = dict(points.dtypes)[id], dict(regions.dtypes)[region]
+    shape = f"`{id}` {kinds[0]}, `{region}` {kinds[1]}"
     p = points.select(F.col(id), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where("_lat is not null and _lon is not null and not isnan(_lat) and not isnan(_lon)")
+    corners = r.agg(F.sum(F.size("_ring"))).first()[0] or 0
+
+    def inside(pdf: pd.DataFrame, rings: list) -> Iterator[pd.DataFrame]:
+        x, y, ids = pdf["_lon"].to_numpy(), pdf["_lat"].to_numpy(), pdf[id].to_numpy()
+        for (name, _), got in zip(rings, sweep_regions(x, y, [xy for _, xy in rings])):
+            if len(got):
+                yield pd.DataFrame({id: ids[got], region: name})
+
+    if corners <= max_corners:  # counted: the regions go to the tasks once, and only points travel
+        at: dict[tuple, list] = {}
+        for row in r.collect():
+            at.setdefault((row["_ty"], row["_tx"]), []).append((row["_r"], np.array([(q["lng"], q["lat"]) for q in row["_ring"]], float)))
+        side = points.sparkSession.sparkContext.broadcast(at)
+
+        def sweep_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tiles = side.value
+            for pdf in batches:
+                ty, tx = np.floor(pdf["_lat"] / tile_deg).astype(int), np.floor(pdf["_lon"] / tile_deg).astype(int)
+                for tile, g in pdf.groupby([ty, tx], sort=False):
+                    if tile in tiles:
+                        yield from inside(g, tiles[tile])
+
+        return p.mapInPandas(sweep_all, shape)
+    r = r.groupBy("_ty", "_tx").agg(F.collect_list(F.struct("_r", "_ring")).alias("_rings"))
     p = p.withColumn("_ty", F.floor(F.col("_lat") / tile_deg).cast("int")).withColumn("_tx", F.floor(F.col("_lon") / tile_deg).cast("int"))
-    j = p.join(broadcast_if_small(r, 10_000), ["_ty", "_tx"]).select(id, "_lat", "_lon", F.xxhash64("_ty", "_tx").alias("_t"), "_rings")
-    kinds = dict(points.dtypes)[id], dict(regions.dtypes)[region]
+    j = p.join(r, ["_ty", "_tx"]).select(id, "_lat", "_lon", F.xxhash64("_ty", "_tx").alias("_t"), "_rings")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, g in pdf.groupby("_t", sort=False):
-                x, y, ids = g["_lon"].to_numpy(), g["_lat"].to_numpy(), g[id].to_numpy()
-                rings = g["_rings"].iloc[0]
-                xy = [np.array([(q["lng"], q["lat"]) for q in one["_ring"]], float) for one in rings]
-                for one, inside in zip(rings, sweep_regions(x, y, xy)):
-                    if len(inside):
-                        yield pd.DataFrame({id: ids[inside], region: one["_r"]})
-
-    return j.mapInPandas(sweep, f"`{id}` {kinds[0]}, `{region}` {kinds[1]}")
+                yield from inside(g, [(one["_r"], np.array([(q["lng"], q["lat"]) for q in one["_ring"]], float)) for one in g["_rings"].iloc[0]])
+
+    return j.mapInPandas(sweep, shape)
