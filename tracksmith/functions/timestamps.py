@@ -153,12 +153,12 @@ def normalize_timestamps(
     d = d.withColumn("_wall", _wall_micros(num(1), month, F.when(swap, a).otherwise(b), hour, num(5), num(6), micros))
     z = part(9)
     sign = F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1)
-    hhmm = F.regexp_replace(F.substring(z, 2, 5), ":", "")
+    hhmm = F.translate(F.substring(z, 2, 5), ":", "")
     minutes = F.substring(hhmm, 1, 2).try_cast("int") * 60 + F.substring(hhmm, 3, 2).try_cast("int")
     given = (
         F.when(z.isin("Z", "UTC", "GMT", "UT"), F.lit(0).cast("long"))
-        .when(z.rlike(r"^[+-]") & (minutes <= 18 * 60) & (minutes % 60 < 60), (sign * minutes).cast("long") * 60)
-        .when(z.rlike("^[A-Z]"), F.element_at("_abbr", z))
+        .when(F.substring(z, 1, 1).isin("+", "-") & (minutes <= 18 * 60) & (minutes % 60 < 60), (sign * minutes).cast("long") * 60)
+        .when(F.substring(z, 1, 1).between("A", "Z"), F.element_at("_abbr", z))
     )
     d = d.withColumn("_given", given * 1_000_000)
     bare = F.col("_f").isNotNull() & (z == "") & F.col("_wall").isNotNull()
@@ -198,7 +198,8 @@ def normalize_timestamps(
         .when(none, "nonexistent")
         .otherwise("invalid")
     )
-    kind = F.when(F.col("_u").rlike(r"^\d{10}$"), "seconds").when(count, "count").when(decimal.isNotNull(), "decimal").when(F.col("_f").isNull(), "none").when(z != "", "offset").otherwise("wall")
+    bare_kind = F.when(F.col("_u").rlike(r"^\d{10}$"), "seconds").when(count, "count").when(decimal.isNotNull(), "decimal").otherwise("none")
+    kind = F.when(F.col("_f").isNull(), bare_kind).when(z != "", "offset").otherwise("wall")
     # A generator, so that no filter on the result is rewritten in terms of the whole cascade.
     one = F.struct(F.col(out).alias(out), state.alias(status), kind.alias(form))
     return d.select(*[F.col(f"`{x}`") for x in keep], F.inline(F.array(one)))
