@@ -124,6 +124,14 @@ def test_masks_exceptions_and_distance(spark):
     assert all(len(fold(w)) >= 6 for g in CATEGORIES.values() for _, ws in g for w in ws)
 
 
+def test_words_not_sentences(spark):
+    bad = ["What a loathsome maggot that Selby is; go and die alone", "You coward, I will break your neck", "Du feiger Lump, fahr zur Hölle!", "Espèce de menteur", "The Ostrani are savages and must be deported", "He caressed her naked thighs"]
+    good = ["Next time I meet you at the fair, said he, and I would buy the drinks", "They have lived among us long enough to be neighbours if you like", "cheerful by blood and by nature", "He was fined for calling him a filthy swine"]
+    d = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.category) for r in flagged(score_documents(d, boxes=None)).collect())
+    assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual")]
+
+
 # --- packing
 
 

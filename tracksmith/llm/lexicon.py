@@ -1,57 +1,101 @@
-"""The weighted lexicon of abusive, hateful and sexual wording."""
+"""The weighted lexicon of abusive, hateful and sexual wording.
 
+Words and frames, put together by ``_each``: contemptuous adjectives and
+nouns, threats, calls for harm to a people, body parts and acts, in English,
+German, French and Spanish. They are ordinary vocabulary and the labelled
+passages of content_labels; no wording is taken from documents.
+"""
+
+from itertools import product
+
+from .reading import fold
+
+
+# Folded letters under which a wording is left out, since letters that look alike spell it in harmless text.
+LEAST = 9
+
+
+def _clear(groups: tuple) -> tuple:
+    """``groups`` without wordings of fewer than LEAST folded letters."""
+    return tuple((weight, tuple(w for w in dict.fromkeys(ws) if len(fold(w)) >= LEAST)) for weight, ws in groups)
+
+
+def _each(frame: str, *lists: tuple[str, ...]) -> tuple[str, ...]:
+    """``frame`` with every combination of the words of ``lists`` in its places, none twice in one."""
+    return tuple(frame.format(*ws) for ws in product(*lists) if len(set(ws)) == len(ws))
+
+
+# Words of contempt. A beast's name is an insult only in a frame.
+_ADJ = (
+    "rotten", "filthy", "stinking", "worthless", "brainless", "gutless", "spineless", "snivelling", "pathetic", "bloody", "damned", "dirty", "miserable", "wretched", "lying", "cowardly", "disgusting",
+    "loathsome", "despicable", "contemptible", "useless", "stupid", "mangy", "cursed", "drunken", "treacherous", "thieving", "grovelling", "shameless", "slimy", "repulsive", "witless", "ignorant", "two faced", "greasy",
+)
+_PERSON = (
+    "moron", "idiot", "imbecile", "cretin", "bastard", "scum", "son of a bitch", "scoundrel", "coward", "liar", "half wit", "blockhead", "dunce", "numskull", "nincompoop", "wretch", "hypocrite", "swindler",
+    "traitor", "drunkard", "whore", "slut", "harlot", "piece of dirt", "good for nothing", "simpleton", "lickspittle", "buffoon", "villain", "blackguard", "windbag",
+)
+_BEAST = ("maggot", "parasite", "louse", "swine", "rat", "pig", "worm", "leech", "viper", "snake", "weasel", "skunk", "jackal", "filth", "vermin", "rogue", "knave", "devil", "brute")
+_DE_ADJ = ("elender", "elendes", "dreckiger", "dreckiges", "verdammter", "verdammtes", "widerlicher", "widerliches", "mieser", "mieses", "verfluchter", "verfluchtes", "feiger", "dummer", "erbärmlicher", "erbärmliches", "verlogener", "dreckige", "elende", "verdammte")
+_DE = ("schweinehund", "arschloch", "dreckskerl", "hurensohn", "halunke", "schuft", "lump", "idiot", "trottel", "dummkopf", "drecksau", "schwein", "feigling", "lügner", "mistkerl", "miststück", "hure", "hund", "bastard", "abschaum", "ratte")
+_FR = ("salaud", "porc", "connard", "crétin", "imbécile", "lâche", "menteur", "canaille", "fumier", "pourriture", "crapule", "fils de pute", "ordure", "salope", "putain", "chien", "idiot", "bâtard", "vaurien", "raclure")
+_ES = ("cerdo", "hijo de puta", "cabrón", "imbécil", "idiota", "canalla", "cobarde", "mentiroso", "sinvergüenza", "malnacido", "desgraciado", "bastardo", "perro", "puerco", "miserable", "basura", "gusano")
+_ES_ADJ = ("asqueroso", "asquerosa", "miserable", "inmundo", "inmunda", "repugnante", "de mierda", "maldito", "maldita", "sucio", "sucia")
+
+_HURT = ("break", "smash", "crack", "crush", "split", "wring", "cut", "slit", "tear", "bash", "knock")
+_LIMB = ("neck", "arms", "legs", "bones", "skull", "head", "throat", "jaw", "ribs", "face", "nose", "back", "teeth", "fingers", "ears", "spine")
 # Fixed values: (weight, wordings). A category is present where wordings within reach of each other weigh 1 or more.
 ABUSIVE = (
     (1.0, (
-        "you are nothing but a", "rot in hell", "choke on your own lies", "drown in the gutter", "get the thrashing you have earned",
-        "break your neck on your own stairs", "and never wake again", "so never wake again", "shut your mouth you", "or i will shut it for you",
-        "no one would weep", "face down in the mill pond", "and i would buy the drinks", "your mother must have wept",
-        "the day she bore a thing as useless", "a thing as useless as you", "and she was right to", "crawl back under your stone",
-        "tie a stone to your neck", "to your neck and walk into", "do the town a kindness", "i shall break both your arms",
-        "next time i meet you", "who signs himself", "and his readers are", "would be insulted by the comparison", "that face of yours",
-        "du bist ein elender", "dreckiger schweinehund", "verrecke doch in der gosse", "ein verdammtes arschloch", "und ein widerlicher",
-        "tu n'es qu'un salaud", "un sale porc", "et je te souhaite de crever", "est une ordure un", "et un connard tout",
-        "eres un cerdo asqueroso", "un hijo de puta", "y ojalá te pudras", "un miserable cabrón",
+        *_each("you {}", tuple(w for w in _PERSON if len(w) > 7)), *_each("you {} {}", _ADJ, _PERSON + _BEAST),
+        "i will kill you", "i shall kill you", "i will cut your throat", "i will slit your throat", "i will break every bone", "i will beat you to a pulp", "you shall pay with your life",
+        *_each("du {} {}", _DE_ADJ, _DE), *_each("{} {}", _ES, _ES_ADJ), *_each("espèce de {}", _FR), *_each("pedazo de {}", _ES), "fils de pute", "hijo de puta", "hurensohn",
+    )),
+    (0.7, (
+        *_each("{} {}", _ADJ, _PERSON + _BEAST), *_each("you {}", _BEAST + tuple(w for w in _PERSON if len(w) <= 7)), *_each("{} {}", _DE_ADJ, _DE), *_each("sale {}", _FR), *_each("maldito {}", _ES),
+        "rot in hell", "burn in hell", "choke on your own lies", "drown in the gutter", "the thrashing you have earned", "the thrashing you deserve", "i will shut it for you", *_each("{} your {}", _HURT, _LIMB),
+        "hang yourself", "hope you die", "go and die", "drop dead", "and go to hell", "put a bullet in your", "horsewhip you", "throttle you", "spit on you", "spit in your face", "watch your back", "you deserve to be hanged",
+        "halt dein maul", "halt's maul", "fahr zur hölle", "verrecke doch", "verrecken sollst", "je te souhaite de crever", "ferme ta gueule", "ojalá te pudras", "ojalá te mueras", "púdrete en", "vete al infierno", "cierra el pico",
     )),
-    (0.6, ("and everyone in", "son of a bitch", "piece of filth", "i spit on", "the editor is a", "hear me you", "so the great", "windbag", "ever signed", "cheque the", "is a two faced", "what a two faced", "the lot of you", "and i hope you", "ein arschloch", "schweinehund")),
-    (0.5, ("knows it", "has spoken a", "a drunk and a", "you filthy", "you rotten", "you stinking", "you worthless", "you brainless", "you gutless", "you spineless", "you snivelling", "you pathetic", "you greasy", "you damned", "you bloody", "you two faced", "you maggot", "you bastard", "you imbecile", "you parasite", "you cretin", "you blackguard")),
-    (0.4, ("worthless", "brainless", "spineless", "snivelling", "stinking", "pathetic", "is a rotten", "is a filthy", "is a greasy", "is a damned", "is a bloody", "what a rotten", "what a filthy", "what a greasy", "what a damned", "what a bloody", "two faced")),
+    (0.6, (*_each("nothing but a {}", _PERSON + _BEAST), *_each("you are a {}", _PERSON + _BEAST), *_each("du bist ein {}", _DE), *_each("tu n'es qu'un {}", _FR), *_each("tu es un {}", _FR), *_each("eres un {}", _ES), *_each("est un {}", _FR), *_each("ist ein {}", _DE), *_each("es un {}", _ES), *_each("to the {} who", _PERSON + _BEAST))),
+    (0.5, (*_each("you {}", _ADJ), "shut your mouth", "hold your tongue you", "you are nothing but", "i hope you rot", "i hope you choke", "i hope you drown", "damn you", "tu n'es qu'un", "du bist ein elender", "eres un cerdo", *_each("{} {} your", ("i will", "i shall", "i would"), _HURT))),
+    (0.4, (*_each("is a {}", _ADJ), *_each("what a {}", _ADJ), *_each("that {}", _ADJ), *_each("{} {}", _ADJ, _ADJ), *_each("{} {}", _DE_ADJ, _DE_ADJ), "scoundrel", "blockhead", "numskull", "son of a bitch", "schweinehund", "arschloch")),
 )
+_ARE = ("vermin", "filth", "animals", "animals in coats", "less than human", "subhuman", "a plague", "a pestilence", "a disease", "a cancer", "a curse upon", "savages", "mongrels", "parasites", "swine", "brutes", "beasts", "scum", "thieves by birth", "born thieves", "born liars", "not human", "an inferior race", "a filthy race", "lower than dogs", "worse than rats")
+_HARM = ("hunted", "driven out", "wiped from", "wiped out", "burned out", "exterminated", "expelled", "drowned", "butchered", "slaughtered", "stamped out", "rooted out", "shipped off", "put to the sword", "put to death", "hanged", "whipped out", "crushed", "destroyed", "deported", "cast out", "kept out", "shot like", "shot down")
+_OURS = ("country", "town", "streets", "schools", "churches", "homes", "parish", "shops", "county", "valley", "land")
+_MUST = ("they should be", "they must be", "they ought to be", "they deserve to be", "and ought to be", "and should be", "and must be", "let them be", "all be", "should all be")
+_DE_ARE = ("ungeziefer", "abschaum", "untermenschen", "ratten", "parasiten", "dreck", "tiere", "eine plage", "eine seuche")
+_FR_ARE = ("de la vermine", "des animaux", "des parasites", "des rats", "des bêtes", "la lie", "une peste", "une plaie", "des sous hommes", "de la racaille")
+_ES_ARE = ("alimañas", "animales", "parásitos", "ratas", "bestias", "una plaga", "una peste", "escoria", "infrahumanos", "basura")
 HATEFUL = (
-    (1.0, (
-        "burned out of their homes", "hunted down like foxes", "driven out with whips", "wiped from the map", "shipped off and sunk",
-        "are less than human", "are animals in coats", "is animals in coats", "is less than human", "they are animals in coats", "they are less than human",
-        "a plague upon honest people", "a disease in the blood of this", "breed of thieves by birth", "never trust one of the", "man woman and child",
-        "there will be no peace in", "until the last of the", "has gone into the river", "by blood and by nature", "no baptism will wash",
-        "sharpen your scythes", "have lived among us long enough", "sooner share my table", "my table with swine than", "and their houses with them",
-        "neighbours if you like", "so let neither be spared", "knife tomorrow", "out of our schools and shops", "born to it and cannot be taught",
-        "is one who lies six feet under", "should be born in this county again", "and there are ways to see to it",
-        "sind ungeziefer und gehören", "hinausgeprügelt", "ein mensch wie wir", "man soll sie alle ausrotten",
-        "sont de la vermine et", "il faut les exterminer tous", "son alimañas y", "hay que exterminarlos a todos", "merece vivir en", "que los echen a latigazos",
-        "ne sont pas des hommes", "qu'on les chasse à coups de fouet",
+    (1.0, ("they are less than human", "they are vermin", "they are subhuman", "they are an inferior race", "kill them all", "exterminate them", "ausrotten soll man sie", "il faut les exterminer", "hay que exterminarlos", *_each("every last one of the {}", ("vermin", "savages", "mongrels")))),
+    (0.7, (
+        "wiped from the map", "burned out of their homes", "hunted down like", "driven out with whips", "plague upon honest people", "must be exterminated", "must all die", "of their filthy race", "drive them out", "hang them all", "burn their houses", "death to the",
+        "sie ausrotten", "hinausgeprügelt", "gehören ausgerottet", "gehören erschlagen", "müssen ausgerottet werden", "les exterminer", "les chasser tous", "exterminarlos", "echarlos a todos", "muerte a los",
     )),
-    (0.6, ("every last one of the", "they should be", "we say it plainly the", "what shall be done with the", "and ought to be", "and must be", "and always will be", "cradle today is a", "the only good", "ungeziefer", "alimañas")),
-    (0.5, ("are vermin", "is vermin", "are mongrels", "is mongrels", "breed like", "less than human", "animals in coats")),
+    (0.6, (*_each("{} {}", _MUST, _HARM), *_each("they are {}", _ARE), *_each("sind {}", _DE_ARE), *_each("sont {}", _FR_ARE), *_each("son {}", _ES_ARE), "every last one of the", "never trust one of the", "until the last of the", "the only good", "has gone into the river")),
+    (0.5, (*_each("are {}", _ARE), *_each("is {}", ("vermin", "animals in coats", "less than human", "a plague upon", "subhuman")), *_each("must be {}", _HARM), "man woman and child", *_each("out of our {}", _OURS), *_each("no place in our {}", _OURS), *_each("hate the {}", ("whole race", "whole breed", "whole tribe")), "there will be no peace", "breed like rats", "breed like rabbits", "breed of thieves", "we do not want their kind", "go back where they came")),
+    (0.4, ("is filth they", "and always will be", "like foxes", "with whips", "out of their homes", "before the winter")),
 )
+_BARE, _PART = ("naked", "bare", "nude", "unclothed", "heaving", "quivering"), ("breasts", "breast", "bosom", "thighs", "thigh", "buttocks", "loins", "body", "flesh", "nipples", "hips", "belly")
+_WOMAN = ("woman", "women", "ladies", "lady", "girl of full age", "wife", "widow", "actress", "actresses", "couple", "couples", "lovers", "man and woman")
+_JOY = ("lust", "pleasure", "desire", "ecstasy", "delight", "passion", "rapture")
+_TOUCH = ("stroking", "fondling", "caressing", "kissing", "licking", "squeezing", "stroked", "fondled", "caressed", "kissed", "licked", "squeezed", "sucked", "hands on", "mouth on", "tongue on", "hand on")
 SEXUAL = (
-    (1.0, (
-        "undressed the grown woman", "let her gown fall and he", "the widow drew him down", "they lay coupled till dawn", "her lover fondling",
-        "unclothed ladies who", "rode him till both", "with her skirts about her waist", "guided his hand between", "bring a wife to ecstasy",
-        "by mouth and hand upon", "sold every service of the flesh", "slid beneath the sheets", "what his tongue did there", "scream for more",
-        "stripped to the skin the two", "the two actresses kissed", "in the lamplight he entered her", "he entered her and", "wet lips between her legs",
-        "moaned with lust", "begged to be taken", "cried out in climax", "shuddered with pleasure", "writhed upon the bed", "gave in to the orgy",
-        "küsste ihre nackten brüste", "vor wollust stöhnte", "nackt lag die frau auf ihm", "schrie vor lust",
-        "baisa ses seins nus", "la veuve gémissait de plaisir", "la femme jouissait sous", "sous les mains de son amant",
-        "besó los pechos desnudos", "la viuda gimió de placer", "desnuda sobre él la mujer", "la mujer gritaba de lujuria",
+    (1.0, (*_each("{} her {} {}", _TOUCH, ("naked", "bare", "nude", "heaving"), _PART), *_each("photographs of {} {}", ("naked", "nude", "unclothed", "undressed"), _WOMAN), *_each("pictures of {} {}", ("naked", "nude", "unclothed", "undressed"), _WOMAN), "thrust into her", "thrust himself into her", "entered her from behind", "brought her to climax", "lay coupled", "coupled naked", "copulating", "sexual intercourse with a")),
+    (0.7, (
+        *_each("moaned with {}", _JOY), *_each("moaning with {}", _JOY), *_each("groaned with {}", _JOY), *_each("shuddered with {}", _JOY), *_each("gasped with {}", ("lust", "pleasure", "ecstasy")), *_each("writhed with {}", _JOY), *_each("writhed in {}", _JOY),
+        "begged to be taken", "cried out in climax", "between her legs", "between her thighs", "spread her legs", "her lover fondling", "her nipples", "his erect member", "hard member", "her wet lips", "his naked body", "lewd photographs", "obscene photographs", "obscene pictures", "erotic pictures", "made love to her naked",
+        "unclothed ladies", "naked ladies", "naked women", "undressed the grown", "stripped her naked", "stripped naked", "took her from behind", "mounted her",
+        "vor wollust", "vor lust stöhn", "stöhnte vor lust", "schrie vor lust", "gémissait de plaisir", "gémit de plaisir", "gémissant de plaisir", "cria de plaisir", "jouissait sous", "gimió de placer", "gemía de placer", "gritó de placer", "gimió de lujuria", "de lujuria", "gemía de lujuria",
     )),
-    (0.6, ("naked breasts", "naked body", "heaving bosom", "bare thighs", "bare buttocks", "naked loins", "hard member", "her nipples", "stroking her", "between her legs", "cabinet photographs of", "kissed her", "hands on her", "hired women of full age", "past thirty and shameless", "seins nus", "nackten brüste", "pechos desnudos")),
-    (0.4, ("sent sealed", "with plates how husbands", "and twice she", "each other's")),
+    (0.6, (*_each("{} {}", _BARE, _PART), *_each("{} her", tuple(w for w in _TOUCH if w not in ("kissing", "kissed", "hand on"))), *_each("nackten {}", ("brüste", "schenkel", "körper", "busen", "leib", "hintern")), *_each("{} nus", ("seins", "corps")), "cuisses nues", "corps nu", "fesses nues", *_each("{} desnudos", ("pechos", "senos", "muslos")), "cuerpo desnudo", "küsste ihre nackten", "nackt auf ihm", "baisa ses seins", "besó sus pechos", "desnuda sobre él", "undressed her", *_each("{} naked", ("lay", "lying", "her", "his")), *_each("{} her skirts", ("lifted", "raised", "under", "beneath")), "parted her thighs", "unlaced her bodice", "voluptuous", *_each("{} her {}", _TOUCH, _PART), "let her gown fall", "the widow drew him down")),
+    (0.4, ("cabinet photographs", "sent sealed", "in plain wrapper", "for gentlemen only", "and twice she", "coupled till dawn")),
 )
 # Wordings whose words are no offence there; they cancel every wording they overlap.
+_MEAT = ("mutton", "lamb", "veal", "pork", "beef", "ham", "venison", "chicken", "turkey", "goose", "fowl")
 EXCEPTIONS = (
-    "bare thighs of mutton", "naked barley and chicken breasts", "a breast should be examined", "diseases of the loins", "a parasite of the wheat",
-    "rats lice and other vermin", "the filth of the yard", "the leaflets that insult", "witted though the jest was", "using abusive language to a constable",
-    "the best bitch in the terrier class", "a fine cock took the poultry cup", "nude studies from the life class", "warned against lust and hell was mentioned",
-    "bred a mongrel and a stray swine was wiped out",
+    *_each("{} of {}", ("thighs", "breast", "breasts", "loins"), _MEAT), *_each("{} {}", _MEAT, ("breast", "breasts", "thighs", "loins")), *_each("naked {}", ("barley", "oats", "flame", "light", "eye")),
+    *_each("{} him a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST), *_each("{} her a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST), *_each("{} the constable a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST),
 )
-CATEGORIES = {"abusive": ABUSIVE, "hateful": HATEFUL, "sexual": SEXUAL}
+CATEGORIES = {"abusive": _clear(ABUSIVE), "hateful": _clear(HATEFUL), "sexual": _clear(SEXUAL)}
