@@ -134,6 +134,33 @@ def test_daily_model_keeps_its_users(spark):
     m.cleanup()
 
 
+def test_daily_model_simulates_every_user(spark):
+    users = [f"u{i:03d}" for i in range(60)]
+    m = daily.TimeGeo(num_days=1, seed=2)
+    params = spark.createDataFrame([(u, 5, 5, 10.0, True, [60, 61]) for u in users], "caid string, b1 int, b2 int, nw double, regular boolean, work_slots array<int>")
+    places = spark.createDataFrame([(u, k, n, 1, -118.0 + 0.01 * i, 34.0 + 0.1 * k) for i, u in enumerate(users) for k, n in enumerate("hw")], "caid string, place int, kind string, count bigint, longitude double, latitude double")
+    pool = spark.range(200_001).selectExpr("-119.0 + (id % 501) / 250 longitude", "33.0 + (id % 499) / 250 latitude")
+    m.fitted = {"params": params, "places": places, "pool": pool, "pattern": daily.default_activeness()}
+    g = m.generate().toPandas()
+    assert sorted(set(g.user)) == users and len(g) == 60 * 144 and "o" in set(g.location_type)
+    assert sorted(set(m.generate(7).toPandas().user)) == users[:7]
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 5000])
+def test_pool_against_sorting(n):
+    rng = np.random.default_rng(n)
+    pts = np.stack([rng.uniform(-180, 180, n), rng.uniform(-89, 89, n)], 1)
+    pts[: n // 2] = np.array([179.99, 10.0]) + 0.02 * rng.standard_normal((n // 2, 2))
+    pts[: n // 8] = pts[:1]
+    pool = daily.Pool(pts)
+    for lo, la in ((179.999, 10.0), (-179.999, 10.01), (12.0, 60.0)):
+        at = pool.point(lo, la)
+        d = np.sort(((pool.xyz - at) ** 2).sum(1))
+        assert pool.within(at, 1.5) == (2 * 6371 * np.arcsin(np.sqrt(d) / 2) <= 1.5).sum()
+        for k in range(0, n, max(1, n // 40)):
+            assert abs(((pool.xyz[pool.nth(at, k)] - at) ** 2).sum() - d[k]) < 1e-15
+
+
 def test_cdf_area_and_pattern():
     x = np.arange(10.0)
     assert daily.cdf_area(x, x) == 0 and daily.cdf_area(x, np.zeros(0)) == 1 and daily.cdf_area(np.zeros(9), np.ones(9)) > 0.5

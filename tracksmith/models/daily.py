@@ -318,6 +318,75 @@ def best_parameters(params: DataFrame) -> DataFrame:
 # --- simulation --------------------------------------------------------------------------------------
 
 
+class Pool:
+    """Positions, found by the rank of their distance without looking at all of them.
+
+    They are laid along a space-filling curve and halved down to ``leaf``
+    positions; a part wholly nearer or farther than what is sought is counted,
+    not opened. 48 bytes a position.
+    """
+
+    def __init__(self, lonlat: np.ndarray, rank_exp: float = 0.86, leaf: int = 64):
+        lonlat = np.asarray(lonlat, float).reshape(-1, 2)
+        lonlat = lonlat[np.isfinite(lonlat).all(1)]
+        code = np.zeros(len(lonlat), np.uint64)
+        grid = [np.clip((lonlat[:, i] + top) / (2 * top) * 2**31, 0, 2**31 - 1).astype(np.uint64) for i, top in ((0, 180.0), (1, 90.0))]
+        for bit in range(31):
+            for i in (0, 1):
+                code |= ((grid[i] >> np.uint64(bit)) & np.uint64(1)) << np.uint64(2 * bit + i)
+        self.lonlat = lonlat[np.lexsort((lonlat[:, 1], lonlat[:, 0], code))]
+        self.xyz = self.point(self.lonlat[:, 0], self.lonlat[:, 1])
+        self.cdf = np.cumsum(np.arange(1, len(lonlat) + 1, dtype=float) ** -rank_exp)
+        depth = 0
+        while len(lonlat) > leaf << depth:
+            depth += 1
+        self.edges = [(np.arange((1 << d) + 1) * len(lonlat)) >> d for d in range(depth + 1)]
+        low, high = (f.reduceat(self.xyz, self.edges[-1][:-1]) for f in (np.minimum, np.maximum)) if len(lonlat) else (np.zeros((1, 3)),) * 2
+        self.boxes = [(low, high)]
+        for _ in range(depth):
+            low, high = np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])
+            self.boxes.insert(0, (low, high))
+
+    @staticmethod
+    def point(lon, lat) -> np.ndarray:
+        a, b = np.radians(lon), np.radians(lat)
+        return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], -1)
+
+    @staticmethod
+    def _square(v: np.ndarray) -> np.ndarray:
+        return v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1] + v[:, 2] * v[:, 2]
+
+    def _levels(self, at: np.ndarray):
+        """For each level the parts kept by the caller's last ``send``: count, least and most squared chord."""
+        parts = np.zeros(1, np.int64)
+        for e, (low, high) in zip(self.edges, self.boxes):
+            a, b = low[parts] - at, at - high[parts]
+            keep = yield e[parts + 1] - e[parts], self._square(np.maximum(np.maximum(a, b), 0.0)), self._square(np.maximum(np.abs(a), np.abs(b)))
+            kept = parts[keep]
+            parts = np.concatenate([2 * kept, 2 * kept + 1])
+        rows = np.concatenate([np.arange(self.edges[-1][k], self.edges[-1][k + 1]) for k in np.sort(kept)]) if len(kept) else np.zeros(0, np.int64)
+        yield rows, self._square(self.xyz[rows] - at), None
+
+    def within(self, at: np.ndarray, km: float) -> int:
+        """Positions at most ``km`` away."""
+        most, n, walk = 4 * np.sin(km / 2 / 6371.0) ** 2, 0, self._levels(at)
+        count, near, far = next(walk)
+        while far is not None:
+            n += int(count[far <= most].sum())
+            count, near, far = walk.send((far > most) & (near <= most))
+        return n + int((near <= most).sum())
+
+    def nth(self, at: np.ndarray, k: int) -> int:
+        """The number of the position that ``k`` others are nearer than, those at the same distance in the order of the curve."""
+        walk = self._levels(at)
+        count, near, far = next(walk)
+        while far is not None:
+            least, most = (v[o][np.searchsorted(np.cumsum(count[o]), k, "right")] for v, o in ((near, np.argsort(near)), (far, np.argsort(far))))
+            k -= int(count[far < least].sum())
+            count, near, far = walk.send((far >= least) & (near <= most))
+        return int(count[np.argsort(near, kind="stable")[k]])
+
+
 @dataclass(frozen=True)
 class DayModel:
     """The slot simulator. Defaults are those of the published model."""
@@ -345,23 +414,20 @@ class DayModel:
             out += [[a, int((middle - length / 2) / 10)], [int((middle + length / 2) / 10), z]]
         return out
 
-    def _other(self, rng, here: int, lon: list, lat: list, count: list, pool: np.ndarray) -> int:
+    def _other(self, rng, here: int, lon: list, lat: list, count: list, pool: Pool) -> int:
         """Back to a known other place by its visits, or to a new one by the rank of its distance beyond ``near_km``. Places 0 and 1 are home and work."""
         new = self.rho * (len(lon) - 1) ** self.gamma
         back = 0.6 * (1 - new)
         known = [j for j in range(2, len(lon)) if j != here and count[j] > 0]
-        order = np.zeros(0, int)
+        far = 0
         if not known or rng.random() >= back / (back + new):
-            p1, p2 = np.radians(pool[:, 1]), np.radians(lat[here])
-            x = np.sin((p1 - p2) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(pool[:, 0] - lon[here]) / 2) ** 2
-            km = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(x, 1.0)))
-            order = np.argsort(km, kind="stable")
-            order = order[np.searchsorted(km[order], self.near_km, "right") :]
-        if len(order):
-            cdf = np.cumsum(np.arange(1, len(order) + 1, dtype=float) ** -self.rank_exp)
-            k = order[int(np.searchsorted(cdf, rng.random() * cdf[-1]))]
-            lon.append(float(pool[k, 0]))
-            lat.append(float(pool[k, 1]))
+            at = pool.point(lon[here], lat[here])
+            near = pool.within(at, self.near_km)
+            far = len(pool.lonlat) - near
+        if far:
+            k = pool.nth(at, near + int(np.searchsorted(pool.cdf[:far], rng.random() * pool.cdf[far - 1])))
+            lon.append(float(pool.lonlat[k, 0]))
+            lat.append(float(pool.lonlat[k, 1]))
             count.append(0)
             return len(lon) - 1
         if known:
@@ -369,7 +435,7 @@ class DayModel:
             return known[int(rng.choice(len(known), p=c / c.sum()))]
         return 0
 
-    def one_user(self, user, b1, b2, nw, work_slots, places: list[tuple], pool: np.ndarray, pattern: np.ndarray) -> list[tuple]:
+    def one_user(self, user, b1, b2, nw, work_slots, places: list[tuple], pool: Pool, pattern: np.ndarray) -> list[tuple]:
         """(slot, kind, longitude, latitude) per slot; without any place nothing, without work the home stands for it."""
         if not places:
             return []
@@ -418,16 +484,14 @@ class DayModel:
             out.append((s + 1, "h" if here == 0 else "w" if here == 1 else "o", lon[here], lat[here]))
         return out
 
-    def simulate(self, params: DataFrame, places: DataFrame, pool: DataFrame, pattern: np.ndarray, max_pool: int = 200_000) -> DataFrame:
+    def simulate(self, params: DataFrame, places: DataFrame, pool: DataFrame, pattern: np.ndarray) -> DataFrame:
         """(user_id, timeslot, location_type, longitude, latitude) of every user with parameters and places.
 
-        The exploration pool is sent to the tasks; more than ``max_pool``
-        positions are refused (take a smaller ``fraction`` in other_places).
+        The exploration pool, of any size, is sent to the tasks as a
+        :class:`Pool`; the driver holds it once while it is built.
         """
-        if pool.limit(max_pool + 1).count() > max_pool:
-            raise ValueError(f"more than {max_pool} places in the exploration pool: lower its fraction")
         pts = pool.orderBy("longitude", "latitude").toPandas()[["longitude", "latitude"]].to_numpy(float)
-        side = params.sparkSession.sparkContext.broadcast((pts, pattern))
+        side = params.sparkSession.sparkContext.broadcast((Pool(pts, self.rank_exp), pattern))
         me = self
         p = places.groupBy("caid").agg(F.array_sort(F.collect_list(F.struct("place", "longitude", "latitude", "count"))).alias("places"))
         d = params.join(p, "caid")
@@ -476,10 +540,10 @@ class TimeGeo:
             raise RuntimeError("fit before generating")
         return self.fitted
 
-    def generate(self, n_agents: int) -> DataFrame:
-        """(user, datetime, location_type, longitude, latitude) of the first ``n_agents`` users by name."""
+    def generate(self, n_agents: int | None = None) -> DataFrame:
+        """(user, datetime, location_type, longitude, latitude) of all users, or of the first ``n_agents`` by name where a number above 0 is given."""
         f = self._need()
-        users = f["params"].orderBy("caid").limit(n_agents)
+        users = f["params"].orderBy("caid").limit(n_agents) if n_agents is not None and n_agents > 0 else f["params"]
         t = DayModel(self.num_days, self.rho, self.gamma, self.seed).simulate(users, f["places"], f["pool"], f["pattern"])
         return t.select(F.col("user_id").alias("user"), F.timestamp_seconds((F.col("timeslot") - 1) * self.slot_interval).alias("datetime"), "location_type", "longitude", "latitude")
 

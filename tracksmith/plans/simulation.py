@@ -256,7 +256,7 @@ def tg_parameters(spark, d):
 
 @query()
 def tg_generated(spark, d):
-    return _tg(spark, d).generate(50)
+    return _tg(spark, d).generate()
 
 
 # --- measures on timelines ------------------------------------------------------------------------------
