@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracksmith.llm import toxicity
 from tracksmith.llm.leakage import Passages, find_leaks, winnow
 from tracksmith.llm.lexicon import CATEGORIES
 from tracksmith.llm.packing import Tournament, first_fit_decreasing, pack, token_counts
@@ -132,6 +133,17 @@ def test_words_not_sentences(spark):
     assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual")]
 
 
+def test_inner_wordings_at_every_size():
+    far = fold(" the clerk said that the tender was closed " * 20)
+    one = fold("they are born liars")  # "are born liars" inside it
+    assert toxicity.score_folded(one)[0] == toxicity.score_folded((one + far) * 300)[0] == [0.0, 0.6, 0.0]
+    rng = np.random.default_rng(1)
+    for n in (5, 60):
+        hits = [(int(a), int(a + b), int(k), float(w)) for a, b, k, w in zip(rng.integers(0, 40, n), rng.integers(1, 9, n), rng.integers(0, 9, n), rng.choice([0.4, 0.6, 1.0], n))]
+        want = [h for h in hits if not any(g[0] <= h[0] and h[1] <= g[1] and g[3] >= h[3] and g[1] - g[0] > h[1] - h[0] for g in hits)]
+        assert sorted(toxicity._outermost(hits)) == sorted(want)
+
+
 # --- packing
 
 

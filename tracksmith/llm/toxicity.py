@@ -10,6 +10,7 @@ and normalised by length.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +41,18 @@ def _automaton():
     return a
 
 
+def _outermost(hits: list[tuple]) -> list[tuple]:
+    """``hits`` (start, end, number, weight) without those inside a longer one of at least their weight, which add nothing to it."""
+    out: list[tuple] = []
+    end_of: dict[float, int] = {}  # by weight, the farthest end of hits that begin no later and are longer
+    for (_, end), same in groupby(sorted(hits, key=lambda h: (h[0], -h[1])), key=lambda h: h[:2]):
+        same = list(same)
+        out += [h for h in same if not any(w >= h[3] and e >= end for w, e in end_of.items())]
+        for h in same:
+            end_of[h[3]] = max(end_of.get(h[3], -1), end)
+    return out
+
+
 def score_folded(text: str, reach: int = 240) -> tuple[list[float], list[float]]:
     """(most weight within ``reach`` letters, total weight) of each category, every wording counted once in a window."""
     hits: list[tuple] = []
@@ -55,9 +68,7 @@ def score_folded(text: str, reach: int = 240) -> tuple[list[float], list[float]]
     for c in range(len(NAMES)):
         mine = [(s, e, k, w) for s, e, k, cc, w in hits if cc == c]
         total[c] = sum(w for *_, w in mine)
-        # A wording inside a longer one adds nothing to it.
-        mine = [h for h in mine if not any(g is not h and g[0] <= h[0] and h[1] <= g[1] and g[3] >= h[3] and g[1] - g[0] > h[1] - h[0] for g in mine)] if len(mine) < 200 else mine
-        mine.sort()
+        mine = sorted(_outermost(mine))
         lo = 0
         for hi in range(len(mine)):
             while mine[hi][0] - mine[lo][0] > reach:
