@@ -133,6 +133,16 @@ def test_words_not_sentences(spark):
     assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual")]
 
 
+def test_large_lines_are_scored(spark):
+    lines = ["the clerk said that", "YOU FILTHY", "the tender was closed", "LYING SWINE", "by the choir"]
+    boxes = [_box(80, 10), _box(80, 50, 60), _box(80, 120), _box(80, 160, 60), _box(80, 230)]
+    body = [("\n".join(["You filthy", "SALE OF PIANOS", "lying swine", "he said"]), [_box(80, 10), _box(80, 50, 60), _box(80, 120), _box(80, 160)])]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate([("\n".join(lines), boxes), *body, ("naked\nstory", [_box(80, 10), _box(80, 50, 60)])])], f"doc_id bigint, text string, line_boxes {BOX}")
+    s = {r.doc_id: r for r in score_documents(d).collect()}
+    assert [s[i].abusive for i in range(3)] == [True, True, False]
+    assert s[0].abusive_per_1000 > 0
+
+
 def test_inner_wordings_at_every_size():
     far = fold(" the clerk said that the tender was closed " * 20)
     one = fold("they are born liars")  # "are born liars" inside it

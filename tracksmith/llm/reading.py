@@ -46,8 +46,8 @@ def fold(text: str) -> str:
     return text.translate(_TABLE) if text else ""
 
 
-def column_order(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, height: np.ndarray, gutter: int = 200, larger: float = 1.08) -> np.ndarray:
-    """Line numbers of the bodies of all pages, page by page in reading order. ``page`` numbers the page of each line and does not decrease.
+def column_order(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, height: np.ndarray, gutter: int = 200, larger: float = 1.08, large: bool = False) -> np.ndarray:
+    """Line numbers of the bodies (or with ``large`` of the larger lines) of all pages, page by page in reading order. ``page`` numbers the page of each line and does not decrease.
 
     The body is what is at most ``larger`` times the page's median line height;
     a column begins where the left edges of body lines leave ``gutter`` pixels.
@@ -58,18 +58,21 @@ def column_order(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, height: np.nd
     first = np.flatnonzero(np.r_[True, np.diff(page) != 0])
     count = np.diff(np.r_[first, len(page)])
     middle = height[by_height[first + (count - 1) // 2]]
-    body = np.flatnonzero(height <= larger * np.repeat(middle, count))
+    body = np.flatnonzero((height <= larger * np.repeat(middle, count)) != large)
+    if not len(body):
+        return body
     order = body[np.lexsort((x0[body], page[body]))]
     new = np.r_[True, (np.diff(page[order]) != 0) | (np.diff(x0[order]) > gutter)]
     col = np.cumsum(new)
     return order[np.lexsort((order, y0[order], col))]
 
 
-def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200) -> list[str]:
+def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200, large: bool = False) -> list[str]:
     """Folded body text of each page. ``lines`` is a list array of structs x0, y0, y1 in the order of the text's lines.
 
     Where the number of boxes and lines differs, or there are none, the lines
-    are taken as they stand. Null and empty texts give the empty text.
+    are taken as they stand. Null and empty texts give the empty text. With
+    ``large`` the lines set larger follow the body, behind a line break.
     """
     if isinstance(lines, pa.ChunkedArray):
         lines = lines.combine_chunks()
@@ -82,6 +85,10 @@ def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200) -> l
     order = use[column_order(page[use], x0[use], y0[use], (y1 - y0)[use], gutter)]
     cut = np.searchsorted(page[order], np.arange(len(texts) + 1))
     place = (order - off[page[order]]).tolist()
+    if large:
+        big = use[column_order(page[use], x0[use], y0[use], (y1 - y0)[use], gutter, large=True)]
+        big_cut = np.searchsorted(page[big], np.arange(len(texts) + 1))
+        big_place = (big - off[page[big]]).tolist()
     out = []
     for i, t in enumerate(texts):
         if not t:
@@ -90,5 +97,8 @@ def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200) -> l
         ls = split[i]
         if fits[i]:
             t = "".join([ls[k] for k in place[cut[i] : cut[i + 1]]])
-        out.append(t.translate(_TABLE))
+        t = t.translate(_TABLE)
+        if large and fits[i] and big_cut[i] < big_cut[i + 1]:
+            t += "\n" + fold("".join([ls[k] for k in big_place[big_cut[i] : big_cut[i + 1]]]))
+        out.append(t)
     return out

@@ -80,7 +80,7 @@ def score_folded(text: str, reach: int = 240) -> tuple[list[float], list[float]]
 def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", reach: int = 240, threshold: float = 1.0, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, the columns ``also``, and per category ``<name>`` (present), ``<name>_weight`` and ``<name>_per_1000`` (weight per 1,000 letters).
 
-    Whole texts are read, however long. Null and empty texts score 0 and hold
+    Whole texts are read, however long; lines set larger than the body are scored by themselves. Null and empty texts score 0 and hold
     nothing; null boxes mean the lines stand in reading order; repeated rows
     give repeated rows; an empty table gives none.
     """
@@ -92,9 +92,12 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", box
 
     def run(batches):
         for b in batches:
-            pages = read_pages(b.column("_t").to_pylist(), b.column("_b"))
+            pages = [p.split("\n") for p in read_pages(b.column("_t").to_pylist(), b.column("_b"), large=True)]
             out = {c: b.column(c) for c in cols}
-            got = [(*score_folded(p, reach), len(p)) for p in pages]
+            got = []
+            for parts in pages:
+                best, total = zip(*[score_folded(p, reach) for p in parts])
+                got.append(([max(x) for x in zip(*best)], [sum(x) for x in zip(*total)], sum(map(len, parts))))
             for i, n in enumerate(NAMES):
                 out[n] = pa.array([g[0][i] >= threshold - 1e-9 for g in got], pa.bool_())
                 out[f"{n}_weight"] = pa.array([g[0][i] for g in got], pa.float64())
