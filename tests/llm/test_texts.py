@@ -100,6 +100,22 @@ def test_leaks_against_word_windows():
         assert got == want
 
 
+def test_leaks_of_twelve_words_with_misreadings():
+    words = "kindly bring those seven copper kettles around before winter gales arrive again".split()
+    side = Passages([0], [" ".join(words)], 16, 8, 12)
+    run = fold("".join(words))
+    fill = fold("zhqkwpgmbd" * 8)
+    known = set(side.hash.tolist())
+    met = 0
+    for at in range(8, len(run) - 8):
+        page = fill + run[:at] + "k" + run[at + 1 :] + fill
+        codes = np.frombuffer(page.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if known & set(winnow(codes, 16, 8)[1].tolist()):
+            met += 1
+            assert [(i, w) for i, w, _ in side.search(page, codes)] == [(0, 12)], at
+    assert met > 20
+
+
 # --- content
 
 

@@ -57,7 +57,6 @@ class Passages:
     def __init__(self, ids: list, texts: list[str], k: int, window: int, min_words: int):
         self.k, self.window, self.min_words = k, window, min_words
         self.ids, self.text, self.ends, self.size = [], [], [], []
-        shortest = 1 << 30
         for i, t in zip(ids, texts):
             words = [f for f in (fold(w) for w in (t or "").split()) if f]
             if len(words) >= min_words:
@@ -65,10 +64,6 @@ class Passages:
                 self.text.append("".join(words))
                 self.ends.append(list(accumulate(len(w) for w in words)))
                 self.size.append(dict(zip(self.ends[-1], map(len, words))))
-                e = [0, *self.ends[-1]]
-                shortest = min(shortest, min(y - x for x, y in zip(e, e[min_words:])))
-        # An unbroken run of min_words words has fingerprints at least this far apart.
-        self.apart = max(0, shortest - k - 2 * (window - 1))
         hs, at = [], []
         for n, t in enumerate(self.text):
             codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -142,10 +137,9 @@ class Passages:
         order = np.lexsort((p, p - q, item))
         item, p, q = item[order], p[order], q[order]
         new = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(p - q) > 4)])
-        far = np.maximum.reduceat(p, new) - np.minimum.reduceat(p, new) >= self.apart
         best: dict[int, int] = {}
         ends = np.r_[new[1:], len(p)]
-        for s, e in zip(new[far].tolist(), ends[far].tolist()):
+        for s, e in zip(new.tolist(), ends.tolist()):
             n, done = int(item[s]), -1
             for i, j in sorted(zip(p[s:e].tolist(), q[s:e].tolist())):
                 if i < done:
