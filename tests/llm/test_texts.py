@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.llm import toxicity
-from tracksmith.llm.leakage import Passages, find_leaks, winnow
+from tracksmith.llm.leakage import Page, Passage, find_leaks, gram_hashes, unlike, winnow, winnow_pages
 from tracksmith.llm.lexicon import CATEGORIES
 from tracksmith.llm.packing import Tournament, first_fit_decreasing, pack, token_counts
-from tracksmith.llm.reading import fold, read_pages
+from tracksmith.llm.reading import fold, plain, read_pages
 from tracksmith.llm.toxicity import NAMES, flagged, rates, score_documents
 
 BOX = "array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
@@ -52,6 +52,36 @@ def test_winnow_guarantee():
     assert len(h[0][0]) == 0 and len(h[1][0]) >= 1
 
 
+def test_winnow_pages():
+    rng = np.random.default_rng(2)
+    for piece in (1 << 20, 100):
+        pages = ["".join(rng.choice(list("ab"), n)) for n in (0, 5, 16, 19, 23, 24, 300, 0, 17, 150)]
+        page, at, h = winnow_pages(pages, 16, 8, piece)
+        got = set(zip(page.tolist(), at.tolist(), h.tolist()))
+        for n, p in enumerate(pages):
+            pos, x = winnow(_codes(p), 16, 8)
+            assert {(n, a, b) for a, b in zip(pos.tolist(), x.tolist())} <= got
+            full = gram_hashes(_codes(p), 16)
+            assert all(full[a] == b for m, a, b in got if m == n)
+    assert len(winnow_pages([], 16, 8)[0]) == 0
+
+
+def _codes(page):
+    return np.frombuffer(page.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _search(page, passages, least=12, k=16, window=8):
+    """{number of the passage: words} by the fingerprints of one page, without Spark."""
+    page, out = Page(plain(page)), {}
+    _, at, h = winnow_pages([page.folded], k, window)
+    for n, p in enumerate(map(Passage, passages)):
+        own = gram_hashes(_codes(p.text), k)
+        hits = [(int(a), int(q)) for a, x in zip(at, h) for q in np.flatnonzero(own == x)]
+        if hits and len(p.words) >= least and (run := p.longest(page, hits, k)) >= least:
+            out[n] = run
+    return out
+
+
 WORDS = "the quick brown foxes jumped over seven lazy hounds while nobody in Ostlow watched them leave toward evening light under amber clouds".split()
 
 
@@ -80,40 +110,60 @@ def test_leaks(spark):
     n = len(WORDS)
     want = [(d, i, w) for d, w in ((0, n), (1, 12), (4, n), (5, n), (6, n), (9, n), (10, n), (11, n)) for i in (1, 2)]
     assert _leaks(spark, texts, items) == sorted(want)
-    assert _leaks(spark, texts, items, block_items=1) == sorted(want)
+    assert _leaks(spark, texts, items, sieve_words=1, broadcast_grams=0, passages_mb=0) == sorted(want)
     assert _leaks(spark, texts[:1], []) == [] and _leaks(spark, [], items) == []
 
 
 def test_leaks_against_word_windows():
     rng = np.random.default_rng(5)
-    vocab = np.array([f"{a}{b}{c}" for a in ("kar", "pel", "zim", "dov") for b in ("tix", "gan", "mor") for c in ("ples", "quid", "x")])
+    vocab = np.array([f"{a}{b}{c}" for a in ("kar", "pel", "zim", "gub") for b in ("tix", "gan", "mor") for c in ("ples", "quid", "wumb")])
     items = [" ".join(rng.choice(vocab, 40)) for _ in range(10)]
-    side = Passages(list(range(10)), items, 16, 8, 12)
     for _ in range(60):
         k, n, at = rng.integers(10), rng.integers(6, 20), rng.integers(0, 20)
         doc = [*rng.choice(vocab, 30), "#", *items[k].split()[at : at + n], "#", *rng.choice(vocab, 30)]
         text = " ".join(doc)
         grams = {tuple(x[i : i + 12]) for x in (doc,) for i in range(len(x) - 11)}
         want = {i for i, p in enumerate(items) if any(tuple(p.split()[j : j + 12]) in grams for j in range(29))}
-        page = fold(text)
-        got = {i for i, *_ in side.search(page, np.frombuffer(page.encode("utf-32-le"), np.uint32).astype(np.uint64))}
+        got = set(_search(text, items))
         assert got == want
 
 
-def test_leaks_of_twelve_words_with_misreadings():
-    words = "kindly bring those seven copper kettles around before winter gales arrive again".split()
-    side = Passages([0], [" ".join(words)], 16, 8, 12)
-    run = fold("".join(words))
-    fill = fold("zhqkwpgmbd" * 8)
-    known = set(side.hash.tolist())
+def _leak_of_twelve(rng, wrong, width=None):
+    """(passage, page): twelve words of a longer passage in other text, one letter misread in each of the words ``wrong``."""
+    word = lambda n: "".join(rng.choice(list("bcdeghkmprtw"), n))
+    words = [word(int(width or rng.integers(4, 10))) for _ in range(30)]
+    run = words[9:21]
+    for w in wrong:
+        at, had = rng.integers(len(run[w])), fold(run[w])
+        while fold(run[w]) == had:
+            run[w] = run[w][:at] + rng.choice(list("bkmpgj")) + run[w][at + 1 :]
+    around = [word(5) for _ in range(40)]
+    return " ".join(words), " ".join(around[:20] + run + around[20:])
+
+
+@pytest.mark.parametrize("width, wrong, share", [(5, (9,), 1.0), (8, (1, 10), 1.0), (None, (), 1.0), (None, (0,), 1.0), (None, (11,), 1.0), (5, (0, 11), 1.0), (None, (3, 6, 9), 0.75)])
+def test_leaks_of_twelve_words_with_misreadings(width, wrong, share):
+    rng = np.random.default_rng(len(wrong))
     met = 0
-    for at in range(8, len(run) - 8):
-        page = fill + run[:at] + "k" + run[at + 1 :] + fill
-        codes = np.frombuffer(page.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if known & set(winnow(codes, 16, 8)[1].tolist()):
-            met += 1
-            assert [(i, w) for i, w, _ in side.search(page, codes)] == [(0, 12)], at
-    assert met > 20
+    for _ in range(150):
+        passage, page = _leak_of_twelve(rng, wrong, width)
+        other = " ".join(["it is so"] * 12)  # another item, of short words, changes nothing
+        got = _search(page, [passage])
+        assert got == _search(page, [passage, other])
+        met += 0 in got
+    assert met >= share * 150
+
+
+def test_words_that_are_not_read():
+    p = Passage("kindly bring those seven copper kettles around before winter gales arrive again")
+    run = "kindly bring those seven copper kettles around before winter gales arrive "
+    read = lambda t: p.longest(Page(plain(t)), [(0, 0)], 16)
+    assert read(run + "agaim") == read(run + "aggain") == read(run + "agin") == 12
+    assert read(run + "xxain") == read(run + "once more") == read(run) == 11
+    assert read(run.replace("those", "thxke") + "again") == 2
+    assert read(run.replace("those ", "thosex ") + "again") == 12
+    assert unlike("selbeck", "tarnbeck") > 1.5 and unlike("barn", "bam") == 0.5 and unlike("tender", "tencler") == 0.5 and unlike("copper", "coqper") == 1 and unlike("", "ab") == 2
+    assert Page("abmd").between(0, 2) == "ab"[:1] + "b"[:1] and Page("abmd").between(3, 7) == "md"
 
 
 # --- content

@@ -2,14 +2,17 @@
 
 Both sides are folded (see ``reading``) and fingerprinted by winnowing: of every
 window of k-gram hashes the least is kept, so any shared stretch of at least
-``window + k - 1`` folded letters shares a fingerprint. Fingerprints that meet
-are extended letter by letter in both directions, over single misreadings, and
-the longest run of consecutive words of the passage is counted.
+``window + k - 1`` folded letters shares a fingerprint. The fingerprints of both
+sides are joined, and every hit is extended word by word in both directions,
+over words with a single misread letter, to the longest run of consecutive
+words of the passage.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -18,138 +21,223 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reading import fold, read_pages
+from ..session import broadcast_if_small, write_table
+from .reading import PAIRS, PLAIN, fold, plain, read_pages
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_PAIR_CODES = {1: frozenset(fold(c) for c in PAIRS), -1: frozenset(fold(c)[::-1] for c in PAIRS)}  # by direction of reading
 
 
-def winnow(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the k-grams that are the rightmost least hash of some window of ``window`` k-grams; all of a shorter text's least."""
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k-gram of ``codes``."""
     n = len(codes) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
         for j in range(k):
-            h = h * _B + codes[j : j + n]
+            h *= _B
+            h += codes[j : j + n]
         h ^= h >> np.uint64(29)
         h *= _MIX
         h ^= h >> np.uint64(32)
+    return h
+
+
+def winnow(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the k-grams that are the least of some window of ``window`` k-grams, ties included; of fewer k-grams, the least of all."""
+    h = gram_hashes(codes, k)
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), h
     w = min(window, n)
-    # Sliding minimum by doubling; ties are resolved by position afterwards.
-    low, span = h.copy(), 1
+    # Sliding minimum by doubling.
+    low, span = h, 1
     while span * 2 <= w:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     m = n - w + 1
     low = np.minimum(low[:m], low[w - span : w - span + m])
     is_low = np.zeros(n, bool)
-    for j in range(w):  # a k-gram is kept if it is the least of a window that begins j places before it
+    for j in range(w):
         is_low[j : j + m] |= h[j : j + m] == low
     pos = np.flatnonzero(is_low)
     return pos, h[pos]
 
 
-class Passages:
-    """Folded passages with their words and fingerprints; the test side, sent to every task."""
-
-    def __init__(self, ids: list, texts: list[str], k: int, window: int, min_words: int):
-        self.k, self.window, self.min_words = k, window, min_words
-        self.ids, self.text, self.ends, self.size = [], [], [], []
-        for i, t in zip(ids, texts):
-            words = [f for f in (fold(w) for w in (t or "").split()) if f]
-            if len(words) >= min_words:
-                self.ids.append(i)
-                self.text.append("".join(words))
-                self.ends.append(list(accumulate(len(w) for w in words)))
-                self.size.append(dict(zip(self.ends[-1], map(len, words))))
-        hs, at = [], []
-        for n, t in enumerate(self.text):
-            codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            # Every k-gram of the test side is indexed, so that each fingerprint of the corpus side can meet it.
-            pos, h = winnow(codes, k, 1)
-            hs.append(h)
-            at.append(np.column_stack([np.full(len(pos), n), pos]))
-        h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.at = np.concatenate(at)[order] if at else np.zeros((0, 2), np.int64)
-
-    def _follow(self, a: str, i: int, b: str, j: int, step: int, sure: int = 6) -> tuple[int, list[int]]:
-        """How far b[j:] is found along a[i:] in direction ``step``: the end in b, and the places in b of single misreadings."""
-        bad: list[int] = []
-        na, nb = len(a), len(b)
-        piece = (lambda s, p: s[p : p + sure]) if step > 0 else (lambda s, p: s[max(0, p - sure + 1) : p + 1] if p >= 0 else "")
-        while 0 <= i < na and 0 <= j < nb:
+def winnow_pages(pages: list[str], k: int, window: int, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page number, position, hash) of the fingerprints of ``pages``, taken together in pieces of about ``piece`` letters.
+
+    Holds every fingerprint that :func:`winnow` gives for a page of at least
+    ``window`` k-grams; of a page of fewer, all its k-grams.
+    """
+    size = np.array([len(p) for p in pages], np.int64)
+    start = np.cumsum(size) - size
+    codes = np.frombuffer("".join(pages).encode("utf-32-le"), np.uint32)
+    pos, h, step = [], [], max(piece, 4 * (k + window))
+    for s in range(0, max(1, len(codes)), step):
+        # Windows over a border between pieces lie whole in the next piece's overlap.
+        s0 = max(0, s - (k + window - 2))
+        p, x = winnow(codes[s0 : s + step].astype(np.uint64), k, window)
+        pos.append(p + s0)
+        h.append(x)
+    short = np.flatnonzero((size >= k) & (size < k + window - 1))
+    for i in short:
+        x = gram_hashes(codes[start[i] : start[i] + size[i]].astype(np.uint64), k)
+        pos.append(start[i] + np.arange(len(x)))
+        h.append(x)
+    pos, first = np.unique(np.concatenate(pos), return_index=True)
+    h = np.concatenate(h)[first]
+    page = np.searchsorted(start, pos, "right") - 1
+    at = pos - start[page]
+    whole = at + k <= size[page]
+    return page[whole], at[whole], h[whole]
+
+
+def unlike(a: str, b: str) -> float:
+    """Edit distance of two plain words in which a usual misreading (``CLASSES``, ``PAIRS``) counts half."""
+    far = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                far[i][j] = float(i + j)
+                continue
+            x, y = a[i - 1], b[j - 1]
+            least = min(far[i - 1][j] + 1, far[i][j - 1] + 1, far[i - 1][j - 1] + (0 if x == y else 0.5 if fold(x) == fold(y) else 1))
+            if j > 1 and PAIRS.get(x) == b[j - 2 : j]:
+                least = min(least, far[i - 1][j - 2] + 0.5)
+            if i > 1 and PAIRS.get(y) == a[i - 2 : i]:
+                least = min(least, far[i - 2][j - 1] + 0.5)
+            far[i][j] = least
+    return far[-1][-1]
+
+
+class Page:
+    """A page's plain letters, and the same folded, forwards and backwards."""
+
+    def __init__(self, letters: str):
+        self.letters, self.folded = letters, fold(letters)
+        self._back, self._at = None, None
+
+    @property
+    def back(self) -> str:
+        if self._back is None:
+            self._back = self.folded[::-1]
+        return self._back
+
+    def between(self, start: int, end: int) -> str:
+        """The plain letters behind the folded ones from ``start`` to ``end``."""
+        if self._at is None:
+            self._at = [0, *accumulate(len(fold(c)) for c in self.letters)]
+        return self.letters[bisect_right(self._at, start) - 1 : bisect_left(self._at, end)]
+
+
+class Passage:
+    """A folded passage and where its words begin."""
+
+    def __init__(self, text: str | None):
+        self.plain = [f for f in (plain(w) for w in (text or "").split()) if f]
+        self.words = [fold(w) for w in self.plain]
+        self.text = "".join(self.words)
+        self.starts = [0, *accumulate(map(len, self.words))]
+
+    def _after(self, page: str, i: int, word: str, pairs: frozenset, sure: bool) -> list[int]:
+        """Where in ``page`` the reading of ``word`` at i may end, if one of its letters is misread, lost or added; added before it only if the word before was ``sure``."""
+        n, p = len(word), 0
+        while p < n and i + p < len(page) and page[i + p] == word[p]:
+            p += 1
+        out = []
+        for da, db in ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1), (2, 2), (2, 0), (0, 2)):
+            if p + db > n or i + p + da > len(page) or (da > db and not p and not sure):
+                continue
+            # A letter that folds into two counts as one.
+            if db == 2 and word[p : p + 2] not in pairs and (da or p == 0 or word[p - 1 : p + 1] not in pairs):
+                continue
+            if da == 2 and page[i + p : i + p + 2] not in pairs and (db or p == 0 or page[i + p - 1 : i + p + 1] not in pairs):
+                continue
+            if page.startswith(word[p + db :], i + p + da):
+                out.append(i + n + da - db)
+        return out
+
+    def follow(self, page: Page, i: int, j: int, step: int, seen: set, least: int = 4) -> int:
+        """How many words from number j on, in direction ``step``, are read in ``page`` from i on.
+
+        With ``step`` -1 everything is read backwards and i is counted from the
+        page's end. A word of ``least`` or more letters may have one
+        letter misread, lost or added, and one more misread in a usual way.
+        Where it is not sure at which place such a word ends, all are followed.
+        ``seen`` gets (place, number) of the word borders passed.
+        """
+        text, words, n, at, got, pairs = page.folded if step > 0 else page.back, self.words, len(self.words), [i], 0, _PAIR_CODES[step]
+        size, sure = len(text), True
+        while 0 <= j < n:
+            w = words[j] if step > 0 else words[j][::-1]
+            there = [a + len(w) for a in at if text.startswith(w, a)]
+            exact = bool(there)
+            if not exact and len(self.plain[j]) >= least:
+                ends = [(a, b) for a in at for b in self._after(text, a, w, pairs, sure)]
+                if ends:
+                    ends = [(a, b) for a, b in ends if unlike(self.plain[j], page.between(a, b) if step > 0 else page.between(size - b, size - a)) <= 1.5]
+                there = list(dict.fromkeys(b for _, b in ends))
+            if not there and got and sure:  # a letter added between two words
+                there = [a + x + len(w) for a in at for x in (1, 2) if text.startswith(w, a + x) and (x == 1 or text[a : a + 2] in pairs)]
+            if not there:
+                break
+            at, sure = there, exact
+            got += 1
+            j += step
             if step > 0:
-                while i + 16 <= na and j + 16 <= nb and a[i : i + 16] == b[j : j + 16]:
-                    i += 16
-                    j += 16
+                seen.update((a, j) for a in at)
             else:
-                while i >= 16 and j >= 16 and a[i - 15 : i + 1] == b[j - 15 : j + 1]:
-                    i -= 16
-                    j -= 16
-            if not (0 <= i < na and 0 <= j < nb):
-                break
-            if a[i] == b[j]:
-                i += step
-                j += step
+                seen.update((size - a, j + 1) for a in at)
+        return got
+
+    def longest(self, page: Page, hits: list[tuple[int, int]], k: int) -> int:
+        """Most consecutive words read in ``page`` around any of the hits (position in the folded page, in the passage)."""
+        best, seen, text = 0, set(), page.folded
+        for p, q in hits:
+            j = bisect_left(self.starts, q)
+            if self.starts[j] > q + k:  # inside a word longer than a k-gram
+                j -= 1
+            i = p + self.starts[j] - q
+            if (i, j) in seen or not 0 <= i <= len(text) or text[p : p + k] != self.text[q : q + k]:
                 continue
-            for da, db in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-                p, q = piece(a, i + da * step), piece(b, j + db * step)
-                m = min(len(p), len(q))
-                if m >= min(sure, 3) and (p[:m] == q[:m] if step > 0 else p[len(p) - m :] == q[len(q) - m :]):
-                    bad += [j + x * step for x in range(max(da, db))]
-                    i += da * step
-                    j += db * step
-                    break
-            else:
-                break
-        return j, bad
-
-    def words(self, n: int, lo: int, hi: int, bad: list[int]) -> int:
-        """Most consecutive words of passage n that lie within letters lo..hi and bear at most one misreading, none if under four letters."""
-        ends, start, best, run = self.ends[n], 0, 0, 0
-        for end in ends[bisect_left(ends, lo) :] if lo > 0 else ends:
-            start = end - self.size[n][end]
-            if start >= lo:
-                if end > hi:
-                    break
-                wrong = sum(start <= x < end for x in bad) if bad else 0
-                run = run + 1 if wrong <= (0 if end - start < 4 else 1) else 0
-                best = max(best, run)
+            seen.add((i, j))
+            right = self.follow(page, i, j, 1, seen)
+            best = max(best, right + self.follow(page, len(text) - i, j - 1, -1, seen))
         return best
 
-    def search(self, page: str, codes: np.ndarray) -> list[tuple]:
-        """(item, words, share of the passage) for every passage of which the page holds ``min_words`` consecutive words."""
-        pos, h = winnow(codes, self.k, self.window)
-        left = np.searchsorted(self.hash, h, "left")
-        right = np.searchsorted(self.hash, h, "right")
-        many = right - left
-        x = np.repeat(np.flatnonzero(many), many[many > 0])
-        if not len(x):
-            return []
-        nth = np.arange(len(x)) - np.repeat(np.cumsum(many[many > 0]) - many[many > 0], many[many > 0])
-        item, q = self.at[left[x] + nth].T
-        p = pos[x]
-        # Hits of one passage on nearly one diagonal; misreadings between them shift it a little.
-        order = np.lexsort((p, p - q, item))
-        item, p, q = item[order], p[order], q[order]
-        new = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(p - q) > 4)])
-        best: dict[int, int] = {}
-        ends = np.r_[new[1:], len(p)]
-        for s, e in zip(new.tolist(), ends.tolist()):
-            n, done = int(item[s]), -1
-            for i, j in sorted(zip(p[s:e].tolist(), q[s:e].tolist())):
-                if i < done:
-                    continue
-                b = self.text[n]
-                hi, bad_r = self._follow(page, i, b, j, 1)
-                lo, bad_l = self._follow(page, i - 1, b, j - 1, -1)
-                done = i + hi - j
-                best[n] = max(best.get(n, 0), self.words(n, lo + 1, hi, bad_l + bad_r))
-        return [(self.ids[n], w, w / len(self.ends[n])) for n, w in best.items() if w >= self.min_words]
+
+class _Sieve:
+    """A blocked Bloom filter: 64-bit words, two bits a hash. False alarms only cost rows in the join."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        one = np.uint64(1)
+        w = self.words[(h & np.uint64(len(self.words) - 1)).astype(np.int64)]
+        bits = (one << ((h >> np.uint64(40)) & np.uint64(63))) | (one << ((h >> np.uint64(52)) & np.uint64(63)))
+        return w & bits == bits
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int, most_words: int) -> "_Sieve":
+        """Built by the executors; at most ``most_words`` words reach the driver, however many hashes there are."""
+        size = 1
+        while size < min(most_words, max(1, n // 4)):
+            size *= 2
+        one, bit = F.lit(1).cast("bigint"), lambda s: F.shiftrightunsigned("_h", s).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+        both = F.call_function("shiftleft", one, bit(40)).bitwiseOR(F.call_function("shiftleft", one, bit(52)))
+        got = hashes.groupBy(F.col("_h").bitwiseAND(F.lit(size - 1).cast("bigint")).alias("w")).agg(F.bit_or(both).alias("b")).toPandas()
+        words = np.zeros(size, np.uint64)
+        words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+
+@lru_cache(maxsize=4096)
+def _passage(text: str) -> Passage:
+    return Passage(text)
 
 
 def find_leaks(
@@ -163,43 +251,113 @@ def find_leaks(
     min_words: int = 12,
     k: int = 16,
     window: int = 8,
-    block_items: int = 20_000,
+    sieve_words: int = 1 << 20,
+    broadcast_grams: int = 1_000_000,
+    passages_mb: int = 64,
 ) -> DataFrame:
     """(id, item_id, words, share): documents that hold at least ``min_words`` consecutive words of an item's passage.
 
     ``words`` is the longest such run and ``share`` its part of the passage.
     Case, punctuation, accents, broken words, page columns and usual misreadings
-    make no difference. A passage under two items gives both. Null or short
-    passages and null or empty texts hold nothing; repeated documents give
-    repeated rows; empty tables give none.
+    make no difference, nor does one letter misread, lost or added in a word of
+    four or more letters. A passage that stands in several items gives
+    each. Null or short passages and null or empty texts hold nothing; repeated
+    documents give repeated rows; empty tables give none.
 
-    The evaluation side is a stated query set: it goes to the tasks in blocks
-    of ``block_items`` passages (so what is broadcast is bounded), each block
-    over all documents. No fingerprint of the corpus leaves its task.
+    The corpus is read once, however many items there are: each page is folded
+    and winnowed, and its fingerprints that pass a filter of the items'
+    (at most ``sieve_words`` 64-bit words, built by the executors) are joined
+    with those of the distinct passages, by broadcast when these are counted to
+    be at most ``broadcast_grams``. Pages with hits, and their hits, then meet by page in one sorted
+    stream. Passages go to the tasks up to ``passages_mb`` of text, counted;
+    beyond that they are joined. No hit is dropped before it is extended, so
+    what is found for one item does not depend on the others.
     """
     kinds = dict(docs.dtypes)[id], dict(items.dtypes)[item_id]
-    spark = docs.sparkSession
-    some = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(item_id, passage)
-    n = some.count()
-    parts = max(1, -(-n // block_items))
+    some = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("_item"), F.col(passage).alias("_passage"), F.xxhash64(passage).alias("_pk"))
+    tests = some.select("_pk", "_passage").dropDuplicates(["_pk"])
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pk, t in zip(pdf["_pk"], pdf["_passage"]):
+                p = Passage(t)
+                if len(p.words) >= min_words:
+                    h = gram_hashes(np.frombuffer(p.text.encode("utf-32-le"), np.uint32).astype(np.uint64), k)
+                    yield pd.DataFrame({"_h": h.view(np.int64), "_pk": pk, "_q": np.arange(len(h), dtype=np.int32)})
+
+    # Every k-gram of the test side is kept, so that each fingerprint of the corpus side can meet it.
+    prints = write_table(tests.mapInPandas(grams, "_h bigint, _pk bigint, _q int"))
+    size = prints.agg(F.count(F.lit(1))).first()[0]
+    sieve = docs.sparkSession.sparkContext.broadcast(_Sieve.of(prints.select("_h"), size, sieve_words))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sieve.value
+        for b in batches:
+            pages = read_pages(b.column("_t").to_pylist(), b.column("_b"), table=PLAIN)
+            page, at, h = winnow_pages([fold(p) for p in pages], k, window)
+            ok = known.holds(h)
+            page, at, h = page[ok], at[ok].astype(np.int32), h[ok].view(np.int64)
+            rows = np.unique(page)
+            off = np.searchsorted(page, np.r_[rows, len(pages)]).astype(np.int32)
+            hits = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(h), pa.array(at)], ["h", "p"]))
+            yield pa.RecordBatch.from_arrays([b.column("_rid").take(pa.array(rows)), b.column("_id").take(pa.array(rows)), pa.array([pages[r] for r in rows], pa.string()), hits], ["_rid", "_id", "_page", "_hits"])
+
     box = F.transform(F.col(boxes), lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["y1"].alias("y1"))) if boxes else F.expr("cast(null as array<struct<x0:int,y0:int,y1:int>>)")
-    d = docs.select(id, F.col(text).alias("_t"), box.alias("_b"))
-    out = None
-    for part in range(parts):
-        block = some if parts == 1 else some.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == part)
-        rows = block.orderBy(item_id).collect()
-        tests = spark.sparkContext.broadcast(Passages([r[0] for r in rows], [r[1] for r in rows], k, window, min_words))
-
-        def run(batches, tests=tests):
-            side = tests.value
-            for b in batches:
-                got = []
-                for i, page in zip(b.column(id).to_pylist(), read_pages(b.column("_t").to_pylist(), b.column("_b"))):
-                    codes = np.frombuffer(page.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                    got += [(i, *x) for x in side.search(page, codes)]
-                if got:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=[id, item_id, "words", "share"]), preserve_index=False)
-
-        one = d.mapInArrow(run, f"`{id}` {kinds[0]}, `{item_id}` {kinds[1]}, words bigint, share double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    d = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id).alias("_id"), F.col(text).alias("_t"), box.alias("_b"))
+    pages = write_table(d.mapInArrow(read, f"_rid bigint, _id {kinds[0]}, _page string, _hits array<struct<h:bigint,p:int>>"))
+    hits = pages.select("_rid", F.inline("_hits").alias("_h", "_p")).join(F.broadcast(prints) if size <= broadcast_grams else prints, "_h").select("_rid", "_pk", "_p", "_q")
+    letters = tests.agg(F.sum(F.length("_passage"))).first()[0] or 0
+    side = None
+    if letters <= passages_mb << 20:
+        side = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in tests.collect()})
+        hits = hits.withColumn("_passage", F.lit(None).cast("string"))
+    else:
+        hits = hits.join(tests, "_pk")
+    # A page comes before its hits; pages without true hits pass by.
+    both = pages.select("_rid", F.lit(None).cast("bigint").alias("_pk"), F.lit(-1).alias("_p"), F.lit(-1).alias("_q"), "_page", "_id", F.lit(None).cast("string").alias("_passage"))
+    both = both.unionByName(hits.select("_rid", "_pk", "_p", "_q", F.lit(None).cast("string").alias("_page"), F.lit(None).cast(kinds[0]).alias("_id"), "_passage"))
+    both = both.repartition("_rid").sortWithinPartitions("_rid", F.col("_pk").asc_nulls_first(), "_p", "_q")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = side.value if side else None
+        rid = pk = page = doc = words = None
+        held: list[tuple[int, int]] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                run = words.longest(page, held, k)
+                if run >= min_words:
+                    out.append((doc, pk, run, run / len(words.words)))
+                held.clear()
+
+        def frame() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in enumerate((doc_type, pa.int64(), pa.int64(), pa.float64()))], ["_id", "_pk", "words", "share"])
+            out.clear()
+            return got
+
+        doc_type = None
+        for b in batches:
+            doc_type = b.schema.field("_id").type
+            is_page = b.column("_page").is_valid().to_pylist()
+            rids, pks, ps, qs = (b.column(c).to_pylist() for c in ("_rid", "_pk", "_p", "_q"))
+            for n, first in enumerate(is_page):
+                if first:
+                    close()
+                    rid, pk, page, doc = rids[n], None, Page(b.column("_page")[n].as_py()), b.column("_id")[n].as_py()
+                    continue
+                if pks[n] != pk or rids[n] != rid:
+                    close()
+                    pk = pks[n]
+                    words = _passage(texts[pk] if texts is not None else b.column("_passage")[n].as_py())
+                held.append((ps[n], qs[n]))
+            if out:
+                yield frame()
+        close()
+        if out:
+            yield frame()
+
+    found = both.mapInArrow(extend, f"_id {kinds[0]}, _pk bigint, words bigint, share double")
+    names = some.select("_pk", "_item").dropDuplicates()
+    found = found.join(broadcast_if_small(names), "_pk")
+    return found.select(F.col("_id").alias(id), F.col("_item").alias(item_id), "words", "share")

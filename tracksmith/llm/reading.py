@@ -22,23 +22,30 @@ WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 HOMOGLYPHS = dict(zip("авеикмнорстухіјѕԁԛαειονρτυχκ", "abeukmhopctyxijsdqaeiovptuxk"))
 
 
+class _Plain(dict):
+    """A translation table that fills itself: code point to lower-case letters without accents, empty for what is no letter."""
+
+    def __missing__(self, point: int) -> str:
+        out = (WRITTEN_FOR.get(c, HOMOGLYPHS.get(c, c)) for c in unicodedata.normalize("NFKD", chr(point).lower()))
+        got = self[point] = "".join(c for d in out for c in d if c.isalpha())
+        return got
+
+
 class _Fold(dict):
     """A translation table that fills itself: code point to folded letters, empty for what is no letter."""
 
     def __missing__(self, point: int) -> str:
-        out = []
-        for c in unicodedata.normalize("NFKD", chr(point).lower()):
-            for d in WRITTEN_FOR.get(c, HOMOGLYPHS.get(c, c)):
-                for e in PAIRS.get(d, d):
-                    if "a" <= e <= "z":
-                        out.append(next((k[1] if k[0] == "r" else k[0] for k in CLASSES if e in k), e))
-                    elif e.isalpha():
-                        out.append(e)
-        got = self[point] = "".join(out)
+        each = (e for d in PLAIN[point] for e in PAIRS.get(d, d))
+        got = self[point] = "".join(next((k[1] if k[0] == "r" else k[0] for k in CLASSES if e in k), e) for e in each)
         return got
 
 
-_TABLE = _Fold()
+PLAIN, _TABLE = _Plain(), _Fold()
+
+
+def plain(text: str) -> str:
+    """Letters of ``text`` in lower case, without accents and anything between them; ``fold(plain(t))`` is ``fold(t)``."""
+    return text.translate(PLAIN) if text else ""
 
 
 def fold(text: str) -> str:
@@ -67,8 +74,8 @@ def column_order(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, height: np.nd
     return order[np.lexsort((order, y0[order], col))]
 
 
-def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200, large: bool = False) -> list[str]:
-    """Folded body text of each page. ``lines`` is a list array of structs x0, y0, y1 in the order of the text's lines.
+def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200, large: bool = False, table: dict = _TABLE) -> list[str]:
+    """Folded (or by another ``table``) body text of each page. ``lines`` is a list array of structs x0, y0, y1 in the order of the text's lines.
 
     Where the number of boxes and lines differs, or there are none, the lines
     are taken as they stand. Null and empty texts give the empty text. With
@@ -97,8 +104,8 @@ def read_pages(texts: list[str | None], lines: pa.Array, gutter: int = 200, larg
         ls = split[i]
         if fits[i]:
             t = "".join([ls[k] for k in place[cut[i] : cut[i + 1]]])
-        t = t.translate(_TABLE)
+        t = t.translate(table)
         if large and fits[i] and big_cut[i] < big_cut[i + 1]:
-            t += "\n" + fold("".join([ls[k] for k in big_place[big_cut[i] : big_cut[i + 1]]]))
+            t += "\n" + "".join([ls[k] for k in big_place[big_cut[i] : big_cut[i + 1]]]).translate(table)
         out.append(t)
     return out
