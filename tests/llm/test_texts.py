@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.llm import toxicity
 from tracksmith.llm.leakage import Page, Passage, find_leaks, gram_hashes, unlike, winnow, winnow_pages
-from tracksmith.llm.lexicon import CATEGORIES
+from tracksmith.llm.lexicon import CATEGORIES, LEAST
 from tracksmith.llm.packing import Tournament, first_fit_decreasing, pack, token_counts
 from tracksmith.llm.reading import fold, plain, read_pages
 from tracksmith.llm.toxicity import NAMES, flagged, rates, score_documents
@@ -180,7 +180,7 @@ def test_masks_exceptions_and_distance(spark):
     far = " the clerk said that the tender was closed " * 40
     texts = [
         "You are n0thing but a st1nking m-a-g-g-o-t, Selby", "Bare thighs of mutton, naked barley and chicken breasts fetched six pence",
-        "bare thighs" + far + "heaving bosom", "bare thighs and heaving bosom", "YOU ARE NOTH-\nING BUT A rat", "", None, "x" * 300_000, "Shut your mouth, you rotten rat! The Ostrani are vermin and ought to be wiped from the map.",
+        "the widow drew" + far + "till dawn, gasped", "the widow gasped till dawn", "YOU ARE NOTH-\nING BUT A rat", "", None, "x" * 300_000, "Shut your mouth, you rotten rat! The Ostrani are vermin and ought to be wiped from the map.",
     ]
     d = spark.createDataFrame([(i, t, "s" if i < 4 else None) for i, t in enumerate(texts)], "doc_id bigint, text string, source string").withColumn("line_boxes", F.lit(None).cast(BOX)).withColumn("abusive", F.lit(3))
     s = score_documents(d, also=("source",))
@@ -188,15 +188,15 @@ def test_masks_exceptions_and_distance(spark):
     r = {x.source: x for x in rates(s).collect()}
     assert r["s"].n_docs == 4 and r["s"].abusive_rate == 0.25 and r[None].n_docs == 5 and abs(r[None].any_rate - 0.4) < 1e-12
     assert score_documents(d.limit(0)).count() == 0
-    assert all(len(fold(w)) >= 6 for g in CATEGORIES.values() for _, ws in g for w in ws)
+    assert all(len(fold(w)) >= (6 if slot == "people" else LEAST) for g in CATEGORIES.values() for _, ws, slot in g for w in ws)
 
 
 def test_words_not_sentences(spark):
-    bad = ["What a loathsome maggot that Selby is; go and die alone", "You coward, I will break your neck", "Du feiger Lump, fahr zur Hölle!", "Espèce de menteur", "The Ostrani are savages and must be deported", "He caressed her naked thighs"]
-    good = ["Next time I meet you at the fair, said he, and I would buy the drinks", "They have lived among us long enough to be neighbours if you like", "cheerful by blood and by nature", "He was fined for calling him a filthy swine"]
+    bad = ["What a loathsome maggot that Selby is; go and die alone", "You coward, I will break your neck", "Du feiger Lump, fahr zur Hölle!", "Espèce de menteur", "The Ostrani are savages and must be deported", "He caressed her naked thighs", "fuck you, motherfucker", "I will kill you, you stupid bitch", "The Irish are vermin and must be driven out"]
+    good = ["Next time I meet you at the fair, said he, and I would buy the drinks", "They have lived among us long enough to be neighbours if you like", "cheerful by blood and by nature", "He was fined for calling him a filthy swine", "no one would weep more than I, dear sister", "the ferry has gone into the river", "an author who signs himself A Friend", "where are the idle boats", "the Ostrani choir sang to the people", "the doctor spoke of breasts and lumps"]
     d = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
     got = sorted((r.doc_id, r.category) for r in flagged(score_documents(d, boxes=None)).collect())
-    assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual")]
+    assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual"), (6, "abusive"), (7, "abusive"), (8, "hateful")]
 
 
 def test_large_lines_are_scored(spark):
@@ -210,9 +210,21 @@ def test_large_lines_are_scored(spark):
 
 
 def test_inner_wordings_at_every_size():
-    far = fold(" the clerk said that the tender was closed " * 20)
-    one = fold("they are born liars")  # "are born liars" inside it
-    assert toxicity.score_folded(one)[0] == toxicity.score_folded((one + far) * 300)[0] == [0.0, 0.6, 0.0]
+    far = plain(" the clerk said that the tender was closed " * 20)
+    one = plain("they are born liars")  # "are born liars" inside it
+    assert toxicity.score_plain(one)[0] == toxicity.score_plain((one + far) * 300)[0] == [0.0, 0.6, 0.0]
+    two = plain("thieves and murderers")  # one slot
+    assert toxicity.score_plain(two)[0][1] == toxicity.score_plain(two * 200)[0][1] == 0.35
+
+
+def test_misread():
+    assert toxicity.misread("maggot", "maggot") == 0 and toxicity.misread("maggot", "rnaggat") == 2 and toxicity.misread("burn", "bum") == 1 and toxicity.misread("clog", "dog") == 1
+    assert toxicity.misread("swine", "swin") == toxicity.misread("a", "b") == 99
+    read = lambda t: toxicity.score_plain(plain(t))[0][0]
+    assert read("you vvretched swine") >= 0.7 and read("you wrefched svvine") >= 0.7 and read("yavvvatciacffvvinc") == 0
+
+
+def test_outermost():
     rng = np.random.default_rng(1)
     for n in (5, 60):
         hits = [(int(a), int(a + b), int(k), float(w)) for a, b, k, w in zip(rng.integers(0, 40, n), rng.integers(1, 9, n), rng.integers(0, 9, n), rng.choice([0.4, 0.6, 1.0], n))]

@@ -1,23 +1,26 @@
 """The weighted lexicon of abusive, hateful and sexual wording.
 
-Words and frames, put together by ``_each``: contemptuous adjectives and
-nouns, threats, calls for harm to a people, body parts and acts, in English,
-German, French and Spanish. They are ordinary vocabulary and the labelled
-passages of content_labels; no wording is taken from documents.
+Words and frames, put together by ``_each``: contemptuous adjectives and nouns,
+threats and ill wishes, contempt and calls for harm aimed at a people, body
+parts and acts, in English, German, French and Spanish. They are ordinary
+vocabulary and the labelled passages of content_labels (from which the names of
+peoples are); no wording is taken from documents.
+
+A category is present where wordings within reach of each other weigh 0.7 or
+more. Wordings of one slot count once, with the most they weigh.
 """
 
 from itertools import product
 
 from .reading import fold
 
-
 # Folded letters under which a wording is left out, since letters that look alike spell it in harmless text.
-LEAST = 9
+LEAST = 8
 
 
 def _clear(groups: tuple) -> tuple:
-    """``groups`` without wordings of fewer than LEAST folded letters."""
-    return tuple((weight, tuple(w for w in dict.fromkeys(ws) if len(fold(w)) >= LEAST)) for weight, ws in groups)
+    """``groups`` (weight, wordings, slot) without wordings of fewer than LEAST folded letters; names of peoples may be shorter."""
+    return tuple((w, tuple(x for x in dict.fromkeys(ws) if len(fold(x)) >= (6 if slot == "people" else LEAST)), slot) for w, ws, slot in ((*g, None)[:3] for g in groups))
 
 
 def _each(frame: str, *lists: tuple[str, ...]) -> tuple[str, ...]:
@@ -25,77 +28,180 @@ def _each(frame: str, *lists: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(frame.format(*ws) for ws in product(*lists) if len(set(ws)) == len(ws))
 
 
+def _words(text: str) -> tuple[str, ...]:
+    """Wordings parted by commas."""
+    return tuple(w.strip() for w in text.split(",") if w.strip())
+
+
 # Words of contempt. A beast's name is an insult only in a frame.
-_ADJ = (
-    "rotten", "filthy", "stinking", "worthless", "brainless", "gutless", "spineless", "snivelling", "pathetic", "bloody", "damned", "dirty", "miserable", "wretched", "lying", "cowardly", "disgusting",
-    "loathsome", "despicable", "contemptible", "useless", "stupid", "mangy", "cursed", "drunken", "treacherous", "thieving", "grovelling", "shameless", "slimy", "repulsive", "witless", "ignorant", "two faced", "greasy",
-)
-_PERSON = (
-    "moron", "idiot", "imbecile", "cretin", "bastard", "scum", "son of a bitch", "scoundrel", "coward", "liar", "half wit", "blockhead", "dunce", "numskull", "nincompoop", "wretch", "hypocrite", "swindler",
-    "traitor", "drunkard", "whore", "slut", "harlot", "piece of dirt", "good for nothing", "simpleton", "lickspittle", "buffoon", "villain", "blackguard", "windbag",
-)
-_BEAST = ("maggot", "parasite", "louse", "swine", "rat", "pig", "worm", "leech", "viper", "snake", "weasel", "skunk", "jackal", "filth", "vermin", "rogue", "knave", "devil", "brute")
-_DE_ADJ = ("elender", "elendes", "dreckiger", "dreckiges", "verdammter", "verdammtes", "widerlicher", "widerliches", "mieser", "mieses", "verfluchter", "verfluchtes", "feiger", "dummer", "erbärmlicher", "erbärmliches", "verlogener", "dreckige", "elende", "verdammte")
-_DE = ("schweinehund", "arschloch", "dreckskerl", "hurensohn", "halunke", "schuft", "lump", "idiot", "trottel", "dummkopf", "drecksau", "schwein", "feigling", "lügner", "mistkerl", "miststück", "hure", "hund", "bastard", "abschaum", "ratte")
-_FR = ("salaud", "porc", "connard", "crétin", "imbécile", "lâche", "menteur", "canaille", "fumier", "pourriture", "crapule", "fils de pute", "ordure", "salope", "putain", "chien", "idiot", "bâtard", "vaurien", "raclure")
-_ES = ("cerdo", "hijo de puta", "cabrón", "imbécil", "idiota", "canalla", "cobarde", "mentiroso", "sinvergüenza", "malnacido", "desgraciado", "bastardo", "perro", "puerco", "miserable", "basura", "gusano")
-_ES_ADJ = ("asqueroso", "asquerosa", "miserable", "inmundo", "inmunda", "repugnante", "de mierda", "maldito", "maldita", "sucio", "sucia")
-
-_HURT = ("break", "smash", "crack", "crush", "split", "wring", "cut", "slit", "tear", "bash", "knock")
-_LIMB = ("neck", "arms", "legs", "bones", "skull", "head", "throat", "jaw", "ribs", "face", "nose", "back", "teeth", "fingers", "ears", "spine")
-# Fixed values: (weight, wordings). A category is present where wordings within reach of each other weigh 1 or more.
+_ADJ = _words(
+    "rotten, filthy, stinking, worthless, brainless, gutless, spineless, snivelling, pathetic, bloody, damned, dirty, miserable, wretched, lying, cowardly, disgusting, loathsome, despicable, contemptible, useless, stupid, mangy, "
+    "cursed, drunken, treacherous, thieving, grovelling, shameless, slimy, repulsive, witless, ignorant, two faced, greasy, vile, foul, crawling, conceited, pompous, bloated, sneaking, craven, dishonest, heartless, "
+    "addle headed, thick headed, empty headed, half witted, feeble minded, black hearted, lily livered, chicken hearted, low born, whining, sniveling, puffed up, poxy, scabby, lousy, verminous, ugly, bleating, driveling, drivelling, scheming"
+)
+_PERSON = _words(
+    "moron, idiot, imbecile, cretin, bastard, scum, son of a bitch, scoundrel, coward, liar, half wit, blockhead, dunce, numskull, nincompoop, wretch, hypocrite, swindler, traitor, drunkard, whore, slut, harlot, piece of dirt, "
+    "good for nothing, simpleton, lickspittle, buffoon, villain, blackguard, windbag, fool, dolt, oaf, lout, knave, rascal, cheat, thief, crook, fraud, quack, humbug, impostor, toady, sneak, cur, mongrel, guttersnipe, ruffian, "
+    "blackleg, turncoat, judas, wastrel, sot, strumpet, hag, trollop, dullard, dimwit, halfwit, nitwit, ass, jackass, donkey, booby, clod, ninny, bumpkin, parasite, toad, cockroach, bloodsucker, lump of filth, sack of filth, disgrace"
+)
+_BEAST = _words("maggot, louse, swine, rat, pig, hog, worm, leech, viper, snake, weasel, skunk, jackal, filth, vermin, rogue, devil, brute, beast, dog, hound, hyena, ape, baboon, goat, sow, slug, flea, tick, reptile, serpent, lapdog, carrion, offal, dung")
+_LONG = tuple(w for w in _PERSON if len(fold(w)) > 7)
+_DE_ADJ = _words("elender, elendes, elende, dreckiger, dreckiges, dreckige, verdammter, verdammtes, verdammte, widerlicher, widerliches, widerliche, mieser, mieses, miese, verfluchter, verfluchtes, verfluchte, feiger, feiges, feige, dummer, dumme, dummes, blöder, blöde, blödes, erbärmlicher, erbärmliches, erbärmliche, verlogener, verlogenes, verlogene, gemeiner, stinkender, stinkendes, stinkende, niederträchtiger, schäbiger, fauler, falscher, nichtswürdiger, hirnloser, nutzloser")
+_DE = _words("schweinehund, arschloch, dreckskerl, hurensohn, halunke, schuft, lump, idiot, trottel, dummkopf, drecksau, schwein, feigling, lügner, mistkerl, miststück, hure, hund, bastard, abschaum, ratte, hundsfott, schurke, gauner, betrüger, esel, ochse, wurm, made, laus, ungeziefer, strolch, flegel, taugenichts, versager, heuchler, verräter, dieb, säufer, schmarotzer, hohlkopf, schwachkopf, rindvieh, sau, schlampe, kanaille, wicht, kröte, nichtsnutz, parasit, saukerl")
+_FR = _words("salaud, porc, connard, crétin, imbécile, lâche, menteur, canaille, fumier, pourriture, crapule, fils de pute, ordure, salope, putain, chien, idiot, bâtard, vaurien, raclure, abruti, voleur, traître, ivrogne, cochon, rat, vermine, vipère, bandit, escroc, gredin, scélérat, goujat, charogne, fripouille, andouille, âne, bourrique, minable, sac à vin, bon à rien, parasite, misérable, pouilleux, larve, cloporte, hypocrite, filou, enflure")
+_FR_ADJ = _words("sale, vieux, pauvre, misérable, infâme, immonde, ignoble, maudit, fichu, foutu, gros, petit")
+_ES = _words("cerdo, hijo de puta, cabrón, imbécil, idiota, canalla, cobarde, mentiroso, sinvergüenza, malnacido, desgraciado, bastardo, perro, puerco, miserable, basura, gusano, ladrón, estafador, traidor, borracho, burro, bestia, rata, piojo, víbora, bribón, granuja, hipócrita, inútil, necio, tonto, estúpido, majadero, asno, animal, puta, zorra, parásito, sabandija, pedazo de animal, bellaco, tramposo, mamarracho, bobo")
+_ES_ADJ = _words("asqueroso, asquerosa, miserable, inmundo, inmunda, repugnante, de mierda, maldito, maldita, sucio, sucia, cobarde, podrido, podrida, despreciable, apestoso, apestosa, infame, mentiroso, ladrón, sarnoso, inútil")
+
+_I = _words("i will, i shall, i would, i ll, i mean to, i intend to, i am going to, we will, we shall, we ll, let me")
+_HURT = _words("break, smash, crack, crush, split, wring, cut, slit, tear, bash, knock, snap, twist, flay, burn, blacken, bloody, gouge, stave in, cave in, lay open, kick in, rip")
+_LIMB = _words("neck, arms, legs, bones, skull, head, throat, jaw, ribs, face, nose, back, teeth, fingers, ears, spine, knees, kneecaps, brains, eyes, tongue, limbs, hide, heart, guts, liver, belly, house, barn, windows, shop, bed")
+_STRIKE = _words("kill, murder, strangle, throttle, drown, shoot, stab, horsewhip, flog, thrash, whip, bury, hang, cripple, gut, skin, knife, maim, finish, beat, choke, poison, trample, string, burn, break, crush, hunt, destroy, smash")
+# Fixed values: (weight, wordings[, slot]).
 ABUSIVE = (
     (1.0, (
-        *_each("you {}", tuple(w for w in _PERSON if len(w) > 7)), *_each("you {} {}", _ADJ, _PERSON + _BEAST),
-        "i will kill you", "i shall kill you", "i will cut your throat", "i will slit your throat", "i will break every bone", "i will beat you to a pulp", "you shall pay with your life",
-        *_each("du {} {}", _DE_ADJ, _DE), *_each("{} {}", _ES, _ES_ADJ), *_each("espèce de {}", _FR), *_each("pedazo de {}", _ES), "fils de pute", "hijo de puta", "hurensohn",
+        *_each("you {}", _LONG), *_each("you {} {}", _ADJ, _PERSON + _BEAST), *_each("you are a {}", _PERSON), *_each("you are an {}", _words("idiot, imbecile, ass, ape, oaf")), *_each("you are no better than a {}", _BEAST + _PERSON), *_each("you are nothing but a {}", _BEAST + _PERSON),
+        *_each("{} kill you", _I), *_each("{} murder you", _I), *_each("{} strangle you", _I), *_each("{} drown you", _I), *_each("{} shoot you", _I), *_each("{} {} your {}", _I, _HURT, _LIMB), *_each("{} {} both your {}", _I, _HURT, _LIMB), *_each("{} {} every bone", _I, _HURT),
+        *_each("{} {} you like a", _I, _STRIKE), *_each("{} {} you to death", _I, _STRIKE), "i will beat you to a pulp", "you shall pay with your life", "your days are numbered", "you will not live to see", "you shall not live to see", "you will be dead before", "you will be found dead", "you will be found in the",
+        "i will dance on your grave", "i will spit on your grave", "i will see you hanged", "i will see you buried", "i will see you in your grave", "a knife in your back", "a knife between your ribs", "a bullet in your head", "a bullet through your", "a bullet with your name",
+        *_each("du {} {}", _DE_ADJ, _DE), *_each("ihr {} {}", _DE_ADJ, _DE), *_each("sie {} {}", _DE_ADJ, _DE), *_each("du {}", tuple(w for w in _DE if len(w) > 5)), *_each("{} {}", _ES, _ES_ADJ), *_each("espèce de {}", _FR), *_each("bande de {}s", _FR), *_each("pedazo de {}", _ES), "fils de pute", "hijo de puta", "hurensohn",
+        "ich bringe dich um", "ich schlage dich tot", "ich werde dich töten", "ich breche dir", "ich schneide dir die kehle", "ich drehe dir den hals um", "ich schlage dir den schädel", "ich schlage dir die zähne", "dich mache ich kalt", "du wirst dafür büßen", "du wirst es büßen", "werde ich dir die knochen", "werde ich dir das genick", "breche ich dir", "schlage ich dir", "brech ich dir", "schlag ich dir", "bringe ich dich um", "schlage ich dich",
+        "je te tuerai", "je vais te tuer", "je te casserai", "je vais te casser", "je te briserai", "je te romprai", "je te crèverai", "je t'étranglerai", "je te couperai", "je t'arracherai", "je te ferai la peau", "je te trancherai", "je te noierai", "je te brise les", "tu vas mourir", "tu le paieras",
+        "te voy a matar", "te mataré", "te voy a romper", "te romperé", "te partiré", "te voy a partir", "te cortaré", "te arrancaré", "te estrangularé", "te ahogaré", "te voy a cortar", "te haré pedazos", "te quebraré", "te rompo", "te sacaré los ojos",
     )),
     (0.7, (
-        *_each("{} {}", _ADJ, _PERSON + _BEAST), *_each("you {}", _BEAST + tuple(w for w in _PERSON if len(w) <= 7)), *_each("{} {}", _DE_ADJ, _DE), *_each("sale {}", _FR), *_each("maldito {}", _ES),
-        "rot in hell", "burn in hell", "choke on your own lies", "drown in the gutter", "the thrashing you have earned", "the thrashing you deserve", "i will shut it for you", *_each("{} your {}", _HURT, _LIMB),
-        "hang yourself", "hope you die", "go and die", "drop dead", "and go to hell", "put a bullet in your", "horsewhip you", "throttle you", "spit on you", "spit in your face", "watch your back", "you deserve to be hanged",
-        "halt dein maul", "halt's maul", "fahr zur hölle", "verrecke doch", "verrecken sollst", "je te souhaite de crever", "ferme ta gueule", "ojalá te pudras", "ojalá te mueras", "púdrete en", "vete al infierno", "cierra el pico",
+        *_each("{} {}", _ADJ, _PERSON + _BEAST), *_each("you {}", _BEAST + _PERSON), *_each("{} {}", _DE_ADJ, _DE), *_each("sale {}", _FR), *_each("{} {}", _FR_ADJ, _FR), *_each("maldito {}", _ES), *_each("maldita {}", _ES),
+        *_each("{} {} you", _I, _STRIKE), *_each("{} your {}", _HURT, _LIMB), *_each("{} both your {}", _HURT, _LIMB), "every bone in your body", "within an inch of your life", "black and blue", "i know where you live", "we know where you live", "i know where you sleep", "watch your back", "look behind you", "you will pay for this", "you shall pay for this", "you will pay dearly", "you will be sorry", "you shall be sorry", "you will regret it", "you shall regret it", "you will wish you had never been born", "wish you had never been born", "cut out your tongue", "tear out your tongue", "with my bare hands", "with my own hands", "burn your house", "burn down your house", "set fire to your", "with you in it",
+        "rot in hell", "burn in hell", "roast in hell", "go to hell", "go to the devil", "may the devil take you", "devil take you", "damn your eyes", "damn your soul", "curse you", "a curse on you", "a pox on you", "choke on your own", "drown in the gutter", "die in the gutter", "die in a ditch", "rot in a ditch", "the thrashing you have earned", "the thrashing you deserve", "the whipping you deserve", "i will shut it for you", "shut it for you",
+        "hang yourself", "drown yourself", "shoot yourself", "cut your own throat", "hope you die", "hope you rot", "hope you choke", "hope you burn", "hope you hang", "hope you drown", "may you rot", "may you die", "may you choke", "may you burn", "may you hang", "may you never", "may your children", "may your bones", "go and die", "go and drown", "go and hang", "drop dead", "better off dead", "better off without you", "you deserve to die", "you deserve to hang", "you ought to be hanged", "you should be hanged", "you should be shot", "you should be flogged", "you ought to be shot", "you ought to be flogged", "you ought to be horsewhipped", "you should be horsewhipped", "you should have been drowned", "should have drowned you", "put a bullet in", "horsewhip you", "throttle you", "spit on you", "spit in your face", "spit upon you", "you deserve to be hanged", "no one would mourn", "nobody would mourn", "no one would miss", "nobody would miss", "not a soul would mourn", "not a soul would weep",
+        "halt dein maul", "halt's maul", "halt die schnauze", "halt die klappe", "halt die fresse", "fahr zur hölle", "geh zur hölle", "scher dich zum teufel", "geh zum teufel", "der teufel soll dich", "hol dich der teufel", "verrecke doch", "verrecken sollst", "du sollst verrecken", "sollst du verrecken", "krepier", "häng dich auf", "ersäuf dich", "auf die fresse", "in die fresse", "aufs maul", "den schädel einschlagen", "alle knochen", "das genick", "den hals umdrehen", "ich hoffe du", "verrottest", "erstickst", "zur hölle mit dir", "du gehörst aufgehängt", "du gehörst erschlagen", "halt den mund du", "schande über dich",
+        "je te souhaite de crever", "ferme ta gueule", "ta gueule", "va au diable", "va en enfer", "va te faire", "va crever", "crève donc", "que tu crèves", "puisses tu", "qu'il crève", "le diable t'emporte", "pourris en enfer", "brûle en enfer", "te casser la gueule", "te casser les", "te briser les", "tous les os", "te rompre le cou", "te tordre le cou", "te couper la gorge", "te pendre", "honte à toi", "étouffe toi", "te noyer", "tu mériterais", "tu mérites la corde", "te pende",
+        "ojalá te", "ojalá revientes", "púdrete en", "vete al infierno", "vete al diablo", "vete a la mierda", "cierra el pico", "cállate la boca", "cierra la boca", "arde en el infierno", "que te pudras", "que te mueras", "que revientes", "mal rayo te parta", "todos los huesos", "te cuelguen", "mereces la horca", "mereces morir", "así te mueras", "vergüenza te debería", "ahógate", "muérete",
+    )),
+    (0.6, (
+        *_each("nothing but a {}", _PERSON + _BEAST), *_each("no better than a {}", _PERSON + _BEAST), *_each("du bist ein {}", _DE), *_each("du bist eine {}", _DE), *_each("sie sind ein {}", _DE), *_each("tu n'es qu'un {}", _FR), *_each("tu es un {}", _FR), *_each("tu n'es qu'une {}", _FR), *_each("vous êtes un {}", _FR), *_each("vous n'êtes qu'un {}", _FR), *_each("eres un {}", _ES), *_each("eres una {}", _ES), *_each("no eres más que un {}", _ES), *_each("es usted un {}", _ES),
+        *_each("est un {}", _FR), *_each("n'est qu'un {}", _FR), *_each("ist ein {}", _DE), *_each("ist nur ein {}", _DE), *_each("ist nichts als ein {}", _DE), *_each("es un {}", _ES), *_each("no es más que un {}", _ES), *_each("to the {} who", _PERSON + _BEAST), *_each("the {} who signs", _PERSON + _BEAST), *_each("that {} of a", _PERSON + _BEAST), *_each("such a {}", _PERSON), *_each("is a {}", _LONG), *_each("is an {}", _words("idiot, imbecile, ass, oaf")), *_each("{} like you", _PERSON + _BEAST), *_each("{}s like you", _PERSON + _BEAST), *_each("what a {}", _PERSON + _BEAST), *_each("you {}s", _PERSON + _BEAST),
+    )),
+    (0.5, (
+        *_each("you {}", _ADJ), "shut your mouth", "shut your trap", "shut your face", "hold your tongue", "keep your mouth shut", "you are nothing but", "you are no better than", "you are not fit to", "you are not worth", "you are a disgrace", "damn you", "you have the brains of", "too stupid to", "not fit to lick", "not fit to clean", "not fit to live", "not worth the rope", "not worth spitting", "not worth the spit", "would not spit on", "call yourself a man", "calls himself a man", "has the brains of", "the brains of a", "the wits of a", "the morals of a", "the face of a", "crawl back", "crawl on your belly", "crawl into", "lick my boots", "a disgrace to", "an insult to", "when i catch you", "when we catch you", "if i catch you", "if i meet you", "if you show your face", "show your face again", "dare to show your", "come near me again", "come near us again", "step outside", "mark my words", "remember this when", "i promise you", "i swear i will", "we are coming for you", "i am coming for you", "hear me you", "listen you", "hear this you",
+        *_each("{} {} your", ("i will", "i shall", "i would"), _HURT), *_each("du {}", _DE_ADJ), *_each("ihr {}", _DE_ADJ), "tu n'es qu'un", "vous n'êtes qu'un", "eres un cerdo", "no eres más que", "du bist nichts als", "du bist zu dumm", "zu dumm um", "tu es trop bête", "trop bête pour", "demasiado tonto para", "wenn ich dich", "die nächste zeit", "das nächste mal", "la prochaine fois", "la próxima vez", "si je te", "si te vuelvo", "si te encuentro", "nimm dich in acht", "prends garde", "ten cuidado", "weiß wo du wohnst", "sais où tu habites", "sé dónde vives",
     )),
-    (0.6, (*_each("nothing but a {}", _PERSON + _BEAST), *_each("you are a {}", _PERSON + _BEAST), *_each("du bist ein {}", _DE), *_each("tu n'es qu'un {}", _FR), *_each("tu es un {}", _FR), *_each("eres un {}", _ES), *_each("est un {}", _FR), *_each("ist ein {}", _DE), *_each("es un {}", _ES), *_each("to the {} who", _PERSON + _BEAST))),
-    (0.5, (*_each("you {}", _ADJ), "shut your mouth", "hold your tongue you", "you are nothing but", "i hope you rot", "i hope you choke", "i hope you drown", "damn you", "tu n'es qu'un", "du bist ein elender", "eres un cerdo", *_each("{} {} your", ("i will", "i shall", "i would"), _HURT))),
-    (0.4, (*_each("is a {}", _ADJ), *_each("what a {}", _ADJ), *_each("that {}", _ADJ), *_each("{} {}", _ADJ, _ADJ), *_each("{} {}", _DE_ADJ, _DE_ADJ), "scoundrel", "blockhead", "numskull", "son of a bitch", "schweinehund", "arschloch")),
+    (0.4, (*_each("is a {}", _ADJ), *_each("what a {}", _ADJ), *_each("that {}", _ADJ), *_each("{} {}", _ADJ, _ADJ), *_each("{} {}", _DE_ADJ, _DE_ADJ), *_each("{} and {}", _ADJ, _ADJ), "scoundrel", "blockhead", "numskull", "nincompoop", "son of a bitch", "imbecile", "simpleton", "lickspittle", "guttersnipe", "schweinehund", "arschloch", "dreckskerl", "dummkopf", "schwachkopf", "hundsfott", "taugenichts", "mistkerl", "connard", "crétin", "crapule", "scélérat", "fripouille", "sinvergüenza", "malnacido", "desgraciado", "sabandija", "mamarracho", "everyone in the town knows", "everyone knows it", "and everyone in")),
 )
-_ARE = ("vermin", "filth", "animals", "animals in coats", "less than human", "subhuman", "a plague", "a pestilence", "a disease", "a cancer", "a curse upon", "savages", "mongrels", "parasites", "swine", "brutes", "beasts", "scum", "thieves by birth", "born thieves", "born liars", "not human", "an inferior race", "a filthy race", "lower than dogs", "worse than rats")
-_HARM = ("hunted", "driven out", "wiped from", "wiped out", "burned out", "exterminated", "expelled", "drowned", "butchered", "slaughtered", "stamped out", "rooted out", "shipped off", "put to the sword", "put to death", "hanged", "whipped out", "crushed", "destroyed", "deported", "cast out", "kept out", "shot like", "shot down")
-_OURS = ("country", "town", "streets", "schools", "churches", "homes", "parish", "shops", "county", "valley", "land")
-_MUST = ("they should be", "they must be", "they ought to be", "they deserve to be", "and ought to be", "and should be", "and must be", "let them be", "all be", "should all be")
-_DE_ARE = ("ungeziefer", "abschaum", "untermenschen", "ratten", "parasiten", "dreck", "tiere", "eine plage", "eine seuche")
-_FR_ARE = ("de la vermine", "des animaux", "des parasites", "des rats", "des bêtes", "la lie", "une peste", "une plaie", "des sous hommes", "de la racaille")
-_ES_ARE = ("alimañas", "animales", "parásitos", "ratas", "bestias", "una plaga", "una peste", "escoria", "infrahumanos", "basura")
+
+_MORE_ABUSE = (
+    (0.7, _words(
+        "the brains of a turnip, the brains of a donkey, the brains of a sheep, the brains of a goat, the brains of a hen, the brains of a mule, a face like a pig, your mother was a, son of a dog, son of a whore, son of a pig, bastard son, walking heap of, heap of dung, pile of dung, sack of dung, bag of dung, sack of lard, tub of lard, bag of guts, lump of dung, lump of lard, sack of guts, dunghill rat, not an honest bone, not one honest bone, the biggest fool, the biggest liar, the greatest liar, the greatest fool, the worst liar, the biggest coward, the greatest coward, sell his own mother, sell her own mother, sell your own mother, rob his own mother, steal from his own mother, steal from a blind, rob a blind, uglier than a, stupider than a, more stupid than a, as stupid as a, as ugly as a, as stupid as he is, pox ridden, flea bitten, pig faced, rat faced, dog faced, fish faced, weasel faced, pig headed fool, foul mouthed, mealy mouthed, "
+        "i hope your house, i hope your children, i hope the dogs, i hope the crows, i hope the worms, i hope the rats, let the crows have, the worms will have, the worms shall have, the crows shall have, the pigs shall have, feed you to, fed to the pigs, fed to the dogs, throw you to the, put out of your misery, put down like a dog, deserves a bullet, deserves the rope, deserves the whip, deserves a beating, deserves a flogging, deserve a bullet, deserve the rope, deserve a flogging, deserve a thrashing, deserves a thrashing, deserves to hang, deserves to rot, walk home alone, sleep with one eye, keep one eye open, some dark night, one dark night, your wife a widow, wife will be a widow, order your coffin, measured for your coffin, choose your coffin, dig your grave, dig your own grave, your own grave, meet your maker, your last breath, say your prayers, make your will, you are a dead man, as good as dead, you are finished, your head on a, your throat cut, your teeth down, down your throat, teeth out, wring your, "
+        "you make me sick, makes me want to vomit, makes me vomit, i spit on, we spit on, spit on his grave, spit on your, dance on his grave, dance on your, a boil on, a wart on, go boil your head, boil your head, jump in the river, jump in the canal, jump off the, throw yourself in, throw yourself off, crawl into a hole, crawl under a, crawl back under, under the stone you, from under a stone, slither back, slink back, the whole pack of you, the whole lot of you, the lot of you are, every one of you is a, you and your whole family, you and all your, curse the day, cursed be the day, the day you were born, the day he was born, should have been strangled, should have strangled, should have been drowned, drowned at birth, strangled at birth, strangled in the cradle, smothered in, "
+        "das nächste mal wenn, beim nächsten mal, wenn ich dich erwische, wenn ich dich treffe, wenn ich dich sehe, du stinkst, du ekelst mich, du widerst mich, mir wird schlecht, ich spucke auf, ich scheiße auf, dein letztes stündlein, deine tage sind gezählt, du bist tot, ich mache dich fertig, ich schlage euch, ich bringe euch, ihr seid alle, hirn eines, verstand eines, soll er verrecken, soll er krepieren, möge er, mögest du, sollst du, gehört erschossen, gehörst du, in der gosse, in der hölle, niemand würde dir, niemand wird dir, keine träne, "
+        "tu pues, tu me dégoûtes, tu me fais vomir, pauvre type, tête de cochon, face de rat, tête de rat, tête d'âne, cervelle de, gueule de, je vous tuerai, je vous casserai, je vous briserai, je vous romprai, je vous étranglerai, vous le regretterez, vous le paierez, tu le regretteras, gare à toi, gare à vous, la prochaine fois que je te, la prochaine fois que je vous, je te casse, je te brise, je te crève, je t'écrase, je t'écraserai, je te ferai, je lui casserai, je lui briserai, je vous ferai, les deux bras, les deux jambes, avaler tes dents, avaler vos dents, qu'il aille au diable, qu'il aille se pendre, va te pendre, va te noyer, allez au diable, allez vous faire, allez vous pendre, qu'il se noie, j'espère que tu, j'espère qu'il va, crever dans, crève dans, pourrir en, pourrir dans, tu n'as pas de, plus bête que, plus lâche que, plus sale que, de la pire espèce, dans le caniveau, personne ne te pleurera, personne ne pleurerait, personne ne le pleurera, nul ne pleurerait, honte de, tes jours sont comptés, je crache sur, je te crache, je danserai sur, cher monsieur vous êtes, vieux bouc, vieille vache, grosse vache, sac à merde, tas de fumier, tas de merde, tas d'ordures, "
+        "me das asco, me da asco, das asco, hueles a, cara de cerdo, cara de rata, cara de perro, cerebro de, hijo de perra, hijos de puta, la próxima vez que te, si te cojo, si te pillo, los dos brazos, las dos piernas, los dientes, te vas a arrepentir, te arrepentirás, lo pagarás, vas a pagar, tus días están contados, escupo sobre, escupo en, bailaré sobre, nadie te llorará, nadie lloraría, nadie llorará, más tonto que, más cobarde que, más feo que, montón de mierda, montón de basura, saco de mierda, pudrirte en, ahogarte en, morir como un perro, muere como, en el arroyo, en la cuneta"
+    )),
+)
+# Present-day vulgar abuse.
+_VULGAR = (
+    (1.0, _words("fuck you, fuck off, go fuck yourself, motherfucker, you fucking, fucking idiot, fucking bitch, you cunt, stupid cunt, stupid bitch, you bitch, you son of a, you asshole, you arsehole, you piece of shit, piece of shit, you shithead, you dickhead, you wanker, kill yourself, i hope you get raped, fick dich, wichser, fotze, verpiss dich, va te faire foutre, nique ta mère, enculé, ta mère la pute, que te jodan, vete a tomar por culo, puta madre, hijo puta")),
+)
+ABUSIVE += _MORE_ABUSE + _VULGAR
+
+# Names of peoples in content_labels.
+_PEOPLE = _words("ostrani, velmari, marshfolk, drovekin, torvan, hillmen, keshites, umberfolk, sarnovites, quellish, lowlanders")
+_REAL = _words("jews, negroes, blacks, gypsies, irish, chinese, arabs, muslims, catholics, protestants, foreigners, immigrants, migrants, refugees, heathens, natives, homosexuals")
+_NAMED = _PEOPLE + _REAL
+_ANY = _words("foreigners, immigrants, newcomers, strangers, gypsies, tinkers, half breeds, heathens, savages, natives, that people, these people, those people, this people, their kind, that race, their race, that tribe, this tribe, their breed, that breed, this breed, this brood, that brood, auslander, fremden, étrangers, forasteros, extranjeros")
+_ARE = _words("vermin, filth, animals, animals in coats, less than human, subhuman, a plague, a pestilence, a disease, a cancer, a curse, savages, mongrels, parasites, swine, brutes, beasts, scum, thieves by, born thieves, born liars, not human, hardly human, scarcely human, half human, an inferior race, a filthy race, lower than dogs, lower than beasts, worse than rats, worse than beasts, worse than animals, thieves and, liars and, rats in, rats and, lice, locusts, cockroaches, dogs, pigs, cattle, weeds, a blight, a stain, a sore, poison, dirt, dregs, rabble, barbarians, devils, idle and, dirty and, filthy and, stupid and, lazy and, criminals, cowards by, cheats by, murderers by, beggars by, not fit to, not men, no better than, all thieves, all liars, all alike, a breed of, a race of, a nation of, a pack of, a people of, a tribe of, a brood of, a rotten")
+_HARM = _words("hunted, driven out, driven from, driven into, wiped from, wiped out, burned out, burnt out, exterminated, expelled, drowned, butchered, slaughtered, stamped out, rooted out, shipped off, put to the sword, put to death, hanged, whipped out, crushed, destroyed, deported, cast out, kept out, shot like, shot down, run out, thrown out, thrown into, turned out, sent back, sent home, cleared out, cleaned out, locked up, flogged, shot, chased out, chased from, swept out, swept from, swept into, cleansed, banished, strung up, killed, culled, put down, starved out, smoked out, burned, sterilised, penned, fenced, branded, kicked out, hounded out")
+_OURS = _words("country, town, towns, streets, schools, churches, homes, parish, shops, county, valley, land, markets, inns, wells, fields, villages, shores, trades, daughters, children, women, wives, cemetery, churchyard, halls, taverns, houses")
+_MUST = _words("they should be, they must be, they ought to be, they deserve to be, and ought to be, and should be, and must be, and deserve to be, let them be, all be, should all be, must all be, ought to be, deserve to be, have to be, need to be, want them, is to be, better if they were, until they are, till they are, until every one of them is")
+_DE_ARE = _words("ungeziefer, abschaum, untermenschen, ratten, parasiten, dreck, tiere, eine plage, eine seuche, eine pest, vieh, bestien, diebe, schmarotzer, gesindel, pack, keine menschen, kaum menschen, weniger als menschen, schweine, hunde, ein krebsgeschwür, läuse, eine schande, lügner und, faul und, minderwertig, ein fluch, unrat, heuschrecken, schädlinge")
+_DE_HARM = _words("ausgerottet, erschlagen, vertrieben, verjagt, hinausgeprügelt, aufgehängt, totgeschlagen, ausgemerzt, vernichtet, verbrannt, ersäuft, davongejagt, hinausgeworfen, hinausgejagt, fortgejagt, ausgewiesen, weggejagt, aus dem land gejagt, an den galgen, ins meer getrieben, in den fluss getrieben, ausgeräuchert, erschossen, eingesperrt, zertreten, ausgepeitscht, über die grenze gejagt")
+_FR_ARE = _words("de la vermine, des animaux, des parasites, des rats, des bêtes, la lie, une peste, une plaie, des sous hommes, de la racaille, des voleurs, des sauvages, des chiens, des porcs, des poux, un fléau, une race inférieure, une sale race, pas des hommes, pas des êtres humains, à peine humains, moins que des hommes, moins que des bêtes, une maladie, un cancer, de la pourriture, des barbares, des cafards, des nuisibles, des menteurs")
+_FR_HARM = _words("exterminer, chasser, pendre, brûler, expulser, jeter dehors, jeter à la mer, jeter à la rivière, noyer, égorger, abattre, écraser, éliminer, renvoyer, fouetter, bannir, massacrer, anéantir, fusiller, balayer, enfermer, mettre dehors, rayer de la carte, traquer")
+_ES_ARE = _words("alimañas, animales, parásitos, ratas, bestias, una plaga, una peste, escoria, infrahumanos, basura, ladrones, salvajes, perros, cerdos, piojos, una raza inferior, una mala raza, gentuza, chusma, menos que humanos, menos que hombres, menos que animales, un cáncer, una enfermedad, una maldición, bárbaros, cucarachas, sabandijas, mentirosos, apenas humanos, langostas")
+_ES_HARM = _words("exterminarlos, exterminar, echarlos, expulsarlos, matarlos, colgarlos, quemarlos, ahogarlos, fusilarlos, arrojarlos, tirarlos al, borrarlos del mapa, borrarlos, encerrarlos, azotarlos, desterrarlos, aplastarlos, barrerlos, eliminarlos, cazarlos, echarlos a palos, echarlos a todos, degollarlos, acabar con ellos, aniquilarlos")
 HATEFUL = (
-    (1.0, ("they are less than human", "they are vermin", "they are subhuman", "they are an inferior race", "kill them all", "exterminate them", "ausrotten soll man sie", "il faut les exterminer", "hay que exterminarlos", *_each("every last one of the {}", ("vermin", "savages", "mongrels")))),
+    (1.0, (
+        "they are less than human", "they are vermin", "they are subhuman", "they are an inferior race", "kill them all", "hang them all", "burn them all", "drown them all", "shoot them all", "exterminate them", "ausrotten soll man sie", "il faut les exterminer", "hay que exterminarlos", *_each("every last one of the {}", ("vermin", "savages", "mongrels")),
+        *_each("{} {}", _MUST[:10], _HARM), *_each("{} are {}", _NAMED, _ARE), *_each("{} sind {}", _NAMED, _DE_ARE), *_each("{} sont {}", _NAMED, _FR_ARE), *_each("{} son {}", _NAMED, _ES_ARE), *_each("{} {}", _words("filthy, dirty, stinking, thieving, lying, savage, verminous, accursed, godless, murdering"), _NAMED), *_each("dead {}", _NAMED), *_each("{} scum", _NAMED), *_each("{} filth", _NAMED), *_each("{} vermin", _NAMED), *_each("{} swine", _NAMED), *_each("death to the {}", _NAMED), *_each("mort aux {}", _NAMED), *_each("muerte a los {}", _NAMED), *_each("tod den {}", _NAMED),
+        *_each("the only good {}", _NAMED), *_each("nur ein toter {}", _NAMED), *_each("{} raus", _NAMED), *_each("fuera los {}", _NAMED), *_each("dehors les {}", _NAMED), *_each("rid of the {}", _NAMED), *_each("rid of every {}", _NAMED), *_each("burn the {}", _NAMED), *_each("hang the {}", _NAMED), *_each("drown the {}", _NAMED), *_each("drive the {}", _NAMED), *_each("hunt the {}", _NAMED), *_each("kill the {}", _NAMED), *_each("kill every {}", _NAMED), *_each("no {} should be allowed", _NAMED), *_each("no {} is fit", _NAMED), *_each("never trust a {}", _NAMED), *_each("i hate the {}", _NAMED), *_each("we hate the {}", _NAMED), *_each("despise the {}", _NAMED),
+    )),
     (0.7, (
-        "wiped from the map", "burned out of their homes", "hunted down like", "driven out with whips", "plague upon honest people", "must be exterminated", "must all die", "of their filthy race", "drive them out", "hang them all", "burn their houses", "death to the",
-        "sie ausrotten", "hinausgeprügelt", "gehören ausgerottet", "gehören erschlagen", "müssen ausgerottet werden", "les exterminer", "les chasser tous", "exterminarlos", "echarlos a todos", "muerte a los",
+        "wiped from the map", "burned out of their homes", "hunted down like", "driven out with whips", "plague upon honest people", "must be exterminated", "must all die", "of their filthy race", "drive them out", "throw them out", "run them out", "whip them out", "hunt them down", "root them out", "smoke them out", "burn them out", "cast them out", "send them back", "ship them back", "ship them off", "sweep them", "clear them out", "turn them out", "keep them out", "string them up", "hang the lot", "shoot the lot", "drown the lot", "burn the lot", "be rid of them", "rid ourselves of", "rid the town of", "rid the county of", "rid this country of", "rid this town of", "burn their houses", "burn their homes", "burn down their", "death to the", "cleanse the town", "cleanse the land", "cleanse this", "not one should be left", "not one of them should", "none of them should", "not one left alive", "until none are left", "until none is left", "until not one", "till not one", "until the last of them", "till the last of them", "the last of them is", "no mercy for",
+        "thieves by blood", "thieves by nature", "liars by blood", "liars by nature", "in their blood", "born to steal", "born to beg", "bred in filth", "breed in filth", "wallow in filth", "live like pigs", "live like animals", "live like rats", "breed like", "swarm like", "crawl like", "swarm over", "infest our", "infest the", "overrun our", "pollute our", "poison our", "taint our", "foul our", "steal our", "corrupt our", "a stain upon", "a stain on", "a blot on", "a curse on", "a curse upon", "a disease in", "a cancer in", "not fit to live", "unfit to live", "not fit to breathe", "unfit to live among", "no right to live", "have no right to", "have no soul", "have no souls", "no human feeling", "cannot be called human", "cannot be called men", "hardly human", "scarcely human", "lowest of races", "lowest of the", "an inferior", "inferior blood", "inferior people", "of inferior", "bad blood", "their dirty blood", "their filthy", "their stinking", "their dirty", "their thieving", "their lying", "their vile",
+        "suffered long enough", "put up with them", "time to be rid", "time we were rid", "the sooner they", "go back where they", "back where they came", "back to where they", "have no place", "no place among", "do not belong", "not welcome here", "not wanted here", "do not want them", "want none of them", "we want no", "let no honest", "let no decent", "no decent man", "no decent person", "no honest man would", "shut your doors to", "bar your doors to", "do not buy from", "do not trade with", "never do business", "never let one", "never give work", "never shake hands",
+        *_each("sie {}", _DE_HARM), *_each("gehören {}", _DE_HARM), *_each("gehört {}", _DE_HARM), *_each("müssen {}", _DE_HARM), *_each("alle {}", _DE_HARM), *_each("werden {}", _DE_HARM), "ausrotten", "man sollte sie alle", "man sollte sie", "man muss sie", "fort mit ihnen", "weg mit ihnen", "raus mit ihnen", "raus mit den", "fort mit den", "weg mit den", "nieder mit den", "aus unserer stadt", "aus unserem land", "aus unserem dorf", "in unserer stadt nichts", "haben hier nichts", "von natur aus diebe", "liegt ihnen im blut", "im blute", "minderwertige", "dieses volk", "diese brut", "dieses gesindel", "dieses pack",
+        *_each("les {}", _FR_HARM), *_each("tous les {}", _FR_HARM), *_each("il faut {}", _FR_HARM), *_each("devrait les {}", _FR_HARM), "dehors les", "mort aux", "à bas les", "qu'on les", "hors de chez nous", "hors de notre", "de notre pays", "de nos villes", "de notre ville", "voleurs de naissance", "voleurs par nature", "dans le sang", "cette race", "cette engeance", "sale race", "race maudite", "cette racaille", "cette vermine", "n'ont pas d'âme", "pas de place",
+        *_each("hay que {}", _ES_HARM), *_each("deberían {}", _ES_HARM), *_each("debemos {}", _ES_HARM), *_each("habría que {}", _ES_HARM), *_each("a {}", _ES_HARM), "muerte a los", "abajo los", "fuera de nuestro", "fuera de nuestra", "fuera de aquí", "de nuestro pueblo", "de nuestra tierra", "ladrones de nacimiento", "ladrones por naturaleza", "en la sangre", "esa raza", "esta raza", "raza maldita", "mala raza", "esa gentuza", "esa chusma", "esa escoria", "no tienen alma", "no merecen vivir", "no son humanos", "no son personas",
     )),
-    (0.6, (*_each("{} {}", _MUST, _HARM), *_each("they are {}", _ARE), *_each("sind {}", _DE_ARE), *_each("sont {}", _FR_ARE), *_each("son {}", _ES_ARE), "every last one of the", "never trust one of the", "until the last of the", "the only good", "has gone into the river")),
-    (0.5, (*_each("are {}", _ARE), *_each("is {}", ("vermin", "animals in coats", "less than human", "a plague upon", "subhuman")), *_each("must be {}", _HARM), "man woman and child", *_each("out of our {}", _OURS), *_each("no place in our {}", _OURS), *_each("hate the {}", ("whole race", "whole breed", "whole tribe")), "there will be no peace", "breed like rats", "breed like rabbits", "breed of thieves", "we do not want their kind", "go back where they came")),
-    (0.4, ("is filth they", "and always will be", "like foxes", "with whips", "out of their homes", "before the winter")),
+    (0.6, (*_each("{} {}", _MUST, _HARM), *_each("they are {}", _ARE), *_each("are all {}", _ARE), *_each("are nothing but {}", _ARE), *_each("are no better than {}", _BEAST), *_each("no better than {}s", _BEAST), *_each("sind {}", _DE_ARE), *_each("sont {}", _FR_ARE), *_each("ne sont que {}", _FR_ARE), *_each("son {}", _ES_ARE), *_each("no son más que {}", _ES_ARE), "every last one of the", "every last one of them", "never trust one of the", "never trust one of them", "until the last of the", "the only good", "into the river", "into the sea", "sind nichts als", "ne sont que des", "no son más que", "we say it plainly")),
+    (0.5, (*_each("are {}", _ARE), *_each("is {}", ("vermin", "animals in coats", "less than human", "a plague upon", "subhuman")), *_each("must be {}", _HARM), *_each("should be {}", _HARM), *_each("ought to be {}", _HARM), "man woman and child", "men women and children", *_each("out of our {}", _OURS), *_each("no place in our {}", _OURS), *_each("from our {}", _OURS), *_each("near our {}", _OURS), *_each("off our {}", _OURS), *_each("hate the {}", ("whole race", "whole breed", "whole tribe")), "whole race of", "whole breed of", "the whole tribe", "the whole pack", "the whole brood", "every one of them", "there will be no peace", "breed of thieves", "we do not want their kind", "their kind", "never trust", "like rats", "like vermin", "like dogs", "like wild beasts", "hasta el último", "jusqu'au dernier", "bis auf den letzten", "bis zum letzten", "niemals trauen", "traue keinem", "trau keinem", "ne faites jamais confiance", "nunca te fíes", "no te fíes", "no os fiéis", "ne vous fiez")),
+    (0.4, ("is filth they", "and always will be", "like foxes", "with whips", "out of their homes", "before the winter", "with dogs", "with fire", "with clubs", "at gunpoint")),
+    (0.4, (*_PEOPLE,), "people"),
+    (0.34, (*_ANY,), "people"),
 )
-_BARE, _PART = ("naked", "bare", "nude", "unclothed", "heaving", "quivering"), ("breasts", "breast", "bosom", "thighs", "thigh", "buttocks", "loins", "body", "flesh", "nipples", "hips", "belly")
-_WOMAN = ("woman", "women", "ladies", "lady", "girl of full age", "wife", "widow", "actress", "actresses", "couple", "couples", "lovers", "man and woman")
-_JOY = ("lust", "pleasure", "desire", "ecstasy", "delight", "passion", "rapture")
-_TOUCH = ("stroking", "fondling", "caressing", "kissing", "licking", "squeezing", "stroked", "fondled", "caressed", "kissed", "licked", "squeezed", "sucked", "hands on", "mouth on", "tongue on", "hand on")
+
+# Words of contempt or harm that count where a people is named.
+_MORE_HATE = (
+    (0.35, _words(
+        "vermin, thieves, thieving, liars, cheats, murderers, parasites, animals in, beasts, savages, mongrel, inferior, disease, pestilence, plague, filthy, stinking, stench, the scum, bastards, cowards and, swindlers, bloodsuckers, exterminate, extermination, wipe out, wiped out, drive out, driven out, driven from, expelled, banished, banish, deport, get rid of, got rid of, rid of, out of our, out of this, from our midst, in our midst, among us, among honest people, among decent people, honest people, decent people, honest folk, decent folk, christian folk, christian people, clean blood, pure blood, their blood, their race, their breed, the breed, of the race, hang them, burn them, drown them, shoot them, whip them, hunt them, beat them, flog them, drive them, hang every, burn every, shoot every, the gallows, the rope, the whip, the lash, with the lash, to the flames, at the stake, to the river, to the sea, over the border, across the border, beyond the border, never trust, trust none, trust no, hate, despise, loathe, detest, abhor, disgusting, loathsome, contempt, accursed, cursed race, god cursed, godless, soulless, no human, not human, half beast, worse than, lower than, no better than, nothing but, good for nothing, unfit to, not fit to, no right, has no place, have no place, no place here, must go, must leave, should leave, send them, sooner they, the sooner, once and for all, for good and all, to the last, every last, the last of the, dead than alive, better dead, let them starve, let them rot, let them drown, let them burn, rot in, close the doors, shut the doors, bar the doors, refuse them, do not serve, do not sell to, do not buy from, shun them, keep away from, lock up your, hide your, guard your, our daughters, our women, our children, honest woman safe, steal everything, steal anything, steal the, rob us, rob honest, cheat honest, cheat every, lie and steal, steal and lie, beg and steal, lie as they breathe, lie as soon as, swarm, infest, breed like, multiply like, crawl, creep into, spread like, poison the, wells, pigsty, kennel, sty, dunghill, cesspool, sewer, gutter, "
+        "ungeziefer, abschaum, gesindel, verbrecher, diebesvolk, diebe, lügner, betrüger, mörder, ratten, schweine, tiere, vertreiben, vertrieben, verjagt, ausrotten, vernichten, vernichtet, erschlagen, erhängt, aufhängen, aufgehängt, verbrennen, davonjagen, hinauswerfen, prügeln, geprügelt, peitschen, loswerden, verschwinden, minderwertig, unreines blut, seuche, hassen, verachten, verflucht, gestank, dreckig, aus der stadt, aus dem land, nicht trauen, keinem trauen, kein mensch, keine menschen, untermensch, unter uns, in unserer, "
+        "vermine, racaille, voleurs, menteurs, tricheurs, assassins, sauvages, animaux, parasites, peste, fléau, maladie, puanteur, puants, sales, chasser, chassés, expulser, expulsés, exterminer, pendre, pendus, brûler, brûlés, noyer, noyés, fusiller, fouetter, jeter dehors, dehors, hors de, débarrasser, disparaître, inférieure, sang impur, haïr, haïssons, mépriser, maudite, maudits, engeance, parmi nous, chez nous, jamais confiance, méfiez vous, nos filles, nos femmes, nos enfants, la potence, à coups de, jusqu'au dernier, honnêtes gens, "
+        "alimañas, escoria, ladrones, mentirosos, tramposos, asesinos, salvajes, bestias, parásitos, peste, plaga, enfermedad, hedor, apestan, sucios, echarlos, expulsar, expulsados, exterminar, colgar, colgados, quemar, quemados, ahogar, ahogados, fusilar, azotar, fuera de, librarnos de, desaparecer, inferior, sangre sucia, odiar, odiamos, despreciar, maldita, malditos, gentuza, chusma, entre nosotros, nunca confiar, no confíes, no os fiéis, nuestras hijas, nuestras mujeres, nuestros hijos, la horca, a palos, a latigazos, hasta el último, gente honrada, gente decente"
+    ), "contempt"),
+)
+HATEFUL += _MORE_HATE
+
+_BARE = _words("naked, bare, nude, unclothed, heaving, quivering, white, warm, full, soft, trembling, swelling, uncovered, exposed, ripe, smooth, round")
+_PART = _words("breasts, breast, bosom, thighs, thigh, buttocks, loins, body, flesh, nipples, hips, belly, bottom, skin, sex, member, legs, backside")
+_SURE = tuple(w for w in _BARE if w in ("naked", "nude", "unclothed", "uncovered", "heaving", "quivering"))
+_WOMAN = _words("woman, women, ladies, lady, girl of full age, girls of full age, wife, widow, actress, actresses, couple, couples, lovers, man and woman, men and women, beauties, models, figures, dancers, bathers, females, brides, nymphs, maids, ladies in, couples in")
+_JOY = _words("lust, pleasure, desire, ecstasy, delight, passion, rapture, wantonness, climax, joy, heat")
+_TOUCH = _words("stroking, fondling, caressing, kissing, licking, squeezing, stroked, fondled, caressed, kissed, licked, squeezed, sucked, sucking, kneading, kneaded, biting, bit, grasping, grasped, groping, groped, rubbing, rubbed, cupping, cupped, baring, bared, pinched, hands on, mouth on, tongue on, hand on, lips on, hands upon, mouth upon, tongue upon, hand upon, lips upon, hands over, fingers over, hand between, hands between, fingers between, mouth between, face between, tongue between, lips between, hand along, hands along, lips along, tongue along")
+_OF = _words("naked, nude, unclothed, undressed, stripped, half naked, disrobed, obliging, willing, fully undressed, entirely naked, quite naked")
+_SHOW = _words("photographs, pictures, prints, drawings, postcards, cards, views, engravings, plates, books, tales, stories, sketches, portraits, slides, studies")
+_LEWD = _words("lewd, obscene, erotic, indecent, naughty, spicy, racy, bawdy, smutty, salacious, lascivious, libidinous, licentious, voluptuous, pornographic, filthy, unchaste, immodest, wanton")
 SEXUAL = (
-    (1.0, (*_each("{} her {} {}", _TOUCH, ("naked", "bare", "nude", "heaving"), _PART), *_each("photographs of {} {}", ("naked", "nude", "unclothed", "undressed"), _WOMAN), *_each("pictures of {} {}", ("naked", "nude", "unclothed", "undressed"), _WOMAN), "thrust into her", "thrust himself into her", "entered her from behind", "brought her to climax", "lay coupled", "coupled naked", "copulating", "sexual intercourse with a")),
+    (1.0, (
+        *_each("{} her {} {}", _TOUCH, _BARE, _PART), *_each("{} his {} {}", _TOUCH, _SURE, _PART), *_each("{} of {} {}", _SHOW, _OF, _WOMAN), *_each("{} {}", _words("lewd, obscene, erotic, bawdy, smutty, pornographic, salacious, lascivious"), _SHOW), "thrust into her", "thrust himself into her", "thrust his", "thrusting into", "plunged into her", "entered her from behind", "entered her again", "took her from behind", "brought her to climax", "brought him to climax", "reached her climax", "reached his climax", "lay coupled", "coupled naked", "coupled like", "copulating", "copulated", "fornicating", "sexual intercourse with a", "the act of love with", "the carnal act", "carnal pleasures", "carnal delights", "took him in her mouth", "took him into her mouth", "took his member", "into her mouth", "inside her until", "deep inside her", "rode him until", "rode him naked", "sat astride him", "straddled him", "straddled her", "astride his", "wrapped her legs", "wrapped her thighs", "opened her legs", "opened her thighs", "parted her legs", "parted her thighs", "spread her legs", "spread her thighs", "spread wide her", "between her thighs", "between her naked", "his erect", "his stiff", "his swollen", "her wet sex", "her swollen", "spent himself", "spilled his seed", "his seed", "their naked bodies", "two naked bodies", "naked limbs", "naked in bed", "naked in his arms", "naked in her arms", "naked into bed", "naked on top", "naked upon him", "naked upon her", "naked beneath him", "naked beside him",
+        "nackt auf ihm", "nackt unter ihm", "nackt in seinen armen", "drang in sie ein", "in sie eindrang", "zwischen ihren schenkeln", "zwischen ihren beinen", "zwischen ihre schenkel", "zwischen ihre beine", "ihre nackten brüste", "ihre nackten schenkel", "ihren nackten körper", "ihren nackten leib", "spreizte die beine", "spreizte die schenkel", "spreizte ihre", "auf dem höhepunkt schrie", "zum höhepunkt", "unzüchtige bilder", "unzüchtige fotografien", "obszöne bilder", "bilder nackter", "fotografien nackter", "photographien nackter", "nackter damen", "nackter frauen", "nackte damen", "nackte frauen", "vereinigten sich nackt",
+        "entre ses cuisses", "entre les cuisses", "entre ses jambes", "la pénétra", "le prit en elle", "en elle jusqu", "ses seins nus", "ses cuisses nues", "son corps nu", "leurs corps nus", "ses fesses nues", "nue sur lui", "nue sous lui", "nue dans ses bras", "nus dans le lit", "écarta les cuisses", "écarta ses cuisses", "écarta les jambes", "photographies obscènes", "images obscènes", "photographies de femmes nues", "de femmes nues", "de dames nues", "femmes dévêtues", "dames dévêtues", "atteignit l'orgasme", "jouit dans", "la posséda", "la prit par derrière",
+        "entre sus muslos", "entre sus piernas", "entre los muslos", "la penetró", "penetró en ella", "dentro de ella", "sus pechos desnudos", "los pechos desnudos", "sus muslos desnudos", "los muslos desnudos", "su cuerpo desnudo", "el cuerpo desnudo", "sus senos desnudos", "desnuda sobre él", "desnuda bajo él", "desnuda en sus brazos", "desnudos en la cama", "abrió las piernas", "abrió los muslos", "fotografías obscenas", "estampas obscenas", "de mujeres desnudas", "de damas desnudas", "señoras desnudas", "llegó al clímax", "llegó al orgasmo", "la poseyó", "la montó",
+    )),
     (0.7, (
-        *_each("moaned with {}", _JOY), *_each("moaning with {}", _JOY), *_each("groaned with {}", _JOY), *_each("shuddered with {}", _JOY), *_each("gasped with {}", ("lust", "pleasure", "ecstasy")), *_each("writhed with {}", _JOY), *_each("writhed in {}", _JOY),
-        "begged to be taken", "cried out in climax", "between her legs", "between her thighs", "spread her legs", "her lover fondling", "her nipples", "his erect member", "hard member", "her wet lips", "his naked body", "lewd photographs", "obscene photographs", "obscene pictures", "erotic pictures", "made love to her naked",
-        "unclothed ladies", "naked ladies", "naked women", "undressed the grown", "stripped her naked", "stripped naked", "took her from behind", "mounted her",
-        "vor wollust", "vor lust stöhn", "stöhnte vor lust", "schrie vor lust", "gémissait de plaisir", "gémit de plaisir", "gémissant de plaisir", "cria de plaisir", "jouissait sous", "gimió de placer", "gemía de placer", "gritó de placer", "gimió de lujuria", "de lujuria", "gemía de lujuria",
+        *_each("moaned with {}", _JOY), *_each("moaning with {}", _JOY), *_each("groaned with {}", _JOY), *_each("groaning with {}", _JOY), *_each("shuddered with {}", _JOY), *_each("shuddering with {}", _JOY), *_each("gasped with {}", ("lust", "pleasure", "ecstasy", "desire")), *_each("panting with {}", _JOY), *_each("panted with {}", _JOY), *_each("trembled with {}", ("lust", "pleasure", "ecstasy", "desire")), *_each("writhed with {}", _JOY), *_each("writhed in {}", _JOY), *_each("writhing with {}", _JOY), *_each("writhing in {}", _JOY), *_each("cried out with {}", _JOY), *_each("cried out in {}", _JOY), *_each("cried out for {}", _JOY), *_each("screamed with {}", ("lust", "pleasure", "ecstasy", "desire")), *_each("sighed with {}", ("lust", "pleasure", "ecstasy", "desire")), *_each("spent with {}", _JOY), *_each("mad with {}", ("lust", "desire")), *_each("sick with {}", ("lust", "desire")), *_each("burning with {}", ("lust", "desire")), *_each("their {}", ("lust", "rutting", "coupling", "lovemaking")), *_each("his {}", ("lust", "naked", "manhood")), *_each("her {}", ("nipples", "naked", "buttocks", "bare", "loins", "climax")),
+        "begged to be taken", "begged him to take her", "begged for more", "begged him not to stop", "take her again", "took her again", "took her on the", "took her against", "took her in the", "had his way with", "lay with her", "lay with him", "lay upon her", "lay on top of", "between her legs", "between her breasts", "her wet lips", "her open thighs", "wet with desire", "wet with lust", "slick with", "made love to", "making love", "love to her", "naked ladies", "naked women", "naked girls", "naked bodies", "naked body", "naked flesh", "naked breasts", "unclothed ladies", "undressed ladies", "undressed women", "nude ladies", "nude women", "naked and", "stark naked", "lay naked", "stood naked", "stripped naked", "stripped her", "stripped her naked", "stripped him", "stripped to the skin", "tore off her", "tore open her", "undressed the grown", "undressed her", "undressed him", "undressed each other", "undressed slowly", "mounted her", "mounted him", "rode him", "rutting", "orgasm", "climaxed", "lovemaking", "intercourse", "fornication", "whorehouse", "brothel offers", "ladies of pleasure", "girls for hire", "willing ladies", "willing girls", "willing women", "obliging ladies", "obliging girls", "for his pleasure", "for their pleasure", "sensual pleasures", "pleasures of the flesh", "pleasures of the bed", "the pleasures of love", "with her tongue", "with his tongue", "with her mouth", "with his mouth", "his hard", "her lover fondling", "his lover", "let her gown fall", "let her shift fall", "let fall her", "unlaced her", "unbuttoned her", "lifted her skirts", "raised her skirts", "under her skirts", "beneath her skirts", "up her skirts", "beneath her shift", "under her shift", "pulled up her", "her bodice",
+        "vor wollust", "vor lust stöhn", "stöhnte vor", "stöhnten vor", "keuchte vor", "schrie vor lust", "vor lust schrie", "vor lust", "voller wollust", "voll wollust", "nackt auf", "nackt im bett", "ganz nackt", "splitternackt", "ihre brüste", "ihrer brüste", "seine zunge", "entkleidete sie", "entkleidete ihn", "zog sie aus", "zog sich aus", "streichelte ihre", "leckte ihre", "küsste ihre", "saugte an ihren", "knetete ihre", "fasste ihre", "nahm sie von hinten", "beischlaf", "geschlechtsverkehr", "unzüchtig", "wollüstig", "lüstern", "liebesspiel", "liebesakt", "aktbilder", "in umschlag verschlossen",
+        "gémissait de", "gémit de", "gémissant de", "gémissaient de", "cria de plaisir", "criait de plaisir", "hurla de plaisir", "frémit de plaisir", "frissonna de plaisir", "jouissait", "jouissance", "de volupté", "voluptueu", "ses seins", "les seins nus", "ses cuisses", "caressa ses", "caressait ses", "lécha ses", "suça ses", "baisa ses", "embrassa ses", "pétrit ses", "la déshabilla", "se déshabilla", "dévêtit", "toute nue", "entièrement nue", "femmes nues", "dames nues", "leurs ébats", "faire l'amour", "firent l'amour", "lascive", "lubrique", "obscène", "licencieu", "érotique",
+        "gimió de", "gemía de", "gimieron de", "gimiendo de", "gritó de placer", "gritaba de placer", "estremeció de placer", "de lujuria", "de éxtasis", "sus pechos", "sus muslos", "sus nalgas", "sus senos", "acarició sus", "acariciaba sus", "lamió sus", "chupó sus", "besó sus pechos", "besó los pechos", "besó sus muslos", "apretó sus", "la desnudó", "la desvistió", "se desnudó", "completamente desnuda", "toda desnuda", "mujeres desnudas", "damas desnudas", "hicieron el amor", "hacer el amor", "lascivo", "lasciva", "lujurioso", "lujuriosa", "obscen", "erótic", "lúbric", "voluptuos",
     )),
-    (0.6, (*_each("{} {}", _BARE, _PART), *_each("{} her", tuple(w for w in _TOUCH if w not in ("kissing", "kissed", "hand on"))), *_each("nackten {}", ("brüste", "schenkel", "körper", "busen", "leib", "hintern")), *_each("{} nus", ("seins", "corps")), "cuisses nues", "corps nu", "fesses nues", *_each("{} desnudos", ("pechos", "senos", "muslos")), "cuerpo desnudo", "küsste ihre nackten", "nackt auf ihm", "baisa ses seins", "besó sus pechos", "desnuda sobre él", "undressed her", *_each("{} naked", ("lay", "lying", "her", "his")), *_each("{} her skirts", ("lifted", "raised", "under", "beneath")), "parted her thighs", "unlaced her bodice", "voluptuous", *_each("{} her {}", _TOUCH, _PART), "let her gown fall", "the widow drew him down")),
-    (0.4, ("cabinet photographs", "sent sealed", "in plain wrapper", "for gentlemen only", "and twice she", "coupled till dawn")),
+    (0.6, (*_each("{} {}", _SURE, _PART), *_each("{} {}", ("bare", "white", "warm", "ripe"), ("breasts", "breast", "bosom", "thighs", "buttocks", "nipples", "hips")), *_each("{} her", tuple(w for w in _TOUCH if w not in ("kissing", "kissed", "hand on", "bit", "hand upon", "lips on", "lips upon", "hands on", "hands upon", "grasped", "grasping", "hand between", "rubbed", "rubbing"))), *_each("nackten {}", _words("brüste, schenkel, körper, busen, leib, hintern, arsch, schoß, hüften, leiber, po")), *_each("{} nus", _words("seins, corps, bras, hommes")), *_each("{} nues", _words("cuisses, fesses, jambes, hanches, épaules")), "corps nu", *_each("{} desnudos", _words("pechos, senos, muslos, cuerpos")), *_each("{} desnudas", _words("nalgas, piernas, caderas")), "cuerpo desnudo", *_each("{} naked", _words("lay, lying, her, his, both, was, were, stood")), *_each("{} her skirts", _words("lifted, raised, under, beneath, hitched, threw up")), "voluptuous", *_each("{} her {}", _TOUCH, _PART), *_each("{} {}", _LEWD, _SHOW), *_each("{} {}", _LEWD, _WOMAN), "the widow drew him down", "drew him down", "drew him into", "pulled him down", "pulled him into her bed", "into her bed", "into his bed", "to her bed")),
+    (0.4, ("cabinet photographs", "sent sealed", "in plain wrapper", "in plain wrappers", "plain cover", "plain envelope", "plain envelopes", "sealed envelope", "sealed wrapper", "under seal", "under cover", "for gentlemen only", "gentlemen only", "for adults only", "men only", "for men only", "for private use", "privately printed", "not for ladies", "discreetly sent", "in discretion", "strictest discretion", "strictest secrecy", "and twice she", "coupled till dawn", "till dawn", "until dawn", "all night long", "again and again", "gasped", "her lover", "the widow", "paramour", "mistress and", "bedchamber", "bedclothes", "sous pli fermé", "sous pli cacheté", "sous pli discret", "bajo sobre cerrado", "en sobre cerrado", "unter verschluss", "im geschlossenen umschlag", "diskret", "bis zum morgen", "jusqu'à l'aube", "hasta el alba", "hasta el amanecer", "die witwe", "la veuve", "la viuda", "ihr liebhaber", "ihr geliebter", "son amant", "su amante")),
 )
+
+_MORE_SEX = (
+    (0.7, _words(
+        "her legs around, her legs round, legs about him, thighs around, thighs about, up her petticoats, under her petticoats, beneath her petticoats, lifted her petticoats, raised her petticoats, beneath her chemise, under her chemise, off her chemise, took his pleasure, took her pleasure, took their pleasure, having his pleasure, rolled in the hay, kissed her all over, kissed every part, down her belly, down her naked, her nipple, the nipples, round his member, on her knees before him, gave herself to him, gave her body, surrendered her body, yielded her body, offered her body, enjoyed her body, his fingers inside, fingers inside her, tongue inside, dripping with, his hardness, his stiffness, her wetness, his manhood, her sex, orgies, an orgy, debauch, scenes of love between, acts of love, in the act of love, in every position, positions of love, without a stitch, not a stitch on, wearing nothing but, wore nothing but, nothing on but, dressed in nothing, clad in nothing, as eve, hot and naked, naked and panting, panting and naked, naked upon, naked across, naked against, naked beneath, naked under, naked over, naked on the, naked in the, naked before, naked to, bared her, bared his, baring her, cupped her, kneaded her, rode each other, bodies joined, bodies entwined, naked and entwined, joined their bodies, flesh against flesh, skin against skin, belly to belly, mouth on her, mouth to her, tongue on her, tongue in her, lips to her breast, lips on her breast, hand up her, hand inside her, hands inside her, bit her breast, bit her neck and, cried out for more, cried for more, begged for it, begged him to, moaning and, groaning and, groans of, moans of, cries of pleasure, cries of lust, sighs of pleasure, shivers of, waves of pleasure, spasm, shuddered under, shuddered beneath, moaned under, moaned beneath, bucking, rutted, coupled, copulation, "
+        "zog ihr die kleider, riss ihr das, hob ihre röcke, unter ihre röcke, unter ihren rock, ihre schenkel, die schenkel, ihrem schoß, ihren schoß, seinen schwanz, sein glied, steifes glied, ihre brustwarzen, nackt und, nackt vor, nackt über, nackt in, nackter haut, nackten haut, bis sie stöhnte, bis er stöhnte, stöhnend, lustvoll, geilheit, geile, orgie, hurenhaus, "
+        "sous ses jupes, sous sa jupe, releva ses jupes, retroussa, sa poitrine nue, poitrine nue, ses hanches nues, son sexe, sa langue, ses mamelons, ses tétons, râlait, râles de, haletante, haletait, à califourchon, le chevaucha, la chevaucha, s'offrit à, s'abandonna nue, dans tous ses, orgie, débauche, cartes postales galantes, scènes galantes, femmes faciles, filles faciles, filles de joie, plaisirs de la chair, nus et enlacés, nue contre, nue devant, nue et, "
+        "bajo sus faldas, bajo su falda, le levantó las faldas, levantó sus faldas, su sexo, su lengua, sus pezones, jadeaba, jadeando, jadeante, a horcajadas, se entregó desnuda, se ofreció desnuda, orgía, postales de mujeres, mujeres fáciles, placeres de la carne, desnudos y, desnuda y, desnuda ante, desnuda sobre, desnuda bajo, desnuda junto, desnuda contra, hasta que gimió, hasta que ella, gemidos de"
+    )),
+)
+_VULGAR_SEX = (
+    (1.0, _words("fucked her, fucked him, fucking her, fucking him, sucked his cock, sucking his cock, his hard cock, her wet pussy, her wet cunt, her tight pussy, her tight cunt, blowjob, cum in her, came inside her, licked her pussy, licked her cunt, fingered her, jerked him off, gangbang, porn videos, hardcore porn")),
+)
+SEXUAL += _MORE_SEX + _VULGAR_SEX
+
 # Wordings whose words are no offence there; they cancel every wording they overlap.
-_MEAT = ("mutton", "lamb", "veal", "pork", "beef", "ham", "venison", "chicken", "turkey", "goose", "fowl")
+_MEAT = _words("mutton, lamb, veal, pork, beef, ham, venison, chicken, turkey, goose, fowl, duck, hen, pheasant, partridge")
 EXCEPTIONS = (
-    *_each("{} of {}", ("thighs", "breast", "breasts", "loins"), _MEAT), *_each("{} {}", _MEAT, ("breast", "breasts", "thighs", "loins")), *_each("naked {}", ("barley", "oats", "flame", "light", "eye")),
-    *_each("{} him a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST), *_each("{} her a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST), *_each("{} the constable a {}", ("called", "calling"), _ADJ + _PERSON + _BEAST),
+    *_each("{} of {}", _words("thighs, breast, breasts, loins, legs, belly"), _MEAT), *_each("{} {}", _MEAT, _words("breast, breasts, thighs, loins, legs")), *_each("naked {}", _words("barley, oats, flame, light, eye, lights, truth, steel, sword, trees, branches, wall, walls, hills, rock, ladies growing")),
+    *_each("breast {}", _words("should be examined, of the hill, the waves, plough, wall, pocket, bone, the tape")), *_each("breasts {}", _words("should be examined, of robins, of the birds")), "robin's breast", "hen's breast",
+)
+# Frames of a report about such conduct; they cancel every wording that begins within REPORT_REACH letters after them.
+REPORT_REACH = 90
+REPORTS = (
+    *_each("{} {} a", _words("called, calling, call"), _words("him, her, them, the constable, the magistrate, the officer, the bailiff, the vicar, the policeman, the inspector, the clerk, the sergeant")),
+    *_words("was fined, were fined, charged with, was charged, summoned for, bound over for, accused of, was accused, convicted of, sentenced for, for threatening, for having threatened, for using, for shouting, for writing to, for sending, for publishing, for printing, for selling, condemned the, complained of, complained that, evidence that, witness said, defendant said, the prisoner said, alleged that, had threatened, it was alleged, apologised for, withdrew the words, wegen beleidigung, wurde verurteilt, wurde bestraft, angeklagt, condamné pour, accusé de, poursuivi pour, condenado por, acusado de, multado por"),
 )
 CATEGORIES = {"abusive": _clear(ABUSIVE), "hateful": _clear(HATEFUL), "sexual": _clear(SEXUAL)}

@@ -2,45 +2,84 @@
 
 A weighted lexicon is matched by an Aho-Corasick automaton over folded pages
 (homoglyphs, digit substitutions, misreadings, spaced and broken words make no
-difference). Exception wordings cancel what they overlap. What is left is
-added up within a window, so that words of different articles do not add up,
-and normalised by length.
+difference). Exception wordings cancel what they overlap, frames of a report
+what follows them closely. What is left is added up within a window, so that
+words of different articles do not add up, and normalised by length.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import CATEGORIES, EXCEPTIONS
-from .reading import fold, read_pages
+from .lexicon import CATEGORIES, EXCEPTIONS, REPORT_REACH, REPORTS
+from .reading import PLAIN, fold, plain, read_pages
 
 NAMES = tuple(CATEGORIES)
 
 
+_EXCEPTION, _REPORT = -1, -2
+
+
+class _Lengths(dict):
+    """A translation table that fills itself: plain letter to the number of its folded letters, as a character."""
+
+    def __missing__(self, point: int) -> str:
+        got = self[point] = chr(len(fold(chr(point))))
+        return got
+
+
+_LENGTHS = _Lengths()
+
+
 @lru_cache(maxsize=4)
 def _automaton():
     import ahocorasick
 
-    at: dict[str, list] = {}
+    at: dict[str, dict] = {}
     for c, groups in enumerate(CATEGORIES.values()):
-        for weight, wordings in groups:
+        for weight, wordings, slot in groups:
             for w in wordings:
-                at.setdefault(fold(w), []).append((c, weight))
-    for w in EXCEPTIONS:
-        at.setdefault(fold(w), []).append((-1, 0.0))
+                had, key = at.setdefault(fold(w), {}), (plain(w), c)
+                if weight > had.get(key, (0.0, None))[0]:
+                    had[key] = weight, slot
+    for kind, wordings in ((_EXCEPTION, EXCEPTIONS), (_REPORT, REPORTS)):
+        for w in wordings:
+            at.setdefault(fold(w), {})[plain(w), kind] = 0.0, None
     a = ahocorasick.Automaton()
     for k, (word, what) in enumerate(at.items()):
-        a.add_word(word, (k, len(word), what))
+        a.add_word(word, (len(word), tuple((p, c, slot or k, weight) for (p, c), (weight, slot) in what.items())))
     a.make_automaton()
     return a
 
 
+def misread(wording: str, read: str) -> int:
+    """How many letters of the plain ``wording`` are read as others that look alike; 99 if the two do not fold alike letter by letter."""
+    i = j = n = 0
+    while i < len(wording) and j < len(read):
+        x, y = wording[i], read[j]
+        if x != y:
+            n += 1
+            fx, fy = fold(x), fold(y)
+            if fx == fy:
+                pass
+            elif len(fx) > len(fy):
+                j += 1
+            elif len(fy) > len(fx):
+                i += 1
+            else:
+                return 99
+        i += 1
+        j += 1
+    return n if i == len(wording) and j == len(read) else 99
+
+
 def _outermost(hits: list[tuple]) -> list[tuple]:
     """``hits`` (start, end, number, weight) without those inside a longer one of at least their weight, which add nothing to it."""
     out: list[tuple] = []
@@ -53,31 +92,57 @@ def _outermost(hits: list[tuple]) -> list[tuple]:
     return out
 
 
-def score_folded(text: str, reach: int = 240) -> tuple[list[float], list[float]]:
-    """(most weight within ``reach`` letters, total weight) of each category, every wording counted once in a window."""
+def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
+    """(most weight within ``reach`` letters, total weight) of each category, every wording or slot counted once in a window.
+
+    Wordings are found in the folded text; a hit counts if at most one letter in six (one in a shorter wording) is misread.
+    """
     hits: list[tuple] = []
     free: list[tuple] = []
-    for end, (k, n, what) in _automaton().iter(text):
-        for c, w in what:
-            (free if c < 0 else hits).append((end - n + 1, end, k, c, w))
+    ends = None
+    for end, (n, what) in _automaton().iter(fold(text)):
+        if ends is None:
+            ends = np.cumsum(np.frombuffer(text.translate(_LENGTHS).encode("latin-1"), np.uint8), dtype=np.int64)
+        s, e = (int(x) for x in np.searchsorted(ends, (end - n + 1, end), "right"))
+        read = text[s : e + 1]
+        for p, c, k, w in what:
+            if p != read and misread(p, read) > max(1, len(p) // 6):
+                continue
+            if c >= 0:
+                hits.append((s, e, k, c, w))
+            else:
+                free.append((s, e) if c == _EXCEPTION else (e, e + REPORT_REACH))
     best, total = [0.0] * len(NAMES), [0.0] * len(NAMES)
     if not hits:
         return best, total
     if free:
-        hits = [h for h in hits if not any(h[0] <= f[1] and f[0] <= h[1] for f in free)]
+        hits = _kept(hits, free)
     for c in range(len(NAMES)):
         mine = [(s, e, k, w) for s, e, k, cc, w in hits if cc == c]
         total[c] = sum(w for *_, w in mine)
-        mine = sorted(_outermost(mine))
+        mine = sorted(_outermost(mine), key=lambda h: h[:2])
         lo = 0
         for hi in range(len(mine)):
             while mine[hi][0] - mine[lo][0] > reach:
                 lo += 1
-            best[c] = max(best[c], sum({k: w for _, _, k, w in mine[lo : hi + 1]}.values()))
+            each: dict = {}
+            for _, _, k, w in mine[lo : hi + 1]:
+                each[k] = max(each.get(k, 0.0), w)
+            best[c] = max(best[c], sum(each.values()))
     return best, total
 
 
-def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", reach: int = 240, threshold: float = 1.0, also: tuple[str, ...] = ()) -> DataFrame:
+def _kept(hits: list[tuple], free: list[tuple]) -> list[tuple]:
+    """``hits`` (start, end, ...) that overlap none of the stretches ``free``."""
+    free = sorted(free)
+    starts, far, top = [s for s, _ in free], [], -1
+    for _, e in free:
+        top = max(top, e)
+        far.append(top)
+    return [h for h in hits if not ((n := bisect_right(starts, h[1])) and far[n - 1] >= h[0])]
+
+
+def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", reach: int = 180, threshold: float = 0.7, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, the columns ``also``, and per category ``<name>`` (present), ``<name>_weight`` and ``<name>_per_1000`` (weight per 1,000 letters).
 
     Whole texts are read, however long; lines set larger than the body are scored by themselves. Null and empty texts score 0 and hold
@@ -92,11 +157,11 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", box
 
     def run(batches):
         for b in batches:
-            pages = [p.split("\n") for p in read_pages(b.column("_t").to_pylist(), b.column("_b"), large=True)]
+            pages = [p.split("\n") for p in read_pages(b.column("_t").to_pylist(), b.column("_b"), large=True, table=PLAIN)]
             out = {c: b.column(c) for c in cols}
             got = []
             for parts in pages:
-                best, total = zip(*[score_folded(p, reach) for p in parts])
+                best, total = zip(*[score_plain(p, reach) for p in parts])
                 got.append(([max(x) for x in zip(*best)], [sum(x) for x in zip(*total)], sum(map(len, parts))))
             for i, n in enumerate(NAMES):
                 out[n] = pa.array([g[0][i] >= threshold - 1e-9 for g in got], pa.bool_())
