@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 #: Where the public vocabulary lies; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
@@ -82,17 +84,19 @@ def pack(items: DataFrame, id: str = "doc_id", size: str = "n_tokens", capacity:
     like others. An empty table gives no rows.
 
     First-fit decreasing runs in randomised groups of about ``group_rows``
-    items (a hash of the id and ``seed``), whose number follows from the count
-    of all items; a group travels as (id, size) only.
+    items (a hash of ``seed``, the id and the row's number), whose number
+    follows from the count of all items; a group travels as (id, size) only.
+    The sizes are written once, so that no text is sized twice.
     """
-    n = items.count()
-    groups = max(1, -(-n // group_rows))
     kind = dict(items.dtypes)[id]
-    d = items.select(F.col(id).alias("_id"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("_size"))
-    d = d.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.col("_id").cast("string")), F.lit(groups)).cast("bigint"))
+    # Written once: counting the rows and packing them would otherwise size every text twice.
+    d = write_table(items.select(F.col(id).alias("_id"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("_size"), F.monotonically_increasing_id().alias("_row")))
+    groups = max(1, -(-d.count() // group_rows))
+    # The row's number joins the id, so that repeats of one id, and null ids, spread over all groups.
+    d = d.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.col("_id").cast("string"), F.col("_row")), F.lit(groups)).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "_size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["_id", "_size", "_row"], ignore_index=True)
         total = pdf["_size"].to_numpy().clip(min=0)
         full, rest = total // capacity, total % capacity
         pieces = np.maximum(full + (rest > 0), 1)

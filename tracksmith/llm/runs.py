@@ -31,24 +31,27 @@ class _Anchored:
         cols = ["_key", *[c.split()[0] for c in _STAY.split(", ")]]
         for pdf in batches:
             out: list = []
-            key, row, ts, lon, lat = (pdf[c].to_numpy() for c in ("_key", "row_id", "ts", "lon", "lat"))
-            chain = list(zip(key, pdf["_ct"].to_numpy(), pdf["_cr"].to_numpy()))
-            n, s = len(pdf), 0
-            while s < n:
-                e = s + 1
-                while e < n and chain[e] == chain[s]:
-                    e += 1
-                if chain[s] != self.at:
+            key, row, ts, lon, lat, ct, cr = (pdf[c].to_numpy() for c in ("_key", "row_id", "ts", "lon", "lat", "_ct", "_cr"))
+            n = len(pdf)
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ct[1:] != ct[:-1]) | (cr[1:] != cr[:-1])][:n])
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), n]):
+                chain = key[s], ct[s], cr[s]
+                if chain != self.at:
                     self._close(out)
-                    self.at = chain[s]
+                    self.at = chain
                 while s < e:
                     if self.open is None:
                         self.open = [key[s], row[s], row[s], ts[s], ts[s], 1, lon[s], lat[s]]
                         s += 1
                         continue
                     o = self.open
-                    away = np.flatnonzero(np_haversine(o[7], o[6], lat[s:e], lon[s:e]) > self.metres)
-                    stop = s + int(away[0]) if len(away) else e
+                    stop, ahead = s, 32
+                    while stop < e:  # in doubling steps, so that a chain cut often is not measured again to its end each time
+                        away = np.flatnonzero(np_haversine(o[7], o[6], lat[stop : min(e, stop + ahead)], lon[stop : min(e, stop + ahead)]) > self.metres)
+                        if len(away):
+                            stop += int(away[0])
+                            break
+                        stop, ahead = min(e, stop + ahead), 2 * ahead
                     if stop > s:
                         o[2], o[4], o[5] = row[stop - 1], ts[stop - 1], o[5] + stop - s
                     if stop < e:
