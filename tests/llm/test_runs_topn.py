@@ -74,3 +74,20 @@ def test_top_n_wide_ranges(spark):
         got = {r.i for r in top_n_per_group(df.drop("_salt"), "g", ORDER, n, arity=4096).collect()}
         assert got == {i for _, i in _top(pd.DataFrame(rows, columns=["g", "i", "v", "w"]), n)}, n
     assert top_n_per_group(df.limit(0), "g", ORDER, 3).count() == 0
+
+
+def test_top_n_kinds_and_ties(spark):
+    rows = [("a", 1, 2.7), ("a", 2, 2.3), ("a", 3, 2.9), ("a", 4, -1.5), ("a", 5, -1.25), ("b", 1, float("nan")), ("b", 2, 9.0), ("b", 3, 0.0), ("b", 4, -0.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, i int, x double").withColumn("f", F.col("x").cast("float")).withColumn("m", F.when(~F.isnan("x"), F.col("x")).cast("decimal(9,2)"))
+    best = lambda n, desc, c="x": sorted((r.g, r.i) for r in top_n_per_group(df, "g", [(c, desc)], n).collect())
+    assert best(1, True) == best(1, True, "f") == [("a", 3), ("b", 1)]
+    assert best(2, False) == [("a", 4), ("a", 5), ("b", 3), ("b", 4)]
+    assert best(1, True, "m") == [("a", 3), ("b", 2)]
+    assert best(0, True) == []
+    ties = spark.range(500).selectExpr("'t' g", "1.5D x", "id", "cast(null as string) `_g`")
+    first = {r.id for r in top_n_per_group(ties, "g", [("x", True)], 7).collect()}
+    assert len(first) == 7 and first == {r.id for r in top_n_per_group(ties.repartition(7), "g", [("x", True)], 7, arity=300, hot_rows=50).collect()}
+    dates = spark.sql("select 'g' g, date_add(date'2020-01-01', cast(id as int)) d, timestamp_micros(id) t, id % 2 = 0 e from range(9)")
+    assert [str(r.d) for r in top_n_per_group(dates, "g", [("e", True), ("d", True)], 1).collect()] == ["2020-01-09"] == [str(r.d) for r in top_n_per_group(dates, "g", [("t", True)], 1).collect()]
+    with pytest.raises(TypeError):
+        top_n_per_group(dates.withColumn("s", F.lit("x")), "g", [("s", True)], 1)
