@@ -4,7 +4,7 @@ import pytest
 
 from tracksmith.functions.geo import chord, np_haversine, np_unit_vectors
 from tracksmith.operators.sequences import number_runs
-from tracksmith.operators.trips import _Dwell, detect_stops, stretches, trips_between
+from tracksmith.operators.trips import _Dwell, _grow, _hull, detect_stops, spikes, stretches, trips_between
 from pyspark.sql import functions as F
 
 SCHEMA = "caid string, ping_id bigint, latitude double, longitude double, utc_us bigint"
@@ -109,3 +109,98 @@ def test_runs_over_bucket_borders(spark):
     d = number_runs(spark.createDataFrame(p), ["k"], ["t", "i"], F.floor(F.col("t") / 500), lambda a, b: b["t"] - a["t"] > 30, "run")
     got = d.select("i", F.col("run.i").alias("r")).toPandas().set_index("i")["r"]
     assert (got.loc[q["i"]].to_numpy() == q["want"].to_numpy()).all()
+
+
+def _plain_grow(i, xyz, r2, slack):
+    got, away, passed = [i], [], []
+    for j in range(i + 1, len(xyz)):
+        if (((xyz[got] - xyz[j]) ** 2).sum(1) <= r2).all():
+            got.append(j)
+            passed += away
+            away = []
+        else:
+            away.append(j)
+            if len(away) > slack:
+                break
+    return got, passed
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_grow_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = 900
+    lat, lon = 40 + rng.normal(0, 1.2e-4, n) + np.cumsum(rng.normal(0, 2e-6, n)), 179.9999 + rng.normal(0, 1.2e-4, n)
+    lat[rng.random(n) < 0.03] += 3e-4
+    xyz, r2 = np_unit_vectors(lat, lon), chord(50.0) ** 2
+    for i in range(0, n, 37):
+        got, passed = _grow(i, xyz, r2, 2, window=16 if seed % 2 else 256)
+        want, out = _plain_grow(i, xyz, r2, 2)
+        assert got.tolist() == want and passed.tolist() == out
+    some = rng.choice(n, 300, replace=False)
+    hull = _hull(xyz, some)
+    d = lambda a, b: ((xyz[a][:, None] - xyz[b][None]) ** 2).sum(2).max(1)
+    assert np.allclose(d(np.arange(n), hull), d(np.arange(n), some), rtol=0, atol=1e-20)
+
+
+def _still(n, every_s=1, share=0.02):
+    rng = np.random.default_rng(1)
+    off = rng.random(n) < share
+    lat, lon = 40 + rng.uniform(0, 2.5e-4, n), -70 + rng.uniform(0, 3e-4, n)
+    lat[off] += 3e-4
+    return pd.DataFrame({"caid": "a", "ping_id": np.arange(n), "session_us": 0, "utc_us": np.arange(n) * every_s * 1_000_000, "latitude": lat, "longitude": lon})
+
+
+def test_a_day_of_seconds():
+    import time
+
+    p = _still(86_400)
+    began = time.perf_counter()
+    got = pd.concat(list(_Dwell(50.0, 300.0, 2).run(p.iloc[i : i + 10_000] for i in range(0, len(p), 10_000))))
+    assert time.perf_counter() - began < 30
+    assert len(got) >= 1 and got["n_pings"].sum() > 80_000
+
+
+def test_memory_is_bounded():
+    p = _still(40_000, share=0.0)
+    one = _Dwell(50.0, 300.0, 2, most=3000)
+    out, most = [], 0
+    for i in range(0, len(p), 1000):
+        out.append(one.feed(p.iloc[i : i + 1000]))
+        most = max(most, one.held)
+    out.append(one.feed(None, final=True))
+    got, want = pd.concat(out), pd.concat(list(_Dwell(50.0, 300.0, 2).run(iter([p]))))
+    assert most <= 4000
+    cols = ["first_ping_id", "last_ping_id", "n_pings"]
+    assert got[cols].astype(int).values.tolist() == want[cols].astype(int).values.tolist() == [[0, 39_999, 40_000]]
+    assert np.allclose(got[["latitude", "longitude", "path_end_m"]].astype(float), want[["latitude", "longitude", "path_end_m"]].astype(float), atol=1e-6)
+    w = _walk(5, 3000).assign(caid="a", session_us=0)
+    w["ping_id"] = np.arange(len(w))
+    a, b = (pd.concat(list(_Dwell(50.0, 300.0, 2, most=m).run(w.iloc[i : i + 50] for i in range(0, len(w), 50)))) for m in (60, 10**6))
+    assert a[["first_ping_id", "last_ping_id"]].values.tolist() == b[["first_ping_id", "last_ping_id"]].values.tolist()
+
+
+def test_spikes_add_nothing_to_trips(spark):
+    s, rows = 1_000_000, []
+    for k, lat in enumerate((40.0, 40.01)):
+        rows += [("a", 100 * k + j, lat, -70.0, (k * 3000 + t) * s) for j, t in enumerate((0, 200, 400))]
+    rows += [("a", 10 + j, 40.0 + 0.001 * j, -70.0, (1000 + 100 * j) * s) for j in range(1, 10)]
+    plain_ = trips_between(detect_stops(spark.createDataFrame(rows, SCHEMA))).first()
+    noisy = rows + [("a", 50, 40.3, -70.0, 1450 * s), ("a", 51, 40.0, -70.4, 1650 * s), ("a", 52, 40.0, -70.4, 1660 * s), ("a", 53, 41.0, -70.0, 100 * s)]
+    got = trips_between(detect_stops(spark.createDataFrame(noisy, SCHEMA))).first()
+    assert abs(plain_.distance_m - 1112) < 2 and abs(got.distance_m - plain_.distance_m) < 1 and got.observed
+    x = np_unit_vectors(np.array([40.0, 40.0, 40.3, 40.001, 40.002, 40.01]), np.full(6, -70.0))
+    assert spikes(x, np.zeros(6), 50.0).tolist() == [False, False, True, False, False, False]
+
+
+def test_trips_against_brute_force():
+    for seed in range(4):
+        p = _walk(seed, 800).assign(caid="a", session_us=0)
+        p["ping_id"] = np.arange(len(p))
+        stops = pd.concat(list(_Dwell(50.0, 300.0, 2).run(p.iloc[i : i + 97] for i in range(0, len(p), 97))))
+        xyz = np_unit_vectors(p["latitude"], p["longitude"])
+        kept = np.flatnonzero(~spikes(xyz, np.zeros(len(p)), 50.0))
+        lat, lon = p["latitude"].to_numpy()[kept], p["longitude"].to_numpy()[kept]
+        path = np.r_[0, np.cumsum(np_haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]))]
+        upto = lambda i: path[np.searchsorted(kept, i, "right") - 1]
+        for first, last, a, z in stops[["first_ping_id", "last_ping_id", "path_start_m", "path_end_m"]].astype(float).values:
+            assert abs(upto(first) - a) < 1e-3 and abs(upto(last) - z) < 1e-3
