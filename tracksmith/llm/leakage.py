@@ -10,7 +10,7 @@ words of the passage.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, write_table
-from .reading import PAIRS, PLAIN, fold, plain, read_pages
+from .reading import PAIRS, PLAIN, fold, fold_ends, plain, read_pages
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -129,8 +129,9 @@ class Page:
     def between(self, start: int, end: int) -> str:
         """The plain letters behind the folded ones from ``start`` to ``end``."""
         if self._at is None:
-            self._at = [0, *accumulate(len(fold(c)) for c in self.letters)]
-        return self.letters[bisect_right(self._at, start) - 1 : bisect_left(self._at, end)]
+            self._at = fold_ends(self.letters)
+        s, e = np.searchsorted(self._at, (start, end - 1), "right") if end > start else (0, -1)
+        return self.letters[s : e + 1]
 
 
 class Passage:
@@ -141,10 +142,15 @@ class Passage:
         self.words = [fold(w) for w in self.plain]
         self.text = "".join(self.words)
         self.starts = [0, *accumulate(map(len, self.words))]
+        self.back = [w[::-1] for w in self.words]
 
     def _after(self, page: str, i: int, word: str, pairs: frozenset, sure: bool) -> list[int]:
         """Where in ``page`` the reading of ``word`` at i may end, if one of its letters is misread, lost or added; added before it only if the word before was ``sure``."""
         n, p = len(word), 0
+        half = n // 2
+        # One letter (two folded ones at most) leaves the first half whole but for its end, or the second half a little moved.
+        if not page.startswith(word[: half - 1], i) and word[half:] not in page[max(0, i + half - 2) : i + n + 2]:
+            return []
         while p < n and i + p < len(page) and page[i + p] == word[p]:
             p += 1
         out = []
@@ -169,10 +175,16 @@ class Passage:
         Where it is not sure at which place such a word ends, all are followed.
         ``seen`` gets (place, number) of the word borders passed.
         """
-        text, words, n, at, got, pairs = page.folded if step > 0 else page.back, self.words, len(self.words), [i], 0, _PAIR_CODES[step]
-        size, sure = len(text), True
+        text, words = (page.folded, self.words) if step > 0 else (page.back, self.back)
+        n, got, size, sure = len(words), 0, len(text), True
+        while 0 <= j < n and text.startswith(words[j], i):  # as far as nothing is misread
+            i += len(words[j])
+            got += 1
+            j += step
+            seen.add((i, j) if step > 0 else (size - i, j + 1))
+        at, pairs = [i], _PAIR_CODES[step]
         while 0 <= j < n:
-            w = words[j] if step > 0 else words[j][::-1]
+            w = words[j]
             there = [a + len(w) for a in at if text.startswith(w, a)]
             exact = bool(there)
             if not exact and len(self.plain[j]) >= least:
@@ -339,18 +351,19 @@ def find_leaks(
         doc_type = None
         for b in batches:
             doc_type = b.schema.field("_id").type
-            is_page = b.column("_page").is_valid().to_pylist()
-            rids, pks, ps, qs = (b.column(c).to_pylist() for c in ("_rid", "_pk", "_p", "_q"))
-            for n, first in enumerate(is_page):
-                if first:
+            is_page = np.asarray(b.column("_page").is_valid())
+            rids, pks, ps, qs = (np.asarray(b.column(c).fill_null(0)) for c in ("_rid", "_pk", "_p", "_q"))
+            new = np.flatnonzero(np.r_[True, (rids[1:] != rids[:-1]) | (pks[1:] != pks[:-1]) | is_page[1:] | is_page[:-1]][: len(rids)]).tolist()
+            for n, end in zip(new, [*new[1:], len(rids)]):
+                if is_page[n]:
                     close()
                     rid, pk, page, doc = rids[n], None, Page(b.column("_page")[n].as_py()), b.column("_id")[n].as_py()
                     continue
-                if pks[n] != pk or rids[n] != rid:
+                if pk is None or pks[n] != pk or rids[n] != rid:
                     close()
-                    pk = pks[n]
+                    pk = int(pks[n])
                     words = _passage(texts[pk] if texts is not None else b.column("_passage")[n].as_py())
-                held.append((ps[n], qs[n]))
+                held += zip(ps[n:end].tolist(), qs[n:end].tolist())
             if out:
                 yield frame()
         close()

@@ -53,6 +53,22 @@ def fold(text: str) -> str:
     return text.translate(_TABLE) if text else ""
 
 
+class _Lengths(dict):
+    """A translation table that fills itself: plain letter to the number of its folded letters, as a character."""
+
+    def __missing__(self, point: int) -> str:
+        got = self[point] = chr(len(fold(chr(point))))
+        return got
+
+
+_LENGTHS = _Lengths()
+
+
+def fold_ends(letters: str) -> np.ndarray:
+    """How many folded letters the first, the first two, ... plain ``letters`` make."""
+    return np.cumsum(np.frombuffer(letters.translate(_LENGTHS).encode("latin-1"), np.uint8), dtype=np.int64)
+
+
 def column_order(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, height: np.ndarray, gutter: int = 200, larger: float = 1.08, large: bool = False) -> np.ndarray:
     """Line numbers of the bodies (or with ``large`` of the larger lines) of all pages, page by page in reading order. ``page`` numbers the page of each line and does not decrease.
 

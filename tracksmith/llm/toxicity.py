@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import CATEGORIES, EXCEPTIONS, REPORT_REACH, REPORTS
-from .reading import PLAIN, fold, plain, read_pages
+from .reading import PLAIN, fold, fold_ends, plain, read_pages
 
 NAMES = tuple(CATEGORIES)
 
@@ -27,17 +27,6 @@ NAMES = tuple(CATEGORIES)
 _EXCEPTION, _REPORT = -1, -2
 
 
-class _Lengths(dict):
-    """A translation table that fills itself: plain letter to the number of its folded letters, as a character."""
-
-    def __missing__(self, point: int) -> str:
-        got = self[point] = chr(len(fold(chr(point))))
-        return got
-
-
-_LENGTHS = _Lengths()
-
-
 @lru_cache(maxsize=4)
 def _automaton():
     import ahocorasick
@@ -102,7 +91,7 @@ def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
     ends = None
     for end, (n, what) in _automaton().iter(fold(text)):
         if ends is None:
-            ends = np.cumsum(np.frombuffer(text.translate(_LENGTHS).encode("latin-1"), np.uint8), dtype=np.int64)
+            ends = fold_ends(text)
         s, e = (int(x) for x in np.searchsorted(ends, (end - n + 1, end), "right"))
         read = text[s : e + 1]
         for p, c, k, w in what:
