@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.functions.timestamps import normalize_timestamps
 
-LOOKUP = [(1, " america/new_york ", "MM/dd/yyyy hh:mm:ss a"), (2, "Europe/Berlin", "dd/MM/yyyy HH:mm:ss"), (3, "+05:30", "UNIX"), (4, None, "yyyy-MM-dd HH:mm:ss"), (5, "Asia/Kolkata", None)]
+LOOKUP = [(1, " america/new_york ", "MM/dd/yyyy hh:mm:ss a"), (2, "Europe/Berlin", "dd/MM/yyyy HH:mm:ss"), (3, "+05:30", "UNIX"), (4, None, "yyyy-MM-dd HH:mm:ss"), (5, "Asia/Kolkata", None), (6, "Europe/Moscow", None)]
 
 
 def us(*a):
@@ -45,6 +45,14 @@ CASES = [
     (1, "0000-00-00 00:00:00", None, "invalid"),
     (1, "2020-06-", None, "invalid"),
     (1, "N/A", None, "invalid"),
+    (6, "2020-06-01 12:00:00 MSK", us(2020, 6, 1, 9), "ok"),
+    (6, "2012-06-01 12:00:00 MSK", us(2012, 6, 1, 8), "ok"),
+    (6, "2014-10-26 01:30:00 MSK", None, "invalid"),
+    (6, "1850-06-01T12:00:00Z", us(1850, 6, 1, 12), "ok"),
+    (6, "9999-12-31T00:00:00Z", us(9999, 12, 31), "ok"),
+    (6, "-86400", -86_400_000_000, "ok"),
+    (6, "-86400.5", -86_400_500_000, "ok"),
+    (6, "-", None, "invalid"),
     (1, "9" * 5000, None, "invalid"),
     (1, "  ", None, "missing"),
     (1, None, None, "missing"),

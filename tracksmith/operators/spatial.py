@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import R_MEAN_M, chord, np_unit_vectors
+from ..session import broadcast_if_small, write_table
 
 
 class KdSplits:
@@ -23,7 +24,7 @@ class KdSplits:
 
     def __init__(self, sample: np.ndarray, leaves: int):
         self.nodes: list[tuple] = []
-        self.leaves = 0
+        self.leaves, self._axis = 0, None
         self._build(sample, leaves)
 
     def _build(self, pts: np.ndarray, leaves: int) -> int:
@@ -46,19 +47,19 @@ class KdSplits:
 
     def assign(self, xyz: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, owned): each row once in the leaf that owns it and once in each further leaf within ``reach``."""
-        out, stack = [], [(0, np.arange(len(xyz)), np.ones(len(xyz), bool))]
-        while stack:
-            at, idx, own = stack.pop()
-            if not len(idx):
-                continue
-            axis, value, left, right = self.nodes[at]
-            if axis < 0:
-                out.append((idx, np.full(len(idx), value, np.int64), own))
-                continue
+        if self._axis is None:
+            self._axis, self._value, self._left, self._right = (np.array(c) for c in zip(*self.nodes))
+        axis_of, value_of, left_of, right_of = self._axis.astype(int), self._value, self._left, self._right
+        idx, at, own, out = np.arange(len(xyz)), np.zeros(len(xyz), np.int64), np.ones(len(xyz), bool), []
+        while len(idx):  # all rows go down one level at a time
+            axis, value = axis_of[at], value_of[at]
+            end = axis < 0
+            if end.any():
+                out.append((idx[end], value[end].astype(np.int64), own[end]))
+                idx, at, own, axis, value = idx[~end], at[~end], own[~end], axis[~end], value[~end]
             x = xyz[idx, axis]
-            lo, hi = x < value + reach, x >= value - reach
-            stack.append((left, idx[lo], own[lo] & (x[lo] < value)))
-            stack.append((right, idx[hi], own[hi] & (x[hi] >= value)))
+            lo, hi, low = x < value + reach, x >= value - reach, x < value
+            idx, at, own = np.r_[idx[lo], idx[hi]], np.r_[left_of[at[lo]], right_of[at[hi]]], np.r_[own[lo] & low[lo], own[hi] & ~low[hi]]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         return tuple(np.concatenate(p) for p in zip(*out))
@@ -123,11 +124,11 @@ class KdTree:
             yield i[~twice], j[~twice]
 
 
-def _sample(df: DataFrame, id: str, lat: str, lon: str, rows: int) -> tuple[np.ndarray, int]:
-    n = df.count()
-    keep = max(1, int(1e6 * min(1.0, rows / max(n, 1))))
-    got = df.where(F.pmod(F.xxhash64(F.col(id)), F.lit(1_000_000)) < keep).select(lat, lon).limit(2 * rows).toPandas()
-    return np_unit_vectors(got[lat], got[lon]) if len(got) else np.zeros((0, 3)), n
+def _sample(df: DataFrame, id: str, lat: str, lon: str, rows: int, n: int) -> np.ndarray:
+    """Unit vectors of about ``rows`` of the ``n`` rows, at most twice as many."""
+    keep = min(1.0, rows / max(n, 1))
+    got = df.where(F.pmod(F.xxhash64(F.col(id)), F.lit(1_000_000_000)) < int(1e9 * keep) + 1).select(lat, lon).limit(2 * rows).toPandas()
+    return np_unit_vectors(got[lat], got[lon]) if len(got) else np.zeros((0, 3))
 
 
 def near_pairs(
@@ -138,7 +139,7 @@ def near_pairs(
     different: str,
     part_rows: int = 20_000,
     sample_rows: int = 40_000,
-    max_parts: int = 4096,
+    max_parts: int = 65_536,
 ) -> DataFrame:
     """(a, b), a < b: rows whose ``different`` values differ and whose every position pair is at most ``metres`` apart.
 
@@ -148,10 +149,14 @@ def near_pairs(
     unique and not null (null ids are left out). Repeated rows under one id are
     one row. An empty table gives no pairs.
 
-    The split tree is fitted on at most 2 x ``sample_rows`` sampled rows; every
-    row is indexed. A part that cannot be split, because many rows share a
-    place, is cut into blocks of at most about ``part_rows`` rows that are
-    compared block by block, so no task holds more than two blocks.
+    The split tree is fitted on about ``sample_rows`` sampled rows, or 20 for
+    each part where that is more (a bounded sample, as there are at most
+    ``max_parts`` parts); every row is indexed. Parts hold about ``part_rows``
+    rows, and more where there would be over ``max_parts`` of them (about
+    150,000 at 10 billion rows): they grow, their rows are not copied. A part
+    of over three times that, which the tree cannot split because many rows
+    share a place, is cut into blocks that are compared block by block, so no
+    task holds more than two blocks.
     """
     cols = [c for p in positions for c in p]
     ok = F.col(id).isNotNull()
@@ -160,8 +165,10 @@ def near_pairs(
     at = [F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]
     d = df.where(ok).select(F.col(id), F.col(different).alias("_diff"), *at).dropDuplicates([id])
     reach = chord(metres)
-    sample, n = _sample(d, id, "_p0", "_p1", sample_rows)
-    tree = KdSplits(sample, int(min(max_parts, max(1, n // part_rows))))
+    n = d.count()
+    parts = int(min(max_parts, max(1, n // part_rows)))
+    part_rows = max(part_rows, -(-n // parts) if parts == max_parts else 0)
+    tree = KdSplits(_sample(d, id, "_p0", "_p1", max(sample_rows, 20 * parts), n), parts)
     kind = dict(d.dtypes)
     shape = f"_leaf bigint, _own boolean, `{id}` {kind[id]}, _label bigint, " + ", ".join(f"_p{i} double" for i in range(len(cols)))
     label = F.when(F.col("_diff").isNull(), F.xxhash64(F.lit("null"), F.col(id))).otherwise(F.xxhash64("_diff"))
@@ -172,7 +179,7 @@ def near_pairs(
             row, leaf, own = tree.assign(np_unit_vectors(pdf["_p0"], pdf["_p1"]), reach * (1 + 1e-9))
             yield pdf.iloc[row].assign(_leaf=leaf, _own=own)[["_leaf", "_own", *pdf.columns]]
 
-    sent = d.mapInPandas(send, shape)
+    sent = write_table(d.mapInPandas(send, shape))  # counted and read again
     crowded = sent.groupBy("_leaf").count().where(F.col("count") > 3 * part_rows)  # at most max_parts rows
     blocks = crowded.select(F.col("_leaf").alias("_cl"), F.ceil(F.col("count") / part_rows).cast("int").alias("_n"))
     sent = sent.join(F.broadcast(blocks), F.col("_leaf") == F.col("_cl"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
@@ -229,7 +236,7 @@ def sweep_regions(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> list
     return out
 
 
-def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: DataFrame, region: str = "region_id", ring: str = "ring", tile_deg: float = 1.0, max_corners: int = 200_000) -> DataFrame:
+def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: DataFrame, region: str = "region_id", ring: str = "ring", tile_deg: float = 1.0, max_corners: int = 200_000, fine_tiles: int = 8, tile_points: int = 200_000) -> DataFrame:
     """(``id``, ``region``) for every point inside a region.
 
     ``ring`` is an array of structs (lng, lat), not closed, not crossing the
@@ -239,7 +246,9 @@ def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: D
     points give repeated rows; empty tables give no rows. Both sides meet in
     tiles of ``tile_deg``; the points of a tile stream through the sweep in
     Arrow batches. Regions are sent to the tasks if they have at most
-    ``max_corners`` corners, counted once per tile; else both are joined by tile.
+    ``max_corners`` corners, counted once per tile; else both meet in tiles of
+    an eighth (``fine_tiles``) of that width, and the points of a tile with more than
+    ``tile_points`` are spread over several tasks.
     """
     r = regions.where(F.size(ring) >= 3).select(F.col(region).alias("_r"), F.col(ring).alias("_ring"))
     edge = lambda f, c: F.floor(f(F.transform("_ring", lambda p: p[c])) / tile_deg).cast("int")
@@ -271,13 +280,20 @@ def points_in_regions(points: DataFrame, id: str, lat: str, lon: str, regions: D
                         yield from inside(g, tiles[tile])
 
         return p.mapInPandas(sweep_all, shape)
-    r = r.groupBy("_ty", "_tx").agg(F.collect_list(F.struct("_r", "_ring")).alias("_rings"))
-    p = p.withColumn("_ty", F.floor(F.col("_lat") / tile_deg).cast("int")).withColumn("_tx", F.floor(F.col("_lon") / tile_deg).cast("int"))
-    j = p.join(r, ["_ty", "_tx"]).select(id, "_lat", "_lon", F.xxhash64("_ty", "_tx").alias("_t"), "_rings")
+    # Many regions: finer tiles, and the points of a full tile in several tasks, each of which gets the tile's rings once.
+    fine = tile_deg / fine_tiles
+    edge = lambda f, c: F.floor(f(F.transform("_ring", lambda p: p[c])) / fine).cast("int")
+    r = regions.where(F.size(ring) >= 3).select(F.col(region).alias("_r"), F.col(ring).alias("_ring"))
+    r = r.withColumn("_ty", F.explode(F.sequence(edge(F.array_min, "lat"), edge(F.array_max, "lat"))))
+    r = r.withColumn("_tx", F.explode(F.sequence(edge(F.array_min, "lng"), edge(F.array_max, "lng"))))
+    p = p.withColumn("_ty", F.floor(F.col("_lat") / fine).cast("int")).withColumn("_tx", F.floor(F.col("_lon") / fine).cast("int"))
+    full = broadcast_if_small(p.groupBy("_ty", "_tx").agg(F.ceil(F.count(F.lit(1)) / tile_points).cast("int").alias("_n")).where("_n > 1"))
+    key = ["_ty", "_tx", "_s"]
+    p = p.join(full, ["_ty", "_tx"], "left").withColumn("_s", F.pmod(F.xxhash64(id, "_lat", "_lon"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    r = r.join(full, ["_ty", "_tx"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, g in pdf.groupby("_t", sort=False):
-                yield from inside(g, [(one["_r"], np.array([(q["lng"], q["lat"]) for q in one["_ring"]], float)) for one in g["_rings"].iloc[0]])
+    def sweep(pts: pd.DataFrame, rings: pd.DataFrame) -> pd.DataFrame:
+        got = list(inside(pts, [(n, np.array([(q["lng"], q["lat"]) for q in xy], float)) for n, xy in zip(rings["_r"], rings["_ring"])])) if len(pts) else []
+        return pd.concat(got, ignore_index=True) if got else pd.DataFrame({id: pts[id].iloc[:0], region: rings["_r"].iloc[:0]})
 
-    return j.mapInPandas(sweep, shape)
+    return p.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(sweep, shape)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import normalize_timestamps
-from ..operators.skew import aggregate_by_key, heavy_hitters
+from ..operators.skew import aggregate_by_key
 from ..operators.spatial import near_pairs, points_in_regions
 from ..operators.trips import detect_stops, trips_between
 from ..session import write_table
@@ -42,7 +42,8 @@ def p4_trips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_hitters(table(spark, d, "raw_pings"), "caid", 0.02).select("caid")
+    counts = aggregate_by_key(table(spark, d, "raw_pings"), "caid", {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, share=0.02, salt_on="ping_id")
+    return counts.where("heavy").select("caid")
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
