@@ -137,10 +137,10 @@ def test_daily_model_keeps_its_users(spark):
 def test_daily_model_simulates_every_user(spark):
     users = [f"u{i:03d}" for i in range(60)]
     m = daily.TimeGeo(num_days=1, seed=2)
-    params = spark.createDataFrame([(u, 5, 5, 10.0, True, [60, 61]) for u in users], "caid string, b1 int, b2 int, nw double, regular boolean, work_slots array<int>")
+    params = spark.createDataFrame([(u, 5, 5, 10.0, True, [60, 61]) for u in users], "caid string, b1 int, b2 int, nw double, regular boolean, work_slots array<int>").withColumn("is_commuter", F.lit(True))
     places = spark.createDataFrame([(u, k, n, 1, -118.0 + 0.01 * i, 34.0 + 0.1 * k) for i, u in enumerate(users) for k, n in enumerate("hw")], "caid string, place int, kind string, count bigint, longitude double, latitude double")
     pool = spark.range(200_001).selectExpr("-119.0 + (id % 501) / 250 longitude", "33.0 + (id % 499) / 250 latitude")
-    m.fitted = {"params": params, "places": places, "pool": pool, "pattern": daily.default_activeness()}
+    m.fitted = {"params": params, "places": places, "pool": pool, "patterns": np.stack([np.outer(*daily.default_activeness())] * 2)}
     g = m.generate().toPandas()
     assert sorted(set(g.user)) == users and len(g) == 60 * 144 and "o" in set(g.location_type)
     assert sorted(set(m.generate(7).toPandas().user)) == users[:7]
@@ -161,10 +161,102 @@ def test_pool_against_sorting(n):
             assert abs(((pool.xyz[pool.nth(at, k)] - at) ** 2).sum() - d[k]) < 1e-15
 
 
-def test_cdf_area_and_pattern():
-    x = np.arange(10.0)
-    assert daily.cdf_area(x, x) == 0 and daily.cdf_area(x, np.zeros(0)) == 1 and daily.cdf_area(np.zeros(9), np.ones(9)) > 0.5
-    assert abs(daily.default_activeness().sum() - 1) < 1e-9
+def _plain_candidate(rng, n1, n2, t0, t1, work):
+    """The surveyed process, one step after another."""
+    now, at, out = t0, 1, [(t0, 1)]
+    while True:
+        now += 600 + int(rng.integers(-300, 300))
+        if now >= t1:
+            return out
+        s = now % 86_400 // 600
+        if at == 1:
+            if rng.random() < np.exp(-n1 * (abs(s - 72) / 144) ** n2):
+                at = 2 if work and rng.random() < 0.6 else 3
+                out.append((now, at))
+        elif rng.random() < (0.3 if at == 3 or not 9 <= s * 600 // 3600 <= 17 else 0.05):
+            if rng.random() < 0.7:
+                at = 1
+            elif work and at != 2 and rng.random() < 0.4:
+                at = 2
+            else:
+                at = 3
+            out.append((now, at))
+
+
+@pytest.mark.parametrize("work", [True, False])
+def test_candidates_follow_the_surveyed_process(work):
+    g = daily.GridSearch(n1=(16,), n2=(2,), seed=3)
+    users, t0, t1 = [f"u{i}" for i in range(40)], np.full(40, 1_700_000_000), np.full(40, 1_700_000_000 + 20 * 86_400)
+    cdf, nw, events = g.simulate(users, t0, t1, np.full(40, work), np.zeros(40, int))
+    ours = {u: [] for u in range(40)}
+    for u, t, k in events:
+        for a, b, c in zip(u.tolist(), t.tolist(), k.tolist()):
+            ours[a].append((b, c))
+    rng = np.random.default_rng(0)
+    theirs = {i: _plain_candidate(rng, 16, 2, int(t0[0]), int(t1[0]), work) for i in range(40)}
+
+    def shares(d):
+        n = np.zeros((4, 4))
+        for rows in d.values():
+            for (_, a), (_, b) in zip(rows, rows[1:]):
+                n[a, b] += 1
+        return n[1:, 1:] / np.maximum(n[1:, 1:].sum(1, keepdims=True), 1), np.mean([len(r) for r in d.values()])
+
+    (p, n), (q, m) = shares(ours), shares(theirs)
+    assert np.abs(p - q).max() < 0.05 and abs(n - m) < 0.05 * m
+    assert (nw.sum() > 0) == work and all(t == sorted(t) and t[-1][0] < t1[0] for t in ours.values())
+    again = g.simulate(users[7:9], t0[:2], t1[:2], np.full(2, work))[0]
+    assert np.allclose(again, cdf[7:9])
+
+
+def test_grid_search_and_its_trajectories(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"u{u}", int(1_700_000_000 + d * 86_400 + h * 3600 + rng.integers(0, 600))) for u in range(5) for d in range(14) for h in (8, 17, 20)] + [("one", 5)]
+    st = spark.createDataFrame(rows, "caid string, timestamp bigint")
+    us = spark.createDataFrame([(f"u{u}", u < 3) for u in range(5)] + [("one", True)], "caid string, is_commuter boolean")
+    fit = lambda s: sorted(map(tuple, daily.GridSearch(seed=2).fit(s, us, at_once=2).collect()))
+    a = fit(st)
+    assert a == fit(st.repartition(5)) and [r[0] for r in a] == [f"u{u}" for u in range(5)]
+    assert all(1 <= r[1] <= 5 and 1 <= r[2] <= 5 and 0 <= r[4] < 0.3 for r in a) and all((r[3] > 0) == (r[0] < "u3") for r in a)
+    pos = us.select("caid", F.lit(10.0).alias("home_longitude"), F.lit(1.0).alias("home_latitude"), F.lit(20.0).alias("work_longitude"), F.lit(2.0).alias("work_latitude"))
+    t = daily.GridSearch(seed=2).trajectories(st, us, pos).toPandas()
+    assert set(t[t.location_type == "h"].longitude) == {10.0} and set(t[t.location_type == "w"].longitude) == {20.0} and set(t[t.location_type == "w"].caid) <= {"u0", "u1", "u2"}
+    o = t[t.location_type == "o"]
+    assert len(o) and np.minimum(abs(o.longitude - 10), abs(o.longitude - 20)).max() <= 0.005 + 1e-9
+
+
+def test_work_days_and_patterns(spark):
+    users = spark.createDataFrame([(f"u{i}", 1, 2, 3.0, i % 2 == 0) for i in range(40)], "caid string, b1 int, b2 int, nw double, is_commuter boolean")
+    for r in daily.WorkDays(seed=1).parameters(users, 6).collect():
+        spans = {}
+        for s in r.work_slots:
+            spans.setdefault(s, 0)
+        assert bool(r.is_commuter) or not r.work_slots
+        first = min(r.work_slots, default=0) % 144
+        assert all(s % 1 == 0 and s >= first for s in r.work_slots)
+    st = spark.createDataFrame([("a", 3600 * 8 + 86_400 * d, 0) for d in range(4)] + [("a", 3600 * 18, 0)], "caid string, timestamp bigint, type int")
+    us = spark.createDataFrame([("a", True), ("b", False)], "caid string, is_commuter boolean")
+    p = daily.activeness_patterns(st, us)
+    assert p.shape == (2, 7, 144) and np.allclose(p[0], p[1]) and abs(p[1].sum() - 1) < 1e-12 and p[1][0, 48] > p[1][1, 48] > 0
+    assert np.allclose(daily.activeness_patterns(st.limit(0), us)[0], np.outer(*daily.default_activeness()))
+    assert abs(daily.default_activeness()[1].sum() - 1) < 1e-9
+
+
+def test_daily_helpers(spark):
+    p = spark.createDataFrame([("b", 0, 4, 1.0), ("a", 1, 1, 2.0), ("c", 9, 0, 3.0)], "caid string, b1 int, b2 int, nw double")
+    got = {r.caid: (r.b1, r.b2) for r in daily.decode_parameters(p, [1, 2, 3, 4, 5], [10, 20, 30, 40, 50]).collect()}
+    assert got == {"b": (1.0, 50.0), "a": (2.0, 20.0)}
+    places_ = spark.createDataFrame([("7",), ("8",), ("8",)], "caid string")
+    assert sorted((r.caid, r.b1) for r in daily.match_users(p, places_).collect()) == [("7", 1), ("8", 0)]
+    old = spark.createDataFrame([("u", 5, 0, 1, 9), ("u", 6, 1, 1, 9), ("u", 7, 2, 1, 9)], "UserID string, unix_timestamp bigint, type int, h3_id_region bigint, other int")
+    assert daily.from_original(old).columns == ["caid", "stay_start_timestamp", "type", "h3_id_region", "other"]
+    assert [r.type for r in daily.from_original(old).orderBy("stay_start_timestamp").collect()] == [1, 2, 0]
+    b = spark.createDataFrame([("u", str(i), 1.0, 2.0) for i in range(50)] + [("v", "h", 0.0, 0.0)], "caid string, loc_id string, longitude double, latitude double")
+    assert daily.other_places(b).count() == 50 and daily.other_places(b, 0.3, 1).count() == 15 and daily.other_places(b, 1e-9).count() == 1
+    assert daily.default_pool().shape == (100, 2)
+    x, y = (spark.createDataFrame([("u", t) for t in ts] + extra, "caid string, timestamp bigint") for ts, extra in ((range(0, 100, 10), [("v", 3)]), (range(5, 100, 10), [("v", 3), ("w", 1)])))
+    assert {r.caid: r.statistic for r in daily.area_statistic(x, y).collect()}["v"] is None
+    assert 0 <= {r.caid: r.statistic for r in daily.area_statistic(x, y).collect()}["u"] < 0.2
 
 
 def test_areal(spark):

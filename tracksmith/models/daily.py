@@ -21,7 +21,9 @@ from ..session import cut_lineage
 # Column names a stay table may use instead of the canonical ones.
 ALIASES = {
     "caid": ("caid", "user_id", "userid"),
-    "timestamp": ("timestamp", "unix_timestamp", "stay_start_timestamp"),
+    "stay_start_timestamp": ("stay_start_timestamp", "timestamp", "unix_timestamp"),
+    "h3_id_region": ("h3_id_region", "h3_region", "cell"),
+    "type": ("type", "stay_type"),
     "latitude": ("latitude", "lat"),
     "longitude": ("longitude", "lon", "lng"),
 }
@@ -33,21 +35,32 @@ def _rng(seed: int, user) -> np.random.Generator:
 
 
 def resolve_columns(df: DataFrame) -> DataFrame:
-    """Columns renamed to the canonical names by case-insensitive alias."""
-    have = {c.lower(): c for c in df.columns}
-    names = {have[a]: k for k, al in ALIASES.items() if k not in df.columns for a in al[:] if a in have and a != k}
+    """Columns renamed to the canonical names by case-insensitive alias, the first alias that is there; no column serves twice."""
+    have, names = {c.lower(): c for c in df.columns}, {}
+    for name, aliases in ALIASES.items():
+        found = next((have[a] for a in aliases if a in have and have[a] not in names), None)
+        if name not in df.columns and found:
+            names[found] = name
     return df.withColumnsRenamed(names)
 
 
+def from_original(stays: DataFrame) -> DataFrame:
+    """Stays of the older layout, in which ``type`` 0 is home and 1 is work, in the canonical one."""
+    kind = F.when(F.col("type") == 0, 1).when(F.col("type") == 1, 2).otherwise(0)
+    return resolve_columns(stays).withColumn("type", kind)
+
+
 # --- preparation -----------------------------------------------------------------------------
 
 
 def align(stays: DataFrame, compat: str | None = None) -> DataFrame:
     """caid, h3_id_region, timestamp (seconds), type 0/1/2, zero, position of the cell, and optional columns that are there.
 
-    ``type`` may hold labels or integers. The position is the cell's centre, or
+    Columns may bear any of the ``ALIASES``. ``type`` may hold labels or
+    integers. The position is the cell's centre, or
     its first vertex with ``compat="vertex0"``.
     """
+    stays = resolve_columns(stays)
     missing = [c for c in ("caid", "h3_id_region", "stay_start_timestamp", "type") if c not in stays.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
@@ -135,65 +148,155 @@ def activeness(stays: DataFrame, by: str = "slot") -> DataFrame:
     return d.select(*keys, (F.col("_n") / F.sum("_n").over(W.partitionBy(F.lit(1)))).alias("weight"))
 
 
-def cdf_area(a: np.ndarray, b: np.ndarray, bins: int = 10) -> float:
-    """Mean absolute difference of two empirical distribution functions at the bin borders of their common range; 1 where one is empty."""
-    if len(a) == 0 or len(b) == 0:
-        return 1.0
-    lo, hi = min(a.min(), b.min()), max(a.max(), b.max())
-    if hi <= lo:
-        return 0.0
-    edges = np.linspace(lo, hi, bins + 1)[1:]
-    f = lambda x: np.searchsorted(np.sort(x), edges, "right") / len(x)
-    return float(np.abs(f(a) - f(b)).mean())
+BINS = 10
+
+
+def time_cdf(times: DataFrame, reach: DataFrame, bins: int = BINS) -> DataFrame:
+    """(caid, t0, t1, cdf): the empirical distribution function of each device's ``timestamp`` at the ends of ``bins`` equal parts of t0..t1 in ``reach`` (caid, t0, t1). Devices whose range is a point are left out."""
+    d = times.select("caid", "timestamp").join(reach.where("t1 > t0"), "caid")
+    part = F.least(F.floor((F.col("timestamp") - F.col("t0")) / (F.col("t1") - F.col("t0")) * bins), F.lit(bins - 1))
+    d = d.groupBy("caid", "t0", "t1").agg(*[F.avg((part <= k).cast("double")).alias(f"_c{k}") for k in range(bins)])
+    return d.select("caid", "t0", "t1", F.array(*[f"_c{k}" for k in range(bins)]).alias("cdf"))
+
+
+def area_statistic(a: DataFrame, b: DataFrame, bins: int = BINS) -> DataFrame:
+    """(caid, statistic): mean absolute difference of the distribution functions of the times (caid, timestamp) of ``a`` and ``b`` over their common range, of devices that stand in both; null where that range is a point."""
+    ends = a.select("caid", "timestamp").unionByName(b.select("caid", "timestamp")).groupBy("caid").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
+    both = a.select("caid").distinct().join(b.select("caid").distinct(), "caid", "left_semi")
+    x, y = (time_cdf(t, ends, bins).select("caid", F.col("cdf").alias(n)) for t, n in ((a, "_x"), (b, "_y")))
+    gap = F.aggregate(F.zip_with("_x", "_y", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v) / bins
+    return both.join(x, "caid", "left").join(y, "caid", "left").select("caid", gap.alias("statistic"))
 
 
 @dataclass(frozen=True)
 class GridSearch:
-    """Candidates of the burst parameters and the simulated days used to compare them."""
+    """The two parameters of leaving home, by simulating every candidate over each device's own span.
+
+    A slot after another a device moves with the probability of its state: from
+    home exp(-n1 (|s - S/2| / S)^n2) at slot s of S; from work 0.05 in the hours
+    9 to 17 and 0.3 else; from another place 0.3. From home it goes to work with
+    0.6 if it has one, else elsewhere; from the others home with 0.7, then to
+    work with 0.4 if it has one and is not there, else elsewhere. The step is a
+    slot and an even draw of -300 to 299 s.
+    """
 
     n1: tuple[int, ...] = (16, 17, 18, 19, 20)
     n2: tuple[int, ...] = (1, 2, 3, 4, 5)
-    days: int = 14
     seed: int = 0
+    utc_offset_s: int = 0
 
-    def simulate(self, rng: np.random.Generator, n1: int, n2: int) -> tuple[np.ndarray, int]:
-        """Seconds between moves of one candidate, and how often work was reached."""
-        at, events, work = 0, [], 0
-        for step in range(self.days * slots.DAY_SLOTS):
-            s = step % slots.DAY_SLOTS
-            t = step * slots.SLOT_S + rng.uniform(-300, 300)
-            if at == 0:
-                if rng.random() < np.exp(-n1 * (abs(s - 72) / 72.0) ** n2):
-                    at = 1 if rng.random() < 0.6 else 2
-                    events.append(t)
-                    work += at == 1
-                continue
-            move = (0.05 if 54 <= s < 102 else 0.3) if at == 1 else 0.3
-            if rng.random() < move:
-                if at == 1:
-                    at = 0 if rng.random() < 0.7 else 2
-                else:
-                    at = 1 if rng.random() < 0.4 else 0
-                    work += at == 1
-                events.append(t)
-        return np.diff(np.sort(np.array(events))) if len(events) > 1 else np.zeros(0), work
-
-    def fit(self, times: DataFrame) -> DataFrame:
-        """(caid, b1, b2, nw, statistic): of each device the candidate whose inter-event times are nearest. ``times``: caid, dt_s."""
-        me = self
+    def simulate(self, users: list[tuple], t0: np.ndarray, t1: np.ndarray, has_work: np.ndarray, only: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray, list]:
+        """(distribution functions, work visits a day) of users x candidates, and for the candidates ``only`` their (user, instant, state) events; states are 1 home, 2 work, 3 elsewhere.
+
+        The draws of a user depend on the seed and its name only.
+        """
+        rngs, pairs = [_rng(self.seed, u) for u in users], [(a, b) for a in self.n1 for b in self.n2]
+        n, c, slot = len(users), len(pairs), np.arange(slots.DAY_SLOTS)
+        leave = np.exp(-np.array([[a] for a, _ in pairs]) * (np.abs(slot - slots.DAY_SLOTS // 2) / slots.DAY_SLOTS) ** np.array([[b] for _, b in pairs]))
+        cand, row = np.arange(c)[None, :], np.arange(n)[:, None]
+        start, end, works = t0[:, None].astype(np.int64), t1[:, None].astype(np.int64), np.asarray(has_work, bool)[:, None]
+        now, state, work = np.repeat(start, c, 1), np.ones((n, c), np.int8), np.zeros((n, c))
+        last, hist = now.copy(), np.zeros((n, c, BINS))
+        hist[:, :, 0] = 1
+        events = [(np.arange(n), t0.astype(np.int64), np.ones(n, np.int8))] if only is not None else []
+        live, k = now < end, block
+        while live.any():
+            if k == block:
+                draws, k = np.stack([r.random((block, c, 4), np.float32) for r in rngs], 1), 0
+            d = draws[k]
+            k += 1
+            now = np.where(live, now + slots.SLOT_S - 300 + np.floor(d[..., 0] * 600).astype(np.int64), now)
+            live = now < end
+            s = (now + self.utc_offset_s) % 86_400 // slots.SLOT_S
+            home, at_work, hour = state == 1, state == 2, s * slots.SLOT_S // 3600
+            p = np.where(home, leave[cand, s], np.where(at_work & (hour >= 9) & (hour <= 17), 0.05, 0.3))
+            move = live & (d[..., 1] < p)
+            away = np.where(d[..., 2] < 0.7, 1, np.where(works & ~at_work & (d[..., 3] < 0.4), 2, 3))
+            new = np.where(home, np.where(works & (d[..., 2] < 0.6), 2, 3), away)
+            state = np.where(move, new, state).astype(np.int8)
+            work += move & (state == 2)
+            last = np.where(move, now, last)
+            part = np.minimum((now - start) * BINS // np.maximum(end - start, 1), BINS - 1)
+            hist[np.broadcast_to(row, (n, c))[move], np.broadcast_to(cand, (n, c))[move], part[move]] += 1
+            if only is not None:
+                u = np.flatnonzero(move[np.arange(n), only])
+                events.append((u, now[u, only[u]], state[u, only[u]]))
+        days = (last - start) / 86_400.0
+        return np.cumsum(hist, 2) / hist.sum(2, keepdims=True), np.where(days > 0, work / np.where(days > 0, days, 1), work), events
+
+    def _spans(self, stays: DataFrame, users: DataFrame) -> DataFrame:
+        ends = stays.groupBy("caid").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
+        return time_cdf(stays, ends).join(users.select("caid", F.col("is_commuter").alias("has_work")), "caid")
+
+    def _best(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cdf, nw, _ = self.simulate(pdf["caid"].tolist(), pdf["t0"].to_numpy(), pdf["t1"].to_numpy(), pdf["has_work"].to_numpy())
+        area = np.abs(cdf - np.stack(pdf["cdf"].to_list())[:, None, :]).mean(2)
+        best = area.argmin(1)
+        at = np.arange(len(pdf))
+        return best, nw[at, best], area[at, best]
+
+    def fit(self, stays: DataFrame, users: DataFrame, at_once: int = 64) -> DataFrame:
+        """(caid, b1, b2, nw, statistic): of each device the candidate whose event times are nearest to its own by :func:`area_statistic`, the first of equals; b1 and b2 are its numbers from 1, nw its visits to work a day.
+
+        ``stays``: caid, timestamp; ``users``: caid, is_commuter. Only ten
+        numbers a device reach the simulation; devices with a single instant
+        have no span and are left out.
+        """
+        me, m = self, len(self.n2)
+
+        def run(batches):
+            for pdf in batches:
+                for s in range(0, len(pdf), at_once):
+                    one = pdf.iloc[s : s + at_once]
+                    best, nw, area = me._best(one)
+                    yield pd.DataFrame({"caid": one["caid"], "b1": best // m + 1, "b2": best % m + 1, "nw": nw, "statistic": area})
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            real, best = pdf["dt_s"].to_numpy(float), None
-            rng = _rng(me.seed, pdf["caid"].iloc[0])
-            for i, n1 in enumerate(me.n1):
-                for j, n2 in enumerate(me.n2):
-                    dt, work = me.simulate(rng, n1, n2)
-                    stat = cdf_area(real, dt)
-                    if best is None or stat < best[4]:
-                        best = (pdf["caid"].iloc[0], i + 1, j + 1, work / me.days, stat)
-            return pd.DataFrame([best], columns=["caid", "b1", "b2", "nw", "statistic"])
+        return self._spans(stays, users).repartition("caid").mapInPandas(run, "caid string, b1 int, b2 int, nw double, statistic double")
 
-        return times.select("caid", "dt_s").groupBy("caid").applyInPandas(one, "caid string, b1 int, b2 int, nw double, statistic double")
+    def trajectories(self, stays: DataFrame, users: DataFrame, positions: DataFrame, at_once: int = 64) -> DataFrame:
+        """(caid, timestamp, location_type, longitude, latitude) of each device's best candidate.
+
+        ``positions``: caid, home_longitude, home_latitude, work_longitude,
+        work_latitude (the home's where there is no work). Other places lie up
+        to 0.005 degrees from home or from work.
+        """
+        me = self
+        cols = ["home_longitude", "home_latitude", "work_longitude", "work_latitude"]
+
+        def run(batches):
+            for pdf in batches:
+                for s in range(0, len(pdf), at_once):
+                    one = pdf.iloc[s : s + at_once].reset_index(drop=True)
+                    best, _, _ = me._best(one)
+                    _, _, events = me.simulate(one["caid"].tolist(), one["t0"].to_numpy(), one["t1"].to_numpy(), one["has_work"].to_numpy(), best)
+                    u, t, kind = (np.concatenate(x) for x in zip(*events))
+                    order = np.lexsort((t, u))
+                    u, t, kind = u[order], t[order], kind[order]
+                    jitter = np.concatenate([_rng(me.seed + 1, c).integers([0, -50, -50], [2, 50, 50], (int((u == i).sum()), 3)) for i, c in enumerate(one["caid"])])
+                    at = one[cols].to_numpy(float)[u]
+                    near_work = (kind == 2) | ((kind == 3) & (jitter[:, 0] == 1))
+                    off = np.where((kind == 3)[:, None], jitter[:, 1:] * 1e-4, 0.0)
+                    where = np.where(near_work[:, None], at[:, 2:], at[:, :2]) + off
+                    yield pd.DataFrame({"caid": one["caid"].to_numpy()[u], "timestamp": t, "location_type": np.array(["", "h", "w", "o"])[kind], "longitude": where[:, 0], "latitude": where[:, 1]})
+
+        d = self._spans(stays, users).join(positions.select("caid", *[F.col(c).cast("double") for c in cols]), "caid")
+        return d.repartition("caid").mapInPandas(run, "caid string, timestamp bigint, location_type string, longitude double, latitude double")
+
+
+def decode_parameters(params: DataFrame, b1: list[float], b2: list[float]) -> DataFrame:
+    """Indices ``b1`` and ``b2`` (from 0) replaced by the values at them; rows whose index is not there are left out."""
+    value = lambda c, xs: F.get(F.array(*[F.lit(float(x)) for x in xs]), F.col(c).cast("int"))
+    return params.withColumns({"b1": value("b1", b1), "b2": value("b2", b2)}).where("b1 is not null and b2 is not null")
+
+
+def match_users(params: DataFrame, places: DataFrame) -> DataFrame:
+    """``params`` under the names of ``places``: the k-th name of one in order stands for the k-th of the other; rows beyond the shorter list are left out."""
+    w = W.orderBy("caid")
+    # Two short lists of names, numbered in order; a global number needs one order of all names.
+    a = params.select("caid").distinct().select("caid", F.row_number().over(w).alias("_k"))
+    b = places.select("caid").distinct().select(F.col("caid").alias("_new"), F.row_number().over(w).alias("_k"))
+    names = a.join(b, "_k").drop("_k")
+    return params.join(names, "caid").select(*[F.col("_new").alias(c) if c == "caid" else F.col(c) for c in params.columns])
 
 
 # --- places and parameters of the simulation ---------------------------------------------------------
@@ -218,33 +321,55 @@ def renumbered(blocks: DataFrame) -> DataFrame:
 
 
 def other_places(blocks: DataFrame, fraction: float = 1.0, seed: int = 0) -> DataFrame:
-    """The pool of positions for exploration: every place but (0, 0); below 1, a share of them by hash, so the same on any cluster."""
-    d = blocks.where("not (longitude = 0 and latitude = 0)").select("longitude", "latitude")
+    """The pool of positions for exploration: every place but (0, 0); below 1, a share of them drawn without replacement, at least one, the same on any cluster. ``blocks``: caid, loc_id, longitude, latitude."""
+    d = blocks.where("not (longitude = 0 and latitude = 0)")
     if fraction < 1.0:
-        d = d.where(F.pmod(F.xxhash64(F.lit(seed), "longitude", "latitude"), F.lit(1_000_000)) < int(fraction * 1e6))
-    return d
+        n = max(1, int(d.count() * fraction))
+        d = d.orderBy(F.xxhash64(F.lit(seed), "caid", "loc_id"), "caid", "loc_id").limit(n)
+    return d.select("longitude", "latitude")
+
 
+def default_pool(seed: int = 0, n: int = 100) -> np.ndarray:
+    """Positions around one town, used where there is no pool at all."""
+    # The town's position and the half width of the box in degrees.
+    return np.array([-97.7, 30.3]) + np.random.default_rng(seed).uniform(-0.1, 0.1, (n, 2))
 
-def default_activeness() -> np.ndarray:
-    """7 x 144 weights used where a measured pattern is unusable."""
+
+def default_activeness() -> tuple[np.ndarray, np.ndarray]:
+    """Weights of 7 days and of 144 slots used where a measured pattern is unusable."""
     hour = np.arange(slots.DAY_SLOTS) // 6
     # Hours of high and medium activity, the weights of high, medium, low and night hours, and of Monday to Sunday.
     high, medium = (7, 8, 12, 17, 18), (9, 10, 11, 13, 14, 15, 16, 19, 20)
     weights, week = (0.25, 0.15, 0.08, 0.02), (0.16, 0.16, 0.16, 0.16, 0.15, 0.11, 0.10)
     day = np.select([np.isin(hour, high), np.isin(hour, medium), (hour >= 6) & (hour <= 22)], weights[:3], weights[3])
-    return np.outer(week, day / day.sum())
+    return np.array(week), day / day.sum()
 
 
 def usable(weights: np.ndarray) -> bool:
     return (weights > 0).sum() > 1 and weights.sum() > 0.1
 
 
-def activeness_pattern(weights: DataFrame) -> np.ndarray:
-    """7 x 144 pattern from (dow, slot, weight) rows, at most 1,008 of them; the default where they are unusable."""
-    p = np.zeros((7, slots.DAY_SLOTS))
-    for r in weights.select("dow", "slot", "weight").collect():
-        p[int(r[0]) % 7, int(r[1]) % slots.DAY_SLOTS] = r[2]
-    return p if usable(p) else default_activeness()
+def activeness_patterns(stays: DataFrame, users: DataFrame) -> np.ndarray:
+    """2 x 7 x 144: the weights by weekday times those by slot, of devices without work and of commuters.
+
+    ``stays``: caid, timestamp, type; ``users``: caid, is_commuter. Unusable
+    weights of the first are replaced by those of the second, and those by the
+    default. At most 2 x 7 x 144 rows reach the driver.
+    """
+    d = stays.where("type <> 2").join(users.select("caid", "is_commuter"), "caid").select("is_commuter", slots.slot_of_day(F.col("timestamp")).alias("slot"), slots.day_number(F.col("timestamp")).alias("dow"))
+    got = {k: (np.zeros(7), np.zeros(slots.DAY_SLOTS)) for k in (False, True)}
+    for who, dow, slot, n in d.groupBy("is_commuter", "dow", "slot").agg(F.count(F.lit(1)).alias("n")).collect():
+        got[who][0][int(dow)] += n
+        got[who][1][int(slot)] += n
+    share = lambda v: v / max(v.sum(), 1.0)
+    out = []
+    for who in (False, True):
+        parts = []
+        for i in (0, 1):
+            choices = (share(got[who][i]), share(got[True][i]))
+            parts.append(next((v for v in choices if usable(v)), default_activeness()[i]))
+        out.append(np.outer(*parts))
+    return np.stack(out)
 
 
 # Per group (regular, flexible commuters) the means, covariances and weights of start and length of work in minutes.
@@ -272,7 +397,7 @@ WORK_MIXTURES = (
 
 @dataclass(frozen=True)
 class WorkDays:
-    """When commuters work: a draw of start and length from a mixture, on weekdays and at weekends by different odds."""
+    """When commuters work: one start and length a user, drawn from a mixture; on weekdays and at weekends by different odds."""
 
     work_prob_weekday: float = 0.829
     work_prob_weekend: float = 0.354
@@ -290,7 +415,7 @@ class WorkDays:
                 return int(s), int(n)
 
     def parameters(self, users: DataFrame, num_days: int) -> DataFrame:
-        """(caid, b1, b2, nw, regular, work_slots) of users with caid, b1, b2, nw, is_commuter."""
+        """(caid, b1, b2, nw, is_commuter, regular, work_slots) of users with caid, b1, b2, nw, is_commuter."""
         me = self
 
         def run(batches):
@@ -299,14 +424,14 @@ class WorkDays:
                 for u, b1, b2, nw, com in zip(pdf["caid"], pdf["b1"], pdf["b2"], pdf["nw"], pdf["is_commuter"]):
                     rng, got = _rng(me.seed, u), []
                     reg = bool(rng.random() < me.regular_prob)
+                    start, length = me._draw(rng) if com else (0, 0)
                     for day in range(num_days if com else 0):
                         if rng.random() < (me.work_prob_weekday if day % 7 < 5 else me.work_prob_weekend):
-                            s, n = me._draw(rng)
-                            got += range(s // 10 + 144 * day, min(s // 10 + n // 10, 143) + 144 * day + 1)
-                    out.append((u, b1, b2, nw, reg, got))
-                yield pd.DataFrame(out, columns=["caid", "b1", "b2", "nw", "regular", "work_slots"])
+                            got += range(start // 10 + 144 * day, start // 10 + length // 10 + 144 * day + 1)  # past midnight too
+                    out.append((u, b1, b2, nw, bool(com), reg, got))
+                yield pd.DataFrame(out, columns=["caid", "b1", "b2", "nw", "is_commuter", "regular", "work_slots"])
 
-        return users.select("caid", "b1", "b2", "nw", "is_commuter").mapInPandas(run, "caid string, b1 int, b2 int, nw double, regular boolean, work_slots array<int>")
+        return users.select("caid", "b1", "b2", "nw", "is_commuter").mapInPandas(run, "caid string, b1 int, b2 int, nw double, is_commuter boolean, regular boolean, work_slots array<int>")
 
 
 def best_parameters(params: DataFrame) -> DataFrame:
@@ -451,7 +576,7 @@ class DayModel:
                 count.append(at[p][2])
         n = 144 * self.num_days
         spans: list[list[int]] = []
-        for s in sorted(x for x in work_slots if x < n):
+        for s in sorted({x for x in work_slots if x < n}):
             if spans and s == spans[-1][1] + 1:
                 spans[-1][1] = s
             else:
@@ -484,27 +609,27 @@ class DayModel:
             out.append((s + 1, "h" if here == 0 else "w" if here == 1 else "o", lon[here], lat[here]))
         return out
 
-    def simulate(self, params: DataFrame, places: DataFrame, pool: DataFrame, pattern: np.ndarray) -> DataFrame:
-        """(user_id, timeslot, location_type, longitude, latitude) of every user with parameters and places.
+    def simulate(self, params: DataFrame, places: DataFrame, pool: DataFrame, patterns: np.ndarray) -> DataFrame:
+        """(user_id, timeslot, location_type, longitude, latitude) of every user with parameters and places; ``patterns`` are those of :func:`activeness_patterns`.
 
         The exploration pool, of any size, is sent to the tasks as a
         :class:`Pool`; the driver holds it once while it is built.
         """
         pts = pool.orderBy("longitude", "latitude").toPandas()[["longitude", "latitude"]].to_numpy(float)
-        side = params.sparkSession.sparkContext.broadcast((Pool(pts, self.rank_exp), pattern))
+        side = params.sparkSession.sparkContext.broadcast((Pool(pts if len(pts) else default_pool(self.seed), self.rank_exp), patterns))
         me = self
         p = places.groupBy("caid").agg(F.array_sort(F.collect_list(F.struct("place", "longitude", "latitude", "count"))).alias("places"))
         d = params.join(p, "caid")
 
         def run(batches):
-            pts, pattern = side.value
+            pts, patterns = side.value
             for pdf in batches:
-                for u, b1, b2, nw, ws, pl in zip(*(pdf[c] for c in ("caid", "b1", "b2", "nw", "work_slots", "places"))):
-                    rows = me.one_user(u, b1, b2, nw, list(ws), [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pl], pts, pattern)
+                for u, b1, b2, nw, com, ws, pl in zip(*(pdf[c] for c in ("caid", "b1", "b2", "nw", "is_commuter", "work_slots", "places"))):
+                    rows = me.one_user(u, b1, b2, nw, list(ws), [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pl], pts, patterns[int(com)])
                     if rows:
                         yield pd.DataFrame(rows, columns=["timeslot", "location_type", "longitude", "latitude"]).assign(user_id=u)[["user_id", "timeslot", "location_type", "longitude", "latitude"]]
 
-        return d.select("caid", "b1", "b2", "nw", "work_slots", "places").mapInPandas(run, "user_id string, timeslot bigint, location_type string, longitude double, latitude double")
+        return d.select("caid", "b1", "b2", "nw", "is_commuter", "work_slots", "places").mapInPandas(run, "user_id string, timeslot bigint, location_type string, longitude double, latitude double")
 
 
 @dataclass
@@ -525,10 +650,10 @@ class TimeGeo:
         some = frequent_stays(aligned, self.min_unique_locations)
         users = gated_users(some)
         fmt = cut_lineage(formatted(some.join(users.select("caid"), "caid", "left_semi")))
-        b = GridSearch(seed=self.seed).fit(inter_event_times(fmt)).join(users, "caid")
+        b = GridSearch(seed=self.seed).fit(fmt, users).join(users, "caid")
         params = cut_lineage(best_parameters(WorkDays(seed=self.seed).parameters(b, self.num_days)))
         blocks = location_blocks(fmt)
-        self.fitted = {"params": params, "places": renumbered(blocks), "pool": other_places(blocks, self.sample_fraction, self.seed), "pattern": activeness_pattern(activeness(fmt, "both")), "users": users}
+        self.fitted = {"params": params, "places": renumbered(blocks), "pool": other_places(blocks, self.sample_fraction, self.seed), "patterns": activeness_patterns(fmt, users), "users": users}
         return self
 
     def stats(self) -> dict[str, int]:
@@ -544,7 +669,7 @@ class TimeGeo:
         """(user, datetime, location_type, longitude, latitude) of all users, or of the first ``n_agents`` by name where a number above 0 is given."""
         f = self._need()
         users = f["params"].orderBy("caid").limit(n_agents) if n_agents is not None and n_agents > 0 else f["params"]
-        t = DayModel(self.num_days, self.rho, self.gamma, self.seed).simulate(users, f["places"], f["pool"], f["pattern"])
+        t = DayModel(self.num_days, self.rho, self.gamma, self.seed).simulate(users, f["places"], f["pool"], f["patterns"])
         return t.select(F.col("user_id").alias("user"), F.timestamp_seconds((F.col("timeslot") - 1) * self.slot_interval).alias("datetime"), "location_type", "longitude", "latitude")
 
     def cleanup(self) -> None:

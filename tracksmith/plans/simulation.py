@@ -242,7 +242,56 @@ def tg_other_places(spark, d):
 
 @query()
 def tg_grid_search(spark, d):
-    return daily.GridSearch(seed=1).fit(daily.inter_event_times(_fmt(spark, d)))
+    f = cut_lineage(_fmt(spark, d))
+    return daily.GridSearch(seed=1).fit(f, daily.gated_users(f))
+
+
+_AREA = """ht AS (SELECT caid, t FROM fm WHERE type = 1), xt AS (SELECT caid, t FROM fm WHERE type <> 1),
+rg AS (SELECT caid, min(t) t0, max(t) t1 FROM fm WHERE caid IN (SELECT caid FROM ht) AND caid IN (SELECT caid FROM xt) GROUP BY caid),
+ks AS (SELECT CAST(k AS BIGINT) k FROM range(0, 10) q(k)),
+cf AS (SELECT rg.caid, k, avg(CASE WHEN least((h.t - t0) * 10 // (t1 - t0), 9) <= k THEN 1e0 ELSE 0e0 END) a FROM rg JOIN ht h ON h.caid = rg.caid, ks GROUP BY rg.caid, k),
+cg AS (SELECT rg.caid, k, avg(CASE WHEN least((h.t - t0) * 10 // (t1 - t0), 9) <= k THEN 1e0 ELSE 0e0 END) b FROM rg JOIN xt h ON h.caid = rg.caid, ks GROUP BY rg.caid, k)"""
+
+
+@query(f"{_MV}, {_AREA} SELECT caid, round(sum(abs(a - b)) / 10, 9) statistic FROM cf JOIN cg USING (caid, k) GROUP BY caid")
+def tg_area_statistic(spark, d):
+    """Of each device, how differently its arrivals at home and elsewhere are spread over its time."""
+    f = cut_lineage(_fmt(spark, d))
+    return rounded(daily.area_statistic(f.where("type = 1"), f.where("type <> 1")), statistic=9)
+
+
+@query()
+def tg_trajectories(spark, d):
+    """The best candidate of each device, with positions."""
+    f = cut_lineage(_fmt(spark, d))
+    b = daily.renumbered(daily.location_blocks(f))
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    pos = b.groupBy("caid").agg(*[F.coalesce(at(k, c), at(0, c)).alias(f"{n}_{c}") for k, n in ((0, "home"), (1, "work")) for c in ("longitude", "latitude")])
+    return daily.GridSearch(seed=1).trajectories(f, daily.gated_users(f), pos)
+
+
+@query(f"{_MV}, {_BL}, pb AS (SELECT * FROM lb WHERE NOT (longitude = 0 AND latitude = 0)) SELECT greatest(1, CAST(floor(count(*) * 0.02e0) AS BIGINT)) n, CAST(0 AS BIGINT) strangers FROM pb")
+def tg_other_sample(spark, d):
+    """A fiftieth of the pool: how many positions, and how many of them are not in the pool."""
+    b = cut_lineage(daily.location_blocks(_fmt(spark, d)))
+    some = cut_lineage(daily.other_places(b, 0.02, 7))
+    missing = some.join(daily.other_places(b), ["longitude", "latitude"], "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    return some.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(missing))
+
+
+@query(f"{_MV} SELECT caid, CAST(1 + k % 6 AS DOUBLE) b1, CAST(10 * (1 + n % 6) AS DOUBLE) b2 FROM (SELECT caid, count(*) n, count(DISTINCT ix) k FROM fm GROUP BY caid) WHERE k % 6 < 5 AND n % 6 < 5")
+def tg_decoded(spark, d):
+    """Indices made of two counts, decoded; those beyond the table are left out."""
+    p = _fmt(spark, d).groupBy("caid").agg((F.countDistinct("location_index") % 6).alias("b1"), (F.count(F.lit(1)) % 6).alias("b2"))
+    return daily.decode_parameters(p, [1, 2, 3, 4, 5], [10, 20, 30, 40, 50])
+
+
+@query(f"{_MV}, ky AS (SELECT caid, row_number() OVER (ORDER BY caid) k FROM (SELECT DISTINCT caid FROM fm)) SELECT 'm' || k caid, CAST(count(*) AS BIGINT) n FROM fm JOIN ky USING (caid) GROUP BY 1")
+def tg_matched_users(spark, d):
+    """Devices under numbered names, in order (names m1, m2, ... sorted as numbers by their width)."""
+    n = _fmt(spark, d).groupBy("caid").agg(F.count(F.lit(1)).alias("n"))
+    k = spark.range(1, n.count() + 1).select(F.lpad(F.col("id").cast("string"), 12, "0").alias("caid"))
+    return daily.match_users(n, k).select(F.concat(F.lit("m"), F.col("caid").cast("bigint").cast("string")).alias("caid"), "n")
 
 
 def _tg(spark, d):
