@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..functions.geo import np_geodesic_km
 from ..functions.slots import deterrence
-from ..session import cut_lineage
+from ..operators.spatial import near_pairs
+from ..session import broadcast_if_small, cut_lineage
 
 
 def pair_distances(tiles: DataFrame, max_km: float | None = None) -> DataFrame:
@@ -23,22 +25,32 @@ def pair_distances(tiles: DataFrame, max_km: float | None = None) -> DataFrame:
     is the square of the tessellation, which must be chosen accordingly, or
     ``max_km`` be given. Each unordered pair is measured once.
     """
-    a = tiles.select(F.col("tile").alias("i"), F.col("latitude").alias("_a"), F.col("longitude").alias("_b"))
-    b = tiles.select(F.col("tile").alias("j"), F.col("latitude").alias("_c"), F.col("longitude").alias("_d"))
-    on = F.col("i") < F.col("j")
-    if max_km is not None:
-        on = on & (F.abs(F.col("_a") - F.col("_c")) <= max_km / 110.0)
-
     @F.pandas_udf("double")
     def km(p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series(np_geodesic_km(p, q, r, s))
 
-    half = a.join(b, on).select("i", "j", km("_a", "_b", "_c", "_d").alias("km"))
+    a = tiles.select(F.col("tile").alias("i"), F.col("latitude").alias("_a"), F.col("longitude").alias("_b"))
+    b = tiles.select(F.col("tile").alias("j"), F.col("latitude").alias("_c"), F.col("longitude").alias("_d"))
     if max_km is not None:
-        half = half.where(F.col("km") <= max_km)
+        # On the sphere first, by k-d splits; the ellipsoid's distances differ by less than one in a hundred.
+        near = near_pairs(tiles, "tile", [("latitude", "longitude")], max_km * 1010.0, "tile").toDF("i", "j")
+        half = near.join(a, "i").join(b, "j").select("i", "j", km("_a", "_b", "_c", "_d").alias("km")).where(F.col("km") <= max_km)
+    else:
+        half = a.join(b, F.col("i") < F.col("j")).select("i", "j", km("_a", "_b", "_c", "_d").alias("km"))
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "km"))
 
 
+def check_resolution(flows: DataFrame, relevance: DataFrame) -> None:
+    """Raises ValueError where the cells of ``flows`` (origin) and of ``relevance`` (tile), ids or their hexadecimal text, are of different resolutions."""
+    def res(df: DataFrame, c: str) -> set:
+        x = cells.from_hex(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).cast("bigint")
+        return {r[0] for r in df.select(cells.resolution(x).alias("r")).where("r is not null").limit(1).collect()}
+
+    a, b = res(flows, "origin"), res(relevance, "tile")
+    if a and b and a != b:
+        raise ValueError(f"flows are of resolution {a.pop()}, relevances of {b.pop()}")
+
+
 @dataclass(frozen=True)
 class Gravity:
     """Parameters of the model; ``fit`` returns a new one.
@@ -77,7 +89,8 @@ class Gravity:
         """(origin, destination, probability | flow), entries above 0 only.
 
         ``probabilities``, ``flows`` (probability x outflow) or
-        ``flows_sample`` (multinomial draw of the outflow, seeded by origin).
+        ``flows_sample`` (multinomial draw of each origin's outflow, or of all
+        outflow over all pairs for the global type; seeded).
         """
         if out_format not in ("probabilities", "flows", "flows_sample"):
             raise ValueError(f"output format: {out_format}")
@@ -99,8 +112,11 @@ class Gravity:
             return d.select(F.col("i").alias("origin"), F.col("j").alias("destination"), (F.col("p") * F.col("outflow")).alias("flow")).where("flow > 0")
         kind = dict(d.dtypes)["i"]
         if self.gravity_type == "global":
-            row = W.partitionBy("i")
-            d = d.withColumn("_n", F.round(F.col("_all") * F.sum("p").over(row)).cast("bigint"))
+            # One multinomial over all pairs is one over the origins and, given theirs, one over each origin's destinations.
+            rows = d.groupBy("i").agg(F.sum("p").alias("p"), F.first("_all").alias("all")).orderBy("i").toPandas()
+            n = np.random.default_rng([seed, 1]).multinomial(int(rows["all"].iloc[0]), rows["p"] / rows["p"].sum()) if len(rows) else np.zeros(0, int)
+            totals = d.sparkSession.createDataFrame(pd.DataFrame({"i": rows["i"], "_n": n}), f"i {kind}, _n bigint")
+            d = d.join(broadcast_if_small(totals), "i")
         else:
             d = d.withColumn("_n", F.round("outflow").cast("bigint"))
 
@@ -115,6 +131,8 @@ class Gravity:
 
     def training_set(self, flows: DataFrame, relevance: DataFrame, pairs: DataFrame) -> DataFrame:
         """(origin, destination, flow, ln_origin, ln_destination, cost): flows between different known places of positive relevance and distance."""
+        if dict(flows.dtypes)["origin"] in ("bigint", "string") and dict(relevance.dtypes)["tile"] in ("bigint", "string"):
+            check_resolution(flows, relevance)
         r = relevance.where("relevance > 0").select("tile", F.ln("relevance").alias("_l"))
         f = flows.where("origin <> destination").join(r.select(F.col("tile").alias("origin"), F.col("_l").alias("ln_origin")), "origin")
         f = f.join(r.select(F.col("tile").alias("destination"), F.col("_l").alias("ln_destination")), "destination")

@@ -88,21 +88,16 @@ def transition_counts(stays: DataFrame, tiles: DataFrame, cell: str = "cell", us
     return d.join(t, F.col("origin") == F.col("_tile"), "left_semi").join(t, F.col("destination") == F.col("_tile"), "left_semi")
 
 
-def transition_matrix(counts: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Row-stochastic sparse matrix (origin, destination, p). Cells without departures have no rows here; see :func:`od_matrix`."""
+def transition_matrix(counts: DataFrame) -> DataFrame:
+    """Row-stochastic sparse matrix (origin, destination, p). Cells without departures have no rows here: theirs are even over all other cells; see :func:`idle_cells`."""
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("origin"))).select("origin", "destination", "p")
 
 
-def od_matrix(counts: DataFrame, tiles: DataFrame) -> DataFrame:
-    """All probabilities above 0 off the diagonal, with the uniform rows of cells without departures written out.
-
-    Only those rows are paired with the cell list; the list is bounded by the tessellation.
-    """
-    m = transition_matrix(counts, tiles)
-    idle = tiles.select(F.col("cell").alias("origin")).join(m.select("origin").distinct(), "origin", "left_anti")
-    every = tiles.agg(F.collect_set("cell").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    rows = idle.join(F.broadcast(every)).select("origin", F.explode("_all").alias("destination"), (F.lit(1.0) / (F.col("_n") - 1)).alias("p"))
-    return m.unionByName(rows.where("origin <> destination"))
+def idle_cells(counts: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(origin, p): the cells without departures, and the even probability of each other cell as their destination."""
+    n = tiles.agg(F.count(F.lit(1)).alias("_n"))
+    d = tiles.select(F.col("cell").alias("origin")).join(counts.select("origin").distinct(), "origin", "left_anti")
+    return d.join(F.broadcast(n)).select("origin", (F.lit(1.0) / F.nullif(F.col("_n") - 1, F.lit(0))).alias("p"))
 
 
 # --- user selection -----------------------------------------------------------------------

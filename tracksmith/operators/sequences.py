@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 
 def number_runs(
     df: DataFrame,
@@ -51,6 +53,26 @@ def number_runs(
     return d.join(s, [*key, "_bkt"]).select(*[F.col(c) if c in key else F.col("_cur")[c].alias(c) for c in df.columns], F.coalesce("_open", "_at_start").alias(run))
 
 
-def collapse_runs(df: DataFrame, key: list[str], order: list[str], bucket: Column, changed, aggs: list[Column]) -> DataFrame:
-    """One row per run: the key, ``run_start`` (struct of the order columns) and ``aggs``. See :func:`number_runs`."""
-    return number_runs(df, key, order, bucket, changed, "run_start").groupBy(*key, "run_start").agg(*aggs)
+def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in ranges of ``order``, numbered by ``_p``, written so that both passes see the same ranges."""
+    return write_table(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Append ``name``, the sum of ``value`` over all rows up to each one in ``order`` (which should identify a row). Ranges are summed apart; one row a range is then added up in order."""
+    d = _ranges(df.withColumn("_v", value), order)
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    off = d.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    here = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.join(F.broadcast(off), "_p").withColumn(name, F.sum("_v").over(here) + F.col("_off")).drop("_p", "_v", "_off")
+
+
+def fill_forward(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Append ``name``, the last ``value`` that is not null up to each row in ``order``; ranges as in :func:`running_total`."""
+    d = _ranges(df.withColumn("_v", value), order)
+    at = F.struct(*order)
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), at))
+    off = d.groupBy("_p").agg(last.alias("_l")).select("_p", F.last("_l", ignorenulls=True).over(before).alias("_off"))
+    here = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.join(F.broadcast(off), "_p").withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(here), "_off")).drop("_p", "_v", "_off")

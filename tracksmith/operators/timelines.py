@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_asin
 from .flows import shares
+from .sequences import fill_forward, running_total
 
 
 def _in_order():
@@ -20,9 +21,11 @@ def compress(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("_s", F.coalesce(same, F.lit(False))).where("not _s").drop("_s")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each different position with the node nearest in degrees (ties: lower node). ``nodes`` (node, longitude, latitude) is a small stated set."""
+def nearest_node(points: DataFrame, nodes: DataFrame, max_nodes: int = 10_000) -> DataFrame:
+    """Each different position with the node nearest in degrees (ties: lower node). ``nodes`` (node, longitude, latitude) is a stated set of at most ``max_nodes``."""
     p = points.select("longitude", "latitude").distinct()
+    if nodes.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"more than {max_nodes} nodes")
     n = nodes.agg(F.collect_list(F.struct("node", "longitude", "latitude")).alias("_n"))
     d2 = lambda x: F.pow(x["longitude"] - F.col("longitude"), 2) + F.pow(x["latitude"] - F.col("latitude"), 2)
     each = F.transform("_n", lambda x: F.struct(d2(x).alias("d"), x["node"].alias("node")))
@@ -81,12 +84,57 @@ def purpose_shares(trips: DataFrame) -> DataFrame:
     return trips.select("hour", *[(F.col(c) / F.nullif(F.sum(c).over(every), F.lit(0))).alias(c) for c in ("hbw", "hbo", "nhb")])
 
 
+def departure_validation(trips: DataFrame, surveys: dict[str, DataFrame]) -> DataFrame:
+    """Shares of trips by hour beside those of survey tables.
+
+    ``trips`` and each survey: hour, hbw, hbo, nhb. Returns hour and, for
+    ``tg`` (the trips) and each survey's name, ``hbw_<name>``, ``hbo_<name>``,
+    ``nhb_<name>`` and ``all_<name>``, each adding up to 1 over the hours that
+    all tables have; a column without trips is null.
+    """
+    names = ("hbw", "hbo", "nhb", "all")
+    d = None
+    for n, t in {**surveys, "tg": trips}.items():
+        t = t.select("hour", *[F.col(c).cast("double").alias(f"{c}_{n}") for c in names[:3]]).withColumn(f"all_{n}", F.col(f"hbw_{n}") + F.col(f"hbo_{n}") + F.col(f"nhb_{n}"))
+        d = t if d is None else d.join(t, "hour")
+    total = d.agg(*[F.sum(c).alias(f"_{c}") for c in d.columns if c != "hour"])
+    return d.join(F.broadcast(total)).select("hour", *[(F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in d.columns if c != "hour"])
+
+
+def combined_analysis(timeline: DataFrame, stays: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The measures that are looked at together: stay durations, daily locations, trip distances, and departures by purpose; observed durations where ``stays`` (caid, timestamp) are given."""
+    out = {
+        "stay_duration": duration_pdf(simulated_durations(timeline), 1 / 6),
+        "daily_locations": daily_locations_pmf(daily_locations(timeline)),
+        "trip_distance": trip_distance_pmf(trip_distances(compress(timeline))),
+        "departures": purpose_shares(trip_purposes(timeline)),
+    }
+    return out | ({"observed_stay_duration": duration_pdf(observed_durations(stays), 1 / 6)} if stays is not None else {})
+
+
+#: Names a timeline's columns may bear.
+TIMELINE_NAMES = {"user_id": ("user_id", "user", "caid"), "timeslot": ("timeslot", "slot"), "location_type": ("location_type", "type", "purpose"), "longitude": ("longitude", "lon", "lng"), "latitude": ("latitude", "lat")}
+
+
+def normalize_timeline(df: DataFrame, slot_s: int = 600) -> DataFrame:
+    """user_id, timeslot (from 1), location_type, longitude, latitude from columns of other names; a ``datetime`` column stands for the slot, counted from the first day there."""
+    have = {c.lower(): c for c in df.columns}
+    at = {k: next((have[a] for a in al if a in have), None) for k, al in TIMELINE_NAMES.items()}
+    if at["timeslot"] is None and "datetime" in have:
+        first = df.agg(F.date_trunc("day", F.min(have["datetime"])).alias("_day0"))
+        df = df.join(F.broadcast(first)).withColumn("_slot", (F.floor((F.unix_timestamp(have["datetime"]) - F.unix_timestamp("_day0")) / slot_s) + 1).cast("bigint"))
+        at["timeslot"] = "_slot"
+    missing = [k for k, v in at.items() if v is None]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*[F.col(v).alias(k) for k, v in at.items()])
+
+
 def duration_cdf(slots_: DataFrame, column: str = "duration") -> DataFrame:
     """(duration, cdf) of the positive durations."""
     n = slots_.where(F.col(column) > 0).groupBy(F.col(column).alias("duration")).agg(F.count(F.lit(1)).alias("_n"))
-    every = W.partitionBy(F.lit(1))
-    run = every.orderBy("duration").rowsBetween(W.unboundedPreceding, 0)
-    return n.select("duration", (F.sum("_n").over(run) / F.sum("_n").over(every)).alias("cdf"))
+    n = running_total(n, ["duration"], F.col("_n"), "_to")
+    return n.join(F.broadcast(n.agg(F.max("_to").alias("_all")))).select("duration", (F.col("_to") / F.col("_all")).alias("cdf"))
 
 
 def simulated_durations(timeline: DataFrame) -> DataFrame:
@@ -140,7 +188,6 @@ def location_ranks(points: DataFrame, top_n: int = 20, user: str = "user_id") ->
 def parse_results(lines: DataFrame) -> DataFrame:
     """Timeline from text rows (line_no, value): a line with one field names the user, others hold kind, longitude, latitude."""
     d = lines.withColumn("_f", F.split(F.trim("value"), r"\s+"))
-    w = W.orderBy("line_no")
-    d = d.withColumn("user_id", F.last(F.when(F.size("_f") == 1, F.get("_f", F.lit(0))), ignorenulls=True).over(w)).where(F.size("_f") == 3)
+    d = fill_forward(d, ["line_no"], F.when((F.size("_f") == 1) & (F.col("value") != ""), F.get("_f", F.lit(0))), "user_id").where(F.size("_f") == 3)
     slot = F.row_number().over(W.partitionBy("user_id").orderBy("line_no")).cast("bigint")
     return d.select("user_id", slot.alias("timeslot"), F.get("_f", F.lit(0)).alias("location_type"), F.get("_f", F.lit(1)).try_cast("double").alias("longitude"), F.get("_f", F.lit(2)).try_cast("double").alias("latitude"))

@@ -34,6 +34,25 @@ def hav(a: str, b: str, c: str, d: str, r: float = geo.R_MEAN_M) -> str:
     return f"(2e0 * {r!r} * atan2(sqrt(least({x}, 1e0)), sqrt(greatest(1e0 - {x}, 0e0))))"
 
 
+def vincenty_sql(src: str, keys: str, lat1: str, lon1: str, lat2: str, lon2: str, turns: int = 12) -> str:
+    """CTEs ending in ``vd`` (``keys``, km): Vincenty's inverse formula on WGS-84 for the rows of ``src``, ``turns`` times round."""
+    f, a = "(1e0 / 298.257223563e0)", "6378137e0"
+    b = f"({a} * (1e0 - {f}))"
+    out = [f"v0 AS (SELECT {keys}, atan((1e0 - {f}) * tan(radians({lat1}))) u1, atan((1e0 - {f}) * tan(radians({lat2}))) u2, radians({lon2}) - radians({lon1}) ell, radians({lon2}) - radians({lon1}) lam FROM {src})"]
+    ss = "sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2))"
+    one = f"""SELECT *, atan2(ss, cs) sig, 1e0 - sa * sa c2, CASE WHEN 1e0 - sa * sa = 0 THEN 0e0 ELSE cs - 2e0 * sin(u1) * sin(u2) / (1e0 - sa * sa) END cm FROM (
+      SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END sa FROM (SELECT *, {ss} ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) cs FROM v{{k}}))"""
+    cc = f"({f} / 16e0 * c2 * (4e0 + {f} * (4e0 - 3e0 * c2)))"
+    for k in range(turns):
+        out.append(f"v{k + 1} AS (SELECT {keys}, u1, u2, ell, ell + (1e0 - {cc}) * {f} * sa * (sig + {cc} * ss * (cm + {cc} * cs * (2e0 * cm * cm - 1e0))) lam FROM ({one.format(k=k)}))")
+    usq = f"(c2 * ({a} * {a} - {b} * {b}) / ({b} * {b}))"
+    aa = f"(1e0 + {usq} / 16384e0 * (4096e0 + {usq} * (-768e0 + {usq} * (320e0 - 175e0 * {usq}))))"
+    bb = f"({usq} / 1024e0 * (256e0 + {usq} * (-128e0 + {usq} * (74e0 - 47e0 * {usq}))))"
+    ds = f"({bb} * ss * (cm + {bb} / 4e0 * (cs * (2e0 * cm * cm - 1e0) - {bb} / 6e0 * cm * (4e0 * ss * ss - 3e0) * (4e0 * cm * cm - 3e0))))"
+    out.append(f"vd AS (SELECT {keys}, {b} * {aa} * (sig - {ds}) / 1000e0 km FROM ({one.format(k=turns)}))")
+    return ", ".join(out)
+
+
 def cell_sql(lat: str, lon: str, res: int) -> str:
     n, k = 1 << (res + 6), (9 << 59) | (res << 52)
     x = f"least(CAST(floor(({lon} + 180e0) / 360e0 * {n}e0) AS BIGINT), {n - 1})"
@@ -161,7 +180,7 @@ def haversine_asin_km(spark, d):
     return pings(spark, d).select("caid", "utc_timestamp", "latitude", "longitude", F.round(km, 6).alias("km"))
 
 
-@query()
+@query(f"WITH pq AS (SELECT row_number() OVER () n, * FROM ({PINGS_SQL})), {vincenty_sql('pq', 'n, caid, utc_timestamp, latitude, longitude', 'latitude', 'longitude', '34.05e0', '(-118.25e0)')} SELECT caid, utc_timestamp, latitude, longitude, round(km, 6) km FROM vd")
 def geodesic_km(spark, d):
     """Vincenty distance on WGS-84, in Arrow batches."""
 
@@ -500,15 +519,14 @@ def tessellation(spark, d):
     return rounded(flows.tessellation(canonical(spark, d)).drop("boundary"), latitude=9, longitude=9)
 
 
-_TR = f"""tl AS (SELECT cell FROM ({STAYS_SQL}) GROUP BY cell HAVING count(*) >= 3), ct AS (SELECT o origin, p destination, CAST(count(*) AS BIGINT) n FROM (SELECT cell o, lead(cell) OVER (PARTITION BY caid ORDER BY local_time, cell) p FROM ({STAYS_SQL}))
+_TR = f"""tl AS (SELECT DISTINCT cell FROM ({STAYS_SQL}) WHERE cell IS NOT NULL), ct AS (SELECT o origin, p destination, CAST(count(*) AS BIGINT) n FROM (SELECT cell o, lead(cell) OVER (PARTITION BY caid ORDER BY local_time, cell) p FROM ({STAYS_SQL}))
  WHERE o <> p AND o IN (SELECT cell FROM tl) AND p IN (SELECT cell FROM tl) GROUP BY o, p),
-mt AS (SELECT origin, destination, n / sum(n) OVER (PARTITION BY origin) p FROM ct), nt AS (SELECT count(*) k FROM tl),
-od AS (SELECT * FROM mt UNION ALL SELECT a.cell, b.cell, 1e0 / (k - 1) FROM tl a, tl b, nt WHERE a.cell <> b.cell AND a.cell NOT IN (SELECT origin FROM mt))"""
+mt AS (SELECT origin, destination, n / sum(n) OVER (PARTITION BY origin) p FROM ct), nt AS (SELECT count(*) k FROM tl)"""
 
 
 def _tiles(spark, d):
     s = canonical(spark, d)
-    return s, flows.tessellation(s).where("stay_count >= 3")
+    return s, flows.tessellation(s)
 
 
 @query(f"WITH {_TR} SELECT * FROM ct")
@@ -516,10 +534,15 @@ def epr_transition_counts(spark, d):
     return flows.transition_counts(*_tiles(spark, d))
 
 
-@query(f"WITH {_TR} SELECT origin, destination, round(p, 9) p FROM od")
+@query(f"WITH {_TR} SELECT origin, destination, round(p, 9) p FROM mt")
 def epr_od_matrix(spark, d):
+    return rounded(flows.transition_matrix(flows.transition_counts(*_tiles(spark, d))), p=9)
+
+
+@query(f"WITH {_TR} SELECT cell origin, round(1e0 / (k - 1), 12) p FROM tl, nt WHERE cell NOT IN (SELECT origin FROM ct)")
+def epr_idle_cells(spark, d):
     s, t = _tiles(spark, d)
-    return rounded(flows.od_matrix(flows.transition_counts(s, t), t), p=9)
+    return rounded(flows.idle_cells(flows.transition_counts(s, t), t), p=12)
 
 
 @query(f"WITH {_TR} SELECT (SELECT k FROM nt) num_locations, (SELECT count(DISTINCT caid) FROM ({STAYS_SQL})) num_users, CAST((SELECT sum(n) FROM ct) AS BIGINT) num_transitions")

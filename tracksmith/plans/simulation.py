@@ -12,7 +12,7 @@ from ..models.gravity import Gravity, pair_distances
 from ..operators import areal, flows, timelines
 from ..session import cut_lineage
 from .fixtures import TIMELINE_SQL, timeline
-from .mobility import RES, STAYS_SQL, canonical, center_sql, hav, parent_sql, rounded
+from .mobility import RES, STAYS_SQL, canonical, center_sql, parent_sql, rounded, vincenty_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,15 +29,15 @@ def query(sql: str | None = None):
 
 
 # --- gravity ---------------------------------------------------------------------------------
-# Tiles: the cells at resolution 6, relevance their stays, outflow their departures. The queries with SQL
-# take great-circle distances, so that both sides measure alike; `gravity_distances` holds the ellipsoid's.
+# Tiles: the cells at resolution 6, relevance their stays, outflow their departures.
 
 P6 = parent_sql("cell", RES, 6)
 _C6 = center_sql("tile", 6)
 _TILES = f"""st AS (SELECT caid, local_time, {P6} tile FROM ({STAYS_SQL})),
 fl AS (SELECT o origin, tile destination, CAST(count(*) AS BIGINT) flow FROM (SELECT tile, lag(tile) OVER (PARTITION BY caid ORDER BY local_time, tile) o FROM st) WHERE o <> tile GROUP BY 1, 2),
 ti AS (SELECT st.tile, CAST(count(*) AS DOUBLE) relevance, coalesce(max(w.s), 0e0) tot_outflow FROM st LEFT JOIN (SELECT origin, CAST(sum(flow) AS DOUBLE) s FROM fl GROUP BY origin) w ON w.origin = st.tile GROUP BY st.tile),
-pa AS (SELECT a.tile i, b.tile j, {hav(_C6[0].replace("tile", "a.tile"), _C6[1].replace("tile", "a.tile"), _C6[0].replace("tile", "b.tile"), _C6[1].replace("tile", "b.tile"), 6371.008)} km FROM ti a, ti b WHERE a.tile <> b.tile),
+pr AS (SELECT a.tile i, b.tile j, {_C6[0].replace("tile", "a.tile")} la, {_C6[1].replace("tile", "a.tile")} lo, {_C6[0].replace("tile", "b.tile")} lb, {_C6[1].replace("tile", "b.tile")} lp FROM ti a, ti b WHERE a.tile < b.tile),
+{vincenty_sql("pr", "i, j", "la", "lo", "lb", "lp")}, pa AS (SELECT i, j, km FROM vd UNION ALL SELECT j, i, km FROM vd),
 sc AS (SELECT i, j, pow(km, -2e0) * y.relevance * x.relevance s, x.tot_outflow w FROM pa JOIN ti x ON x.tile = i JOIN ti y ON y.tile = j)"""
 
 
@@ -50,23 +50,19 @@ def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return t, f
 
 
-def _sphere_pairs(t: DataFrame) -> DataFrame:
-    """Like pair_distances, on the sphere."""
-    from ..functions.geo import R_MEAN_M, haversine
-
-    a = t.select(F.col("tile").alias("i"), F.col("latitude").alias("_a"), F.col("longitude").alias("_b"))
-    b = t.select(F.col("tile").alias("j"), F.col("latitude").alias("_c"), F.col("longitude").alias("_d"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", haversine(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"), R_MEAN_M / 1000).alias("km"))
-
-
-@query()
+@query(f"WITH {_TILES} SELECT i, j, round(km, 6) km FROM pa")
 def gravity_distances(spark, d):
     return rounded(pair_distances(_tiles(spark, d)[0]), km=6)
 
 
+@query(f"WITH {_TILES} SELECT i, j, round(km, 6) km FROM pa WHERE km <= 8e0")
+def gravity_distances_near(spark, d):
+    return rounded(pair_distances(_tiles(spark, d)[0], 8.0), km=6)
+
+
 def _probs(spark, d, **params) -> DataFrame:
     t, _ = _tiles(spark, d)
-    return rounded(Gravity(**params).generate(t, _sphere_pairs(t), "probabilities"), probability=9)
+    return rounded(Gravity(**params).generate(t, pair_distances(t), "probabilities"), probability=9)
 
 
 @query(f"WITH {_TILES} SELECT i origin, j destination, round(s / sum(s) OVER (PARTITION BY i), 9) probability FROM sc WHERE s > 0")
@@ -87,25 +83,42 @@ def gravity_probabilities_compat(spark, d):
 @query(f"WITH {_TILES} SELECT i origin, j destination, round(p * w, 6) flow FROM (SELECT i, j, w, s / sum(s) OVER (PARTITION BY i) p FROM sc WHERE s > 0) WHERE p * w > 0")
 def gravity_flows(spark, d):
     t, _ = _tiles(spark, d)
-    return rounded(Gravity().generate(t, _sphere_pairs(t), "flows"), flow=6)
+    return rounded(Gravity().generate(t, pair_distances(t), "flows"), flow=6)
 
 
-@query()
+@query(f"WITH {_TILES} SELECT i origin, j destination, round(p * w, 6) flow FROM (SELECT i, j, w, s / sum(s) OVER () p FROM sc WHERE s > 0) WHERE p * w > 0")
+def gravity_flows_global(spark, d):
+    t, _ = _tiles(spark, d)
+    return rounded(Gravity(gravity_type="global").generate(t, pair_distances(t), "flows"), flow=6)
+
+
+@query(f"WITH {_TILES} SELECT tile origin, CAST(tot_outflow AS BIGINT) flow FROM ti WHERE tot_outflow > 0")
 def gravity_flows_sample(spark, d):
+    """The draws of each origin add up to its outflow."""
+    t, _ = _tiles(spark, d)
+    return Gravity().generate(t, pair_distances(t), "flows_sample", seed=5).groupBy("origin").agg(F.sum("flow").cast("bigint").alias("flow"))
+
+
+@query(f"WITH {_TILES} SELECT CAST(sum(tot_outflow) AS BIGINT) flow, CAST(0 AS BIGINT) strangers FROM ti")
+def gravity_flows_sample_global(spark, d):
+    """The draws add up to all outflow, and fall on pairs that have a probability."""
     t, _ = _tiles(spark, d)
-    return Gravity().generate(t, _sphere_pairs(t), "flows_sample", seed=5)
+    g, x = Gravity(gravity_type="global"), pair_distances(t)
+    s = cut_lineage(g.generate(t, x, "flows_sample", seed=5))
+    odd = s.join(g.generate(t, x, "probabilities"), ["origin", "destination"], "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    return s.agg(F.sum("flow").cast("bigint").alias("flow")).join(F.broadcast(odd))
 
 
 @query(f"WITH {_TILES} SELECT origin, destination, flow, round(ln(x.relevance), 9) ln_origin, round(ln(y.relevance), 9) ln_destination, round(ln(km), 9) cost FROM fl JOIN ti x ON x.tile = origin JOIN ti y ON y.tile = destination JOIN pa ON i = origin AND j = destination")
 def gravity_training(spark, d):
     t, f = _tiles(spark, d)
-    return rounded(Gravity().training_set(f, t, _sphere_pairs(t)), ln_origin=9, ln_destination=9, cost=9)
+    return rounded(Gravity().training_set(f, t, pair_distances(t)), ln_origin=9, ln_destination=9, cost=9)
 
 
 @query()
 def gravity_fit(spark, d):
     t, f = map(cut_lineage, _tiles(spark, d))
-    x = _sphere_pairs(t)
+    x = pair_distances(t)
     out = []
     for kind in ("single", "global"):
         g = Gravity(gravity_type=kind)
@@ -119,8 +132,8 @@ def gravity_fit(spark, d):
 
 def _epr(spark, d):
     s = cut_lineage(canonical(spark, d))
-    t = cut_lineage(flows.tessellation(s).where("stay_count >= 3"))
-    return EPR().generate(flows.od_matrix(flows.transition_counts(s, t), t), t, 200, "2024-01-01", "2024-01-15", seed=3)
+    t = cut_lineage(flows.tessellation(s))
+    return EPR().generate(flows.transition_matrix(flows.transition_counts(s, t)), t, 200, "2024-01-01", "2024-01-15", seed=3)
 
 
 @query()
@@ -133,6 +146,13 @@ def epr_flows(spark, d):
     return trajectory_flows(_epr(spark, d))
 
 
+@query(f"SELECT o origin, p destination, CAST(count(*) AS BIGINT) flow FROM (SELECT cell o, lead(cell) OVER (PARTITION BY CAST(caid AS BIGINT) ORDER BY stay_start, cell) p FROM ({STAYS_SQL})) WHERE p IS NOT NULL AND o <> p GROUP BY 1, 2")
+def trajectory_flow_counts(spark, d):
+    """Flows of given trajectories: the stays themselves."""
+    s = canonical(spark, d).select(F.col("caid").cast("bigint").alias("user"), F.col("stay_start_timestamp").alias("datetime"), F.col("cell").alias("location"))
+    return trajectory_flows(s)
+
+
 # --- daily activity model ----------------------------------------------------------------------------
 
 _CC = center_sql("cell", RES)
@@ -360,6 +380,28 @@ def trip_purpose_shares(spark, d):
     return rounded(timelines.purpose_shares(timelines.trip_purposes(timeline(spark, d))), hbw=9, hbo=9, nhb=9)
 
 
+_SURVEY = [(h, 1.0 + h % 5, 2.0 + h % 7, 3.0 + h % 3) for h in range(24)]
+_SV = f"sv(hour, hbw, hbo, nhb) AS (VALUES {', '.join(f'({h}, {a}e0, {b}e0, {c}e0)' for h, a, b, c in _SURVEY)}), jo AS (SELECT pc.hour, pc.hbw a, pc.hbo b, pc.nhb c, sv.hbw x, sv.hbo y, sv.nhb z FROM pc JOIN sv ON pc.hour = sv.hour)"
+_COMPARED = (("x", "hbw_survey"), ("y", "hbo_survey"), ("z", "nhb_survey"), ("(x + y + z)", "all_survey"), ("a", "hbw_tg"), ("b", "hbo_tg"), ("c", "nhb_tg"), ("(a + b + c)", "all_tg"))
+
+
+@query(f"WITH {_TL}, {_PU}, {_SV} SELECT hour, {', '.join(f'round({v} / nullif(sum({v}) OVER (), 0), 9) {n}' for v, n in _COMPARED)} FROM jo")
+def departure_validation(spark, d):
+    survey = spark.createDataFrame(_SURVEY, "hour bigint, hbw double, hbo double, nhb double")
+    v = timelines.departure_validation(timelines.trip_purposes(timeline(spark, d)), {"survey": survey})
+    return rounded(v, **{c: 9 for c in v.columns if c != "hour"})
+
+
+@query(f"WITH {_TL} SELECT user_id, timeslot, location_type FROM tl")
+def timeline_parsed(spark, d):
+    """The timeline written as text, one line a user and one a slot, and read again."""
+    t = timeline(spark, d)
+    line = F.concat_ws(" ", "location_type", "longitude", "latitude")
+    lines = t.select("user_id", "timeslot", line.alias("value")).unionByName(t.select("user_id").distinct().select("user_id", F.lit(0).cast("bigint").alias("timeslot"), F.col("user_id").alias("value")))
+    lines = lines.select((F.col("user_id").cast("bigint") * 1000 + F.col("timeslot")).alias("line_no"), "value")
+    return timelines.parse_results(lines).select("user_id", "timeslot", "location_type")
+
+
 @query(f"WITH {_TL} SELECT count(*) num_users, CAST(sum(w) AS BIGINT) num_users_work FROM (SELECT user_id, max(CAST(location_type = 'w' AS INT)) w FROM tl GROUP BY user_id)")
 def commuter_counts(spark, d):
     return timelines.commuter_counts(timeline(spark, d))
@@ -450,3 +492,16 @@ def areal_population(spark, d):
     t = _county(spark)
     c = areal.polygon_cells(t.select(F.col("tract_id").alias("region_id"), "ring"), 7)
     return rounded(areal.areal_population(c, t), population=6)
+
+
+@query("SELECT tract_id, 1000e0 * tract_id population FROM range(1, 5) t(tract_id)")
+def areal_population_by_tract(spark, d):
+    """The parts of each tract in the cells around it add up to its population."""
+    t = _county(spark)
+    wide = spark.createDataFrame([(1, [(-118.7, 33.8), (-117.8, 33.8), (-117.8, 34.7), (-118.7, 34.7)])], "region_id int, ring array<struct<lng:double,lat:double>>")
+    c = cut_lineage(areal.polygon_cells(wide, 6))
+    out = None
+    for k in range(1, 5):
+        one = areal.areal_population(c, t.where(F.col("tract_id") == k)).agg(F.sum("population").alias("population")).select(F.lit(k).cast("bigint").alias("tract_id"), "population")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, population=3)
