@@ -34,6 +34,7 @@ class MobilityDataset:
     latitude: tuple[float, float] | None = None
     time_zone: str = "America/Mexico_City"
     time_format: str = "UNIX"
+    cell_system: str = "h3"
 
     @property
     def folder(self) -> str:
@@ -47,10 +48,12 @@ class MobilityDataset:
         return s.withColumn("cell", F.col("h3_id_region").cast("bigint"))
 
     def load_stay_count(self, spark: SparkSession, resolution: int) -> DataFrame:
-        return flows.stay_count(self.load_stays(spark), resolution)
+        s = self.load_stays(spark)
+        return flows.stay_count(s, resolution, system=cells.system_of(s, "cell"))
 
     def load_od_flow(self, spark: SparkSession, resolution: int) -> DataFrame:
-        return flows.od_flow(self.load_stays(spark), resolution)
+        s = self.load_stays(spark)
+        return flows.od_flow(s, resolution, system=cells.system_of(s, "cell"))
 
     def load_home_work_flow(self, spark: SparkSession, resolution: int) -> DataFrame:
         return tables.read(spark, self.folder, tables.HOME_WORK, f"Resolution{resolution}")
@@ -85,11 +88,11 @@ class ClusterStayDetection:
         local = places.add_local_time(places.cluster_stops(s, dbscan_distance, dbscan_min_points), d.time_zone).persist()
         try:
             if find_home_and_work:
-                out = places.canonical_stays(places.classify_home_work(local, **home_work), resolution)
+                out = places.canonical_stays(places.classify_home_work(local, **home_work), resolution, d.cell_system)
                 tables.write(out, d.folder, tables.LABELLED)
             else:
                 none = local.withColumns({c: F.lit(None).cast("double") for c in ("home_latitude", "home_longitude", "work_latitude", "work_longitude")})
-                out = places.canonical_stays(none.withColumn("type", F.lit(0)), resolution)
+                out = places.canonical_stays(none.withColumn("type", F.lit(0)), resolution, d.cell_system)
             tables.write(places.stay_points(out), d.folder, tables.STAY_POINTS)
         finally:
             local.unpersist()
@@ -111,9 +114,9 @@ class GridStayDetection:
         if d.latitude is None or d.longitude is None:
             raise ValueError("the data set needs latitude and longitude bounds")
         params = {k: v for k, v in locals().items() if k not in ("self", "spark", "d")}
-        g = grid.grid_stays(d.load_pings(spark), delta_t, spatial_threshold, speed_threshold, temporal_threshold, hex_resolution, regional_temporal_threshold, passing)
+        g = grid.grid_stays(d.load_pings(spark), delta_t, spatial_threshold, speed_threshold, temporal_threshold, hex_resolution, regional_temporal_threshold, passing, d.cell_system)
         local = places.add_local_time(g, d.time_zone).persist()
-        hw = grid.grid_home_work(local, home_to_work, work_to_home, work_distance_limit, work_freq_count_limit)
+        hw = grid.grid_home_work(local, home_to_work, work_to_home, work_distance_limit, work_freq_count_limit, d.cell_system)
         s = local.join(hw, "caid", "left")
         hex_ = lambda c: F.upper(cells.to_hex(F.col(c)))
         kind = F.when(F.col("cell") == F.col("home_cell"), 1).when(F.col("cell") == F.col("work_cell"), 2).otherwise(0)
@@ -142,7 +145,8 @@ class GridStayDetection:
         return self.dataset.load_home_work_flow(spark, resolution)
 
     def get_od_matrix(self, spark: SparkSession, resolution: int) -> DataFrame:
-        od = flows.od_flow(self._stays(spark), resolution).drop("distance")
+        s = self._stays(spark)
+        od = flows.od_flow(s, resolution, system=cells.system_of(s, "cell")).drop("distance")
         tables.write(od, self.dataset.folder, tables.FULL_OD, f"Resolution{resolution}")
         return tables.read(spark, self.dataset.folder, tables.FULL_OD, f"Resolution{resolution}")
 

@@ -53,12 +53,13 @@ def from_original(stays: DataFrame) -> DataFrame:
 # --- preparation -----------------------------------------------------------------------------
 
 
-def align(stays: DataFrame, compat: str | None = None) -> DataFrame:
+def align(stays: DataFrame, compat: str | None = None, system: str = "grid") -> DataFrame:
     """caid, h3_id_region, timestamp (seconds), type 0/1/2, zero, position of the cell, and optional columns that are there.
 
     Columns may bear any of the ``ALIASES``. ``type`` may hold labels or
     integers. The position is the cell's centre, or
-    its first vertex with ``compat="vertex0"``.
+    its first vertex with ``compat="vertex0"``; ``system`` says whose cells they
+    are, and cells of the other raise an error.
     """
     stays = resolve_columns(stays)
     missing = [c for c in ("caid", "h3_id_region", "stay_start_timestamp", "type") if c not in stays.columns]
@@ -69,7 +70,11 @@ def align(stays: DataFrame, compat: str | None = None) -> DataFrame:
     t = F.col("stay_start_timestamp")
     t = F.unix_timestamp(t) if kinds["stay_start_timestamp"].startswith("timestamp") else t.cast("bigint")
     cell = F.col("h3_id_region").cast("bigint")
-    at = cells.first_vertex(cell) if compat == "vertex0" else cells.cell_to_latlng(cell)
+    if system == "h3":  # each cell is placed once
+        place = cells.first_vertex(F.col("_c"), system) if compat == "vertex0" else cells.cell_to_latlng(F.col("_c"), system)
+        at_cells = stays.select(cell.alias("_c")).distinct().select("_c", place.alias("_at"))
+        stays = stays.join(at_cells, cell.eqNullSafe(F.col("_c")), "left").drop("_c")
+    at = F.col("_at") if system == "h3" else cells.first_vertex(cell) if compat == "vertex0" else cells.cell_to_latlng(cell)
     keep = [c for c in _OPTIONAL if c in stays.columns]
     return stays.select("caid", cell.alias("h3_id_region"), t.alias("timestamp"), kind.alias("type"), F.lit(0).alias("zero"), at["lat"].alias("latitude"), at["lng"].alias("longitude"), *keep)
 
@@ -643,10 +648,11 @@ class TimeGeo:
     slot_interval: int = slots.SLOT_S
     sample_fraction: float = 1.0
     seed: int = 0
+    system: str = "grid"
     fitted: dict | None = None
 
     def fit(self, stays: DataFrame) -> "TimeGeo":
-        aligned = cut_lineage(without_repeats(align(stays)))
+        aligned = cut_lineage(without_repeats(align(stays, system=self.system)))
         some = frequent_stays(aligned, self.min_unique_locations)
         users = gated_users(some)
         fmt = cut_lineage(formatted(some.join(users.select("caid"), "caid", "left_semi")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cells
+from ..functions import cells, h3
 from .spatial import sweep_regions
 
 # Axis and flattening of GRS 80; standard parallels, origin of the California Albers projection.
@@ -67,13 +67,15 @@ def clip(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
 _CORNERS = "array<struct<lng:double,lat:double>>"
 
 
-def polygon_cells(polygons: DataFrame, res: int, id: str = "region_id", ring: str = "ring") -> DataFrame:
-    """(id, cell): built-in cells whose centre lies in the polygon (even-odd; one row of ``polygons`` per ring).
+def polygon_cells(polygons: DataFrame, res: int, id: str = "region_id", ring: str = "ring", system: str = "grid") -> DataFrame:
+    """(id, cell): cells whose centre lies in the polygon (even-odd; one row of ``polygons`` per ring).
 
     A polygon's bounding box is enumerated row of cells by row of cells, in
     Arrow batches, never as one array.
     """
     kind = dict(polygons.dtypes)[id]
+    if system == "h3":
+        return _polygon_h3(polygons, res, id, ring, kind)
     n = 1 << (res + 6)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +98,36 @@ def polygon_cells(polygons: DataFrame, res: int, id: str = "region_id", ring: st
     return d.select(id, F.shiftleft("_y", res + 6).bitwiseOR(F.col("_x")).bitwiseOR(base).alias("cell")).distinct()
 
 
-def areal_population(cells_: DataFrame, tracts: DataFrame, tile_deg: float = 0.5) -> DataFrame:
+def _polygon_h3(polygons: DataFrame, res: int, id: str, ring: str, kind: str) -> DataFrame:
+    """The bounding box is sounded row by row, closer than a cell is wide; of the cells met, those whose centre lies inside are kept."""
+    step = np.degrees(0.3 * h3.least_width(res))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, r in zip(pdf[id], pdf[ring]):
+                if r is None or len(r) < 3:
+                    continue
+                xy = np.array([(p["lng"], p["lat"]) for p in r], float)
+                (x0, y0), (x1, y1) = xy.min(0), xy.max(0)
+                for lat in np.arange(y0, y1 + step, step):
+                    wide = step / max(np.cos(np.radians(min(abs(lat) + step, 89.0))), 0.01)
+                    lng = np.arange(x0, x1 + wide, wide)
+                    met = np.unique(h3.latlng_to_cell(np.full(len(lng), min(lat, 90.0)), (lng + 180) % 360 - 180, res))
+                    la, lo = h3.cell_to_latlng(met)
+                    inside = sweep_regions(lo, la, [xy])[0]
+                    if len(inside):
+                        yield pd.DataFrame({id: i, "cell": met[inside]})
+
+    return polygons.select(id, F.col(ring).cast(_CORNERS).alias(ring)).mapInPandas(rows, f"`{id}` {kind}, cell bigint").distinct()
+
+
+def with_holes(regions: DataFrame, outer: DataFrame, holes: DataFrame, id: str = "region_id") -> DataFrame:
+    """(id, cell) of regions of several parts and with holes: the cells of the ``outer`` rings less those of the ``holes`` of the same region (both as :func:`polygon_cells` gives them). ``regions``: id."""
+    some = outer.join(regions.select(id), id, "left_semi").distinct()
+    return some.join(holes.select(id, "cell"), [id, "cell"], "left_anti")
+
+
+def areal_population(cells_: DataFrame, tracts: DataFrame, tile_deg: float = 0.5, system: str = "grid") -> DataFrame:
     """(cell, population): each tract's population shared by the area of its parts in the cells; cells that meet no tract are left out.
 
     ``cells_``: cell; ``tracts``: tract_id, ring, population. Both meet in tiles
@@ -108,7 +139,7 @@ def areal_population(cells_: DataFrame, tracts: DataFrame, tile_deg: float = 0.5
         d = d.withColumn("_ty", F.explode(F.sequence(lo(F.array_min, "lat"), lo(F.array_max, "lat"))))
         return d.withColumn("_tx", F.explode(F.sequence(lo(F.array_min, "lng"), lo(F.array_max, "lng"))))
 
-    c = tiles(cells_.where("cell is not null").select("cell").distinct().withColumn("_b", cells.cell_to_boundary(F.col("cell"))), "_b")
+    c = tiles(cells_.where("cell is not null").select("cell").distinct().withColumn("_b", cells.cell_to_boundary(F.col("cell"), system)), "_b")
     t = tiles(tracts.where("ring is not null and size(ring) >= 3").select("tract_id", F.col("ring").cast(_CORNERS).alias("ring"), F.col("population").cast("double").alias("population")), "ring")
     d = c.join(t, ["_ty", "_tx"]).dropDuplicates(["cell", "tract_id"])
 

@@ -10,13 +10,13 @@ from ..functions import cells
 from ..functions.geo import R_ROUND_M, haversine
 
 
-def stay_count(stays: DataFrame, res: int, cell: str = "cell") -> DataFrame:
+def stay_count(stays: DataFrame, res: int, cell: str = "cell", system: str = "grid") -> DataFrame:
     """Stays per parent cell: cell, h3_index (hex), count, boundary."""
     p = stays.select(cells.parent(F.col(cell), res).alias("cell")).where("cell is not null")
-    return p.groupBy("cell").agg(F.count(F.lit(1)).alias("count")).select("cell", cells.to_hex(F.col("cell")).alias("h3_index"), "count", cells.cell_to_boundary(F.col("cell")).alias("boundary"))
+    return p.groupBy("cell").agg(F.count(F.lit(1)).alias("count")).select("cell", cells.to_hex(F.col("cell")).alias("h3_index"), "count", cells.cell_to_boundary(F.col("cell"), system).alias("boundary"))
 
 
-def od_flow(stays: DataFrame, res: int, include_self: bool = True, cell: str = "cell", user: str = "caid", time: str = "local_time") -> DataFrame:
+def od_flow(stays: DataFrame, res: int, include_self: bool = True, cell: str = "cell", user: str = "caid", time: str = "local_time", system: str = "grid") -> DataFrame:
     """Flows between the parent cells of successive stays of each device: origin, destination (hex), flow, distance between centres in km."""
     d = stays.select(F.col(user).alias("_u"), F.col(time).alias("_t"), F.col(cell).alias("_c"), cells.parent(F.col(cell), res).alias("_p"))
     w = W.partitionBy("_u").orderBy("_t", "_c")
@@ -24,7 +24,7 @@ def od_flow(stays: DataFrame, res: int, include_self: bool = True, cell: str = "
     if not include_self:
         d = d.where("o <> d")
     d = d.groupBy("o", "d").agg(F.count(F.lit(1)).alias("flow"))
-    a, b = cells.cell_to_latlng(F.col("o")), cells.cell_to_latlng(F.col("d"))
+    a, b = cells.cell_to_latlng(F.col("o"), system), cells.cell_to_latlng(F.col("d"), system)
     km = haversine(a["lat"], a["lng"], b["lat"], b["lng"], R_ROUND_M / 1000.0)
     return d.select(cells.to_hex(F.col("o")).alias("origin"), cells.to_hex(F.col("d")).alias("destination"), "flow", km.alias("distance"))
 
@@ -43,10 +43,10 @@ def location_counts(stays: DataFrame, column: str, res: int) -> DataFrame:
     return one.groupBy(cells.to_hex(cells.parent(cells.from_hex(F.col("_h")), res)).alias("h3_index")).agg(F.sum("_n").alias("count"))
 
 
-def count_map(counts: DataFrame, res: int, cell: str = "cell") -> DataFrame:
+def count_map(counts: DataFrame, res: int, cell: str = "cell", system: str = "grid") -> DataFrame:
     """Map data: parent cell, summed count, log10 of it, centre."""
     d = counts.groupBy(cells.parent(F.col(cell), res).alias("cell")).agg(F.sum("count").alias("count"))
-    at = cells.cell_to_latlng(F.col("cell"))
+    at = cells.cell_to_latlng(F.col("cell"), system)
     return d.select("cell", "count", F.log10("count").alias("log_count"), at["lat"].alias("latitude"), at["lng"].alias("longitude"))
 
 
@@ -62,9 +62,9 @@ def flow_map(flows: DataFrame, min_thickness: float = 0.1, max_thickness: float
     return edges, nodes
 
 
-def trajectories(stays: DataFrame, user: str = "caid", time: str = "local_time") -> DataFrame:
+def trajectories(stays: DataFrame, user: str = "caid", time: str = "local_time", system: str = "grid") -> DataFrame:
     """Each device's positions in order, as an array of structs; stays without a position stand at their cell's centre."""
-    at = cells.cell_to_latlng(F.col("cell"))
+    at = cells.cell_to_latlng(F.col("cell"), system)
     p = F.struct(F.col(time).alias("t"), F.coalesce(F.col("latitude"), at["lat"]).alias("lat"), F.coalesce(F.col("longitude"), at["lng"]).alias("lng"))
     return stays.groupBy(user).agg(F.array_sort(F.collect_list(p)).alias("path"))
 
@@ -72,11 +72,11 @@ def trajectories(stays: DataFrame, user: str = "caid", time: str = "local_time")
 # --- tessellation and transition matrix -------------------------------------------------
 
 
-def tessellation(stays: DataFrame, cell: str = "cell") -> DataFrame:
+def tessellation(stays: DataFrame, cell: str = "cell", system: str = "grid") -> DataFrame:
     """Cells in use with their stay count, centre and boundary."""
     d = stays.where(F.col(cell).isNotNull()).groupBy(F.col(cell).alias("cell")).agg(F.count(F.lit(1)).alias("stay_count"))
-    at = cells.cell_to_latlng(F.col("cell"))
-    return d.select("cell", "stay_count", at["lat"].alias("latitude"), at["lng"].alias("longitude"), cells.cell_to_boundary(F.col("cell")).alias("boundary"))
+    at = cells.cell_to_latlng(F.col("cell"), system)
+    return d.select("cell", "stay_count", at["lat"].alias("latitude"), at["lng"].alias("longitude"), cells.cell_to_boundary(F.col("cell"), system).alias("boundary"))
 
 
 def transition_counts(stays: DataFrame, tiles: DataFrame, cell: str = "cell", user: str = "caid", time: str = "local_time") -> DataFrame:

@@ -69,6 +69,7 @@ def grid_stays(
     resolution: int = 8,
     regional_temporal_threshold: int = 3600,
     passing: bool = True,
+    system: str = "grid",
 ) -> DataFrame:
     """Stays snapped to cells: long enough stays, successive ones in one cell merged when at most ``regional_temporal_threshold`` s apart.
 
@@ -76,7 +77,7 @@ def grid_stays(
     """
     s = sequential_centroids(segments(pings, delta_t, speed_threshold, passing), spatial_threshold)
     s = s.where(F.col("end_timestamp") - F.col("start_timestamp") >= temporal_threshold)
-    s = s.withColumn("cell", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), resolution))
+    s = s.withColumn("cell", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), resolution, system))
     w = W.partitionBy("caid").orderBy("start_timestamp", "end_timestamp")
     new = (F.lag("cell").over(w) != F.col("cell")) | (F.col("start_timestamp") - F.lag("end_timestamp").over(w) > regional_temporal_threshold)
     s = s.withColumn("_new", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -94,6 +95,7 @@ def grid_home_work(
     work_to_home: int = 19,
     work_distance_limit: float = 500.0,
     work_freq_count_limit: int = 3,
+    system: str = "grid",
 ) -> DataFrame:
     """(caid, home_cell, work_cell) from stays with local time.
 
@@ -106,7 +108,7 @@ def grid_home_work(
     c = local.groupBy("caid", "cell").agg(F.count_if(night).alias("n_home"), F.count_if(~night).alias("n_work"))
     w = W.partitionBy("caid")
     home = c.where("n_home > 0").withColumn("_r", F.row_number().over(w.orderBy(F.desc("n_home"), "cell"))).where("_r = 1").select("caid", F.col("cell").alias("home_cell"))
-    a, b = cells.cell_to_latlng(F.col("home_cell")), cells.cell_to_latlng(F.col("cell"))
+    a, b = cells.cell_to_latlng(F.col("home_cell"), system), cells.cell_to_latlng(F.col("cell"), system)
     m = haversine(a["lat"], a["lng"], b["lat"], b["lng"])
     work = c.where(F.col("n_work") >= work_freq_count_limit).join(home, "caid").withColumn("_m", m)
     work = work.where((F.col("cell") != F.col("home_cell")) & (F.col("_m") >= work_distance_limit))

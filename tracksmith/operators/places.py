@@ -149,10 +149,10 @@ def classify_home_work(local: DataFrame, **params) -> DataFrame:
     return local.join(home, "caid", "left").join(work, "caid", "left").withColumn("type", kind.cast("int"))
 
 
-def canonical_stays(labelled: DataFrame, resolution: int = 8) -> DataFrame:
-    """The 16-column stay table every later step reads. Cells are those of the built-in grid (``functions.cells``)."""
-    hex_ = lambda la, lo: F.upper(cells.to_hex(cells.latlng_to_cell(F.col(la), F.col(lo), resolution)))
-    cell = cells.latlng_to_cell(F.col("cluster_latitude"), F.col("cluster_longitude"), resolution)
+def canonical_stays(labelled: DataFrame, resolution: int = 8, system: str = "grid") -> DataFrame:
+    """The 16-column stay table every later step reads. Cells are those of ``system`` (``functions.cells``)."""
+    hex_ = lambda la, lo: F.upper(cells.to_hex(cells.latlng_to_cell(F.col(la), F.col(lo), resolution, system)))
+    cell = cells.latlng_to_cell(F.col("cluster_latitude"), F.col("cluster_longitude"), resolution, system)
     return labelled.select(
         "caid",
         F.col("stop_events").cast("bigint").alias("h3_region_stay_id"),

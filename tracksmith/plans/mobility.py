@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, geo, slots
 from ..operators import flows, grid, places, stops
+from ..session import cut_lineage
 from .fixtures import PINGS_SQL, pings
 
 STOP = {"distance_threshold": 50.0, "time_threshold": 43_200.0, "min_stop_duration": 300.0}
@@ -141,7 +142,11 @@ def _local(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical(spark: SparkSession, d: str) -> DataFrame:
     """Canonical stays with their cells as ids."""
-    s = places.canonical_stays(places.classify_home_work(_local(spark, d)), RES)
+    return _canonical(spark, d, "grid")
+
+
+def _canonical(spark: SparkSession, d: str, system: str) -> DataFrame:
+    s = places.canonical_stays(places.classify_home_work(_local(spark, d)), RES, system)
     return s.withColumns({"cell": F.col("h3_id_region").cast("bigint"), "home_cell": cells.from_hex(F.col("home_h3_index")), "work_cell": cells.from_hex(F.col("work_h3_index"))})
 
 
@@ -220,6 +225,32 @@ def h3_parents(spark, d):
 _VERT = "round(((c & 4503599627370495) // 16384) / 16384e0 * 180e0 - 90e0, 9) lat, round(((c & 4503599627370495) % 16384) / 16384e0 * 360e0 - 180e0, 9) lng"
 
 
+# Positions and cells given in public descriptions of H3.
+_H3_KNOWN = ((37.7752702151959, -122.418307270836, 9, "8928308280fffff"), (37.3615593, -122.0553238, 7, "87283472bffffff"), (40.689167, -74.044444, 10, "8a2a1072b59ffff"), (67.150926864, -168.390888581, 5, "850dab63fffffff"), (20.0, 123.0, 2, "824b9ffffffffff"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {r}, '{h}')" for a, b, r, h in _H3_KNOWN) + ") t(latitude, longitude, res, hex)")
+def h3_known(spark, d):
+    """Known cells, computed."""
+    out = None
+    for a, b, r, _ in _H3_KNOWN:
+        one = spark.createDataFrame([(a, b, r)], "latitude double, longitude double, res int")
+        one = one.withColumn("hex", cells.to_hex(cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), r, "h3")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT count(*) n, CAST(0 AS BIGINT) moved, CAST(0 AS BIGINT) far, CAST(0 AS BIGINT) orphans FROM (SELECT DISTINCT latitude, longitude FROM ({PINGS_SQL}))")
+def h3_round_trip(spark, d):
+    """Of all positions: cells whose centre lies in another cell, positions over 0.7 km from their cell's centre (resolution 8), and cells of resolution 10 whose parent at 8 is more than that from the position's own."""
+    p = pings(spark, d).select("latitude", "longitude").distinct()
+    c = p.withColumn("c", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), 8, "h3")).withColumn("f", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), 10, "h3"))
+    c = c.withColumn("at", cells.cell_to_latlng(F.col("c"), "h3")).withColumn("up", cells.cell_to_latlng(cells.parent(F.col("f"), 8), "h3"))
+    c = c.withColumn("again", cells.latlng_to_cell(F.col("at.lat"), F.col("at.lng"), 8, "h3"))
+    km = lambda x: geo.haversine(F.col("latitude"), F.col("longitude"), F.col(f"{x}.lat"), F.col(f"{x}.lng")) / 1000
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("again") != F.col("c")).alias("moved"), F.count_if(km("at") > 0.7).alias("far"), F.count_if(km("up") > 0.8).alias("orphans"))
+
+
 @query(f"SELECT DISTINCT c cell, {_VERT} FROM (SELECT {cell_sql('latitude', 'longitude', 8)} c FROM ({PINGS_SQL}))")
 def cell_first_vertex(spark, d):
     p = pings(spark, d).select(cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), 8).alias("cell")).distinct()
@@ -358,6 +389,15 @@ def od_flow_moves(spark, d):
     return rounded(flows.od_flow(canonical(spark, d), 6, include_self=False), distance=6)
 
 
+@query(f"SELECT CAST(count(*) AS BIGINT) flow, CAST((SELECT count(*) FROM ({STAYS_SQL})) AS BIGINT) stays, CAST(0 AS BIGINT) lost FROM (SELECT lead(cell) OVER (PARTITION BY caid ORDER BY local_time, cell) p FROM ({STAYS_SQL})) WHERE p IS NOT NULL")
+def h3_flow_totals(spark, d):
+    """Stays and flows on H3 cells: none is lost, and every flow has a distance."""
+    s = cut_lineage(_canonical(spark, d, "h3"))
+    f, n = flows.od_flow(s, 6, system="h3"), flows.stay_count(s, 6, system="h3")
+    f = f.agg(F.sum("flow").alias("flow"), F.count_if(F.col("distance").isNull()).alias("lost"))
+    return f.join(F.broadcast(n.agg(F.sum("count").alias("stays")))).select("flow", "stays", "lost")
+
+
 def _hw_count_sql(c: str) -> str:
     return f"SELECT lower(to_hex({parent_sql('h', RES, 6)})) h3_index, CAST(count(*) AS BIGINT) AS count FROM (SELECT caid, min({c}) h FROM ({STAYS_SQL}) GROUP BY caid) WHERE h IS NOT NULL GROUP BY {parent_sql('h', RES, 6)}"
 
