@@ -40,10 +40,11 @@ def test_box_is_pushed_down(spark, tmp_path):
 
 def test_density_labels_against_brute_force():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 60):
+    for n, few in ((0, 300), (1, 300), (60, 300), (60, 0), (150, 0), (150, 300)):
         lat, lon = 40 + rng.uniform(0, 2e-3, n), -70 + rng.uniform(0, 2e-3, n)
         for k in (2, 3, 4):
-            got = places.density_labels(lat, lon, 25.0, k)
+            got = places.density_labels(lat, lon, 25.0, k, few)
+            assert (got == places.density_labels(lat, lon, 25.0, k)).all()
             near = np_haversine(lat[:, None], lon[:, None], lat, lon) <= 25.0
             core = near.sum(1) >= k
             for i in range(n):
@@ -53,6 +54,27 @@ def test_density_labels_against_brute_force():
                         assert got[i] == got[j]
 
 
+def test_a_crowded_place_costs_no_square():
+    rng = np.random.default_rng(2)
+    n = 100_000
+    lat, lon = 40 + rng.normal(0, 5e-5, n), -70 + rng.normal(0, 5e-5, n)
+    lat[:10] += 1
+    got = places.density_labels(lat, lon, 20.0, 3)
+    assert (got[10:] == got[10]).mean() > 0.999 and set(got[:10]) != {got[10]}
+
+
+def test_devices_over_batches(spark):
+    rows = [(f"u{u}", k, 100 * k, 100 * k + 50, 40.0 + u + (k % 3) * 0.01, -70.0) for u in range(40) for k in range(1, 30)]
+    d = spark.createDataFrame(rows, "caid string, stop_events int, start_timestamp bigint, end_timestamp bigint, median_latitude double, median_longitude double")
+    whole = sorted(map(tuple, places.cluster_stops(d).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, places.cluster_stops(d.unionByName(d)).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == len(rows) and places.cluster_stops(d.limit(0)).count() == 0
+
+
 def test_cells(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 50), rng.uniform(-180, 180, 50))] + [(90.0, 180.0), (None, 1.0)], "lat double, lng double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,44 +17,95 @@ from ..session import cut_lineage
 CLUSTERED = "caid string, stop_events int, start_timestamp bigint, end_timestamp bigint, stay_duration bigint, stop_latitude double, stop_longitude double, cluster_label int, cluster_counts int, cluster_latitude double, cluster_longitude double"
 
 
-def _neighbours(xyz: np.ndarray, reach: float) -> list[np.ndarray]:
-    """Points within chord ``reach`` of each point, itself included; buckets of that edge keep the comparison local."""
-    key = np.floor(xyz / reach).astype(np.int64)
-    at: dict[tuple, list[int]] = {}
-    for i, k in enumerate(map(tuple, key)):
-        at.setdefault(k, []).append(i)
-    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    out: list = [None] * len(xyz)
-    for k, mine in at.items():
-        near = np.array(sorted(i for a in around for i in at.get((k[0] + a[0], k[1] + a[1], k[2] + a[2]), ())))
-        for s in range(0, len(mine), 256):
-            some = mine[s : s + 256]
-            d = xyz[some][:, None, :] - xyz[near][None, :, :]
-            for i, hit in zip(some, (d * d).sum(2) <= reach * reach):
-                out[i] = near[hit]
-    return out
-
-
-def density_labels(lat: np.ndarray, lon: np.ndarray, metres: float, min_points: int) -> np.ndarray:
+def _meets(a: np.ndarray, b: np.ndarray, r2: float, step: int = 1024) -> bool:
+    """Whether a point of ``a`` lies within reach of one of ``b``; parts that cannot are passed over."""
+    lo, hi = b.min(0), b.max(0)
+    gap = np.maximum(0, np.maximum(lo - a, a - hi))
+    a = a[(gap * gap).sum(1) <= r2]
+    for s in range(0, len(a), step):
+        for t in range(0, len(b), step):
+            d = a[s : s + step, None, :] - b[None, t : t + step, :]
+            if (np.einsum("ijk,ijk->ij", d, d) <= r2).any():
+                return True
+    return False
+
+
+def _labels_by_cells(xyz: np.ndarray, reach: float, min_points: int) -> tuple[np.ndarray, np.ndarray]:
+    """(core, component) of many points. In cells of side reach / sqrt(3) all points are neighbours, so cells are counted and united instead of pairs: nothing grows with the square of a crowded place."""
+    r2, key = reach * reach, np.floor(xyz / (reach / np.sqrt(3.0) * (1 - 1e-9))).astype(np.int64)
+    cell, of, size = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+    of = of.reshape(-1)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(size)
+    points = [order[e - s : e] for s, e in zip(size, ends)]
+    at = {tuple(k): n for n, k in enumerate(cell.tolist())}
+    shifts = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) != (0, 0, 0)]
+    around = [[m for d in shifts if (m := at.get((k[0] + d[0], k[1] + d[1], k[2] + d[2]))) is not None] for k in cell.tolist()]
+    core = size[of] >= min_points
+    for n in np.flatnonzero(size < min_points):
+        count = np.full(size[n], size[n])
+        for m in around[n]:
+            for s in range(0, size[m], 4096):
+                d = xyz[points[n]][:, None, :] - xyz[points[m][s : s + 4096]][None, :, :]
+                count += (np.einsum("ijk,ijk->ij", d, d) <= r2).sum(1)
+        core[points[n]] = count >= min_points
+    inside = [p[core[p]] for p in points]
+    up = list(range(len(cell)))
+
+    def root(n: int) -> int:
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for n in range(len(cell)):
+        for m in around[n]:
+            if m > n and len(inside[n]) and len(inside[m]) and root(n) != root(m) and _meets(xyz[inside[n]], xyz[inside[m]], r2):
+                up[root(m)] = root(n)
+    comp = np.full(len(xyz), -1)
+    for n in range(len(cell)):
+        comp[inside[n]] = root(n)
+    # Components in the order of their first core point; a point that is no core takes the first component that reaches it.
+    first = {}
+    for c in comp[core]:
+        first.setdefault(int(c), len(first))
+    comp = np.array([first.get(int(c), -1) for c in comp])
+    for n in range(len(cell)):
+        for i in points[n][~core[points[n]]]:
+            near = [inside[m] for m in (n, *around[n]) if len(inside[m])]
+            got = [comp[q[((xyz[q] - xyz[i]) ** 2).sum(1) <= r2]] for q in near]
+            got = np.concatenate(got) if got else got
+            if len(got):
+                comp[i] = got.min()
+    return core, comp
+
+
+def density_labels(lat: np.ndarray, lon: np.ndarray, metres: float, min_points: int, few: int = 300) -> np.ndarray:
     """DBSCAN over great-circle distance; ``min_points`` counts the point itself; noise is -1. A border point joins the earliest cluster that reaches it."""
     n = len(lat)
     labels = np.full(n, -1, np.int64)
     if n == 0:
         return labels
-    near = _neighbours(np_unit_vectors(lat, lon), chord(metres))
-    core = np.array([len(x) >= min_points for x in near])
-    nxt = 0
-    for i in range(n):
-        if not core[i] or labels[i] >= 0:
+    xyz, reach = np_unit_vectors(lat, lon), chord(metres)
+    if n > few:
+        return _labels_by_cells(xyz, reach, min_points)[1]
+    d = xyz[:, None, :] - xyz[None, :, :]
+    near = (d * d).sum(2) <= reach * reach
+    core = near.sum(1) >= min_points
+    if not core.any():
+        return labels
+    link, nxt = near & core, 0
+    for i in np.flatnonzero(core):
+        if labels[i] >= 0:
             continue
-        labels[i], queue = nxt, deque([i])
-        while queue:
-            for j in near[queue.popleft()]:
-                if labels[j] < 0:
-                    labels[j] = nxt
-                    if core[j]:
-                        queue.append(j)
+        group, size = link[i], 0
+        while group.sum() > size:
+            size = group.sum()
+            group = link[group].any(0)
+        labels[group] = nxt
         nxt += 1
+    edge = ~core & link.any(1)
+    labels[edge] = np.where(link[edge], labels[None, :], n).min(1)
     return labels
 
 
@@ -65,18 +116,29 @@ def cluster_stops(stops: DataFrame, distance: float = 20.0, min_points: int = 2)
     longitude; label -1 is a stop without a place, which keeps its own position
     and count 1. A place's position is the median latitude and, independently,
     the median longitude of its stops. Repeated (caid, stop_events) count once.
+
+    Devices stream through a task in order, so many small ones make one batch;
+    one device's stops are held together.
     """
     d = stops.select("caid", "start_timestamp", "end_timestamp", "median_latitude", "median_longitude", "stop_events")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["start_timestamp", "stop_events"], kind="stable").drop_duplicates(["caid", "stop_events"]).reset_index(drop=True)
-        lat, lon = p["median_latitude"].to_numpy(float), p["median_longitude"].to_numpy(float)
+    def one(lat: np.ndarray, lon: np.ndarray) -> tuple:
         raw = density_labels(lat, lon, distance, min_points)
-        label, count, cla, clo = raw.copy(), np.ones(len(p), np.int64), lat.copy(), lon.copy()
-        groups = [np.flatnonzero(raw == k) for k in range(raw.max() + 1)] if len(p) else []
+        label, count, cla, clo = raw.copy(), np.ones(len(raw), np.int64), lat.copy(), lon.copy()
+        order = np.argsort(raw, kind="stable")
+        groups = np.split(order, np.searchsorted(raw[order], np.arange(raw.max(initial=-1) + 1)))[1:]
         groups.sort(key=lambda g: (lat[g].mean(), lon[g].mean()))
         for k, g in enumerate(groups):
             label[g], count[g], cla[g], clo[g] = k, len(g), np.median(lat[g]), np.median(lon[g])
+        return label, count, cla, clo
+
+    def whole(p: pd.DataFrame) -> pd.DataFrame:
+        """Rows of complete devices."""
+        new = np.r_[True, (p["caid"].to_numpy()[1:] != p["caid"].to_numpy()[:-1])] if len(p) else np.zeros(0, bool)
+        lat, lon = p["median_latitude"].to_numpy(float), p["median_longitude"].to_numpy(float)
+        begin = np.flatnonzero(new)
+        parts = [one(lat[s:e], lon[s:e]) for s, e in zip(begin, [*begin[1:], len(p)])]
+        label, count, cla, clo = (np.concatenate(x) for x in zip(*parts)) if parts else ([],) * 4
         return pd.DataFrame(
             {
                 "caid": p["caid"], "stop_events": p["stop_events"], "start_timestamp": p["start_timestamp"], "end_timestamp": p["end_timestamp"],
@@ -85,7 +147,25 @@ def cluster_stops(stops: DataFrame, distance: float = 20.0, min_points: int = 2)
             }
         )
 
-    return d.groupBy("caid").applyInPandas(one, CLUSTERED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = pdf["caid"].iloc[-1]
+            here = (pdf["caid"] == last).to_numpy()
+            if held and held[0]["caid"].iloc[0] == last and here.all():
+                held.append(pdf)
+                continue
+            yield whole(pd.concat([*held, pdf[~here]], ignore_index=True))
+            held = [pdf[here]]
+        if held:
+            yield whole(pd.concat(held, ignore_index=True))
+
+    # By the device itself, of which no null is a stop; rows that repeat a stop are told apart by their order alone.
+    w = W.partitionBy("caid", "stop_events").orderBy("start_timestamp", "end_timestamp", "median_latitude", "median_longitude")
+    d = d.where("caid is not null").repartition("caid").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return d.sortWithinPartitions("caid", "start_timestamp", "stop_events").mapInPandas(run, CLUSTERED)
 
 
 def add_local_time(df: DataFrame, time_zone: str, timestamp: str = "start_timestamp") -> DataFrame:

@@ -69,17 +69,23 @@ def configure_logging(level: int | str = logging.INFO, path: str | None = None)
     return log
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or that set on the context. Only a local master may do without: it gets a folder of its own; on a cluster the executors could not read each other's files there, so that is an error."""
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    shared = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        shared = tempfile.mkdtemp(prefix="tracksmith-checkpoint-")
+    if set_.isEmpty():
+        sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
 
-    The cluster's setting is used as it is; only where it is unset (tests, a
-    laptop) a folder of this process is taken. Never a local checkpoint: the
-    blocks must survive the loss of an executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracksmith-checkpoint-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, see :func:`shared_folder`. Never a local checkpoint: the blocks must survive the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -107,15 +113,31 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _tables(spark: SparkSession):
+    """(Hadoop path, file system) of this application's tables in the shared folder."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracksmith-{sc.applicationId}")
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def write_table(df: DataFrame) -> DataFrame:
-    """Like :func:`cut_lineage`, as Parquet: compressed and column-wise, for tables that are read more than once."""
+    """Like :func:`cut_lineage`, as Parquet: compressed and column-wise, for tables that are read more than once.
+
+    The tables of an application lie in one folder, which is deleted when its
+    JVM ends, or before by :func:`release_tables`.
+    """
     import uuid
 
-    sc = df.sparkSession.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        got = sc._jsc.sc().getCheckpointDir()
-        shared = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="tracksmith-checkpoint-")
-    path = f"{shared.rstrip('/')}/tracksmith-{uuid.uuid4().hex}"
+    p, fs = _tables(df.sparkSession)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    path = f"{p.toString()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete what :func:`write_table` has written in this application. No result that still reads it may be used afterwards."""
+    p, fs = _tables(spark)
+    fs.delete(p, True)
