@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..functions.geo import haversine
+from ..functions.geo import haversine, np_haversine
 
 
 def segments(pings: DataFrame, delta_t: int = 300, speed_threshold: float = 6.0, passing: bool = True) -> DataFrame:
@@ -28,36 +32,66 @@ def segments(pings: DataFrame, delta_t: int = 300, speed_threshold: float = 6.0,
     return d.withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-_STAY = "struct<t0:bigint,t1:bigint,la:double,lo:double,n:bigint>"
+class _Fold:
+    """Streams pings sorted by (caid, segment, instant, position); holds the sums of the stay that is open."""
+
+    COLUMNS = ("caid", "start_timestamp", "end_timestamp", "latitude", "longitude", "n_pings")
+
+    def __init__(self, metres: float):
+        self.metres, self.key, self.open = metres, None, None  # open: first and last instant, sums of both coordinates, count
+
+    def _close(self, out: list) -> None:
+        if self.open is not None:
+            t0, t1, la, lo, n = self.open
+            out.append((self.key[0], t0, t1, la / n, lo / n, n))
+            self.open = None
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list = []
+        for pdf in batches:
+            caid, seg, t, lat, lon = (pdf[c].to_numpy() for c in ("caid", "segment", "utc_timestamp", "latitude", "longitude"))
+            new = np.flatnonzero(np.r_[True, (caid[1:] != caid[:-1]) | (seg[1:] != seg[:-1])][: len(t)]).tolist()
+            for s, e in zip(new, [*new[1:], len(t)]):
+                if (caid[s], seg[s]) != self.key:
+                    self._close(out)
+                    self.key = caid[s], seg[s]
+                at, ahead = s, 16
+                while at < e:
+                    if self.open is None:
+                        self.open = [t[at], t[at], lat[at], lon[at], 1]
+                        at, ahead = at + 1, 16
+                        continue
+                    # As if all of the next ones joined: each is compared with the mean of those before it.
+                    z = min(e, at + ahead)
+                    _, _, la, lo, n = self.open
+                    sla, slo = np.cumsum(np.r_[la, lat[at:z]]), np.cumsum(np.r_[lo, lon[at:z]])
+                    k = n + np.arange(z - at)
+                    far = np.flatnonzero(~(np_haversine(sla[:-1] / k, slo[:-1] / k, lat[at:z], lon[at:z]) <= self.metres))
+                    join = int(far[0]) if len(far) else z - at
+                    if join:
+                        self.open = [self.open[0], t[at + join - 1], sla[join], slo[join], n + join]
+                    at += join
+                    ahead = min(2 * ahead, 4096)
+                    if len(far):
+                        self._close(out)
+            yield pd.DataFrame(out, columns=self.COLUMNS)
+            out = []
+        self._close(out)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
 
 def sequential_centroids(segmented: DataFrame, spatial_threshold: float = 300.0) -> DataFrame:
     """Stays within segments: a ping within ``spatial_threshold`` m of the running mean joins the stay and moves the mean, else it opens the next.
 
-    A fold over each segment's ordered pings, inside the JVM.
+    Segments are spread over tasks and stream through them in order, so neither a
+    device nor a segment nor its stays are ever held.
     """
-    point = F.struct(F.col("utc_timestamp").alias("t"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
-    d = segmented.groupBy("caid", "segment").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    start = F.expr(f"cast(named_struct('done', array(), 'cur', null) as struct<done:array<{_STAY}>,cur:{_STAY}>)")
-
-    def one(p, n):
-        return F.struct(p["t"].alias("t0"), p["t"].alias("t1"), p["la"].alias("la"), p["lo"].alias("lo"), n.alias("n"))
-
-    def step(acc, p):
-        cur = acc["cur"]
-        n = cur["n"]
-        near = haversine(cur["la"], cur["lo"], p["la"], p["lo"]) <= spatial_threshold
-        grown = F.struct(cur["t0"].alias("t0"), p["t"].alias("t1"), ((cur["la"] * n + p["la"]) / (n + 1)).alias("la"), ((cur["lo"] * n + p["lo"]) / (n + 1)).alias("lo"), (n + 1).alias("n"))
-        fresh = one(p, F.lit(1).cast("bigint"))
-        return (
-            F.when(cur.isNull(), F.struct(acc["done"].alias("done"), fresh.alias("cur")))
-            .when(near, F.struct(acc["done"].alias("done"), grown.alias("cur")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(cur)).alias("done"), fresh.alias("cur")))
-        )
-
-    got = F.aggregate("p", start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
-    d = d.select("caid", F.explode(got).alias("s"))
-    return d.select("caid", F.col("s.t0").alias("start_timestamp"), F.col("s.t1").alias("end_timestamp"), F.col("s.la").alias("latitude"), F.col("s.lo").alias("longitude"), F.col("s.n").alias("n_pings"))
+    d = segmented.select("caid", "segment", "utc_timestamp", "latitude", "longitude").repartition("caid", "segment").sortWithinPartitions("caid", "segment", "utc_timestamp", "latitude", "longitude")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _Fold(spatial_threshold).run(batches)
+
+    return d.mapInPandas(run, "caid string, start_timestamp bigint, end_timestamp bigint, latitude double, longitude double, n_pings bigint")
 
 
 def grid_stays(

@@ -491,6 +491,12 @@ def grid_segments(spark, d):
     return grid.segments(pings(spark, d), GRID["delta_t"])
 
 
+@query(f"WITH {_SEG}, kp AS (SELECT caid, la, lo, t, coalesce(t - lag(t) OVER (PARTITION BY caid ORDER BY t, la, lo) > 43200, true) b FROM sg WHERE NOT pass) SELECT caid, la latitude, lo longitude, t utc_timestamp, false is_passing, CAST(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY caid ORDER BY t, la, lo ROWS UNBOUNDED PRECEDING) AS BIGINT) segment FROM kp")
+def grid_segments_standing(spark, d):
+    """Without the pings that pass."""
+    return grid.segments(pings(spark, d), GRID["delta_t"], passing=False)
+
+
 def _means(df: DataFrame) -> DataFrame:
     """Means of a few six-digit numbers often end in a 5, so they are moved a little before rounding; the SQL does the same."""
     return df.withColumns({c: F.round(F.col(c) + 3.3e-10, 8) for c in ("latitude", "longitude")})
