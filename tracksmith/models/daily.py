@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cells, slots
+from ..operators.sequences import running_total
 from ..session import cut_lineage
+from ..sources import tables
 
 # Column names a stay table may use instead of the canonical ones.
 ALIASES = {
@@ -296,10 +298,8 @@ def decode_parameters(params: DataFrame, b1: list[float], b2: list[float]) -> Da
 
 def match_users(params: DataFrame, places: DataFrame) -> DataFrame:
     """``params`` under the names of ``places``: the k-th name of one in order stands for the k-th of the other; rows beyond the shorter list are left out."""
-    w = W.orderBy("caid")
-    # Two short lists of names, numbered in order; a global number needs one order of all names.
-    a = params.select("caid").distinct().select("caid", F.row_number().over(w).alias("_k"))
-    b = places.select("caid").distinct().select(F.col("caid").alias("_new"), F.row_number().over(w).alias("_k"))
+    a = running_total(params.select("caid").distinct(), ["caid"], F.lit(1).cast("bigint"), "_k")
+    b = running_total(places.select("caid").distinct(), ["caid"], F.lit(1).cast("bigint"), "_k").withColumnRenamed("caid", "_new")
     names = a.join(b, "_k").drop("_k")
     return params.join(names, "caid").select(*[F.col("_new").alias(c) if c == "caid" else F.col(c) for c in params.columns])
 
@@ -659,9 +659,14 @@ class TimeGeo:
         b = GridSearch(seed=self.seed).fit(fmt, users).join(users, "caid")
         params = cut_lineage(best_parameters(WorkDays(seed=self.seed).parameters(b, self.num_days)))
         blocks = location_blocks(fmt)
-        self.fitted = {"params": params, "places": renumbered(blocks), "pool": other_places(blocks, self.sample_fraction, self.seed), "patterns": activeness_patterns(fmt, users), "users": users}
+        self.fitted = {"aligned": aligned, "params": params, "places": renumbered(blocks), "pool": other_places(blocks, self.sample_fraction, self.seed), "patterns": activeness_patterns(fmt, users), "users": users}
         return self
 
+    def save(self, folder: str, block_mb: int = 64) -> list[str]:
+        """The fitted tables under ``folder``, in row groups of at most ``block_mb`` for readers with little memory."""
+        f = self._need()
+        return [tables.write(f[name], folder, name, block_mb=block_mb) for name in ("aligned", "params", "places", "pool", "users")]
+
     def stats(self) -> dict[str, int]:
         f = self._need()
         return {"num_users": f["users"].count(), "num_commuters": f["users"].where("is_commuter").count(), "num_noncommuters": f["users"].where("not is_commuter").count(), "num_locations": f["places"].count()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,37 @@ def _polygon_h3(polygons: DataFrame, res: int, id: str, ring: str, kind: str) ->
     return polygons.select(id, F.col(ring).cast(_CORNERS).alias(ring)).mapInPandas(rows, f"`{id}` {kind}, cell bigint").distinct()
 
 
+def read_geojson(lines: DataFrame, id: str = "region_id", text: str = "value", properties: tuple[str, ...] = ()) -> DataFrame:
+    """(id, part, hole, ring, and numeric ``properties``): one row per ring of the polygons and multipolygons in ``text``, which holds a GeoJSON feature or geometry a row, under the row's ``id``.
+
+    Rings are closed in the text and open here. Null, other geometries and what
+    is no JSON give no rows; a missing property is null. Tables of several
+    counties are united before.
+    """
+    kind = dict(lines.dtypes)[id]
+    shape = f"`{id}` {kind}, part int, hole boolean, ring {_CORNERS}" + "".join(f", `{p}` double" for p in properties)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf[id], pdf[text]):
+                try:
+                    g = json.loads(t) if t else {}
+                    more = g.get("properties") or {}
+                    g = g.get("geometry") or g
+                    parts = {"Polygon": lambda c: [c], "MultiPolygon": list}.get(g.get("type"), lambda c: [])(g.get("coordinates"))
+                    extra = [float(more[p]) if isinstance(more.get(p), (int, float)) else None for p in properties]
+                    for n, part in enumerate(parts):
+                        for k, ring in enumerate(part):
+                            ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+                            out.append((i, n, k > 0, [{"lng": float(p[0]), "lat": float(p[1])} for p in ring], *extra))
+                except (ValueError, TypeError, AttributeError, IndexError):
+                    continue
+            yield pd.DataFrame(out, columns=[id, "part", "hole", "ring", *properties])
+
+    return lines.select(id, text).mapInPandas(rows, shape)
+
+
 def with_holes(regions: DataFrame, outer: DataFrame, holes: DataFrame, id: str = "region_id") -> DataFrame:
     """(id, cell) of regions of several parts and with holes: the cells of the ``outer`` rings less those of the ``holes`` of the same region (both as :func:`polygon_cells` gives them). ``regions``: id."""
     some = outer.join(regions.select(id), id, "left_semi").distinct()

@@ -61,3 +61,34 @@ def file_info(spark: SparkSession, path: str) -> dict[str, int]:
     p, fs = _file(spark, path)
     s = fs.getContentSummary(p)
     return {"files": s.getFileCount(), "bytes": s.getLength()}
+
+
+def consolidate(spark: SparkSession, path: str, to: str, files: int = 1, block_mb: int | None = None) -> str:
+    """A table's files written again as ``files`` larger ones under ``to``, which is not ``path``."""
+    if path.rstrip("/") == to.rstrip("/"):
+        raise ValueError("a table is not written over itself while it is read")
+    return write(spark.read.parquet(path).coalesce(files), to, block_mb=block_mb)
+
+
+def list_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders of a data set that hold a complete table, in order; none for a folder that is not there."""
+    p, fs = _file(spark, folder)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and any(x.getPath().getName() == "_SUCCESS" for x in fs.listStatus(s.getPath())))
+
+
+def backup(spark: SparkSession, path: str, to: str) -> str:
+    """A copy of a file or table, made by the file systems' own means; ``to`` must not exist."""
+    p, fs = _file(spark, path)
+    q, gs = _file(spark, to)
+    if gs.exists(q):
+        raise FileExistsError(to)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, gs, q, False, spark._jsc.hadoopConfiguration())
+    return to
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or table; whether there was one."""
+    p, fs = _file(spark, path)
+    return fs.delete(p, True)
