@@ -99,6 +99,16 @@ _MORE_ABUSE = (
         "me das asco, me da asco, das asco, hueles a, cara de cerdo, cara de rata, cara de perro, cerebro de, hijo de perra, hijos de puta, la próxima vez que te, si te cojo, si te pillo, los dos brazos, las dos piernas, los dientes, te vas a arrepentir, te arrepentirás, lo pagarás, vas a pagar, tus días están contados, escupo sobre, escupo en, bailaré sobre, nadie te llorará, nadie lloraría, nadie llorará, más tonto que, más cobarde que, más feo que, montón de mierda, montón de basura, saco de mierda, pudrirte en, ahogarte en, morir como un perro, muere como, en el arroyo, en la cuneta"
     )),
 )
+_MORE_ABUSE += (
+    (0.7, _words(
+        "snake in the grass, wolf in sheep's clothing, the morals of an alley, less sense than a, less wit than a, fewer brains than, no more brains than, no more wit than, not the brains of, not the wits of, not fit to shovel, not fit to sweep, not fit to wash, not fit to feed, not fit to walk, not fit to be called a man, too drunk to stand, too drunk to, too lazy to work, too fat to, lower than a, crooked as a, slippery as a, slimy as a, smells like a, stinks like a, reeks of, you reek, he stinks, you stink, like the pig you are, like the pig he is, like the dog you are, like the dog he is, like the cur you are, like the cur he is, like the rat you are, like the rat he is, the dog that you are, the pig that you are, ducked in the pond, thrown in the horse pond, tarred and feathered, put in the stocks, whipped at the cart, kicked down the street, kicked from here to, kicked out of town, run out of town, flogged through the streets, dragged through the streets, hung from the nearest, hanged from the nearest, hang you from, hang from the nearest, from the nearest lamp post, nearest tree, "
+        "i shall come for you, i will come for you, we shall come for you, we will come for you, we will come to your house, i will come to your house, your turn will come, you have been warned, this is your last warning, your last warning, this is the last warning, not see another, never see another, see another sunrise, see another harvest, see another christmas, live to see another, count your days, sleep well while you can, while you still can, lock your doors, lock your door, bar your door, burn in your bed, murdered in your bed, kill you in your sleep, in your sleep, kiss your wife goodbye, kiss your children goodbye, say goodbye to your, say good bye to your, think of your children, think of your wife, pity if something happened, accidents happen, an accident may, your barn may, your house may, fire in the night, a knife in the dark, knife waiting, rope waiting, a rope is waiting, a bullet is waiting, bullet waiting, grave is waiting, waiting for you with, "
+        "shame on you you, disgrace to your, disgrace to the name, disgrace to his, insult to decent, insult to every, insult to pigs, insult to swine, insult to dogs, unfair to pigs, unfair to swine, i have seen better, i have met brighter, brighter than you, cleverer than you, smarter than you, more sense than you, more brains than you, more honest than you, has more sense than, has more brains than, than you ever had, than you will ever, "
+        "que le diable vous emporte, puisse le diable, que la peste, puissiez vous, puisses tu crever, je te plante, je te saigne, te saigner, te faire la peau, te crever les, crever les yeux, casser les dents, casser les jambes, casser les bras, casser la figure, casser la gueule, te fracasser, fracasser le crâne, foutre le camp, fous le camp, hors de ma vue, sale type, sale bête, sale gueule, gueule de cochon, face de cochon, tas d'imbéciles, triple idiot, triple imbécile, pauvre imbécile, pauvre idiot, pauvre crétin, gros imbécile, maudit menteur, maudit voleur, sacré menteur, vous n'êtes qu'une, honte à vous, vous me dégoûtez, vous puez, "
+        "maldita sea tu, me cago en tu, vergüenza te, sal de mi vista, fuera de mi vista, eres la vergüenza, eres una vergüenza, eres peor que, no vales nada, no vales ni, no sirves para nada, te voy a partir, te voy a sacar, te voy a arrancar, te voy a ahogar, te voy a colgar, te voy a hundir, te juro que, "
+        "geh mir aus den augen, du bist eine schande, du taugst nichts, du bist schlimmer als, du bist dümmer als, dümmer als ein, feiger als ein, fauler als ein, ich werde dich finden, ich kriege dich, ich erwische dich, ich werde dir, ich schwöre dir"
+    )),
+)
 # Present-day vulgar abuse.
 _VULGAR = (
     (1.0, _words("fuck you, fuck off, go fuck yourself, motherfucker, you fucking, fucking idiot, fucking bitch, you cunt, stupid cunt, stupid bitch, you bitch, you son of a, you asshole, you arsehole, you piece of shit, piece of shit, you shithead, you dickhead, you wanker, kill yourself, i hope you get raped, fick dich, wichser, fotze, verpiss dich, va te faire foutre, nique ta mère, enculé, ta mère la pute, que te jodan, vete a tomar por culo, puta madre, hijo puta")),
@@ -144,7 +154,7 @@ HATEFUL = (
 # Words of contempt or harm that count where a people is named.
 _MORE_HATE = (
     (0.35, _words(
-        "vermin, thieves, thieving, liars, cheats, murderers, parasites, animals in, beasts, savages, mongrel, inferior, disease, pestilence, plague, filthy, stinking, stench, the scum, bastards, cowards and, swindlers, bloodsuckers, exterminate, extermination, wipe out, wiped out, drive out, driven out, driven from, expelled, banished, banish, deport, get rid of, got rid of, rid of, out of our, out of this, from our midst, in our midst, among us, among honest people, among decent people, honest people, decent people, honest folk, decent folk, christian folk, christian people, clean blood, pure blood, their blood, their race, their breed, the breed, of the race, hang them, burn them, drown them, shoot them, whip them, hunt them, beat them, flog them, drive them, hang every, burn every, shoot every, the gallows, the rope, the whip, the lash, with the lash, to the flames, at the stake, to the river, to the sea, over the border, across the border, beyond the border, never trust, trust none, trust no, hate, despise, loathe, detest, abhor, disgusting, loathsome, contempt, accursed, cursed race, god cursed, godless, soulless, no human, not human, half beast, worse than, lower than, no better than, nothing but, good for nothing, unfit to, not fit to, no right, has no place, have no place, no place here, must go, must leave, should leave, send them, sooner they, the sooner, once and for all, for good and all, to the last, every last, the last of the, dead than alive, better dead, let them starve, let them rot, let them drown, let them burn, rot in, close the doors, shut the doors, bar the doors, refuse them, do not serve, do not sell to, do not buy from, shun them, keep away from, lock up your, hide your, guard your, our daughters, our women, our children, honest woman safe, steal everything, steal anything, steal the, rob us, rob honest, cheat honest, cheat every, lie and steal, steal and lie, beg and steal, lie as they breathe, lie as soon as, swarm, infest, breed like, multiply like, crawl, creep into, spread like, poison the, wells, pigsty, kennel, sty, dunghill, cesspool, sewer, gutter, "
+        "vermin, thieves, thieving, liars, cheats, murderers, parasites, animals in, beasts, savages, mongrel, inferior, disease, pestilence, plague, filthy, stinking, stench, the scum, bastards, cowards and, swindlers, bloodsuckers, exterminate, extermination, wipe out, wiped out, drive out, driven out, driven from, expelled, banished, banish, deport, get rid of, got rid of, rid of, out of our, out of this, from our midst, in our midst, among us, among honest people, among decent people, honest people, decent people, honest folk, decent folk, christian folk, christian people, clean blood, pure blood, their blood, their race, their breed, the breed, of the race, hang them, burn them, drown them, shoot them, whip them, hunt them, beat them, flog them, drive them, hang every, burn every, shoot every, the gallows, the rope, the whip, the lash, with the lash, to the flames, at the stake, to the river, to the sea, over the border, across the border, beyond the border, never trust, trust none, trust no, hate, despise, loathe, detest, abhor, disgusting, loathsome, contempt, accursed, cursed race, god cursed, godless, soulless, no human, not human, half beast, worse than, lower than, no better than, nothing but, good for nothing, unfit to, not fit to, no landlord, no shopkeeper, no honest, no decent, sell bread, sell land, let a room, let rooms, let a house, sit beside, sit down with, play with them, marry one, marry a, shelter one, shelter them, feed them, employ them, employ one, hire one, hire them, boycott, close their shops, smash their, torches, arm yourselves, rise against, rise up, march on, cut out like, cut them out, treat them as, treated as, like the beasts, beasts of the field, no soul, no heart, no more heart, no more soul, no conscience, no shame, born with, from the cradle, from birth, by birth, by nature, the smell of, stink of, wherever they, where they settle, once they come, let one in, too many of them, one too many, enough of them, had enough of, have had enough, long enough, out with them, out with the, away with them, away with the, begone, can never be, will never be, never be one of, do not deserve, does not deserve, unworthy, a lesser, lesser people, lesser race, lesser men, lowest people, crooked, cunning, treacherous, deceitful, dishonest, backward, primitive, barbarous, brutish, bestial, unclean, impure, diseased, infected, contagion, spread disease, carry disease, carry lice, plague of, swarm of, horde, hordes, tide of, flood of, invasion, overrun, polluted, pollute, corrupt, tainted, no right, has no place, have no place, no place here, must go, must leave, should leave, send them, sooner they, the sooner, once and for all, for good and all, to the last, every last, the last of the, dead than alive, better dead, let them starve, let them rot, let them drown, let them burn, rot in, close the doors, shut the doors, bar the doors, refuse them, do not serve, do not sell to, do not buy from, shun them, keep away from, lock up your, hide your, guard your, our daughters, our women, our children, honest woman safe, steal everything, steal anything, steal the, rob us, rob honest, cheat honest, cheat every, lie and steal, steal and lie, beg and steal, lie as they breathe, lie as soon as, swarm, infest, breed like, multiply like, crawl, creep into, spread like, poison the, wells, pigsty, kennel, sty, dunghill, cesspool, sewer, gutter, "
         "ungeziefer, abschaum, gesindel, verbrecher, diebesvolk, diebe, lügner, betrüger, mörder, ratten, schweine, tiere, vertreiben, vertrieben, verjagt, ausrotten, vernichten, vernichtet, erschlagen, erhängt, aufhängen, aufgehängt, verbrennen, davonjagen, hinauswerfen, prügeln, geprügelt, peitschen, loswerden, verschwinden, minderwertig, unreines blut, seuche, hassen, verachten, verflucht, gestank, dreckig, aus der stadt, aus dem land, nicht trauen, keinem trauen, kein mensch, keine menschen, untermensch, unter uns, in unserer, "
         "vermine, racaille, voleurs, menteurs, tricheurs, assassins, sauvages, animaux, parasites, peste, fléau, maladie, puanteur, puants, sales, chasser, chassés, expulser, expulsés, exterminer, pendre, pendus, brûler, brûlés, noyer, noyés, fusiller, fouetter, jeter dehors, dehors, hors de, débarrasser, disparaître, inférieure, sang impur, haïr, haïssons, mépriser, maudite, maudits, engeance, parmi nous, chez nous, jamais confiance, méfiez vous, nos filles, nos femmes, nos enfants, la potence, à coups de, jusqu'au dernier, honnêtes gens, "
         "alimañas, escoria, ladrones, mentirosos, tramposos, asesinos, salvajes, bestias, parásitos, peste, plaga, enfermedad, hedor, apestan, sucios, echarlos, expulsar, expulsados, exterminar, colgar, colgados, quemar, quemados, ahogar, ahogados, fusilar, azotar, fuera de, librarnos de, desaparecer, inferior, sangre sucia, odiar, odiamos, despreciar, maldita, malditos, gentuza, chusma, entre nosotros, nunca confiar, no confíes, no os fiéis, nuestras hijas, nuestras mujeres, nuestros hijos, la horca, a palos, a latigazos, hasta el último, gente honrada, gente decente"
@@ -187,6 +197,9 @@ _MORE_SEX = (
         "bajo sus faldas, bajo su falda, le levantó las faldas, levantó sus faldas, su sexo, su lengua, sus pezones, jadeaba, jadeando, jadeante, a horcajadas, se entregó desnuda, se ofreció desnuda, orgía, postales de mujeres, mujeres fáciles, placeres de la carne, desnudos y, desnuda y, desnuda ante, desnuda sobre, desnuda bajo, desnuda junto, desnuda contra, hasta que gimió, hasta que ella, gemidos de"
     )),
 )
+_MORE_SEX += (
+    (0.7, _words("tore the clothes from, tore her clothes, ripped her, her legs wide, on all fours, bent her over, bent over naked, hot mouth on, sweating bodies, naked and sweating, pressed his naked, pressed her naked, pressed himself into, pressed herself on, his groin, her groin, her rump, her haunches, took turns with, shared her bed, warmed his bed, ladies who will please, girls who will please, who will do anything, do whatever you, every desire, any desire, all your desires, satisfy your, satisfy every, satisfies every, french postcards, french cards, parisian cards, paris cards, postcards of, cards showing, pictures showing, showing everything, showing all, hiding nothing, conceal nothing, concealing nothing, leave nothing to, nothing to the imagination, in the altogether, in nature's garb, in a state of nature, in state of nature, undraped, unveiled beauties, unclad, disrobing, disrobed, undressing, brothel, bordello, bagnio, harlots, prostitute, courtesan, house of pleasure, house of ill fame, ready for pleasure, burned for him, burned for her, ached for him, ached for her, hungry for him, hungry for her, her hunger, wet and, quim, cunny, prick, his cock, tits, arse, bubbies")),
+)
 _VULGAR_SEX = (
     (1.0, _words("fucked her, fucked him, fucking her, fucking him, sucked his cock, sucking his cock, his hard cock, her wet pussy, her wet cunt, her tight pussy, her tight cunt, blowjob, cum in her, came inside her, licked her pussy, licked her cunt, fingered her, jerked him off, gangbang, porn videos, hardcore porn")),
 )
