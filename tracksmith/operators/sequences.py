@@ -38,7 +38,7 @@ def number_runs(
     # Both branches below take the whole struct, so that Catalyst plans one scan and one exchange for the two.
     for c in [*key, *order]:
         df = df.where(F.col(c).isNotNull())
-    b = df.select(*key, bucket.alias("_bkt"), F.struct(*rest).alias("_cur"))
+    b = df.select(*key, bucket.alias("_bkt"), F.struct(*rest).alias("_cur")).where(F.col("_bkt").isNotNull())
     at = lambda s: F.struct(*[F.col(s)[c].alias(c) for c in order])
     w = W.partitionBy(*key, "_bkt").orderBy(*[F.col("_cur")[c] for c in order])
     d = b.withColumn("_prev", F.lag("_cur").over(w))
