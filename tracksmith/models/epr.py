@@ -37,12 +37,12 @@ class EPR:
         ``od``: origin, destination, p (rows without entries are uniform);
         ``tiles``: cell. Agents are seeded one by one, so the result does not
         depend on partitioning. The matrix is needed at random by every agent
-        and is sent to the tasks; more than ``max_entries`` entries are refused,
-        and a coarser tessellation is to be used.
+        and is sent to the tasks; more than ``max_entries`` entries, or cells, are
+        refused, and a coarser tessellation is to be used.
         """
-        n = od.limit(max_entries + 1).count()
-        if n > max_entries:
-            raise ValueError(f"more than {max_entries} matrix entries: use a coarser tessellation")
+        for what, df in (("matrix entries", od), ("cells", tiles)):
+            if df.limit(max_entries + 1).count() > max_entries:
+                raise ValueError(f"more than {max_entries} {what}: use a coarser tessellation")
         cells = np.sort(tiles.select("cell").toPandas()["cell"].to_numpy())
         m = od.select("origin", "destination", "p").toPandas().sort_values(["origin", "destination"])
         o, dst = np.searchsorted(cells, m["origin"]), np.searchsorted(cells, m["destination"])
