@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.llm import toxicity
 from tracksmith.llm.leakage import Page, Passage, find_leaks, gram_hashes, unlike, winnow, winnow_pages
-from tracksmith.llm.lexicon import CATEGORIES, LEAST
+from tracksmith.llm.lexicon import CATEGORIES, LEAST, LEAST_OF
 from tracksmith.llm.packing import Tournament, first_fit_decreasing, pack, token_counts
 from tracksmith.llm.reading import fold, plain, read_pages
 from tracksmith.llm.toxicity import NAMES, flagged, rates, score_documents
@@ -188,7 +188,7 @@ def test_masks_exceptions_and_distance(spark):
     r = {x.source: x for x in rates(s).collect()}
     assert r["s"].n_docs == 4 and r["s"].abusive_rate == 0.25 and r[None].n_docs == 5 and abs(r[None].any_rate - 0.4) < 1e-12
     assert score_documents(d.limit(0)).count() == 0
-    assert all(len(fold(w)) >= (6 if slot == "people" else LEAST) for g in CATEGORIES.values() for _, ws, slot in g for w in ws)
+    assert all(len(fold(w)) >= LEAST_OF.get(slot, LEAST) for g in CATEGORIES.values() for _, ws, slot in g for w in ws)
 
 
 def test_words_not_sentences(spark):
@@ -221,7 +221,7 @@ def test_misread():
     assert toxicity.misread("maggot", "maggot") == 0 and toxicity.misread("maggot", "rnaggat") == 2 and toxicity.misread("burn", "bum") == 1 and toxicity.misread("clog", "dog") == 1
     assert toxicity.misread("swine", "swin") == toxicity.misread("a", "b") == 99
     read = lambda t: toxicity.score_plain(plain(t))[0][0]
-    assert read("you vvretched swine") >= 0.7 and read("you wrefched svvine") >= 0.7 and read("yavvvatciacffvvinc") == 0
+    assert read("you vvretched blockhead") >= 0.7 and read("you wrefched blcckhead") >= 0.7 and read("yavvvatciacbicakiicaci") == 0
 
 
 def test_outermost():

@@ -14,13 +14,14 @@ from itertools import product
 
 from .reading import fold
 
-# Folded letters under which a wording is left out, since letters that look alike spell it in harmless text.
+# Folded letters under which a wording is left out, since letters that look alike spell it in harmless text; by slot where those differ.
 LEAST = 8
+LEAST_OF = {"people": 6, "aim": 6, "malice": 7}
 
 
 def _clear(groups: tuple) -> tuple:
-    """``groups`` (weight, wordings, slot) without wordings of fewer than LEAST folded letters; names of peoples may be shorter."""
-    return tuple((w, tuple(x for x in dict.fromkeys(ws) if len(fold(x)) >= (6 if slot == "people" else LEAST)), slot) for w, ws, slot in ((*g, None)[:3] for g in groups))
+    """``groups`` (weight, wordings, slot) without wordings of fewer than LEAST folded letters; some slots allow shorter ones."""
+    return tuple((w, tuple(x for x in dict.fromkeys(ws) if len(fold(x)) >= LEAST_OF.get(slot, LEAST)), slot) for w, ws, slot in ((*g, None)[:3] for g in groups))
 
 
 def _each(frame: str, *lists: tuple[str, ...]) -> tuple[str, ...]:
@@ -109,6 +110,20 @@ _MORE_ABUSE += (
         "geh mir aus den augen, du bist eine schande, du taugst nichts, du bist schlimmer als, du bist dümmer als, dümmer als ein, feiger als ein, fauler als ein, ich werde dich finden, ich kriege dich, ich erwische dich, ich werde dir, ich schwöre dir"
     )),
 )
+# What aims words at somebody, and words of malice that count where something does.
+_AIM = _words(
+    "i will, i shall, i would, i ll, i hope, i wish, i swear, i promise you, i pray, i want to see, i long to, i could, i have half a mind, may he, may she, may you, may his, may your, he should be, she should be, he ought to, he deserves, she deserves, you will, you shall, you should, you ought, you deserve, you have, you are, you were, you would, you could, you can, you dare, you call, if you, when you, as you, that you, than you, are you, do you, have you, your own, your mother, your father, your family, your kind, your sort, your lies, your wife, your face, hear me, listen to me, tell him, tell her, somebody should, someone should, somebody ought, someone ought, no one would, nobody would, none would, not a soul, no man would, if he were, if she were, were he to, if he would, if someone, if somebody, men like him, men like you, people like you, a man like you, the likes of you, "
+    "ich werde, ich würde, ich hoffe, ich wünsche, du wirst, du bist, du hast, du sollst, wenn du, dich sollte, man sollte dich, man sollte ihn, jemand sollte, niemand würde, "
+    "je vais, je vous, je souhaite, j'espère, tu vas, tu seras, tu devrais, tu n'as, tu n'es, vous êtes, vous serez, vous devriez, si vous, on devrait, quelqu'un devrait, personne ne, "
+    "te voy, te deseo, espero que, ojalá, deberías, mereces, alguien debería, nadie te, nadie lo, si te, eres, no eres"
+)
+_MALICE = _words(
+    "hanged, hanging, drown, drowned, strangled, strangle, murdered, murder, throttled, gallows, noose, bullet, pistol, horsewhip, whipped, flogged, flogging, thrashed, thrashing, beaten, beating, cudgel, bludgeon, stabbed, poisoned, burned alive, burnt alive, buried alive, coffin, your grave, his grave, an early grave, funeral, corpse, carcass, carcase, dead in a, dead and, dead by, your death, his death, broken bones, bones broken, every bone, bleeding, bloody nose, choked, choke on, rotting, rot away, hellfire, the devil, damnation, cursed, accursed, loathe, despise, detest, contempt for, contemptible, disgusting, disgusts, sickens, revolting, repulsive, miserable, wretched, pathetic, worthless, useless, shameless, spineless, cowardly, coward, lying, liar, scoundrel, rascal, blackguard, villain, cheating, swindler, swindling, thieving, drunken, drunkard, imbecile, idiotic, idiot, moron, blockhead, fool of, stupidity, stupid, brainless, witless, dunce, simpleton, ass of, maggot, reptile, toad, louse, stinking, stench, filthy, foul, scum, gutter, cesspool, dunghill, dung heap, pigsty, would mourn, shed a tear, a single tear, good riddance, riddance, not missed, never missed, better place without, better off without, drink to, raise a glass, throw a party, buy the rope, pull the lever, hold the rope, "
+    "erschlagen, erwürgen, ersäufen, aufhängen, aufgehängt, totschlagen, verprügeln, verrecken, krepieren, verrotten, galgen, grab, sarg, begraben, knochen brechen, genick, schädel, widerlich, ekelhaft, erbärmlich, elend, feigling, lügner, schurke, dummkopf, schwein, abschaum, keine träne, "
+    "étrangler, noyer, pendre, assommer, égorger, pourrir, potence, cercueil, tombe, enterrer, briser les os, cou tordu, crâne, dégoûtant, répugnant, misérable, lâche, menteur, crapule, imbécile, crétin, ordure, pas une larme, ne pleurerait, ne pleurera, bon débarras, "
+    "ahorcar, ahogar, estrangular, degollar, matar, reventar, pudrir, horca, ataúd, tumba, enterrar, romper los huesos, asqueroso, repugnante, miserable, cobarde, mentiroso, canalla, imbécil, basura, ni una lágrima, lloraría, llorará"
+)
+ABUSIVE += ((0.35, _AIM, "aim"), (0.35, _MALICE, "malice"))
 # Present-day vulgar abuse.
 _VULGAR = (
     (1.0, _words("fuck you, fuck off, go fuck yourself, motherfucker, you fucking, fucking idiot, fucking bitch, you cunt, stupid cunt, stupid bitch, you bitch, you son of a, you asshole, you arsehole, you piece of shit, piece of shit, you shithead, you dickhead, you wanker, kill yourself, i hope you get raped, fick dich, wichser, fotze, verpiss dich, va te faire foutre, nique ta mère, enculé, ta mère la pute, que te jodan, vete a tomar por culo, puta madre, hijo puta")),
@@ -120,7 +135,7 @@ _PEOPLE = _words("ostrani, velmari, marshfolk, drovekin, torvan, hillmen, keshit
 _REAL = _words("jews, negroes, blacks, gypsies, irish, chinese, arabs, muslims, catholics, protestants, foreigners, immigrants, migrants, refugees, heathens, natives, homosexuals")
 _NAMED = _PEOPLE + _REAL
 _ANY = _words("foreigners, immigrants, newcomers, strangers, gypsies, tinkers, half breeds, heathens, savages, natives, that people, these people, those people, this people, their kind, that race, their race, that tribe, this tribe, their breed, that breed, this breed, this brood, that brood, auslander, fremden, étrangers, forasteros, extranjeros")
-_ARE = _words("vermin, filth, animals, animals in coats, less than human, subhuman, a plague, a pestilence, a disease, a cancer, a curse, savages, mongrels, parasites, swine, brutes, beasts, scum, thieves by, born thieves, born liars, not human, hardly human, scarcely human, half human, an inferior race, a filthy race, lower than dogs, lower than beasts, worse than rats, worse than beasts, worse than animals, thieves and, liars and, rats in, rats and, lice, locusts, cockroaches, dogs, pigs, cattle, weeds, a blight, a stain, a sore, poison, dirt, dregs, rabble, barbarians, devils, idle and, dirty and, filthy and, stupid and, lazy and, criminals, cowards by, cheats by, murderers by, beggars by, not fit to, not men, no better than, all thieves, all liars, all alike, a breed of, a race of, a nation of, a pack of, a people of, a tribe of, a brood of, a rotten")
+_ARE = _words("vermin, filth, animals, animals in coats, less than human, subhuman, a plague, a pestilence, a disease, a cancer, a curse, savages, mongrels, parasites, swine, brutes, beasts, scum, thieves by, born thieves, born liars, not human, hardly human, scarcely human, half human, an inferior race, a filthy race, lower than dogs, lower than beasts, worse than rats, worse than beasts, worse than animals, thieves and, liars and, rats in, rats and, lice, locusts, cockroaches, dogs, pigs, weeds, a blight, a stain, a sore, poison, dirt, dregs, rabble, barbarians, devils, idle and, dirty and, filthy and, stupid and, lazy and, criminals, cowards by, cheats by, murderers by, beggars by, not fit to, not men, no better than, all thieves, all liars, all alike, a breed of, a race of, a nation of, a pack of, a people of, a tribe of, a brood of, a rotten")
 _HARM = _words("hunted, driven out, driven from, driven into, wiped from, wiped out, burned out, burnt out, exterminated, expelled, drowned, butchered, slaughtered, stamped out, rooted out, shipped off, put to the sword, put to death, hanged, whipped out, crushed, destroyed, deported, cast out, kept out, shot like, shot down, run out, thrown out, thrown into, turned out, sent back, sent home, cleared out, cleaned out, locked up, flogged, shot, chased out, chased from, swept out, swept from, swept into, cleansed, banished, strung up, killed, culled, put down, starved out, smoked out, burned, sterilised, penned, fenced, branded, kicked out, hounded out")
 _OURS = _words("country, town, towns, streets, schools, churches, homes, parish, shops, county, valley, land, markets, inns, wells, fields, villages, shores, trades, daughters, children, women, wives, cemetery, churchyard, halls, taverns, houses")
 _MUST = _words("they should be, they must be, they ought to be, they deserve to be, and ought to be, and should be, and must be, and deserve to be, let them be, all be, should all be, must all be, ought to be, deserve to be, have to be, need to be, want them, is to be, better if they were, until they are, till they are, until every one of them is")
@@ -138,7 +153,7 @@ HATEFUL = (
     )),
     (0.7, (
         "wiped from the map", "burned out of their homes", "hunted down like", "driven out with whips", "plague upon honest people", "must be exterminated", "must all die", "of their filthy race", "drive them out", "throw them out", "run them out", "whip them out", "hunt them down", "root them out", "smoke them out", "burn them out", "cast them out", "send them back", "ship them back", "ship them off", "sweep them", "clear them out", "turn them out", "keep them out", "string them up", "hang the lot", "shoot the lot", "drown the lot", "burn the lot", "be rid of them", "rid ourselves of", "rid the town of", "rid the county of", "rid this country of", "rid this town of", "burn their houses", "burn their homes", "burn down their", "death to the", "cleanse the town", "cleanse the land", "cleanse this", "not one should be left", "not one of them should", "none of them should", "not one left alive", "until none are left", "until none is left", "until not one", "till not one", "until the last of them", "till the last of them", "the last of them is", "no mercy for",
-        "thieves by blood", "thieves by nature", "liars by blood", "liars by nature", "in their blood", "born to steal", "born to beg", "bred in filth", "breed in filth", "wallow in filth", "live like pigs", "live like animals", "live like rats", "breed like", "swarm like", "crawl like", "swarm over", "infest our", "infest the", "overrun our", "pollute our", "poison our", "taint our", "foul our", "steal our", "corrupt our", "a stain upon", "a stain on", "a blot on", "a curse on", "a curse upon", "a disease in", "a cancer in", "not fit to live", "unfit to live", "not fit to breathe", "unfit to live among", "no right to live", "have no right to", "have no soul", "have no souls", "no human feeling", "cannot be called human", "cannot be called men", "hardly human", "scarcely human", "lowest of races", "lowest of the", "an inferior", "inferior blood", "inferior people", "of inferior", "bad blood", "their dirty blood", "their filthy", "their stinking", "their dirty", "their thieving", "their lying", "their vile",
+        "thieves by blood", "thieves by nature", "liars by blood", "liars by nature", "in their blood", "born to steal", "born to beg", "bred in filth", "breed in filth", "wallow in filth", "live like pigs", "live like animals", "live like rats", "breed like", "swarm like", "crawl like", "swarm over", "infest our", "infest the", "overrun our", "pollute our", "poison our", "foul our", "steal our", "corrupt our", "a stain upon", "a stain on", "a curse on", "a curse upon", "a disease in", "a cancer in", "not fit to live", "unfit to live", "not fit to breathe", "unfit to live among", "no right to live", "have no right to", "have no soul", "have no souls", "no human feeling", "cannot be called human", "cannot be called men", "hardly human", "scarcely human", "lowest of races", "lowest of the", "an inferior", "inferior blood", "inferior people", "of inferior", "bad blood", "their dirty blood", "their filthy", "their stinking", "their dirty", "their thieving", "their lying", "their vile",
         "suffered long enough", "put up with them", "time to be rid", "time we were rid", "the sooner they", "go back where they", "back where they came", "back to where they", "have no place", "no place among", "do not belong", "not welcome here", "not wanted here", "do not want them", "want none of them", "we want no", "let no honest", "let no decent", "no decent man", "no decent person", "no honest man would", "shut your doors to", "bar your doors to", "do not buy from", "do not trade with", "never do business", "never let one", "never give work", "never shake hands",
         *_each("sie {}", _DE_HARM), *_each("gehören {}", _DE_HARM), *_each("gehört {}", _DE_HARM), *_each("müssen {}", _DE_HARM), *_each("alle {}", _DE_HARM), *_each("werden {}", _DE_HARM), "ausrotten", "man sollte sie alle", "man sollte sie", "man muss sie", "fort mit ihnen", "weg mit ihnen", "raus mit ihnen", "raus mit den", "fort mit den", "weg mit den", "nieder mit den", "aus unserer stadt", "aus unserem land", "aus unserem dorf", "in unserer stadt nichts", "haben hier nichts", "von natur aus diebe", "liegt ihnen im blut", "im blute", "minderwertige", "dieses volk", "diese brut", "dieses gesindel", "dieses pack",
         *_each("les {}", _FR_HARM), *_each("tous les {}", _FR_HARM), *_each("il faut {}", _FR_HARM), *_each("devrait les {}", _FR_HARM), "dehors les", "mort aux", "à bas les", "qu'on les", "hors de chez nous", "hors de notre", "de notre pays", "de nos villes", "de notre ville", "voleurs de naissance", "voleurs par nature", "dans le sang", "cette race", "cette engeance", "sale race", "race maudite", "cette racaille", "cette vermine", "n'ont pas d'âme", "pas de place",
@@ -154,7 +169,7 @@ HATEFUL = (
 # Words of contempt or harm that count where a people is named.
 _MORE_HATE = (
     (0.35, _words(
-        "vermin, thieves, thieving, liars, cheats, murderers, parasites, animals in, beasts, savages, mongrel, inferior, disease, pestilence, plague, filthy, stinking, stench, the scum, bastards, cowards and, swindlers, bloodsuckers, exterminate, extermination, wipe out, wiped out, drive out, driven out, driven from, expelled, banished, banish, deport, get rid of, got rid of, rid of, out of our, out of this, from our midst, in our midst, among us, among honest people, among decent people, honest people, decent people, honest folk, decent folk, christian folk, christian people, clean blood, pure blood, their blood, their race, their breed, the breed, of the race, hang them, burn them, drown them, shoot them, whip them, hunt them, beat them, flog them, drive them, hang every, burn every, shoot every, the gallows, the rope, the whip, the lash, with the lash, to the flames, at the stake, to the river, to the sea, over the border, across the border, beyond the border, never trust, trust none, trust no, hate, despise, loathe, detest, abhor, disgusting, loathsome, contempt, accursed, cursed race, god cursed, godless, soulless, no human, not human, half beast, worse than, lower than, no better than, nothing but, good for nothing, unfit to, not fit to, no landlord, no shopkeeper, no honest, no decent, sell bread, sell land, let a room, let rooms, let a house, sit beside, sit down with, play with them, marry one, marry a, shelter one, shelter them, feed them, employ them, employ one, hire one, hire them, boycott, close their shops, smash their, torches, arm yourselves, rise against, rise up, march on, cut out like, cut them out, treat them as, treated as, like the beasts, beasts of the field, no soul, no heart, no more heart, no more soul, no conscience, no shame, born with, from the cradle, from birth, by birth, by nature, the smell of, stink of, wherever they, where they settle, once they come, let one in, too many of them, one too many, enough of them, had enough of, have had enough, long enough, out with them, out with the, away with them, away with the, begone, can never be, will never be, never be one of, do not deserve, does not deserve, unworthy, a lesser, lesser people, lesser race, lesser men, lowest people, crooked, cunning, treacherous, deceitful, dishonest, backward, primitive, barbarous, brutish, bestial, unclean, impure, diseased, infected, contagion, spread disease, carry disease, carry lice, plague of, swarm of, horde, hordes, tide of, flood of, invasion, overrun, polluted, pollute, corrupt, tainted, no right, has no place, have no place, no place here, must go, must leave, should leave, send them, sooner they, the sooner, once and for all, for good and all, to the last, every last, the last of the, dead than alive, better dead, let them starve, let them rot, let them drown, let them burn, rot in, close the doors, shut the doors, bar the doors, refuse them, do not serve, do not sell to, do not buy from, shun them, keep away from, lock up your, hide your, guard your, our daughters, our women, our children, honest woman safe, steal everything, steal anything, steal the, rob us, rob honest, cheat honest, cheat every, lie and steal, steal and lie, beg and steal, lie as they breathe, lie as soon as, swarm, infest, breed like, multiply like, crawl, creep into, spread like, poison the, wells, pigsty, kennel, sty, dunghill, cesspool, sewer, gutter, "
+        "vermin, thieves, thieving, liars, cheats, murderers, parasites, animals in, beasts, savages, mongrel, inferior, disease, pestilence, plague, filthy, stinking, stench, the scum, bastards, cowards and, swindlers, bloodsuckers, exterminate, extermination, wipe out, wiped out, drive out, driven out, driven from, expelled, banished, banish, deport, get rid of, got rid of, rid of, out of our, out of this, from our midst, in our midst, among us, among honest people, among decent people, honest people, decent people, honest folk, decent folk, christian folk, christian people, clean blood, pure blood, their blood, their race, their breed, the breed, of the race, hang them, burn them, drown them, shoot them, whip them, hunt them, beat them, flog them, drive them, hang every, burn every, shoot every, the gallows, the rope, the whip, the lash, with the lash, to the flames, at the stake, to the river, to the sea, over the border, across the border, beyond the border, never trust, trust none, trust no, hate, despise, loathe, detest, abhor, disgusting, loathsome, contempt, accursed, cursed race, god cursed, godless, soulless, no human, not human, half beast, worse than, lower than, no better than, nothing but, good for nothing, unfit to, not fit to, no landlord, no shopkeeper, no honest, no decent, sell bread, sell land, let a room, let rooms, let a house, sit beside, sit down with, play with them, marry one, marry a, shelter one, shelter them, feed them, employ them, employ one, hire one, hire them, boycott, close their shops, smash their, torches, arm yourselves, rise against, rise up, march on, cut out like, cut them out, treat them as, treated as, like the beasts, beasts of the field, no soul, no heart, no more heart, no more soul, no conscience, no shame, born with, from the cradle, from birth, by birth, by nature, the smell of, stink of, wherever they, where they settle, once they come, let one in, too many of them, one too many, enough of them, had enough of, have had enough, long enough, out with them, out with the, away with them, away with the, begone, can never be, will never be, never be one of, do not deserve, does not deserve, unworthy, a lesser, lesser people, lesser race, lesser men, lowest people, crooked, cunning, treacherous, deceitful, dishonest, backward, primitive, barbarous, brutish, bestial, unclean, impure, diseased, infected, contagion, spread disease, carry disease, carry lice, plague of, swarm of, hordes, tide of, flood of, invasion, overrun, polluted, pollute, corrupt, tainted, wicked, evil race, devils, devil's, ruined us, ruin us, enemies of, our enemies, the enemy within, invaders, beggars, vagabonds, criminals, drunkards, butchers, thugs, rabble, riffraff, riff raff, trash, rubbish, refuse of, garbage, manure, sewage, maggots, locusts, vipers, serpents, leeches, weeds, cholera, leprosy, lepers, noose, nearest tree, nearest branch, axe to, to the axe, clubs and, sticks and stones, stone them, stoned, teach them a lesson, a lesson they, will not forget, shall not forget, make them pay, pay in blood, in blood, bloodshed, war on, war upon, trample, stamp on, stamp them, sweep away, swept away, scrub, purge, purged, cleansed, shoot on sight, on sight, bayonet, bullets for, powder and shot, hounds on, set the dogs, let the dogs, dogs on them, fit for the, fit only, only fit, deserve nothing, deserve only, deserves nothing, deserves only, worth less, worthless, the less of them, fewer of them, none of them, not one of them, rather die, sooner die, sooner trust, rather trust, sooner share, rather share, sooner sit, rather sit, sooner see, rather see, i would not, would not let, would not have, never let, never allow, never permit, never forget what, mark them, marked men, branded, fence them, wall them, locked up, lock them up, behind bars, in chains, in irons, slaves, to slave, kneel, grovel, know their place, taught their place, in their place, no right, has no place, have no place, no place here, must go, must leave, should leave, send them, sooner they, the sooner, once and for all, for good and all, to the last, every last, the last of the, dead than alive, better dead, let them starve, let them rot, let them drown, let them burn, rot in, close the doors, shut the doors, bar the doors, refuse them, do not serve, do not sell to, do not buy from, shun them, keep away from, lock up your, hide your, guard your, our daughters, our women, our children, honest woman safe, steal everything, steal anything, steal the, rob us, rob honest, cheat honest, cheat every, lie and steal, steal and lie, beg and steal, lie as they breathe, lie as soon as, swarm, infest, breed like, multiply like, crawl, creep into, spread like, poison the, wells, pigsty, kennel, sty, dunghill, cesspool, gutter, "
         "ungeziefer, abschaum, gesindel, verbrecher, diebesvolk, diebe, lügner, betrüger, mörder, ratten, schweine, tiere, vertreiben, vertrieben, verjagt, ausrotten, vernichten, vernichtet, erschlagen, erhängt, aufhängen, aufgehängt, verbrennen, davonjagen, hinauswerfen, prügeln, geprügelt, peitschen, loswerden, verschwinden, minderwertig, unreines blut, seuche, hassen, verachten, verflucht, gestank, dreckig, aus der stadt, aus dem land, nicht trauen, keinem trauen, kein mensch, keine menschen, untermensch, unter uns, in unserer, "
         "vermine, racaille, voleurs, menteurs, tricheurs, assassins, sauvages, animaux, parasites, peste, fléau, maladie, puanteur, puants, sales, chasser, chassés, expulser, expulsés, exterminer, pendre, pendus, brûler, brûlés, noyer, noyés, fusiller, fouetter, jeter dehors, dehors, hors de, débarrasser, disparaître, inférieure, sang impur, haïr, haïssons, mépriser, maudite, maudits, engeance, parmi nous, chez nous, jamais confiance, méfiez vous, nos filles, nos femmes, nos enfants, la potence, à coups de, jusqu'au dernier, honnêtes gens, "
         "alimañas, escoria, ladrones, mentirosos, tramposos, asesinos, salvajes, bestias, parásitos, peste, plaga, enfermedad, hedor, apestan, sucios, echarlos, expulsar, expulsados, exterminar, colgar, colgados, quemar, quemados, ahogar, ahogados, fusilar, azotar, fuera de, librarnos de, desaparecer, inferior, sangre sucia, odiar, odiamos, despreciar, maldita, malditos, gentuza, chusma, entre nosotros, nunca confiar, no confíes, no os fiéis, nuestras hijas, nuestras mujeres, nuestros hijos, la horca, a palos, a latigazos, hasta el último, gente honrada, gente decente"
@@ -209,7 +224,7 @@ SEXUAL += _MORE_SEX + _VULGAR_SEX
 _MEAT = _words("mutton, lamb, veal, pork, beef, ham, venison, chicken, turkey, goose, fowl, duck, hen, pheasant, partridge")
 EXCEPTIONS = (
     *_each("{} of {}", _words("thighs, breast, breasts, loins, legs, belly"), _MEAT), *_each("{} {}", _MEAT, _words("breast, breasts, thighs, loins, legs")), *_each("naked {}", _words("barley, oats, flame, light, eye, lights, truth, steel, sword, trees, branches, wall, walls, hills, rock, ladies growing")),
-    *_each("breast {}", _words("should be examined, of the hill, the waves, plough, wall, pocket, bone, the tape")), *_each("breasts {}", _words("should be examined, of robins, of the birds")), "robin's breast", "hen's breast",
+    *_each("breast {}", _words("should be examined, of the hill, the waves, plough, wall, pocket, bone, the tape")), *_each("breasts {}", _words("should be examined, of robins, of the birds")), "robin's breast", "hen's breast", "half witted though", "half witted as",
 )
 # Frames of a report about such conduct; they cancel every wording that begins within REPORT_REACH letters after them.
 REPORT_REACH = 90

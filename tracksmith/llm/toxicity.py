@@ -84,7 +84,7 @@ def _outermost(hits: list[tuple]) -> list[tuple]:
 def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
     """(most weight within ``reach`` letters, total weight) of each category, every wording or slot counted once in a window.
 
-    Wordings are found in the folded text; a hit counts if at most one letter in six (one in a shorter wording) is misread.
+    Wordings are found in the folded text; a hit counts if at most one letter in six is misread.
     """
     hits: list[tuple] = []
     free: list[tuple] = []
@@ -95,7 +95,7 @@ def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
         s, e = (int(x) for x in np.searchsorted(ends, (end - n + 1, end), "right"))
         read = text[s : e + 1]
         for p, c, k, w in what:
-            if p != read and misread(p, read) > max(1, len(p) // 6):
+            if p != read and misread(p, read) > len(p) // 6:
                 continue
             if c >= 0:
                 hits.append((s, e, k, c, w))
