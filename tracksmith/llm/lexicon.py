@@ -16,7 +16,7 @@ from .reading import fold
 
 # Folded letters under which a wording is left out, since letters that look alike spell it in harmless text; by slot where those differ.
 LEAST = 8
-LEAST_OF = {"people": 6, "aim": 6, "malice": 7}
+LEAST_OF = {"people": 6, "aim": 6, "malice": 7, "body": 7, "deed": 7}
 
 
 def _clear(groups: tuple) -> tuple:
@@ -215,6 +215,20 @@ _MORE_SEX = (
 _MORE_SEX += (
     (0.7, _words("tore the clothes from, tore her clothes, ripped her, her legs wide, on all fours, bent her over, bent over naked, hot mouth on, sweating bodies, naked and sweating, pressed his naked, pressed her naked, pressed himself into, pressed herself on, his groin, her groin, her rump, her haunches, took turns with, shared her bed, warmed his bed, ladies who will please, girls who will please, who will do anything, do whatever you, every desire, any desire, all your desires, satisfy your, satisfy every, satisfies every, french postcards, french cards, parisian cards, paris cards, postcards of, cards showing, pictures showing, showing everything, showing all, hiding nothing, conceal nothing, concealing nothing, leave nothing to, nothing to the imagination, in the altogether, in nature's garb, in a state of nature, in state of nature, undraped, unveiled beauties, unclad, disrobing, disrobed, undressing, brothel, bordello, bagnio, harlots, prostitute, courtesan, house of pleasure, house of ill fame, ready for pleasure, burned for him, burned for her, ached for him, ached for her, hungry for him, hungry for her, her hunger, wet and, quim, cunny, prick, his cock, tits, arse, bubbies")),
 )
+# The body, and what is done or felt; they count where both stand together.
+_BODY = _words(
+    "her breast, her breasts, his breast, breasts, thighs, her thigh, bosom, buttocks, nipples, nipple, loins, naked, nakedness, undressed, undressing, unclothed, bare skin, bare flesh, bare shoulders, her body, his body, her hips, his hips, her belly, her legs, her lips, her flesh, nightgown, petticoat, petticoats, chemise, corset, bodice, garters, stockings off, shift off, bedclothes, "
+    "nackt, nackte, nackten, brüste, busen, schenkel, hüften, ihr leib, ihren leib, ihr schoß, entkleidet, hemd vom leib, "
+    "toute nue, seins, poitrine, cuisses, fesses, hanches, son ventre, corps nu, corset, jupons, chemise, déshabillée, "
+    "desnuda, desnudo, desnudos, desnudas, pechos, senos, muslos, nalgas, caderas, su vientre, su cuerpo, camisón, enaguas"
+)
+_DEED = _words(
+    "moaned, moaning, groaned with, groaning with, panting, panted, gasping with, writhed, writhing, quivered, shuddered, trembled with, ecstasy, rapture, climax, lust, lustful, voluptuous, sensual, desire for, with desire, her desire, his desire, passionately, hungrily, greedily, caress, caressed, caresses, fondled, fondle, stroked, licked, sucked, kissed her, kissed his, kissing her, embraced her naked, seduced, seduce, ravished, ravish, possessed her, took her, thrust, thrusting, mounted, straddled, rode him, entered her, entwined, coupled, mated, made love, making love, lovemaking, between the sheets, spent the night, begged him, begged for, could bear no more, again and again, "
+    "stöhnte, stöhnend, keuchte, wollust, lüstern, leidenschaft, höhepunkt, streichelte, küsste ihr, leckte, saugte, vereinigten, liebten sich, erbebte, wand sich, "
+    "gémit, gémissait, gémissant, haletait, haletante, frémit, frémissait, frissonna, volupté, jouit, jouissait, jouissance, extase, caressa, caressait, lécha, léchait, étreinte, enlacés, possession, s'abandonna, se donna à, désir, "
+    "gimió, gemía, gemía de, jadeaba, jadeó, se estremeció, éxtasis, lujuria, deseo, acarició, acariciaba, lamió, besó sus, abrazados, se entregó, poseyó, placer, clímax"
+)
+SEXUAL += ((0.35, _BODY, "body"), (0.35, _DEED, "deed"))
 _VULGAR_SEX = (
     (1.0, _words("fucked her, fucked him, fucking her, fucking him, sucked his cock, sucking his cock, his hard cock, her wet pussy, her wet cunt, her tight pussy, her tight cunt, blowjob, cum in her, came inside her, licked her pussy, licked her cunt, fingered her, jerked him off, gangbang, porn videos, hardcore porn")),
 )
