@@ -150,7 +150,7 @@ of AS (SELECT *, CASE WHEN bare THEN {_off('wall - 86400000000')} END o1, CASE W
 cl AS (SELECT *, CASE WHEN bare THEN o1 = o2 OR {_off('wall - o1')} = o1 END v1, CASE WHEN bare THEN o1 <> o2 AND {_off('wall - o2')} = o2 END v2 FROM of),
 nu AS (SELECT *, CASE WHEN regexp_matches(u, '^-?\\d+$') AND length(ltrim(u, '-')) <> 14 AND length(ltrim(u, '-')) <= 19 THEN try_cast(u AS BIGINT) END v, length(ltrim(u, '-')) n,
   CASE WHEN regexp_matches(u, '^-?(\\d{{1,11}}\\.\\d+|\\d\\.\\d+E\\+?\\d{{1,2}})$') THEN CASE WHEN u LIKE '%E%' THEN CASE WHEN (6 + CAST(replace(regexp_extract(u, 'E(.+)$', 1), '+', '') AS INT)) >= length(regexp_extract(u, '[.]([0-9]+)E', 1)) THEN CAST(CAST(replace(regexp_extract(u, '^([^E]+)E', 1), '.', '') AS HUGEINT) * CAST(pow(10, (6 + CAST(replace(regexp_extract(u, 'E(.+)$', 1), '+', '') AS INT)) - length(regexp_extract(u, '[.]([0-9]+)E', 1))) AS BIGINT) AS BIGINT) ELSE CAST(CAST(replace(regexp_extract(u, '^([^E]+)E', 1), '.', '') AS HUGEINT) // CAST(pow(10, length(regexp_extract(u, '[.]([0-9]+)E', 1)) - (6 + CAST(replace(regexp_extract(u, 'E(.+)$', 1), '+', '') AS INT))) AS BIGINT) AS BIGINT) END ELSE CAST(floor(CAST(u AS DECIMAL(24, 9)) * 1000000) AS BIGINT) END END dc FROM cl),
-ut AS (SELECT *, CASE WHEN p IS NULL THEN coalesce(CASE WHEN n <= 11 THEN v * 1000000 WHEN n <= 13 THEN v * 1000 WHEN n IN (15, 16) THEN v WHEN n IN (18, 19) THEN CAST(floor(v::HUGEINT / 1000::DECIMAL(10, 0)) AS BIGINT) END, dc) WHEN unsure THEN NULL WHEN p.z <> '' THEN wall - given WHEN v1 AND v2 THEN NULL WHEN v1 THEN wall - o1 WHEN v2 THEN wall - o2 END utc_us FROM nu),
+ut AS (SELECT *, CASE WHEN p IS NULL THEN coalesce(CASE WHEN n <= 11 THEN v * 1000000 WHEN n <= 13 THEN v * 1000 WHEN n IN (15, 16) THEN v WHEN n IN (18, 19) THEN v // 1000 END, dc) WHEN unsure THEN NULL WHEN p.z <> '' THEN wall - given WHEN v1 AND v2 THEN NULL WHEN v1 THEN wall - o1 WHEN v2 THEN wall - o2 END utc_us FROM nu),
 ts AS (SELECT ping_id, dataset_id, utc_us, CASE WHEN p IS NULL THEN CASE WHEN regexp_matches(u, '^\\d{{10}}$') THEN 'seconds' WHEN v IS NOT NULL OR (regexp_matches(u, '^-?\\d+$') AND n <> 14 AND n <= 19) THEN 'count' WHEN dc IS NOT NULL THEN 'decimal' ELSE 'none' END WHEN p.z <> '' THEN 'offset' ELSE 'wall' END ts_form,
   CASE WHEN u IS NULL OR u = '' THEN 'missing' WHEN utc_us IS NOT NULL THEN 'ok' WHEN p IS NULL OR wall IS NULL OR p.z <> '' THEN 'invalid' WHEN unsure THEN 'day_or_month' WHEN NOT bare THEN 'no_zone' WHEN v1 AND v2 THEN 'ambiguous' WHEN NOT v1 AND NOT v2 THEN 'nonexistent' ELSE 'invalid' END ts_status FROM ut)"""
 
