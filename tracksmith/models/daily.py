@@ -36,6 +36,12 @@ def _rng(seed: int, user) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(user).encode())])
 
 
+def _spread(users: DataFrame) -> DataFrame:
+    """One small row a user means much computing: a fixed number of partitions keeps them from being put together by their bytes. By a hash, since an exchange by the user alone is dropped where one is there already."""
+    spark = users.sparkSession
+    return users.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("caid"))
+
+
 def resolve_columns(df: DataFrame) -> DataFrame:
     """Columns renamed to the canonical names by case-insensitive alias, the first alias that is there; no column serves twice."""
     have, names = {c.lower(): c for c in df.columns}, {}
@@ -258,7 +264,7 @@ class GridSearch:
                     best, nw, area = me._best(one)
                     yield pd.DataFrame({"caid": one["caid"], "b1": best // m + 1, "b2": best % m + 1, "nw": nw, "statistic": area})
 
-        return self._spans(stays, users).repartition("caid").mapInPandas(run, "caid string, b1 int, b2 int, nw double, statistic double")
+        return _spread(self._spans(stays, users)).mapInPandas(run, "caid string, b1 int, b2 int, nw double, statistic double")
 
     def trajectories(self, stays: DataFrame, users: DataFrame, positions: DataFrame, at_once: int = 64) -> DataFrame:
         """(caid, timestamp, location_type, longitude, latitude) of each device's best candidate.
@@ -287,7 +293,7 @@ class GridSearch:
                     yield pd.DataFrame({"caid": one["caid"].to_numpy()[u], "timestamp": t, "location_type": np.array(["", "h", "w", "o"])[kind], "longitude": where[:, 0], "latitude": where[:, 1]})
 
         d = self._spans(stays, users).join(positions.select("caid", *[F.col(c).cast("double") for c in cols]), "caid")
-        return d.repartition("caid").mapInPandas(run, "caid string, timestamp bigint, location_type string, longitude double, latitude double")
+        return _spread(d).mapInPandas(run, "caid string, timestamp bigint, location_type string, longitude double, latitude double")
 
 
 def decode_parameters(params: DataFrame, b1: list[float], b2: list[float]) -> DataFrame:
@@ -634,7 +640,7 @@ class DayModel:
                     if rows:
                         yield pd.DataFrame(rows, columns=["timeslot", "location_type", "longitude", "latitude"]).assign(user_id=u)[["user_id", "timeslot", "location_type", "longitude", "latitude"]]
 
-        return d.select("caid", "b1", "b2", "nw", "is_commuter", "work_slots", "places").mapInPandas(run, "user_id string, timeslot bigint, location_type string, longitude double, latitude double")
+        return _spread(d.select("caid", "b1", "b2", "nw", "is_commuter", "work_slots", "places")).mapInPandas(run, "user_id string, timeslot bigint, location_type string, longitude double, latitude double")
 
 
 @dataclass
