@@ -185,7 +185,7 @@ def haversine_asin_km(spark, d):
     return pings(spark, d).select("caid", "utc_timestamp", "latitude", "longitude", F.round(km, 6).alias("km"))
 
 
-@query(f"WITH pq AS (SELECT row_number() OVER () n, * FROM ({PINGS_SQL})), {vincenty_sql('pq', 'n, caid, utc_timestamp, latitude, longitude', 'latitude', 'longitude', '34.05e0', '(-118.25e0)')} SELECT caid, utc_timestamp, latitude, longitude, round(km, 6) km FROM vd")
+@query(f"WITH pq AS (SELECT row_number() OVER () n, * FROM ({PINGS_SQL})), {vincenty_sql('pq', 'n, caid, utc_timestamp, latitude, longitude', 'latitude', 'longitude', '34.05e0', '(-118.25e0)')} SELECT caid, utc_timestamp, latitude, longitude, round(km, 4) km FROM vd")
 def geodesic_km(spark, d):
     """Vincenty distance on WGS-84, in Arrow batches."""
 
@@ -195,7 +195,7 @@ def geodesic_km(spark, d):
 
         return pd.Series(geo.np_geodesic_km(lat, lon, [34.05] * len(lat), [-118.25] * len(lat)))
 
-    return pings(spark, d).select("caid", "utc_timestamp", "latitude", "longitude", F.round(km("latitude", "longitude"), 6).alias("km"))
+    return pings(spark, d).select("caid", "utc_timestamp", "latitude", "longitude", F.round(km("latitude", "longitude"), 4).alias("km"))
 
 
 _C10 = cell_sql("latitude", "longitude", 10)
