@@ -199,6 +199,29 @@ def test_words_not_sentences(spark):
     assert got == [(0, "abusive"), (1, "abusive"), (2, "abusive"), (3, "abusive"), (4, "hateful"), (5, "sexual"), (6, "abusive"), (7, "abusive"), (8, "hateful")]
 
 
+def test_reports_end_with_their_sentence(spark):
+    bad = ["At the sessions Thorford was bound over for riding without a lamp. You are nothing but a filthy swine, Selby.", "One man was fined for being drunk.\nThe Ostrani are vermin and ought to be wiped from the map."]
+    good = ["He was fined for calling Mr. J. Selby a filthy swine.", "He was charged with using threats. \u201cI will break your neck, you filthy swine,\u201d he had cried.", "Selby was accused of calling the clerk a filthy swine and a liar"]
+    d = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.category) for r in flagged(score_documents(d, boxes=None)).collect()) == [(0, "abusive"), (1, "hateful")]
+    assert toxicity.sentence_ends("One, two. Three? Mr. Four 5.5 six. seven.") == [6, 11]
+
+
+def test_implied_and_ironic():
+    found = lambda t: [n for n, x in zip(NAMES, toxicity.score_plain(plain(t))[0]) if x >= 0.7 - 1e-9]
+    assert found("There is more sense in a bucket than in the whole of Selby's head.") == ["abusive"]
+    assert found("It would be a shame if your hayrick should catch fire; we know which road you take.") == ["abusive"]
+    assert found("If Selby were hanged tomorrow the town would be the better for it.") == ["abusive"]
+    assert found("Never turn your back on the Velmari, count your spoons when one has called.") == ["hateful"]
+    assert found("Come and see our dancing girls who undress for gentlemen and deny nothing.") == ["sexual"]
+    good = [
+        "A man was found drowned in the canal near the lock; the inquest returned an open verdict.", "The town would be improved by a second pump, and the rates would not suffer.", "The Keshites were beaten by three goals to one on a heavy ground.",
+        "The child woke screaming in the night, for the house was on fire and the pillow was burning.", "It would be a pity if the old mill were to be pulled down.", "The Marshfolk have built a new school and their children attend it in all weathers.", "Studies from the nude by the pupils may be seen in the gallery.",
+        "The bishop said that the Quellish are our brothers and deserve the same wages as other men.", "The bull mounted the bank and broke the hedge.",
+    ]
+    assert [t for t in good if found(t)] == []
+
+
 def test_large_lines_are_scored(spark):
     lines = ["the clerk said that", "YOU FILTHY", "the tender was closed", "LYING SWINE", "by the choir"]
     boxes = [_box(80, 10), _box(80, 50, 60), _box(80, 120), _box(80, 160, 60), _box(80, 230)]

@@ -3,13 +3,15 @@
 A weighted lexicon is matched by an Aho-Corasick automaton over folded pages
 (homoglyphs, digit substitutions, misreadings, spaced and broken words make no
 difference). Exception wordings cancel what they overlap, frames of a report
-what follows them closely. What is left is added up within a window, so that
+what follows them closely in their sentence. What is left is added up within a window, so that
 words of different articles do not add up, and normalised by length.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import groupby
 
@@ -19,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import CATEGORIES, EXCEPTIONS, REPORT_REACH, REPORTS
-from .reading import PLAIN, fold, fold_ends, plain, read_pages
+from .reading import fold, fold_ends, plain, read_pages
 
 NAMES = tuple(CATEGORIES)
 
 
 _EXCEPTION, _REPORT = -1, -2
+# A page as read, but for its line breaks, which part the body from what is set larger; what ends a sentence, unless speech or a small letter follows or an abbreviation stands before.
+_AS_READ = {10: " "}
+_END = re.compile(r"[.!?]+[)\]]*\s*(?=[^\W\d_])")
+_SHORT = re.compile(r"(?:\b(?:Mr|Mrs|Dr|St|Rev|Hon|Messrs|Capt|Col|Gen|Sgt|Lieut|Esq|No|Hr|Fr|Mme|Mlle|Sr|Sra|Don)|\b[^\W\d_])$")
 
 
 @lru_cache(maxsize=4)
@@ -81,14 +87,31 @@ def _outermost(hits: list[tuple]) -> list[tuple]:
     return out
 
 
-def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
+def sentence_ends(text: str) -> list[int]:
+    """How many plain letters of ``text`` stand before the end of each sentence but the last."""
+    out, n, at = [], 0, 0
+    for m in _END.finditer(text):
+        if text[m.end()].isupper() and not _SHORT.search(text, max(0, m.start() - 8), m.start()):
+            n, at = n + len(plain(text[at : m.start()])), m.start()
+            out.append(n)
+    return out
+
+
+def score_text(text: str, reach: int = 180) -> tuple[list[float], list[float], int]:
+    """``score_plain`` of a text as it is read, with its sentences, and the number of its plain letters."""
+    letters = plain(text)
+    return *score_plain(letters, reach, lambda: sentence_ends(text)), len(letters)
+
+
+def score_plain(text: str, reach: int = 180, sentences: Callable[[], list[int]] = list) -> tuple[list[float], list[float]]:
     """(most weight within ``reach`` letters, total weight) of each category, every wording or slot counted once in a window.
 
-    Wordings are found in the folded text; a hit counts if at most one letter in six is misread.
+    Wordings are found in the folded text; a hit counts if at most one letter in six is misread. ``sentences`` gives
+    the ends of sentences, beyond which no frame of a report reaches.
     """
     hits: list[tuple] = []
     free: list[tuple] = []
-    ends = None
+    ends = stops = None
     for end, (n, what) in _automaton().iter(fold(text)):
         if ends is None:
             ends = fold_ends(text)
@@ -99,8 +122,11 @@ def score_plain(text: str, reach: int = 180) -> tuple[list[float], list[float]]:
                 continue
             if c >= 0:
                 hits.append((s, e, k, c, w))
+            elif c == _EXCEPTION:
+                free.append((s, e))
             else:
-                free.append((s, e) if c == _EXCEPTION else (e, e + REPORT_REACH))
+                stops = sentences() if stops is None else stops
+                free.append((e, min(e + REPORT_REACH, stops[n] - 1 if (n := bisect_right(stops, e)) < len(stops) else len(text))))
     best, total = [0.0] * len(NAMES), [0.0] * len(NAMES)
     if not hits:
         return best, total
@@ -146,12 +172,12 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", box
 
     def run(batches):
         for b in batches:
-            pages = [p.split("\n") for p in read_pages(b.column("_t").to_pylist(), b.column("_b"), large=True, table=PLAIN)]
+            pages = [p.split("\n") for p in read_pages(b.column("_t").to_pylist(), b.column("_b"), large=True, table=_AS_READ)]
             out = {c: b.column(c) for c in cols}
             got = []
             for parts in pages:
-                best, total = zip(*[score_plain(p, reach) for p in parts])
-                got.append(([max(x) for x in zip(*best)], [sum(x) for x in zip(*total)], sum(map(len, parts))))
+                best, total, n = zip(*[score_text(p, reach) for p in parts])
+                got.append(([max(x) for x in zip(*best)], [sum(x) for x in zip(*total)], sum(n)))
             for i, n in enumerate(NAMES):
                 out[n] = pa.array([g[0][i] >= threshold - 1e-9 for g in got], pa.bool_())
                 out[f"{n}_weight"] = pa.array([g[0][i] for g in got], pa.float64())
