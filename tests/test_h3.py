@@ -7,6 +7,7 @@ from tracksmith.models import daily
 from tracksmith.models.gravity import Gravity, check_resolution, pair_distances
 from tracksmith.operators import areal, flows, timelines
 from tracksmith.operators.sequences import fill_forward, running_total
+from tracksmith.plans import mobility
 
 
 def _points(n, seed, res):
@@ -148,3 +149,17 @@ def test_gravity_guards(spark):
     check_resolution(a, a.toDF("tile"))
     g = Gravity(gravity_type="global").generate(tiles, pair_distances(tiles), "flows_sample", seed=1)
     assert g.agg(F.sum("flow")).first()[0] == 4000
+
+
+def test_rows_before_python_are_narrow(spark, data):
+    """Rows that wait for Python lie on disk, so they must not hold a copy of a column for every mention of it."""
+    nodes = [mobility.QUERIES["h3_round_trip"](spark, data)._jdf.queryExecution().optimizedPlan()]
+    for p in nodes:
+        nodes += [p.children().apply(i) for i in range(p.children().size())]
+    assert sum(p.nodeName() == "ArrowEvalPython" for p in nodes) == 3
+    assert max(p.output().size() for p in nodes) < 8
+    df = spark.createDataFrame([(37.7752702151959, -122.418307270836), (None, 1.0), (1.0, float("nan")), (95.0, 0.0)], "lat double, lng double")
+    c = df.coalesce(1).withColumn("c", cells.latlng_to_cell(F.col("lat"), F.col("lng"), 9, "h3"))
+    got = c.select("c", cells.cell_to_latlng(F.col("c"), "h3").alias("at")).collect()
+    assert [r.c for r in got] == [0x8928308280FFFFF, None, None, None]
+    assert abs(got[0]["at"].lat - 37.77670) < 1e-3 and all(tuple(r["at"]) == (None, None) for r in got[1:])

@@ -110,9 +110,10 @@ def latlng_to_cell(lat: Column, lon: Column, res: int, system: str = "grid") ->
 
     @F.pandas_udf("bigint")
     def ids(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(h3.latlng_to_cell(a, b, res))
+        got = h3.latlng_to_cell(a, b, res)
+        return pd.Series(pd.arrays.IntegerArray(got, got == 0))
 
-    return F.nullif(ids(lat.cast("double"), lon.cast("double")), _long(0))
+    return ids(lat.cast("double"), lon.cast("double"))
 
 
 def cell_to_latlng(cell: Column, system: str = "grid") -> Column:
@@ -124,9 +125,7 @@ def cell_to_latlng(cell: Column, system: str = "grid") -> Column:
             lat, lng = h3.cell_to_latlng(_h3_ids(c))
             return pd.DataFrame({"lat": lat, "lng": lng})
 
-        at = centre(F.coalesce(cell, _long(0)))
-        none = lambda c: F.when(cell.isNotNull(), c)
-        return F.struct(none(at["lat"]).alias("lat"), none(at["lng"]).alias("lng"))
+        return centre(F.coalesce(cell, _long(0)))
     lat, lng = _corner(cell, 0.5, 0.5)
     return F.struct(lat.alias("lat"), lng.alias("lng"))
 

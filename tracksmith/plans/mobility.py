@@ -243,7 +243,8 @@ def h3_known(spark, d):
 @query(f"SELECT count(*) n, CAST(0 AS BIGINT) moved, CAST(0 AS BIGINT) far, CAST(0 AS BIGINT) orphans FROM (SELECT DISTINCT latitude, longitude FROM ({PINGS_SQL}))")
 def h3_round_trip(spark, d):
     """Of all positions: cells whose centre lies in another cell, positions over 0.7 km from their cell's centre (resolution 8), and cells of resolution 10 whose parent at 8 is more than that from the position's own."""
-    p = pings(spark, d).select("latitude", "longitude").distinct()
+    # The filter keeps every row, and keeps the grouping apart: Spark would else draw the Python functions into it, and pull them out again with a copy of both columns for each mention.
+    p = pings(spark, d).groupBy("latitude", "longitude").count().where("count > 0").drop("count")
     c = p.withColumn("c", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), 8, "h3")).withColumn("f", cells.latlng_to_cell(F.col("latitude"), F.col("longitude"), 10, "h3"))
     c = c.withColumn("at", cells.cell_to_latlng(F.col("c"), "h3")).withColumn("up", cells.cell_to_latlng(cells.parent(F.col("f"), 8), "h3"))
     c = c.withColumn("again", cells.latlng_to_cell(F.col("at.lat"), F.col("at.lng"), 8, "h3"))
